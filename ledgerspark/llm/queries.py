@@ -1,9 +1,11 @@
 """The registered queries of this package and their SQL."""
 
-from . import gif, url_filter
+from . import gif, language, quality, url_filter
 
 QUERIES = {
+    "op4_quality_classifier": quality.query,
     "op7_gif_media": gif.query,
+    "op8_language_id": language.query,
     "op10_url_filter": url_filter.query,
 }
 ORACLE = {"op10_url_filter": url_filter.ORACLE}
