@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` excludes it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,9 +40,42 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()  # the shuffle files behind df can go as soon as nothing refers to them
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def word_count(text: Column) -> Column:
+    """Number of words of a text column (null: 0), as a long."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    """Null-safe equality of the columns ``names`` of two frames."""
+    return reduce(lambda a, b: a & b, (left[n].eqNullSafe(right[n]) for n in names))
+
+
+def running_totals(df: DataFrame, group: list[str], order: list, shard: str, values: dict[str, str], facts: DataFrame | None = None) -> DataFrame:
+    """``df`` with, for each new column of ``values``, the sum of a column over the rows of its group that come before.
+
+    Rows of a group are ordered by ``shard``, then ``order``; ``shard`` is a column that deals the rows of even one
+    large group over many values. Sums per shard, at most groups times shards of them, are added up first, so that
+    no task ever holds a group. ``facts`` (a row per group) adds its columns on the way. ``df`` is read twice: cut it
+    before if it is costly.
+    """
+    own = [*group, shard]
+    sums = df.groupBy(*own).agg(*(F.sum(v).alias(n) for n, v in values.items()))
+    before = W.partitionBy(*group).orderBy(shard).rowsBetween(W.unboundedPreceding, -1)
+    bases = sums.select(*own, *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_{n}") for n in values))
+    more = [c for c in facts.columns if c not in group] if facts is not None else []
+    if facts is not None:
+        bases = bases.join(facts, same(bases, facts, group)).select(bases["*"], *(facts[c] for c in more))
+    joined = df.join(bases, same(df, bases, own)).select(df["*"], *(bases[c] for c in [*(f"_{n}" for n in values), *more]))
+    inside = W.partitionBy(*own).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    found = joined.select("*", *((F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"_{n}")).alias(n) for n, v in values.items()))
+    return found.drop(*(f"_{n}" for n in values))
+
+
 def map_columns(df: DataFrame, fn: Callable[..., dict], schema) -> DataFrame:
     """Apply ``fn`` to the columns of each Arrow batch (as Python lists); it returns the output columns by name."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -1,11 +1,12 @@
 """The registered queries of this package and their SQL."""
 
-from . import gif, language, quality, url_filter
+from . import gif, language, mixing, quality, url_filter
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op4_quality_classifier": quality.query,
     "op7_gif_media": gif.query,
     "op8_language_id": language.query,
     "op10_url_filter": url_filter.query,
 }
-ORACLE = {"op10_url_filter": url_filter.ORACLE}
+ORACLE = {"op1_mixing": mixing.ORACLE, "op10_url_filter": url_filter.ORACLE}
