@@ -1,10 +1,12 @@
 """The registered queries of this package and their SQL."""
 
-from . import gif, language, mixing, quality, url_filter
+from . import gif, language, mixing, packing, quality, simhash, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.query,
+    "op2_packing": packing.query,
     "op4_quality_classifier": quality.query,
+    "op6_simhash": simhash.query,
     "op7_gif_media": gif.query,
     "op8_language_id": language.query,
     "op10_url_filter": url_filter.query,
