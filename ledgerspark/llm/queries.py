@@ -1,11 +1,13 @@
 """The registered queries of this package and their SQL."""
 
-from . import gif, language, mixing, packing, quality, simhash, url_filter
+from . import gif, language, mixing, packing, quality, simhash, spotsigs, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.query,
     "op2_packing": packing.query,
+    "op3_spotsigs": spotsigs.query,
     "op4_quality_classifier": quality.query,
+    "op5_suffix_dedup": suffix_dedup.query,
     "op6_simhash": simhash.query,
     "op7_gif_media": gif.query,
     "op8_language_id": language.query,
