@@ -1,6 +1,6 @@
 """The registered queries of this package and their SQL."""
 
-from . import gif, language, mixing, packing, quality, simhash, spotsigs, suffix_dedup, url_filter
+from . import gif, html_text, language, mixing, packing, quality, simhash, spotsigs, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_simhash": simhash.query,
     "op7_gif_media": gif.query,
     "op8_language_id": language.query,
+    "op9_html_text": html_text.query,
     "op10_url_filter": url_filter.query,
 }
 ORACLE = {"op1_mixing": mixing.ORACLE, "op10_url_filter": url_filter.ORACLE}

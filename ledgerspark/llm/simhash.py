@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_columns, same, small_batches, table
+from .common import components, cut, map_columns, small_batches, table
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 CHUNK = 2048
@@ -184,7 +184,8 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One document of each group: the row whose doc_id names the component (of a group of null ids: its rows)."""
     found = groups(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(found, same(docs, found, ["doc_id"]), "left_semi")
+    found = found.withColumnRenamed("doc_id", "kept_id").hint("shuffle_hash")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["kept_id"]), "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -327,12 +327,13 @@ def deduplicated(docs: DataFrame, finish: Callable[[bytes, bytes, int], dict], k
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated strings cut out of ``text``; a character that loses some of its bytes goes whole."""
+    """``docs`` with repeated strings cut out of ``text`` (and ``n_chars`` after it); a character that loses some of its bytes goes whole."""
 
     def finish(raw: bytes, kept: bytes, runs: int) -> dict:
         return {"text": kept.decode(errors="ignore")}
 
-    return deduplicated(docs, finish, T.StructType([T.StructField("text", T.StringType())])).select(*docs.columns)
+    found = deduplicated(docs, finish, T.StructType([T.StructField("text", T.StringType())])).select(*docs.columns)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
