@@ -1,0 +1,86 @@
+"""Joins that a plain equality does not express, and guarded equalities."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .ordered import carried
+
+SKEW_MS = 2000
+
+
+def model_in_force(events: DataFrame, turns: DataFrame, key: str = "session", ts: str = "ts", model: str = "model", fallback: Column | None = None, skew_ms: int = SKEW_MS) -> DataFrame:
+    """``events`` with the model of the latest turn that starts before ``ts + skew_ms`` (strictly); turns without a model are passed over.
+
+    Turns and events become one stream, turns moved back by the skew; equal times put events first.
+    """
+    names = events.columns
+    left = events.select(*names, F.col(ts).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast("string").alias("_model"))
+    right = turns.select(F.col(key), (F.col(ts) - skew_ms).alias("_at"), F.lit(1).alias("_kind"), F.col(model).alias("_model"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    seen = carried(both, key, "_at", F.col("_model"), "_found", ("_kind",)).where("_kind = 0")
+    own = fallback if fallback is not None else F.lit(None).cast("string")
+    return seen.select(*names, F.coalesce("_found", own, F.lit("unknown")).alias("model_in_force"))
+
+
+def commits_in_session(sessions: DataFrame, commits: DataFrame, most: int = 200) -> DataFrame:
+    """``session, shas``: distinct commits of the session's folder and author between its start and end, at most ``most``.
+
+    Sessions and commits meet per folder and day, so a folder with very many of both is spread over its days.
+    """
+    day = 86_400_000
+    spread = sessions.select("session", "cwd", "started_at", "ended_at", F.explode(F.sequence(F.floor(F.col("started_at") / day), F.floor(F.col("ended_at") / day))).alias("d"))
+    dated = commits.select("cwd", "sha", "at", F.floor(F.col("at") / day).alias("d"))
+    hits = spread.join(dated, ["cwd", "d"]).where("at between started_at and ended_at").select("session", "sha").distinct()
+    found = hits.groupBy("session").agg(F.slice(F.array_sort(F.collect_list("sha")), 1, most).alias("shas"))
+    return sessions.select("session").join(found, "session", "left").select("session", F.coalesce("shas", F.array().cast("array<string>")).alias("shas"))
+
+
+def attribute_grants(sessions: DataFrame, grants: DataFrame) -> DataFrame:
+    """``sessions`` with ``canonical_id`` where the grants of their slug name exactly one."""
+    sure = grants.groupBy("slug").agg(F.min("canonical_id").alias("canonical_id"), F.countDistinct("canonical_id").alias("n"), F.array_sort(F.collect_set("grant_id")).alias("grant_ids")).where("n = 1").drop("n")
+    return sessions.join(sure, "slug", "left")
+
+
+def overlay(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
+    """Rows of ``over``, and those of ``base`` whose key it lacks."""
+    return over.unionByName(base.join(over.select(key), key, "left_anti"))
+
+
+def changed(rows: DataFrame, stored: DataFrame, key: str = "session", digest: str = "digest") -> DataFrame:
+    """Rows whose digest is new or differs from the stored one."""
+    old = stored.select(key, F.col(digest).alias("_old"))
+    return rows.join(old, key, "left").where(F.col("_old").isNull() | (F.col("_old") != F.col(digest))).drop("_old")
+
+
+def on_calendar(days: DataFrame, last_day: Column, n: int, counts: list[str]) -> DataFrame:
+    """A row for each of the ``n`` days up to ``last_day``, zero where ``days`` has none."""
+    spark = days.sparkSession
+    calendar = spark.range(1).select(F.explode(F.sequence(F.date_sub(last_day, n - 1), last_day)).alias("day"))
+    return calendar.join(days, "day", "left").select("day", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts))
+
+
+def live_deltas(sessions: DataFrame, baseline: DataFrame, active: DataFrame | None = None, now_ms: int = 0, window_ms: int = 15 * 60_000) -> DataFrame:
+    """Tokens since the baseline (absent: 0) per session with any; then recent sessions of active harnesses at zero.
+
+    Columns ``session, harness, tokens, ctx_pct, rank``: those that burned by tokens, the others by how full their context is.
+    """
+    base = baseline.select("session", F.col("tokens").alias("_base"))
+    seen = sessions.join(base, "session", "left").withColumn("delta", F.col("tokens") - F.coalesce("_base", F.lit(0)))
+    burned = seen.where("delta > 0").select("session", "harness", F.col("delta").alias("tokens"), "ctx_pct", F.lit(0).alias("seeded"))
+    if active is None:
+        return burned
+    recent = seen.where((F.col("delta") <= 0) & F.col("ctx_pct").isNotNull() & (F.lit(now_ms) - F.col("last_at") <= window_ms))
+    seeded = recent.join(active, "harness", "left_semi").select("session", "harness", F.col("delta").alias("tokens"), "ctx_pct", F.lit(1).alias("seeded"))
+    return burned.unionByName(seeded)
+
+
+def catalog_match(ids: DataFrame, catalog: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Each id with its catalog row: the id itself, under a prefix, or the newest dated variant, in that order."""
+    tried = ids.select("model", F.posexplode(F.array(F.col("model"), *(F.concat(F.lit(p), F.col("model")) for p in prefixes))).alias("rank", "catalog_id"))
+    direct = tried.join(catalog, "catalog_id").groupBy("model").agg(F.min_by("catalog_id", "rank").alias("catalog_id"))
+    stem = F.regexp_extract("catalog_id", r"^(.*?)-\d{4}-?\d{2}-?\d{2}$", 1)
+    dated = catalog.select("catalog_id", stem.alias("model")).where("model <> ''").groupBy("model").agg(F.max("catalog_id").alias("dated_id"))
+    joined = ids.select("model").distinct().join(direct, "model", "left").join(dated, "model", "left")
+    return joined.select("model", F.coalesce("catalog_id", "dated_id").alias("catalog_id"))

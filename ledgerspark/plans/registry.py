@@ -1,4 +1,7 @@
 """All registered queries by name, and the DuckDB SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import pricing_plans, session_plans
+
+_ALL = [pricing_plans, session_plans]
+QUERIES: dict = {k: v for m in _ALL for k, v in m.QUERIES.items()}
+ORACLE: dict = {k: v for m in _ALL for k, v in m.ORACLE.items()}
