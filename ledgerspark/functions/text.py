@@ -95,9 +95,9 @@ def semver(version: Column) -> Column:
 
 def compact(n: Column) -> Column:
     """1234567 as ``1.2M``."""
-    out = F.format_number(n, "0")
+    out = F.round(n).cast("long").cast("string")
     for size, unit in ((1e3, "K"), (1e6, "M"), (1e9, "B")):
-        out = F.when(n >= size, F.concat(F.format_number(n / size, "0.0"), F.lit(unit))).otherwise(out)
+        out = F.when(n >= size, F.concat(F.round(n / size, 1).cast("decimal(30,1)").cast("string"), F.lit(unit))).otherwise(out)
     return out
 
 
