@@ -20,7 +20,6 @@ size may change places, which changes no sum. Empty table: empty result.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -70,7 +69,8 @@ def demand_time(share: Column, schedule) -> Column:
         done -= area
         need, slope = share * whole - F.lit(done), (w1 - w0) / (t1 - t0)
         # w0 * x + slope / 2 * x^2 = need, in the form that also holds for slope 0
-        step = need * 2.0 / (F.lit(w0) + F.sqrt(F.greatest(F.lit(w0 * w0) + need * (2.0 * slope), F.lit(0.0))))
+        below = F.lit(w0) + F.sqrt(F.greatest(F.lit(w0 * w0) + need * (2.0 * slope), F.lit(0.0)))
+        step = F.coalesce(F.try_divide(need * 2.0, below), F.lit(0.0))  # no weight yet and nothing needed
         found = F.when(share * whole < F.lit(done + area), F.lit(t0) + step).otherwise(found)
     return found
 
@@ -100,16 +100,20 @@ def schedule_positions(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, bu
 
 
 def mix(docs: DataFrame, size: Callable[[Column], Column] = word_count, **options) -> DataFrame:
-    """Documents in training order: a row per taken copy, with ``position``, ``pass`` and ``words``; texts stay whole.
+    """Documents in training order: a row per taken copy, with ``mix_pass``, ``mix_position`` and ``mix_words``; texts stay whole.
 
-    Rows that agree in doc_id, source and size are scheduled as one, and each of them is taken as that one is.
+    Rows that agree in doc_id, source and size are scheduled as one, and each of them is taken as that one is. Where ``docs``
+    has columns that start with ``mix_``, underscores before the new names keep them apart.
     """
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
     sized = docs.select("doc_id", "source", size(F.col("text")).alias("size")).distinct()
     copies = schedule_positions(sized, **options).select("doc_id", "source", "size", F.explode("copies").alias("copy")).select("doc_id", "source", "size", "copy.*")
-    rows = docs.select(*(F.col(c).alias(f"d_{c}") for c in docs.columns), size(F.col("text")).alias("d_size"))
-    on = reduce(lambda a, b: a & b, (rows[f"d_{c}"].eqNullSafe(copies[c]) for c in ("doc_id", "source", "size")))
-    found = rows.join(copies, on).select(*(rows[f"d_{c}"].alias(c) for c in docs.columns), *(copies[c].alias(f"mix_{c}") for c in ("pass", "position", "words")))
-    return found.repartitionByRange("mix_position", "doc_id").sortWithinPartitions("mix_position", "doc_id")
+    rows = docs.select(*(F.col(c).alias(f"d_{c}") for c in docs.columns), size(F.col("text")).alias("own_size"))
+    on = rows["d_doc_id"].eqNullSafe(copies["doc_id"]) & rows["d_source"].eqNullSafe(copies["source"]) & (rows["own_size"] == copies["size"])
+    found = rows.join(copies, on).select(*(rows[f"d_{c}"].alias(c) for c in docs.columns), *(copies[c].alias(prefix + c) for c in ("pass", "position", "words")))
+    return found.repartitionByRange(f"{prefix}position", "doc_id").sortWithinPartitions(f"{prefix}position", "doc_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

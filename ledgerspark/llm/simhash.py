@@ -182,10 +182,12 @@ def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One document of each group: the row whose doc_id names the component (of a group of null ids: its rows)."""
-    found = groups(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    found = found.withColumnRenamed("doc_id", "kept_id").hint("shuffle_hash")
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["kept_id"]), "left_semi")
+    """One document of each group: the row whose doc_id names the component (of a group of null ids: its rows), once."""
+    heads = groups(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+    heads = cut(heads.select(F.col("doc_id").alias("kept_id"), "count"))
+    kept = docs.join(heads.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(heads["kept_id"]), "left_semi")
+    repeated = heads.where("count > 1").limit(1).count()  # rows that share an id
+    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ kept as sorted 32-bit digests. Likeness is the Jaccard coefficient of two sets,
 A text whose anchors make no whole chain gets a chain at every word instead; one with fewer words than a chain, a single
 signature of the whole text, so only equal short texts are alike.
 
-``with_next`` brings documents and their successors together: ids are range-partitioned at quantiles, sorted in each range,
+``similar`` finds all pairs of near-duplicates; ``with_next`` brings documents and their successors together: ids are range-partitioned at quantiles, sorted in each range,
 and read in order; the row that tops a range is also sent to the range before it in order. No window spans the table.
 
 Defined cases: a null text counts as empty; two empty texts are alike (1.0). A table of one row is its own successor.
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import cut, map_columns, small_batches, table
 
 CHAIN = 2
 #: Common words of English, German, French and Spanish.
@@ -81,6 +81,45 @@ def with_next(docs: DataFrame, run, schema: str, ranges: int) -> DataFrame:
     return dealt.select("doc_id", "text", "edge", "range").mapInArrow(run, schema)
 
 
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``doc_id, signs`` of every row, the signatures as an array of longs."""
+    small_batches(docs.sparkSession, 200)
+
+    def run(ids, texts):
+        return {"doc_id": ids, "signs": [signatures(t).tolist() for t in texts]}
+
+    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, signs array<long>")
+
+
+def similar(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Near-duplicates by Jaccard: ``doc_id, class_id`` of every row, and all pairs ``a, b, likeness`` of classes at ``least`` or over.
+
+    A class is the rows of one fingerprint, named by its least doc_id. Classes are partitioned by set length, so that
+    only neighbouring partitions can hold a pair: each is compared in its own and, as the shorter one, in the next. Pairs
+    must share one of the rarest signatures of both, as many as a set may lack; only such pairs are compared whole.
+    """
+    name = F.struct(F.xxhash64("signs"), F.xxhash64(F.lit(1), "signs")).alias("name")
+    prints = cut(fingerprints(docs).select("doc_id", name, "signs"))
+    classes = cut(prints.groupBy("name").agg(F.min("doc_id").alias("class_id"), F.any_value("signs").alias("signs")))
+    members = prints.select("doc_id", "name").join(classes.select("name", "class_id"), "name").select("doc_id", "class_id")
+    sets = classes.where("class_id is not null").select("class_id", "signs", F.size("signs").alias("n"))
+    each = sets.select("class_id", "n", F.explode("signs").alias("sign"))
+    rarity = each.groupBy("sign").agg(F.count("*").alias("df"))
+    ranked = each.join(rarity, "sign").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sign"))).alias("by_rarity"))  # one set
+    part = F.floor(F.log("n") / F.log(F.lit(1 / least)) + 1e-9)
+    prefix = F.slice("by_rarity", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
+    keys = ranked.select("class_id", "n", part.alias("own"), F.explode(prefix).alias("p")).select("class_id", "n", "own", F.col("p.sign").alias("sign"))
+    longer = keys.select(F.col("class_id").alias("b"), F.col("n").alias("bn"), F.col("own").alias("part"), "sign")
+    shorter = keys.select(F.col("class_id").alias("a"), F.col("n").alias("an"), F.explode(F.array("own", F.col("own") + 1)).alias("part"), "sign")
+    fits = (F.col("an") <= F.col("bn")) & (F.col("an") >= F.col("bn") * least - 1e-9) & ((F.col("an") < F.col("bn")) | (F.col("a") < F.col("b")))
+    found = shorter.join(longer, ["part", "sign"]).where(fits).select("a", "b").distinct()
+    left, right = (sets.select(F.col("class_id").alias(c), F.col("signs").alias(f"{c}_signs"), F.col("n").alias(f"{c}_n")) for c in "ab")
+    both = F.size(F.array_intersect("a_signs", "b_signs"))
+    scored = found.join(left, "a").join(right, "b").select("a", "b", (both / (F.col("a_n") + F.col("b_n") - both)).alias("likeness"))
+    pairs = scored.where(F.col("likeness") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
+    return members, pairs
+
+
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
