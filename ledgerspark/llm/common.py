@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -40,11 +41,17 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    gc.collect()  # the shuffle files behind df can go as soon as nothing refers to them
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of frames that nothing refers to any more go now, not at some later garbage collection."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.5)  # Python hands its dropped references on in the background
+        spark.sparkContext._jvm.System.gc()
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text column (null: 0), as a long."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -11,7 +11,9 @@ that equal neighbours in a suffix array would be compared over) and its place.
    each stretch; the others are repeats already. So the most frequent passage sends one record per task.
 2. Splitters, quantiles of the leading digests of a sample of documents, range-partition the suffixes; buckets are sorted by the
    same keys and read in order, groups going on across batch borders. Equal stretches after the first are repeats. A
-   lead with several different stretches is open: strings may agree in part of them.
+   lead with several different stretches is open: strings may agree in part of them. Such a string reaches half of what
+   it has beside the lead to the left or to the right, so only suffixes that share one of those two neighbourhoods, by short
+   digests (``sides``), with another stretch stay open, and only for the strings on that side.
 3. For open suffixes the digests of their single strings go through the same local sort and shuffle, and the first of each stays.
 4. The repeats of each document meet its text, and their union is cut out.
 
@@ -35,13 +37,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, table
+from .common import cut, release, small_batches, table
 
 LENGTH, LEAD = 100, 32
 #: Documents looked at for the splitters: a share that gives about this many.
 SAMPLE_DOCS = 2000
 #: Bytes of text whose suffixes a task holds before it hands them on.
-HELD_BYTES = 96 << 20
+HELD_BYTES = 32 << 20
 _PART = 1 << 20  # start of a place within this many bytes, so that a digest and a place share a word
 _U = np.uint64
 _NULL_ID = (1 << 63) - 1
@@ -80,9 +82,14 @@ def _powers() -> dict[int, np.uint64]:
 _POWER = _powers()
 
 
-def suffixes(raw: bytes, length: int = LENGTH, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leading digest, first and last string start of each suffix of a text, in order; together they cover all starts."""
-    leads, firsts, lasts = [], [], []
+def suffixes(raw: bytes, length: int = LENGTH, lead: int = LEAD) -> tuple[np.ndarray, ...]:
+    """Leading digest, first and last string start and sides of each suffix of a text, in order; they cover all starts.
+
+    ``sides``: how far the suffix is from its first string, and 28 bits each of the digests of the lead with
+    the bytes left and right of it; 0 where the text ends before.
+    """
+    leads, firsts, lasts, sides = [], [], [], []
+    half = (length - lead) // 2
     step = _PART - length
     with np.errstate(over="ignore"):
         for base in range(0, max(len(raw) - length + 1, 0), step):
@@ -94,12 +101,17 @@ def suffixes(raw: bytes, length: int = LENGTH, lead: int = LEAD) -> tuple[np.nda
             least = _doubled(ranked, length - lead + 1, lambda a, b, n: np.minimum(a, b))
             place = (least & _U(_PART - 1)).astype(np.int64)
             first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-            leads.append(h[place[first]])
+            at = place[first]
+            wide = _mixed(_doubled(x, lead + half, lambda a, b, n: a * _POWER[n] + b)) >> _U(36) | _U(1)
+            left = np.where(at >= half, wide[np.maximum(at - half, 0)], _U(0))
+            right = np.where(at < len(wide), wide[np.minimum(at, len(wide) - 1)], _U(0))
+            sides.append((at - first).astype(_U) << _U(56) | left << _U(28) | right)
+            leads.append(h[at])
             firsts.append(first + base)
             lasts.append(np.append(first[1:], len(place)) - 1 + base)
     if not leads:
-        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(leads), np.concatenate(firsts), np.concatenate(lasts)
+        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, _U)
+    return np.concatenate(leads), np.concatenate(firsts), np.concatenate(lasts), np.concatenate(sides)
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,16 +130,15 @@ def _doc_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 
 
 _SPANS = "doc long, tag long, start long, end long"
-_RECORD = T.StructType([T.StructField(n, T.LongType()) for n in ("lead", "stretch", "doc", "tag", "start", "end")])
+_RECORD = T.StructType([T.StructField(n, T.LongType()) for n in ("lead", "stretch", "doc", "tag", "start", "end", "sides")])
 
 
 class _Places:
-    """Records of one task: digests with documents and places, handed on as the first of each equal digest."""
+    """Records of one task: digests with documents and places, handed on as the first of each equal stretch."""
 
-    def __init__(self, emit_spans_as: Callable):
+    def __init__(self) -> None:
         self.parts: list[tuple] = []
         self.size = 0
-        self.span = emit_spans_as
 
     def add(self, *columns: np.ndarray) -> None:
         self.parts.append(columns)
@@ -136,21 +147,34 @@ class _Places:
         """First of each (lead, stretch) as records; spans of the others, merged per document, with a null lead."""
         if not self.parts:
             return
-        lead, stretch, doc, tag, start, end = (np.concatenate(c) for c in zip(*self.parts))
+        columns = [np.concatenate(c) for c in zip(*self.parts)]
         self.parts, self.size = [], 0
-        order = np.lexsort((tag, start, doc, stretch, lead))
-        lead, stretch, doc, tag, start, end = (c[order] for c in (lead, stretch, doc, tag, start, end))
-        same_as = (lead[1:] == lead[:-1]) & (stretch[1:] == stretch[:-1])
-        # rows of one document at one start are one place: the same text again
-        again = np.concatenate(([False], same_as & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & (tag[1:] == tag[:-1])))
-        repeat = np.concatenate(([False], same_as)) & ~again
-        first = ~repeat & ~again
-        yield _records(lead[first].view(np.int64), stretch[first].view(np.int64), doc[first], tag[first], start[first], end[first])
-        yield from self.span(doc[repeat], tag[repeat], start[repeat], end[repeat])
+        order = np.argsort(columns[1])
+        stretch = columns[1][order]
+        same_as = np.concatenate(([False], stretch[1:] == stretch[:-1], [False]))
+        several = same_as[1:] | same_as[:-1]
+        yield from _records(*(c[order[~several]] for c in columns))
+        columns = [c[order[several]] for c in columns]
+        lead, stretch, doc, tag, start, end, sides = columns
+        order = np.lexsort((tag, start, doc, stretch))
+        lead, stretch, doc, tag, start, end, sides = (c[order] for c in columns)
+        new = np.concatenate(([True], stretch[1:] != stretch[:-1]))[: len(stretch)]
+        again = _again(new, doc, start, tag)
+        repeat = ~new & ~again
+        yield from _records(*(c[new] for c in (lead, stretch, doc, tag, start, end, sides)))
+        yield from _span_records(doc[repeat], tag[repeat], start[repeat], end[repeat])
+
 
+def _again(new: np.ndarray, doc: np.ndarray, start: np.ndarray, tag: np.ndarray) -> np.ndarray:
+    """Rows at the place of the row before: the same text of a repeated row."""
+    if not len(new):
+        return new
+    return np.concatenate(([False], ~new[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & (tag[1:] == tag[:-1])))
 
-def _records(*columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_RECORD.names)
+
+def _records(*columns: np.ndarray, at_once: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(columns[0]), at_once):
+        yield pa.RecordBatch.from_arrays([pa.array(c[k : k + at_once].view(np.int64)) for c in columns], names=_RECORD.names)
 
 
 def _span_records(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -165,30 +189,32 @@ def _span_records(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.n
         s, e = merged(start[a:b], end[a:b])
         out.append((np.full(len(s), doc[a]), np.full(len(s), tag[a]), s, e))
     doc, tag, start, end = (np.concatenate(c) for c in zip(*out))
-    yield pa.RecordBatch.from_arrays([pa.nulls(len(doc), pa.int64()), pa.nulls(len(doc), pa.int64()), *(pa.array(c) for c in (doc, tag, start, end))], names=_RECORD.names)
+    none = pa.nulls(len(doc), pa.int64())
+    yield pa.RecordBatch.from_arrays([none, none, *(pa.array(c) for c in (doc, tag, start, end)), none], names=_RECORD.names)
 
 
-def suffix_records(docs: DataFrame, length: int, lead: int) -> DataFrame:
-    """Step 1: the suffix records of ``doc, tag, text`` rows."""
+def suffix_records(docs: DataFrame, bounds: np.ndarray, length: int, lead: int) -> DataFrame:
+    """Step 1: the suffix records of ``doc, tag, text`` rows, range-partitioned between the bounds and sorted by all keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _Places(_span_records)
+        places = _Places()
         for b in batches:
             for doc, tag, text in zip(*(c.to_pylist() for c in b.columns)):
                 raw = (text or "").encode()
                 if len(raw) < length:
                     continue
-                leads, first, last = suffixes(raw, length, lead)
+                leads, first, last, sides = suffixes(raw, length, lead)
                 view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
                 ends = last + length
                 stretch = np.array([digest(view[s:e]) for s, e in zip(first.tolist(), ends.tolist())], _U)
-                places.add(leads, stretch, np.full(len(first), doc), np.full(len(first), tag), first, ends)
+                places.add(leads, stretch, np.full(len(first), doc), np.full(len(first), tag), first, ends, sides)
                 places.size += len(raw)
                 if places.size >= HELD_BYTES:
                     yield from places.flush()
         yield from places.flush()
 
-    return docs.mapInArrow(run, _RECORD)
+    dealt = docs.mapInArrow(lambda batches: _in_bucket(run(batches), bounds), _IN_BUCKET)
+    return dealt.repartition(len(bounds) + 1, "bucket").sortWithinPartitions(*_KEYS).drop("bucket")
 
 
 def splitters(docs: DataFrame, partitions: int, length: int, lead: int) -> np.ndarray:
@@ -206,23 +232,31 @@ def splitters(docs: DataFrame, partitions: int, length: int, lead: int) -> np.nd
     return np.unique(np.array(found or [], np.int64))
 
 
-def in_buckets(records: DataFrame, bounds: np.ndarray) -> DataFrame:
-    """``records`` range-partitioned by their lead between the bounds, and sorted within each bucket."""
-    n = len(bounds) + 1
+def _in_bucket(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Records with the range of their lead between the bounds; those without a lead are dealt by document."""
+    for b in batches:
+        lead, doc = b.column(0), b.column(2).to_numpy()
+        spot = doc % (len(bounds) + 1) if lead.null_count else np.searchsorted(bounds, lead.to_numpy(), "right")
+        yield pa.RecordBatch.from_arrays([pa.array(spot.astype(np.int64)), *b.columns], names=["bucket", *_RECORD.names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lead = b.column(0)
-            spot = np.searchsorted(bounds, lead.fill_null(0).to_numpy(), "right")
-            spot = np.where(lead.is_null().to_numpy(zero_copy_only=False), b.column(2).to_numpy() % n, spot)
-            yield pa.RecordBatch.from_arrays([pa.array(spot.astype(np.int64)), *b.columns], names=["bucket", *_RECORD.names])
 
-    dealt = records.mapInArrow(run, T.StructType([T.StructField("bucket", T.LongType()), *_RECORD.fields]))
-    return dealt.repartition(n, "bucket").sortWithinPartitions("lead", "stretch", "doc", "start", "tag").drop("bucket")
+_IN_BUCKET = T.StructType([T.StructField("bucket", T.LongType()), *_RECORD.fields])
+_KEYS = ("lead", "stretch", "doc", "start", "tag")
 
 
-def compared(records: DataFrame, open_: bool) -> DataFrame:
-    """Step 2: repeats among sorted records (``lead`` null), and, if asked for, open suffixes (``lead`` kept)."""
+def _shared(group: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether another row of the group has the same non-zero side."""
+    order = np.lexsort((side, group))
+    g, s = group[order], side[order]
+    new = np.concatenate(([True], (g[1:] != g[:-1]) | (s[1:] != s[:-1])))
+    run = np.cumsum(new) - 1
+    out = np.empty(len(side), bool)
+    out[order] = (np.bincount(run)[run] > 1) & (s != 0)
+    return out
+
+
+def compared(records: DataFrame, length: int, half: int | None) -> DataFrame:
+    """Step 2: repeats among sorted records (``lead`` null), and, if ``half`` is given, open suffixes (``lead`` kept)."""
 
     def settle(t: pa.Table) -> Iterator[pa.RecordBatch]:
         known = t.filter(pa.compute.is_null(t.column("lead"))).combine_chunks()
@@ -231,33 +265,43 @@ def compared(records: DataFrame, open_: bool) -> DataFrame:
             yield from known.to_batches()
         if not t.num_rows:
             return
-        lead, stretch, doc, tag, start, end = (c.to_numpy() for c in t.columns)
+        lead, stretch, doc, tag, start, end, sides = (c.to_numpy() for c in t.columns)
         new_lead = np.concatenate(([True], lead[1:] != lead[:-1]))
         new = new_lead | np.concatenate(([True], stretch[1:] != stretch[:-1]))
-        again = np.concatenate(([False], ~new[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & (tag[1:] == tag[:-1])))
-        repeat = ~new & ~again
+        repeat = ~new & ~_again(new, doc, start, tag)
         yield from _span_records(doc[repeat], tag[repeat], start[repeat], end[repeat])
-        if open_:
+        if half is not None:
             group = np.cumsum(new_lead) - 1
             several = new & (np.bincount(group, new)[group] > 1)
-            yield _records(lead[several], stretch[several], doc[several], tag[several], start[several], end[several])
+            group, lead, stretch, doc, tag, start, end, sides = (c[several] for c in (group, lead, stretch, doc, tag, start, end, sides))
+            if not len(group):
+                return
+            bits = (1 << 28) - 1
+            left, right = _shared(group, sides >> 28 & bits), _shared(group, sides & bits)
+            border = start + (sides >> 56) - half  # strings that start up to here reach half to the left
+            start = np.where(left, start, np.maximum(start, border + 1))
+            end = np.where(right, end, np.minimum(end, border + length))
+            go = (left | right) & (end - start >= length)
+            yield from _records(*(c[go] for c in (lead, stretch, doc, tag, start, end, sides)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # of a lead that may go on, after whole ones
+        rows = 0
         for b in batches:
             if not b.num_rows:
                 continue
-            lead = b.column(0).fill_null(0).to_numpy()
+            held.append(b)
+            rows += b.num_rows
+            if rows < 1 << 16:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            lead = t.column(0).chunk(0).fill_null(0).to_numpy()
             ends = np.flatnonzero(lead[1:] != lead[:-1])
-            if held and held[-1].column(0)[-1] != b.column(0)[0]:
-                yield from settle(pa.Table.from_batches(held))
-                held = []
             if len(ends):
                 end = int(ends[-1]) + 1
-                yield from settle(pa.Table.from_batches([*held, b.slice(0, end)]))
-                held = [b.slice(end)]
-            else:
-                held.append(b)
+                yield from settle(t.slice(0, end))
+                t = t.slice(end)
+            held, rows = t.to_batches(), t.num_rows if t.num_rows < 1 << 16 else 0
         if held:
             yield from settle(pa.Table.from_batches(held))
 
@@ -268,20 +312,20 @@ def string_records(docs: DataFrame, length: int) -> DataFrame:
     """Step 3: a record for each single string of the open suffixes ``spans`` of ``doc, tag, text, spans`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = _Places(_span_records)
+        places = _Places()
         for b in batches:
             for doc, tag, text, spans in zip(*(c.to_pylist() for c in b.columns)):
                 raw = (text or "").encode()
                 view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
                 at = np.concatenate([np.arange(s["start"], s["end"] - length + 1) for s in spans])
                 found = np.array([digest(view[p : p + length]) for p in at.tolist()], _U)
-                places.add(found, np.zeros(len(at), _U), np.full(len(at), doc), np.full(len(at), tag), at, at + length)
+                places.add(found, found, np.full(len(at), doc), np.full(len(at), tag), at, at + length, np.zeros(len(at), _U))
                 places.size += 30 * len(at)
                 if places.size >= HELD_BYTES:
                     yield from places.flush()
         yield from places.flush()
 
-    return docs.mapInArrow(run, _RECORD)
+    return docs.mapInArrow(run, _RECORD).repartition("stretch").sortWithinPartitions(*_KEYS)
 
 
 def _gathered(spans: DataFrame) -> DataFrame:
@@ -294,11 +338,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFram
     rows = docs.select(*_doc_keys(), "text")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = splitters(docs, 2 * partitions, length, lead)
-    found = cut(compared(in_buckets(suffix_records(rows, length, lead), bounds), True))
+    found = cut(compared(suffix_records(rows, bounds, length, lead), length, (length - lead) // 2))
+    release(docs.sparkSession)  # of the suffixes' shuffle, the largest of all
     open_ = _gathered(found.where("lead is not null"))
     strings = rows.join(open_.hint("shuffle_hash"), ["doc", "tag"]).select("doc", "tag", "text", "spans")
-    partly = compared(string_records(strings, length).repartition("lead").sortWithinPartitions("lead", "stretch", "doc", "start", "tag"), False)
-    return cut(found.where("lead is null").unionByName(partly).select("doc", "tag", "start", "end"))
+    partly = compared(string_records(strings, length), length, None)
+    spans = cut(found.where("lead is null").unionByName(partly).select("doc", "tag", "start", "end"))
+    del strings, partly
+    release(docs.sparkSession)
+    return spans
 
 
 def deduplicated(docs: DataFrame, finish: Callable[[bytes, bytes, int], dict], kind: T.StructType, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
