@@ -1,13 +1,18 @@
 """SimHash near-duplicates by anchor-point covering.
 
 A text's fingerprint has a bit for each of 64 positions: set if it is set in more than half of the XXH64 values of the text's
-word shingles. Fingerprints link at ``DISTANCE`` = 4 or fewer differing bits; components of links are groups.
+word shingles; further words of 64 bits come from the same values, mixed anew. Fingerprints within a number of differing bits link; components of links are groups.
 
-Candidate search covers the space with anchors. The 64 bits fall into three blocks of 21, 21 and 22; two fingerprints
-with at most four differing bits agree in one block up to one bit. Anchors of a block are the words of a covering code:
-fifteen of its bits form a word of the perfect Hamming code, the others are free, so the covering radius is 1. A
-fingerprint goes to every anchor of each block within radius plus threshold (1 + 1): its own anchor and those of any
-fingerprint one bit away are among them, so no link is missed. Per anchor, fingerprints are compared whole.
+Candidate search covers the space with anchors, the words of a covering code. A fingerprint goes to every anchor within the
+covering radius plus the threshold, and per anchor fingerprints are compared whole. Two codes serve two needs:
+
+* ``Hamming``, for 64 bits and 4 differing ones, loses no link. The bits fall into three blocks of 21, 21 and 22; with at most four
+  differing bits, one block differs in one bit at most. An anchor of a block has a word of the perfect Hamming code in
+  fifteen bits and anything in the others: covering radius 1, and threshold 1.
+* ``Golay``, for 256 bits and the many differing ones of texts that share four fifths of their shingles. Each of ``BLOCKS`` sets of 23
+  bits has the words of the perfect Golay code as anchors: covering radius 3, and threshold 0, so exactly one anchor.
+  Texts at the border of the similarity meet in at least one set with probability over 0.97, closer ones almost surely. Links
+  so found are then checked on the whole texts, by the exact Jaccard coefficient of their shingles.
 
 Only distinct fingerprints are compared, so exact copies cost nothing. An anchor with more than ``CHUNK`` fingerprints
 is dealt over pairs of chunks of that size, each a group of its own. A group hands on a spanning forest of its links,
@@ -21,6 +26,7 @@ component is the smallest non-null doc_id of the group, or null if there is none
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,36 +38,53 @@ from .common import components, cut, map_columns, small_batches, table
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 CHUNK = 2048
-BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit and width
+#: Five-word shingles, a Jaccard coefficient of 0.8 or more, 256 bits. That coefficient is a cosine of 8/9, at which 39 bits
+#: differ on average, with a standard deviation of 6; ``NEAR`` bits let nearly all such pairs through to the exact check.
+NEAR_WORDS, LEAST, NEAR_SIZE, NEAR = 5, 0.8, 4, 52
+BLOCKS = 32
+HAMMING_BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit and width
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """The fingerprint as an unsigned number."""
+def fingerprint(text: str | None, words: int = WORDS, size: int = 1) -> list[int]:
+    """The fingerprint as ``size`` unsigned numbers."""
     flat = b" ".join((text or "").encode().translate(_LOWER).split())
     if not flat:
-        return 0
+        return [0] * size
     gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     starts = [0, *(gaps + 1).tolist()]
     ends = [*gaps.tolist(), len(flat)]
     digest, view = xxhash.xxh64_intdigest, memoryview(flat)
     if len(starts) < words:
-        return digest(flat, SEED)
+        starts, ends, words = [0], [len(flat)], 1
     h = np.array([digest(view[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])], "<u8")
-    set_ = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 16):
-        set_ += np.unpackbits(h[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(set_ * 2 > len(h), bitorder="little").view("<u8")[0])
+    out = []
+    for k in range(size):
+        set_ = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 16):
+            part = h[at : at + (1 << 16)] if k == 0 else _mixed(h[at : at + (1 << 16)], k)
+            set_ += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(set_ * 2 > len(h), bitorder="little").view("<u8")[0]))
+    return out
+
 
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Other digests out of digests: the finaliser of a split-mix generator."""
+    with np.errstate(over="ignore"):
+        h = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, fp`` of every row; ``fp`` holds the 64 bits as a signed long."""
+
+def fingerprints(docs: DataFrame, words: int = WORDS, size: int = 1) -> DataFrame:
+    """``doc_id, fp`` of every row; ``fp`` holds the words of 64 bits as signed longs."""
     small_batches(docs.sparkSession)
 
     def run(ids, texts):
-        return {"doc_id": ids, "fp": [f - (1 << 64) if (f := fingerprint(t, words)) >> 63 else f for t in texts]}
+        return {"doc_id": ids, "fp": [[f - (1 << 64) if f >> 63 else f for f in fingerprint(t, words, size)] for t in texts]}
 
-    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
+    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp array<long>")
 
 
 def _syndrome(word: np.ndarray) -> np.ndarray:
@@ -85,71 +108,119 @@ def _anchors(block: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(found)
 
 
-def covered(fps: DataFrame) -> DataFrame:
-    """``anchor, fp``: each distinct fingerprint at every anchor that covers it."""
+def hamming_anchors(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows and anchor names, block by block, of fingerprints of 64 bits."""
+    for k, (first, width) in enumerate(HAMMING_BLOCKS):
+        rows, anchors = _anchors((fp[:, 0] >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1), width)
+        yield rows, anchors << 2 | k
+
+
+GOLAY = 0xC75  # the generator polynomial
+_LEADERS: list[np.ndarray] = []
+
+
+def _remainder(word: np.ndarray) -> np.ndarray:
+    for k in range(22, 10, -1):
+        word = word ^ ((word >> k) & 1) * (GOLAY << (k - 11))
+    return word
+
+
+def golay_anchor(word: np.ndarray) -> np.ndarray:
+    """The one code word within three bits of each 23-bit value."""
+    if not _LEADERS:
+        leaders = np.zeros(2048, np.int64)
+        for weight in range(4):
+            for bits in combinations(range(23), weight):
+                error = sum(1 << b for b in bits)
+                leaders[_remainder(np.array([error]))[0]] = error
+        _LEADERS.append(leaders)
+    return word ^ _LEADERS[0][_remainder(word)]
+
+
+def golay_anchors(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The anchor of each fingerprint in each of the bit sets, which are fixed draws from all its bits."""
+    draw = np.random.default_rng(23)
+    rows = np.arange(len(fp))
+    for k in range(BLOCKS):
+        value = np.zeros(len(fp), np.int64)
+        for bit in draw.choice(64 * fp.shape[1], 23, replace=False).tolist():
+            value = value << 1 | (fp[:, bit >> 6] >> np.uint64(bit & 63) & np.uint64(1)).astype(np.int64)
+        yield rows, golay_anchor(value) >> 11 << 8 | k  # the first twelve bits name a code word
+
+
+def covered(fps: DataFrame, size: int) -> DataFrame:
+    """``anchor, node`` and the words ``w0`` and on of each distinct fingerprint, at every anchor that covers it."""
+    words = [f"w{k}" for k in range(size)]
+    search = hamming_anchors if size == 1 else golay_anchors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(0).to_numpy()
-            for k, (first, width) in enumerate(BLOCKS):
-                rows, anchors = _anchors((fp.view(np.uint64) >> np.uint64(first)).astype(np.int64) & ((1 << width) - 1), width)
-                yield pa.RecordBatch.from_arrays([pa.array(anchors << 2 | k), pa.array(fp[rows])], names=["anchor", "fp"])
+            node, *own = (c.to_numpy() for c in b.columns)
+            for rows, anchors in search(np.stack(own, 1).view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(node[rows]), *(pa.array(w[rows]) for w in own)], names=["anchor", "node", *words])
+
+    rows = fps.select("node", *(F.col("fp")[k].alias(w) for k, w in enumerate(words)))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("anchor", "node", *words)))
 
-    return fps.mapInArrow(run, "anchor long, fp long")
 
+def forest(group: np.ndarray, side: np.ndarray, fp: np.ndarray, *distances: int) -> np.ndarray:
+    """Index pairs of linked fingerprints that span each group's components; ``fp`` has a row of words per fingerprint.
 
-def forest(group: np.ndarray, side: np.ndarray, fp: np.ndarray, distance: int = DISTANCE) -> np.ndarray:
-    """Index pairs of linked fingerprints that span each group's components.
+    Links are taken up to the first distance, then up to the next, so that close ones span what they can.
 
     Rows come sorted by group; in a group with two sides only links between them count. One pass per lag compares each row
     with the row so much later, for all groups at once.
     """
-    root = np.arange(len(fp))
-    left, out = np.arange(len(fp)), []
-    two = np.zeros(len(fp), bool)
+    n = len(fp)
+    root = np.arange(n)
+    out = []
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    two[:] = np.repeat(np.maximum.reduceat(side, starts) > 0, np.diff(np.append(starts, len(fp)))) if len(fp) else False
-    lag = 0
-    while len(left):
-        lag += 1
-        left = left[left + lag < len(fp)]
-        left = left[group[left] == group[left + lag]]
-        near = left[np.bitwise_count(fp[left] ^ fp[left + lag]) <= distance]
-        near = near[(side[near] != side[near + lag]) | ~two[near]]
-        near = near[root[near] != root[near + lag]]
-        for i in near.tolist():
-            a, b = i, i + lag
-            while root[a] != a:
-                a = root[a]
-            while root[b] != b:
-                b = root[b]
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((i, i + lag))
-        if len(near):
-            while (root[root] != root).any():
-                root = root[root]
+    two = np.repeat(np.maximum.reduceat(side, starts) > 0, np.diff(np.append(starts, n))) if n else np.zeros(0, bool)
+    for distance in distances:
+        left, lag = np.arange(n), 0
+        while len(left):
+            lag += 1
+            left = left[left + lag < n]
+            left = left[group[left] == group[left + lag]]
+            bits = np.bitwise_count(fp[left, 0] ^ fp[left + lag, 0]).astype(np.int16)
+            for k in range(1, fp.shape[1]):
+                bits += np.bitwise_count(fp[left, k] ^ fp[left + lag, k])
+            near = left[bits <= distance]
+            near = near[(side[near] != side[near + lag]) | ~two[near]]
+            near = near[root[near] != root[near + lag]]
+            for i in near.tolist():
+                a, b = i, i + lag
+                while root[a] != a:
+                    a = root[a]
+                while root[b] != b:
+                    b = root[b]
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((i, i + lag))
+            if len(near):
+                while (root[root] != root).any():
+                    root = root[root]
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Distinct links ``a, b`` (a < b as signed numbers) of the distinct fingerprints ``fp`` that span their components."""
-    spread = cut(covered(fps))
+def links(fps: DataFrame, size: int = 1, distances: tuple[int, ...] = (DISTANCE,), chunk: int = CHUNK) -> DataFrame:
+    """Distinct links ``a, b`` of nodes (a < b) that span the components of the distinct fingerprints ``node, fp``."""
+    words = [f"w{k}" for k in range(size)]
+    spread = cut(covered(fps, size))
     large = cut(spread.groupBy("anchor").count().where(F.col("count") > chunk).select("anchor", F.ceil(F.col("count") / chunk).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
-    part = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
     cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.struct(F.least("part", q).alias("x"), F.greatest("part", q).alias("y")))
     rows = (
         spread.join(large, "anchor", "left")
         .withColumn("part", part)
-        .select("anchor", "fp", "part", F.explode(cells).alias("cell"))
-        .select("anchor", F.xxhash64("anchor", "cell").alias("cell"), F.when(F.col("part") == F.col("cell.x"), 0).otherwise(1).cast("long").alias("side"), "fp")
+        .select("anchor", "node", *words, "part", F.explode(cells).alias("cell"))
+        .select(F.xxhash64("anchor", "cell").alias("cell"), F.when(F.col("part") == F.col("cell.x"), 0).otherwise(1).cast("long").alias("side"), "node", *words)
     )
 
     def compared(held: list[pa.Table]) -> pa.RecordBatch:
-        t = pa.concat_tables(held)
-        fp = t.column("fp").to_numpy()
-        pairs = fp[forest(t.column("cell").to_numpy(), t.column("side").to_numpy(), fp.view(np.uint64))].reshape(-1, 2)
+        cell, side, node, *own = (c.to_numpy() for c in pa.concat_tables(held).columns)
+        pairs = node[forest(cell, side, np.stack(own, 1).view(np.uint64), *distances)].reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,23 +238,54 @@ def links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
         if held:
             yield compared(held)
 
-    dealt = rows.repartition("cell").sortWithinPartitions("cell", "fp")
-    return dealt.select("cell", "side", "fp").mapInArrow(run, "a long, b long").distinct()
+    dealt = rows.repartition("cell").sortWithinPartitions("cell", "node")
+    return dealt.select("cell", "side", "node", *words).mapInArrow(run, "a long, b long").distinct()
+
+
+def shingle_sets(docs: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
+    """``node, signs``: sorted digests of the word shingles of each whole text, by doc_id."""
+
+    def run(ids, texts):
+        out = []
+        for t in texts:
+            w = (t or "").encode().translate(_LOWER).split()
+            found = {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
+            out.append(sorted(xxhash.xxh64_intdigest(x) >> 1 for x in found))
+        return {"node": ids, "signs": out}
+
+    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "node long, signs array<long>")
+
 
+def checked(found: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The links whose texts have a Jaccard coefficient of at least ``least``; only texts that have links are looked at."""
+    nodes = cut(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    own = docs.join(nodes.hint("shuffle_hash"), docs["doc_id"] == nodes["node"], "left_semi")
+    sets = cut(shingle_sets(own, words).groupBy("node").agg(F.any_value("signs").alias("signs")))
+    left, right = (sets.select(F.col("node").alias(c), F.col("signs").alias(f"{c}_signs")) for c in "ab")
+    both = F.size(F.array_intersect("a_signs", "b_signs"))
+    like = both / (F.size("a_signs") + F.size("b_signs") - both)
+    return found.join(left, "a").join(right, "b").where(like >= least).select("a", "b")
 
-def groups(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row of ``docs``."""
-    marked = cut(fingerprints(docs, words))
+
+def groups(docs: DataFrame, words: int = WORDS, size: int = 1, distances: tuple[int, ...] = (DISTANCE,), least: float | None = None) -> DataFrame:
+    """``doc_id, fp, component_id`` of every row of ``docs``; with ``least``, links are checked on the texts.
+
+    A fingerprint's node is the least doc_id that has it. Fingerprints that only null ids have are never checked, so have no links then.
+    """
+    marked = cut(fingerprints(docs, words, size))
     own = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(own.select("fp")))
-    named = own.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    node = F.coalesce("first", F.xxhash64("fp"))  # without an id: any name that holds still
+    found = links(own.select(node.alias("node"), "fp"), size, distances)
+    roots = components(found if least is None else checked(cut(found), docs, words, least))
+    named = own.withColumn("node", node).join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     heads = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.join(named.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """One document of each group: the row whose doc_id names the component (of a group of null ids: its rows), once."""
-    heads = groups(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
+def keep_one(docs: DataFrame, words: int = NEAR_WORDS, least: float = LEAST) -> DataFrame:
+    """One document of each group of near-duplicates: the one whose doc_id names the group (of null ids: its rows), once."""
+    found = groups(docs, words, NEAR_SIZE, (NEAR * 5 // 8, NEAR), least)
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
     heads = cut(heads.select(F.col("doc_id").alias("kept_id"), "count"))
     kept = docs.join(heads.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(heads["kept_id"]), "left_semi")
     repeated = heads.where("count > 1").limit(1).count()  # rows that share an id
@@ -193,4 +295,4 @@ def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every whole text."""
     found = groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"), "component_id")

@@ -5,7 +5,7 @@ import xxhash
 
 from ledgerspark.llm import simhash
 from ledgerspark.llm.common import components
-from tests.llm.helpers import DOCS, folder, rows, table
+from tests.llm.helpers import DOCS, folder, prose, rows, table
 
 
 def plain(text):
@@ -58,13 +58,13 @@ def test_links_lose_nothing_at_any_chunk(spark):
             found.add(x)
     points = sorted(found)
     signed = [x - (1 << 64) if x >> 63 else x for x in points]
-    df = spark.createDataFrame([(x,) for x in signed], "fp long")
+    df = spark.createDataFrame([(x, [x]) for x in signed], "node long, fp array<long>")
     group = groups_of(points)
     names = {}
     for s, g in zip(signed, group):
         names[g] = min(names.get(g, s), s)
     for chunk in (2048, 7):
-        got = {r["node"]: r["root"] for r in components(simhash.links(df, chunk)).collect()}
+        got = {r["node"]: r["root"] for r in components(simhash.links(df, chunk=chunk)).collect()}
         assert all(got.get(s, s) == names[g] for s, g in zip(signed, group))
 
 
@@ -76,6 +76,38 @@ def test_every_block_value_has_an_anchor_in_reach():
     assert (simhash._syndrome(anchors) == 0).all()
 
 
+def test_golay_anchors_are_perfect():
+    values = np.random.default_rng(0).integers(0, 1 << 23, 5000)
+    anchor = simhash.golay_anchor(values)
+    assert np.bitwise_count((values ^ anchor).astype(np.uint64)).max() <= 3
+    assert (simhash._remainder(anchor) == 0).all() and (simhash.golay_anchor(anchor) == anchor).all()
+
+
+def shingles(text, n=5):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))}
+
+
+def test_near_copies_meet_and_others_do_not(spark):
+    import random
+
+    rnd = random.Random(3)
+    base = [prose(k * 31 + 5, 200 + 20 * (k % 5)) for k in range(40)]
+    data, near, far = list(enumerate(base)), [], []
+    for k, t in enumerate(base):
+        for changes, kind in ((3, near), (60, far)):
+            w = t.split()
+            for at in rnd.sample(range(len(w)), changes):
+                w[at] = f"new{at}"
+            data.append((len(data), " ".join(w)))
+            a, b = shingles(t), shingles(data[-1][1])
+            kind.append((k, data[-1][0], len(a & b) / len(a | b)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(spark.createDataFrame(data, "doc_id long, text string"), simhash.NEAR_WORDS, simhash.NEAR_SIZE, (32, simhash.NEAR), simhash.LEAST).collect()}
+    assert all(j >= 0.8 for _, _, j in near) and np.mean([got[a] == got[b] for a, b, _ in near]) > 0.9
+    assert all(j < 0.4 for _, _, j in far) and not any(got[a] == got[b] for a, b, _ in far)
+    assert len({got[k] for k in range(40)}) == 40
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(k, k + 1) for k in range(40)]
     star = [(100, k) for k in range(101, 160)] + [(300, 301), (301, 300), (7, 7)]
