@@ -133,9 +133,43 @@ def percent(p: Column) -> Column:
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), p))
 
 
-def billing_source(has_api_key: Column, has_gateway: Column, has_login: Column) -> Column:
-    """How usage is paid: a gateway or key in the environment beats a subscription login."""
-    return F.when(has_gateway, "gateway").when(has_api_key, "api").when(has_login, "subscription").otherwise("unknown")
+def billing_source(cloud: Column, bearer: Column, api_key: Column, login: Column) -> Column:
+    """How usage is paid: a cloud platform beats a bearer token, that an API key, that a subscription login."""
+    return F.when(cloud, "cloud").when(bearer, "bearer").when(api_key, "api_key").when(login, "subscription").otherwise("unknown")
+
+
+def flip_kind(before: Column, now: Column) -> Column:
+    """What a change of billing source means: the costly one from subscription to key, any other, or none."""
+    return F.when(before.isNull() | (before == now), "none").when((before == "subscription") & (now == "api_key"), "to_api_key").otherwise("other_change")
+
+
+def org_slug(given: Column) -> Column:
+    """An organisation's slug from a bare slug or a url with ``/org/<slug>``; null for anything else."""
+    flat = trimmed(given)
+    found = F.regexp_extract(flat, r"(?i)/org/([^/?#]+)", 1)
+    return F.when(found != "", F.lower(found)).when((flat != "") & ~flat.rlike(r"[\s/]"), F.lower(flat))
+
+
+def counts_only(models: Column) -> Column:
+    """An array of model structs as a map from id to its four counts, and nothing else."""
+    return F.map_from_entries(F.transform(models, lambda m: F.struct(m["model"].alias("key"), F.struct(*(m[c].alias(c) for c in ("input", "output", "cache_read", "cache_creation"))).alias("value"))))
+
+
+def native_providers(model: Column) -> Column:
+    """The catalog names of the vendor that makes a model, most likely first."""
+    # Id prefix and provider names.
+    vendors = [
+        ("claude-", ["anthropic"]),
+        ("gpt-", ["openai"]),
+        ("grok-", ["xai"]),
+        ("gemini-", ["google", "google-ai-studio", "gemini"]),
+        ("kimi-", ["moonshotai", "moonshot"]),
+        ("glm-", ["zai", "z-ai", "zhipuai"]),
+    ]
+    out = F.array().cast("array<string>")
+    for prefix, names in reversed(vendors):
+        out = F.when(model.startswith(prefix), F.array(*(F.lit(n) for n in names))).otherwise(out)
+    return out
 
 
 def rate_errors(model: Column, input_: Column, output: Column, cache_read: Column, cache_write: Column) -> Column:
@@ -146,22 +180,22 @@ def rate_errors(model: Column, input_: Column, output: Column, cache_read: Colum
         return F.when((c.isNull() & F.lit(least_open)) | low | (c > 10_000) | F.isnan(c), f"{name} out of range")
 
     checks = F.array(
-        F.when(F.coalesce(~model.rlike(r"^[A-Za-z0-9._:/@\[\]-]{1,128}$"), F.lit(True)), "bad model id"),
+        F.when(F.coalesce(~model.rlike(r"^[\w.\-/:@]{1,128}$"), F.lit(True)), "bad model id"),
         bad("input", input_, True), bad("output", output, True), bad("cache read", cache_read, False), bad("cache write", cache_write, False),
     )
     return F.array_compact(checks)
 
 
 def provider_of_path(path: Column) -> Column:
-    """The harness that a log file belongs to, by its path; null for others."""
+    """The harness that a log file belongs to, by the end of its path or its layout; null for others."""
+    flat = F.lower(F.translate(path, "\\", "/"))
     return (
-        F.when(path.rlike(r"/rollout-[^/]*\.jsonl$"), "codex")
-        .when(path.rlike(r"/\.grok/.*(unified\.jsonl|events\.jsonl|summary\.json)$"), "grok")
-        .when(path.rlike(r"/opencode[^/]*\.db$|/opencode/storage/"), "opencode")
-        .when(path.rlike(r"/agents/[^/]+/sessions/[^/]+\.jsonl$") & ~path.rlike(r"\.trajectory\.jsonl$"), "openclaw")
-        .when(path.rlike(r"/\.pi/.*\.jsonl$"), "pi")
-        .when(path.rlike(r"/\.gemini/.*/chats/[^/]*\.json$"), "gemini")
-        .when(path.rlike(r"/state\.db$"), "hermes")
-        .when(path.rlike(r"/(session-store|agent-traces)\.db$"), "copilot")
-        .when(path.rlike(r"/projects/.*\.jsonl$"), "claude_code")
+        F.when(flat.rlike(r"/\.codex/sessions/(.*/)?rollout-[^/]*\.jsonl$"), "codex")
+        .when(flat.endswith("/logs/unified.jsonl"), "grok")
+        .when(flat.contains("/agent/sessions/"), "pi")
+        .when(flat.rlike(r"/agents/[^/]+/sessions/.+\.jsonl$") & ~flat.endswith(".trajectory.jsonl"), "openclaw")
+        .when(flat.rlike(r"(^|/)opencode(-[a-z0-9._-]+)?\.db$"), "opencode")
+        .when(flat.endswith("/state.db"), "hermes")
+        .when(flat.endswith("/session-store.db"), "copilot")
+        .when(flat.endswith(".jsonl"), "claude")
     )

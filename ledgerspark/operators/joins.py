@@ -76,11 +76,29 @@ def live_deltas(sessions: DataFrame, baseline: DataFrame, active: DataFrame | No
     return burned.unionByName(seeded)
 
 
-def catalog_match(ids: DataFrame, catalog: DataFrame, prefixes: list[str]) -> DataFrame:
-    """Each id with its catalog row: the id itself, under a prefix, or the newest dated variant, in that order."""
-    tried = ids.select("model", F.posexplode(F.array(F.col("model"), *(F.concat(F.lit(p), F.col("model")) for p in prefixes))).alias("rank", "catalog_id"))
+#: Prefixes under which a catalog may list an id, most likely first.
+CATALOG_PREFIXES = ("", "anthropic/", "openai/", "xai/", "gemini/", "x-ai/")
+
+
+def catalog_match(ids: DataFrame, catalog: DataFrame, prefixes: tuple[str, ...] = CATALOG_PREFIXES) -> DataFrame:
+    """Each id with its catalog row: under the first prefix that is listed, else its newest variant dated in digits."""
+    own = ids.select("model").distinct()
+    tried = own.select("model", F.posexplode(F.array(*(F.concat(F.lit(p), F.col("model")) for p in prefixes))).alias("rank", "catalog_id"))
     direct = tried.join(catalog, "catalog_id").groupBy("model").agg(F.min_by("catalog_id", "rank").alias("catalog_id"))
-    stem = F.regexp_extract("catalog_id", r"^(.*?)-\d{4}-?\d{2}-?\d{2}$", 1)
-    dated = catalog.select("catalog_id", stem.alias("model")).where("model <> ''").groupBy("model").agg(F.max("catalog_id").alias("dated_id"))
-    joined = ids.select("model").distinct().join(direct, "model", "left").join(dated, "model", "left")
+    base = F.regexp_replace("catalog_id", r"^[a-z-]+/", "")
+    cuts = F.filter(F.sequence(F.lit(2), F.length("base")), lambda k: (F.substring("base", k, F.lit(1)) == "-") & F.substring("base", k + 1, F.lit(1)).rlike(r"\d"))
+    stems = catalog.select("catalog_id", base.alias("base")).where("length(base) > 2").select("catalog_id", "base", F.explode(cuts).alias("k"))
+    dated = stems.select(F.expr("left(base, k - 1)").alias("model"), "catalog_id").groupBy("model").agg(F.max("catalog_id").alias("dated_id"))
+    joined = own.join(direct, "model", "left").join(dated, "model", "left")
     return joined.select("model", F.coalesce("catalog_id", "dated_id").alias("catalog_id"))
+
+
+def native_match(ids: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Each id with the row of its own vendor (``provider, model, input_rate`` and more), the likeliest provider first."""
+    from ..functions.text import native_providers
+
+    tried = ids.select("model").distinct().select("model", F.posexplode(native_providers(F.col("model"))).alias("rank", "provider"))
+    rest = [c for c in catalog.columns if c not in ("model", "provider")]
+    found = tried.join(catalog.where("input_rate is not null"), ["provider", "model"])
+    best = found.groupBy("model").agg(F.min_by(F.struct("provider", *rest), "rank").alias("x"))
+    return best.select("model", "x.*")

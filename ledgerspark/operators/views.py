@@ -77,28 +77,41 @@ def mix_bar(rows: DataFrame, width: int, shown: int = 4) -> DataFrame:
     return cells.select("part", "model", own.alias("cells"), F.floor(F.col("total") / F.col("all") * 100 + 0.5).alias("share_pct")).where("cells > 0")
 
 
-def agreement(ours: DataFrame, first: DataFrame, second: DataFrame, names: tuple[str, str], eps: float = 1e-9) -> DataFrame:
-    """Each of our ids beside two catalogs (``model`` and rates, null if the catalog says nothing), and who agrees."""
-
-    def near(prefix: str) -> Column:
-        out = F.lit(True)
-        for c in COUNTS:
-            theirs = F.col(f"{prefix}_{c}")
-            out = out & (theirs.isNull() | (F.abs(theirs - F.col(f"{c}_rate")) <= eps))
-        return out
+def agreement(ours: DataFrame, first: DataFrame, second: DataFrame, eps: float = 1e-9) -> DataFrame:
+    """Each of our ids beside two catalogs (``model`` and rates; no row if a catalog is silent), and how far they agree.
 
+    A catalog is held against ours in the rates that it states; the two against each other in input and output, which
+    both must state, and in cache reads if both do.
+    """
+    fields = COUNTS[:3]
     joined = ours
-    for prefix, t in zip(names, (first, second)):
-        joined = joined.join(t.select("model", F.lit(True).alias(f"has_{prefix}"), *(F.col(f"{c}_rate").alias(f"{prefix}_{c}") for c in COUNTS)), "model", "left")
-    a, b = (F.col(f"has_{n}").isNotNull() for n in names)
-    label = F.when(~a & ~b, "unobserved").when((~a | near(names[0])) & (~b | near(names[1])), F.when(a & b, "all-agree").when(a, f"{names[0]}-only").otherwise(f"{names[1]}-only")).otherwise("disagree")
+    for prefix, t in (("a", first), ("b", second)):
+        joined = joined.join(t.select("model", F.lit(True).alias(prefix), *(F.col(f"{c}_rate").cast("double").alias(f"{prefix}_{c}") for c in fields)), "model", "left")
+    near = lambda x, y: F.coalesce(F.abs(x - y) < eps, F.lit(False))
+
+    def holds(prefix: str) -> Column:
+        out = F.lit(True)
+        for c in fields:
+            out = out & (F.col(f"{prefix}_{c}").isNull() | near(F.col(f"{prefix}_{c}"), F.col(f"{c}_rate").cast("double")))
+        return F.col(prefix).isNull() | out
+
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
+    cross = near(F.col("a_input"), F.col("b_input")) & near(F.col("a_output"), F.col("b_output"))
+    cross = cross & (F.col("a_cache_read").isNull() | F.col("b_cache_read").isNull() | near(F.col("a_cache_read"), F.col("b_cache_read")))
+    label = (
+        F.when(F.col("a").isNull() & F.col("b").isNull(), "unobserved")
+        .when(both & ~cross, "sources-disagree")
+        .when(holds("a") & holds("b"), "all-agree")
+        .otherwise("drifts-from-canonical")
+    )
     return joined.select("model", label.alias("agreement"))
 
 
 def drifted_rates(ours: DataFrame, catalog: DataFrame, eps: float = 1e-9) -> DataFrame:
-    """``model, field, ours, theirs`` wherever the catalog carries a rate that differs from ours."""
-    joined = ours.join(catalog.select("model", *(F.col(f"{c}_rate").alias(f"_{c}") for c in COUNTS)), "model")
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"{c}_rate").cast("double").alias("ours"), F.col(f"_{c}").cast("double").alias("theirs")) for c in COUNTS)))
+    """``model, field, ours, theirs`` wherever the catalog carries an input, output or cache-read rate that differs from ours."""
+    fields = COUNTS[:3]
+    joined = ours.join(catalog.select("model", *(F.col(f"{c}_rate").alias(f"_{c}") for c in fields)), "model")
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"{c}_rate").cast("double").alias("ours"), F.col(f"_{c}").cast("double").alias("theirs")) for c in fields)))
     return joined.select("model", pairs.alias("p")).select("model", "p.*").where(F.abs(F.col("ours") - F.col("theirs")) > eps)
 
 
@@ -119,3 +132,14 @@ def limit_lanes(windows: DataFrame, estimate: DataFrame) -> DataFrame:
     own = estimate.join(windows.select("harness").distinct(), "harness", "left_anti")
     guessed = own.select("harness", F.concat(F.col("harness"), F.lit(" 5h window")).alias("label"), F.lit(None).cast("double").alias("percent"), F.lit(True).alias("estimate"), F.lit("SESSION").alias("lane_group"), "used")
     return vendor.unionByName(guessed)
+
+
+def limits_panel(lanes: DataFrame, mode: str = "subscription", spent: float | None = None, budget: float | None = None) -> DataFrame:
+    """Lanes by how usage is paid: paid per call there are no lanes, only the month's budget; mixed, both."""
+    spark = lanes.sparkSession
+    shown = lanes.where(F.lit(mode != "api"))
+    if mode in ("api", "mix") and budget:
+        share = min(100.0, max(0.0, (spent or 0.0) / budget * 100))
+        gauge = spark.createDataFrame([("all", "monthly budget", share, False, "BUDGET", None)], "harness string, label string, percent double, estimate boolean, lane_group string, used long")
+        shown = shown.unionByName(gauge)
+    return shown

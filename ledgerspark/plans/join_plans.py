@@ -216,10 +216,19 @@ def json_rows(spark, d):
     return found.select(F.to_json(F.struct("model", "total")).alias("value"))
 
 
-@query("a22_provider_files", "SELECT provider, count(*) AS files FROM (SELECT CASE o_orderkey % 5 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude_code' WHEN 2 THEN 'opencode' WHEN 3 THEN 'gemini' END AS provider FROM orders) GROUP BY provider")
+@query("a22_provider_files", "SELECT provider, count(*) AS files FROM (SELECT CASE o_orderkey % 9 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' WHEN 2 THEN 'opencode' WHEN 3 THEN 'grok' WHEN 4 THEN 'pi' WHEN 5 THEN 'openclaw' WHEN 6 THEN 'hermes' WHEN 7 THEN 'copilot' END AS provider FROM orders) GROUP BY provider")
 def provider_files(spark, d):
     from ..functions.text import provider_of_path
 
+    shapes = ["/h/.codex/sessions/2026/01/rollout-{}.jsonl", "/h/.claude/projects/p/{}.JSONL", "/h/{}/opencode-dev.db", "C:\\{}\\logs\\unified.jsonl", "/h/.pi/agent/sessions/{}/x.jsonl", "/h/agents/{}/sessions/s.jsonl", "/h/{}/state.db", "/h/{}/session-store.db", "/h/agents/{}/notes.txt"]
     key = F.col("o_orderkey").cast("string")
-    path = F.element_at(F.array(F.concat(F.lit("/h/2026/01/rollout-"), key, F.lit(".jsonl")), F.concat(F.lit("/h/projects/p/"), key, F.lit(".jsonl")), F.concat(F.lit("/h/opencode/storage/"), key), F.concat(F.lit("/h/.gemini/tmp/chats/"), key, F.lit(".json")), F.concat(F.lit("/h/x/"), key, F.lit(".txt"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    options = [F.concat(F.lit(s.split("{}")[0]), key, F.lit(s.split("{}")[1])) for s in shapes]
+    path = F.element_at(F.array(*options), (F.col("o_orderkey") % len(shapes) + 1).cast("int"))
     return table(spark, d, "orders").groupBy(provider_of_path(path).alias("provider")).agg(F.count("*").alias("files"))
+
+
+@query("a27_limits_panel", "SELECT 'all' AS harness, 'monthly budget' AS label, 40.0::DOUBLE AS percent, 'BUDGET' AS lane_group UNION ALL SELECT 'h' || n_nationkey, 'h' || n_nationkey || ' 5h window', NULL, 'SESSION' FROM nation")
+def limits_panel(spark, d):
+    nation = table(spark, d, "nation").select(F.concat(F.lit("h"), "n_nationkey").alias("harness"), F.col("n_nationkey").cast("long").alias("used"))
+    none = spark.createDataFrame([], "harness string, minutes int, scope string, percent double")
+    return V.limits_panel(V.limit_lanes(none, nation), "mix", 20.0, 50.0).select("harness", "label", "percent", "lane_group")

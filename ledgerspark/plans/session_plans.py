@@ -242,13 +242,17 @@ def change_points(spark, d):
     return O.changes(rows, "session", "ord", ["a", "b"], 1000)
 
 
-@query("f15_billing_flips", sql("SELECT session, ord, source FROM (SELECT session, ord, source, lag(source) OVER w AS was FROM (SELECT session, ord, CASE WHEN k < 20 THEN 'gateway' WHEN k < 50 THEN 'api' WHEN k < 90 THEN 'subscription' ELSE 'unknown' END AS source FROM usage) WINDOW w AS (PARTITION BY session ORDER BY ord)) WHERE was IS NULL OR was <> source", "usage"))
+_PAID = "CASE WHEN k < 20 THEN 'cloud' WHEN k < 30 THEN 'bearer' WHEN k < 60 THEN 'api_key' WHEN k < 90 THEN 'subscription' ELSE 'unknown' END"
+
+
+@query("f15_billing_flips", sql(f"SELECT session, ord, source, CASE WHEN was = 'subscription' AND source = 'api_key' THEN 'to_api_key' ELSE 'other_change' END AS kind FROM (SELECT session, ord, source, lag(source) OVER w AS was FROM (SELECT session, ord, {_PAID} AS source FROM usage) WINDOW w AS (PARTITION BY session ORDER BY ord)) WHERE was <> source", "usage"))
 def billing_flips(spark, d):
-    from ..functions.text import billing_source
+    from ..functions.text import billing_source, flip_kind
 
     k = F.col("k")
-    rows = usage(spark, d).select("session", "ord", billing_source(k < 50, k < 20, k < 90).alias("source"))
-    return O.changes(rows, "session", "ord", ["source"], 1000)
+    rows = usage(spark, d).select("session", "ord", billing_source(k < 20, k < 30, k < 60, k < 90).alias("source"))
+    seen = O.carried(rows, "session", "ord", F.col("source"), "was", width=1000, current=False)
+    return seen.withColumn("kind", flip_kind(F.col("was"), F.col("source"))).where("kind <> 'none'").select("session", "ord", "source", "kind")
 
 
 @query("w5_running_sums", sql("SELECT session, ord, CAST(sum(output) OVER w AS BIGINT) AS cum_output, CAST(sum(input + cache_read + cache_creation) OVER w AS BIGINT) AS cum_context FROM usage WINDOW w AS (PARTITION BY session ORDER BY ts, ord)", "usage"))

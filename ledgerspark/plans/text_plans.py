@@ -126,3 +126,18 @@ def budget_gauge(spark, d):
     budget = (F.col("c_custkey") % 4) * 1000
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide("c_acctbal", budget)))
     return table(spark, d, "customer").select("c_custkey", F.when(budget > 0, share).alias("share"))
+
+
+@query("f22_org_slug", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'acme' || c_custkey WHEN 1 THEN 'o' || c_custkey END AS slug FROM customer")
+def org_slug(spark, d):
+    k = F.col("c_custkey")
+    raw = F.when(k % 4 == 0, F.concat(F.lit(" Acme"), k)).when(k % 4 == 1, F.concat(F.lit("https://h/x/ORG/O"), k, F.lit("/?q"))).when(k % 4 == 2, "two words").otherwise("a/b")
+    return table(spark, d, "customer").select("c_custkey", T.org_slug(raw).alias("slug"))
+
+
+@query("f25_counts_only", sql("SELECT session, model, CAST(sum(input) AS BIGINT) AS input, CAST(sum(cache_creation) AS BIGINT) AS cache_creation FROM usage GROUP BY session, model", "usage"))
+def counts_only(spark, d):
+    counts = ("input", "output", "cache_read", "cache_creation")
+    models = usage(spark, d).groupBy("session", "model").agg(*(F.sum(c).alias(c) for c in counts))
+    nested = models.groupBy("session").agg(T.counts_only(F.collect_list(F.struct("model", *counts))).alias("m"))
+    return nested.select("session", F.explode("m").alias("model", "c")).select("session", "model", "c.input", "c.cache_creation")
