@@ -26,13 +26,10 @@ def carried(df: DataFrame, key: str, order: str, value: Column, name: str, then:
     Rows are ordered by the long column ``order``, ties by ``then``; ``width`` is the span of a bucket.
     """
     rows = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / width))
-    last = F.max_by("_v", F.struct(order, *then)).alias("_last") if then else F.max_by("_v", order).alias("_last")
-    ends = rows.where("_v is not null").groupBy(key, "_b").agg(last)
-    spots = rows.select(key, "_b").distinct()
-    on = spots[key].eqNullSafe(ends[key]) & spots["_b"].eqNullSafe(ends["_b"])
-    all_ends = spots.join(ends, on, "left").select(spots[key], spots["_b"], ends["_last"])
+    last = F.max(F.when(F.col("_v").isNotNull(), F.struct(order, *then, "_v")))["_v"].alias("_last")
+    ends = rows.groupBy(key, "_b").agg(last)
     before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    bases = all_ends.select(key, "_b", F.last("_last", True).over(before).alias("_base"))
+    bases = ends.select(key, "_b", F.last("_last", True).over(before).alias("_base"))
     inside = W.partitionBy(key, "_b").orderBy(order, *then).rowsBetween(W.unboundedPreceding, W.currentRow if current else -1)
     joined = _with_bases(rows, [key, "_b"], bases, ["_base"])
     return joined.withColumn(name, F.coalesce(F.last("_v", True).over(inside), F.col("_base"))).drop("_v", "_b", "_base")
