@@ -1,16 +1,20 @@
 """Ordered state within a key, for keys of any size.
 
 A key's rows are cut into buckets of its order column; windows run inside a bucket, and one summary row per bucket carries
-state across. So even a key with a third of all rows is spread over its buckets.
+state across. So even a key with a third of all rows is spread over its buckets. State that depends on its whole path
+(``cumulative_deltas``, ``anchored_block``) is streamed in order instead, one key after the other, holding one state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET_MS = 6 * 3600 * 1000
 
@@ -57,40 +61,92 @@ def changes(df: DataFrame, key: str, order: str, fields: list[str], width: int)
     return seen.where(F.col("_prev").isNull() | ~same).drop("_prev")
 
 
-def watermark_step(held: Column, snapshot: Column) -> Column:
+def _in_order(df: DataFrame, key: str, order: list[str], begin: Callable, step: Callable, schema: T.StructType) -> DataFrame:
+    """Stream each key's rows in order through ``step(state, row)``, which returns the new state and an output row or none.
+
+    For state that depends on its whole path. Rows are sorted (spilling if need be), never gathered; what is held is one state.
+    ``begin(key)`` gives a key's first state; a state's ``last`` attribute, if any, is put out when the key ends.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, state = None, None
+        for b in batches:
+            out = []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if state is None or row[0] != name:
+                    if state is not None and hasattr(state, "last"):
+                        out.append(state.last())
+                    name, state = row[0], begin(row[0])
+                made = step(state, row)
+                if made is not None:
+                    out.append(made)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
+        if state is not None and hasattr(state, "last"):
+            yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(state.last(), arrow)], schema=arrow)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def next_watermark(held: float, snapshot: float) -> float:
     """The watermark after a cumulative snapshot: a dip that stays within 98 % of it is stale and leaves it."""
-    return F.when(snapshot >= held, snapshot).when(snapshot >= held * 0.98, held).otherwise(snapshot)
+    return held if held * 0.98 <= snapshot < held else snapshot
+
+
+class _Counters:
+    def __init__(self, n: int):
+        self.mark, self.before = 0, [0] * n
 
 
 def cumulative_deltas(snapshots: DataFrame, key: str, order: list[str], total: str, fields: list[str]) -> DataFrame:
     """Increments of cumulative counters per snapshot, under a watermark guard.
 
-    The held watermark depends on the path, so each key's snapshots are folded in order; a key is one log file. Stale snapshots give no
+    The held watermark depends on the path, so each key's snapshots are read in order; a key is one log file. Stale snapshots give no
     row; after a reset the baseline starts anew without credit. Columns: key, order, the fields as increments, ``accepted``.
     """
-    item = F.struct(*order, F.coalesce(total, F.lit(0)).alias("total"), *(F.coalesce(f, F.lit(0)).alias(f) for f in fields))
-    lists = snapshots.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    state = F.struct(F.lit(0).cast("long").alias("mark"), F.array().cast("array<boolean>").alias("taken"))
+    at = len(order) + 1
+
+    def step(state: _Counters, row: tuple) -> tuple | None:
+        snapshot, values = row[at] or 0, [v or 0 for v in row[at + 1 :]]
+        mark = next_watermark(state.mark, snapshot)
+        stale = snapshot < state.mark and mark == state.mark
+        state.mark = mark
+        if stale:
+            return None
+        steps = [max(0, v - b) for v, b in zip(values, state.before)]
+        state.before = values
+        return (*row[:at], *steps, snapshot)
 
-    def step(acc: Column, x: Column) -> Column:
-        mark = watermark_step(acc["mark"], x["total"])
-        stale = (x["total"] < acc["mark"]) & (mark == acc["mark"])
-        return F.struct(mark.cast("long").alias("mark"), F.concat(acc["taken"], F.array(~stale)).alias("taken"))
+    rows = snapshots.select(key, *order, F.col(total).alias("_total"), *fields)
+    kind = T.StructType([*(rows.schema[c] for c in (key, *order, *fields)), T.StructField("accepted", rows.schema["_total"].dataType)])
+    return _in_order(rows, key, order, lambda _: _Counters(len(fields)), step, kind)
 
-    kept = F.filter(F.arrays_zip(F.col("items").alias("item"), F.aggregate("items", state, step)["taken"].alias("taken")), lambda z: z["taken"])
-    rows = lists.select(key, F.posexplode(F.transform(kept, lambda z: z["item"])).alias("at", "item")).select(key, "at", "item.*")
-    before = W.partitionBy(key).orderBy("at")
-    return rows.select(key, *order, *(F.greatest(F.col(f) - F.coalesce(F.lag(f).over(before), F.lit(0)), F.lit(0)).alias(f) for f in fields), F.col("total").alias("accepted"))
+
+class _Block:
+    def __init__(self, key, window_ms: int):
+        self.key, self.window_ms = key, window_ms
+        self.start = self.end = None
+        self.used = 0
+
+    def last(self) -> tuple:
+        return self.key, self.start, self.end, self.used, self.start + self.window_ms
 
 
 def anchored_block(events: DataFrame, key: str, ts: str, value: str, window_ms: int) -> DataFrame:
     """The current block per key: it opens at an event and, once ``window_ms`` are over, again at the next event.
 
-    Events of a key are first summed per distinct time, then their times are folded in order.
+    Events of a key are first summed per distinct time, then read in order.
     """
-    points = events.groupBy(key, ts).agg(F.sum(value).alias("v"))
-    lists = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), "v"))).alias("items"))
-    start = F.aggregate("items", F.lit(None).cast("long"), lambda a, x: F.when(a.isNull() | (x["t"] >= a + window_ms), x["t"]).otherwise(a))
-    opened = lists.withColumn("block_start", start)
-    used = F.aggregate(F.filter("items", lambda x: x["t"] >= F.col("block_start")), F.lit(0).cast("long"), lambda a, x: a + x["v"])
-    return opened.select(key, "block_start", F.element_at("items", -1)["t"].alias("last_ts"), used.alias("used"), (F.col("block_start") + window_ms).alias("resets_at"))
+
+    def step(state: _Block, row: tuple) -> None:
+        _, t, v = row
+        if state.start is None or t >= state.start + window_ms:
+            state.start, state.used = t, 0
+        state.end, state.used = t, state.used + (v or 0)
+
+    points = events.where(F.col(ts).isNotNull()).groupBy(key, ts).agg(F.sum(value).alias("v"))
+    kind = T.StructType([points.schema[key], *(T.StructField(c, T.LongType()) for c in ("block_start", "last_ts", "used", "resets_at"))])
+    return _in_order(points, key, [ts], lambda k: _Block(k, window_ms), step, kind)
