@@ -81,6 +81,22 @@ def sync_once(listing: DataFrame, cursors: StateTable, digests: StateTable, fold
         grown.unpersist()
 
 
+def send_in_chunks(rows: DataFrame, post: Callable[[list[str]], None], size: int = 100) -> None:
+    """Hand ``payload`` texts to ``post`` in chunks, from the executors. A failed chunk fails the task, whose retry sends its rows again."""
+
+    def each(part) -> None:
+        held: list[str] = []
+        for row in part:
+            held.append(row["payload"])
+            if len(held) == size:
+                post(held)
+                held = []
+        if held:
+            post(held)
+
+    rows.select("payload").foreachPartition(each)
+
+
 def sync_stream(batches: DataFrame, digests: StateTable, fold: Callable[[DataFrame], DataFrame], send: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
     """A streaming query over usage batches: each is folded, compared with the digests and sent if it differs."""
 

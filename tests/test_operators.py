@@ -247,3 +247,14 @@ def test_group_cost_is_null_only_without_any_price(spark):
     got = {r["g"]: (r["cost_usd"], r["partial"]) for r in df.groupBy("g").agg(*P.group_cost()).collect()}
     assert got == {"g": (2.0, True), "h": (None, True), "i": (None, False)}
     assert math.isclose(got["g"][0], 2.0)
+
+
+def test_stored_state_is_read_defensively(spark):
+    from ledgerspark.functions import state
+
+    raw = '{"enrolled": true, "checkedAt": 5, "orgId": 7, "attribution": {"grants": [{"grantId": "g", "canonicalRepoId": "c", "slug": "s"}, {"grantId": "g"}, 3]}, "pendingRequests": "no"}'
+    found = scalar(spark, state.org_context(F.lit(raw)))
+    assert found["enrolled"] and found["org_id"] is None and [g["canonical_id"] for g in found["grants"]] == ["c"] and found["pending"] is None
+    assert scalar(spark, state.org_context(F.lit('{"enrolled": "yes", "checkedAt": 5}'))) is None and scalar(spark, state.org_context(F.lit("{"))) is None
+    rates = scalar(spark, state.user_rates(F.lit('{"a": {"input": 1, "output": 2.5, "cacheRead": 0}, "b": {"input": 0, "output": 1}, "c": {"input": "1", "output": 1}, "d": 4}')))
+    assert list(rates) == ["a"] and rates["a"]["output"] == 2.5 and rates["a"]["cache_write"] is None

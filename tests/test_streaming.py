@@ -128,3 +128,18 @@ def test_changed(spark):
     rows = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "session string, digest string")
     old = spark.createDataFrame([("a", "1"), ("b", "x")], "session string, digest string")
     assert sorted(r["session"] for r in changed(rows, old).collect()) == ["b", "c"]
+
+
+def test_chunks_cover_every_row(spark, tmp_path):
+    rows = spark.range(250).selectExpr("cast(id as string) as payload").repartition(2)
+    out = str(tmp_path)
+
+    def post(chunk):
+        import uuid
+
+        with open(f"{out}/{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(chunk))
+
+    I.send_in_chunks(rows, post, 100)
+    sizes = [p.read_text().split("\n") for p in tmp_path.iterdir()]
+    assert max(map(len, sizes)) <= 100 and sorted(int(x) for c in sizes for x in c) == list(range(250))
