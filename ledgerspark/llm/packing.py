@@ -84,3 +84,41 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, buckets: int = BUCKETS, budget
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as sequences in batches."""
     return pack(table(spark, sf_dir, "documents"))
+
+
+def _levels() -> str:
+    """The dynamic programme as one table expression per bucket, and the way back through them."""
+    out = ["d0 AS (SELECT j, length * upto AS c, 1::BIGINT AS i FROM h)"]
+    for k in range(1, BUCKETS):
+        out.append(
+            f"""d{k} AS (SELECT j, best.c AS c, best.i AS i FROM (
+  SELECT b.j, min(struct_pack(c := coalesce(p.c, 0) + b.length * (b.upto - coalesce(a.upto, 0)), i := s.j)) AS best
+  FROM h b JOIN h s ON s.j <= b.j LEFT JOIN h a ON a.j = s.j - 1 LEFT JOIN d{k - 1} p ON p.j = s.j - 1 GROUP BY b.j))"""
+        )
+    out.append(f"p{BUCKETS - 1} AS (SELECT j, i FROM d{BUCKETS - 1} WHERE j = (SELECT max(j) FROM h))")
+    out += [f"p{k} AS (SELECT d.j, d.i FROM d{k} d JOIN p{k + 1} q ON d.j = q.i - 1 WHERE q.i > 1)" for k in range(BUCKETS - 2, -1, -1)]
+    return ",\n".join(out)
+
+
+ORACLE = rf"""
+WITH sized AS (
+  SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+pieces AS (
+  SELECT doc_id, piece, piece * {MAX_LEN} AS start, least(size - piece * {MAX_LEN}, {MAX_LEN}) AS length,
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || piece) AS digest
+  FROM (SELECT doc_id, size, unnest(range(greatest((size + {MAX_LEN - 1}) // {MAX_LEN}, 1))) AS piece FROM sized)),
+h AS (
+  SELECT length, row_number() OVER (ORDER BY length) AS j, CAST(sum(n) OVER (ORDER BY length) AS BIGINT) AS upto
+  FROM (SELECT length, count(*) AS n FROM pieces WHERE length > 0 GROUP BY length)),
+{_levels()},
+bounds AS (SELECT h.length AS bound FROM h JOIN ({' UNION ALL '.join(f'SELECT j FROM p{k}' for k in range(BUCKETS))}) USING (j)),
+dealt AS (
+  SELECT *, CASE WHEN length > 0 THEN (SELECT min(bound) FROM bounds WHERE bound >= length) END AS bucket FROM pieces),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY digest, doc_id NULLS LAST, piece, length) - 1 AS rank,
+         greatest({BUDGET} // bucket, 1) AS per
+  FROM dealt)
+SELECT doc_id, piece, start, length, bucket,
+       CASE WHEN bucket IS NOT NULL THEN rank // per END AS batch, CASE WHEN bucket IS NOT NULL THEN rank % per END AS slot
+FROM ranked
+"""
