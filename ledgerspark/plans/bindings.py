@@ -23,7 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as usage rows: users are sessions, times epoch milliseconds."""
-    events = table(spark, sf_dir, "events")
+    return project(table(spark, sf_dir, "events"))
+
+
+def project(events: DataFrame) -> DataFrame:
     k = F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("long")
     pick = lambda names, by: F.element_at(F.array(*(F.lit(n) for n in names)), (F.col(by) % len(names) + 1).cast("int"))
     return events.select(

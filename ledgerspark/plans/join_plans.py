@@ -199,7 +199,20 @@ def live_signature(spark, d):
     return models.groupBy("session").agg(F.collect_list(F.struct("model", *COUNTS)).alias("models")).select("session", live_signature(F.col("models")).alias("signature"))
 
 
-@query("sk2_wire_digest")
+_MODEL = """'{"model":"' || model || '","input":' || input || ',"output":' || output || ',"cache_read":' || cache_read || ',"cache_creation":' || cache_creation || '}'"""
+_SUM4 = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in COUNTS)
+
+
+@query(
+    "sk2_wire_digest",
+    sql(
+        f"""SELECT session, payload, sha256(payload) AS digest FROM (
+             SELECT s.session, '{{"session":' || s.session || ',"harness":"' || s.harness || '","models":[' || m.models || '],"input":' || m.input || ',"output":' || m.output || ',"cache_read":' || m.cache_read
+               || ',"cache_creation":' || m.cache_creation || ',"started_at":' || s.started_at || ',"ended_at":' || s.ended_at || ',"repo_hash":null}}' AS payload
+             FROM sessions s JOIN (SELECT session, string_agg({_MODEL}, ',' ORDER BY model) AS models, {_SUM4} FROM (SELECT session, model, {_SUM4} FROM usage GROUP BY session, model) GROUP BY session) m USING (session))""",
+        "sessions",
+    ),
+)
 def wire_digest(spark, d):
     from ..sources.sinks import wire, with_digest
 

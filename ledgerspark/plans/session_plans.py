@@ -122,7 +122,24 @@ def dedup_exact(spark, d):
     return D.exact_tier(rows).select("ord", "message_id", "request_id", "model", *COUNTS, "owner")
 
 
-@query("a1_dedup_two_tier")
+_RECORD = "struct_pack(r := request_id, s := is_sidechain, t := input + output + cache_read + cache_creation, c := cost, v := has_speed, ord := ord, owner := thread)"
+_WINS = "CASE WHEN x.s <> y.s THEN y.s WHEN x.t <> y.t THEN x.t > y.t WHEN x.c <> y.c THEN x.c > y.c ELSE x.v AND NOT y.v END"
+_MEETS = """coalesce(nullif(list_position(list_transform(acc, lambda y: y.r IS NOT DISTINCT FROM x.r), true), 0),
+                     nullif(list_position(list_transform(acc, lambda y: x.s OR y.s), true), 0), 0)"""
+
+
+@query(
+    "a1_dedup_two_tier",
+    sql(
+        f"""SELECT u.ord, u.message_id, u.request_id, u.model, u.input, u.output, u.cache_read, u.cache_creation, k.owner FROM (
+             SELECT unnest(list_reduce(xs, lambda acc, x: CASE WHEN {_MEETS} = 0 THEN list_append(acc, x)
+               ELSE list_transform(acc, lambda y, i: CASE WHEN i = {_MEETS} AND {_WINS} THEN struct_pack(r := x.r, s := x.s, t := x.t, c := x.c, v := x.v, ord := x.ord, owner := y.owner) ELSE y END) END, []), recursive := true)
+             FROM (SELECT message_id, list({_RECORD} ORDER BY ord) AS xs FROM usage WHERE ord % 9 <> 0 GROUP BY message_id)) k
+           JOIN usage u ON u.ord = k.ord
+           UNION ALL SELECT ord, NULL, request_id, model, input, output, cache_read, cache_creation, thread FROM usage WHERE ord % 9 = 0""",
+        "usage",
+    ),
+)
 def dedup_two_tier(spark, d):
     rows = usage(spark, d).select("ord", "thread", F.when(F.col("ord") % 9 != 0, F.col("message_id")).alias("message_id"), "request_id", "is_sidechain", "cost", "has_speed", "model", *COUNTS)
     return D.deduplicate(rows).select("ord", "message_id", "request_id", "model", *COUNTS, "owner")

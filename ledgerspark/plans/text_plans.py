@@ -69,7 +69,10 @@ def entry_point(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.entry_point(raw, k % 10 == 0).alias("entry_point"))
 
 
-@query("f11_repo_hash")
+_PADS = [bytes(b ^ pad for b in KEY.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C)]
+
+
+@query("f11_repo_hash", f"SELECT c_custkey, left(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(lower(c_name))))), 32) AS repo_hash FROM customer")
 def repo_hash(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.repo_hash(KEY, F.concat(F.lit("/home/u/"), "c_name")).alias("repo_hash"))
 
