@@ -58,14 +58,15 @@ def by_day(spans: DataFrame, keys: list[str], start: str, length: str, names: di
 def day_slices(events: DataFrame, session: str = "session", ts: str = "ts", gap_ms: int = GAP_MS, floor_ms: int = FLOOR_MS) -> DataFrame:
     """``active_ms, idle_ms`` per session and UTC day; they add up to ``activity`` exactly."""
     tail = min(gap_ms, TAIL_MS)
-    seen = gaps(events, session, ts)
     gap = F.col(ts) - F.col("prev")
     floor = min(max(0, floor_ms), gap_ms)
-    last = seen.groupBy(session).agg(F.max(ts).alias("start")).select(session, "start", F.lit(tail).cast("long").alias("length"), F.lit("active").alias("kind"))
-    own = seen.select(session, F.col("prev").alias("start"), _credit(gap, gap_ms, floor_ms).cast("long").alias("length"), F.lit("active").alias("kind")).where("start is not null")
-    idle = seen.where(gap > gap_ms).select(session, (F.col("prev") + gap_ms).alias("start"), (gap - gap_ms).alias("length"), F.lit("idle").alias("kind"))
-    again = seen.where("n > 1").select(session, F.col(ts).alias("start"), F.lit(floor).cast("long").alias("length"), F.lit("active").alias("kind"), F.explode(F.sequence(F.lit(2), F.col("n")))).drop("col")
-    spans = last.unionByName(own).unionByName(idle).unionByName(again)
+    span = lambda start, length, kind: F.struct(start.cast("long").alias("start"), length.cast("long").alias("length"), F.lit(kind).alias("kind"))
+    own = F.array(span(F.col("prev"), _credit(gap, gap_ms, floor_ms), "active"), span(F.col("prev") + gap_ms, gap - gap_ms, "idle"))
+    again = F.array_repeat(span(F.col(ts), F.lit(floor), "active"), (F.col("n") - 1).cast("int"))  # repeated times are gaps of zero
+    held = F.filter(F.concat(own, again), lambda x: x["start"].isNotNull() & (x["length"] > 0))
+    between = gaps(events, session, ts).select(session, F.explode(held).alias("x")).select(session, "x.*")
+    last = events.where(F.col(ts).isNotNull()).groupBy(session).agg(F.max(ts).alias("start")).select(session, "start", F.lit(tail).cast("long").alias("length"), F.lit("active").alias("kind"))
+    spans = between.unionByName(last)
     return by_day(spans, [session], "start", "length", {"active_ms": F.col("kind") == "active", "idle_ms": F.col("kind") == "idle"})
 
 
