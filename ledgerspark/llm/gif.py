@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -152,7 +153,11 @@ def _interlaced(rows: int) -> np.ndarray:
 
 
 def decode(data: bytes) -> list[Frame]:
-    """The frames of a GIF in order, each with the canvas shown at its time."""
+    return list(read_frames(data))
+
+
+def read_frames(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF in order, each with the canvas shown at its time; one is held at once."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background = struct.unpack("<HHBB", data[6:12])
@@ -165,7 +170,6 @@ def decode(data: bytes) -> list[Frame]:
     canvas = np.zeros((height, width, 4), np.uint8)
     delay = disposal = 0
     transparent: int | None = None
-    frames: list[Frame] = []
 
     def sub_blocks(at: int) -> tuple[bytes, int]:
         parts = []
@@ -210,13 +214,12 @@ def decode(data: bytes) -> list[Frame]:
         else:
             shown = seen != transparent
             view[shown] = colours[seen[shown]]
-        frames.append(Frame(left, top, w, h, delay * 10, disposal, transparent, samples, canvas.copy()))
+        yield Frame(left, top, w, h, delay * 10, disposal, transparent, samples, canvas.copy())
         if disposal == 2:
             view[...] = 0
         elif before is not None:
             canvas = before
         delay, disposal, transparent = 0, 0, None
-    return frames
 
 
 def histogram(frame: Frame, bins: int = 16) -> list[int]:
@@ -252,9 +255,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         for i, text in zip(ids, texts):
             raw = (text or "").encode()
             media = encode(padded(raw))
-            frames = decode(media)
-            back = b"".join(f.samples.tobytes() for f in frames)
-            levels = np.sum([histogram(f)[:16] for f in frames], axis=0)
+            parts, delays, levels = [], 0, np.zeros(16, np.int64)
+            for f in read_frames(media):
+                parts.append(f.samples.tobytes())
+                delays += f.delay_ms
+                levels += histogram(f)[:16]
+            back = b"".join(parts)
             out["doc_id"].append(i)
             out["n_bytes"].append(len(raw))
             out["payload_bytes"].append(len(back))
@@ -262,7 +268,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
             out["tail_crc32"].append(zlib.crc32(back[-64:]))
             out["media_bytes"].append(len(media))
             out["media_sha256"].append(hashlib.sha256(media).hexdigest())
-            out["feature"].append(f"{len(frames)}x{sum(f.delay_ms for f in frames)}ms:" + ",".join(map(str, levels.tolist())))
+            out["feature"].append(f"{len(parts)}x{delays}ms:" + ",".join(map(str, levels.tolist())))
         return out
 
     kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
