@@ -7,7 +7,7 @@ the root is the threshold. Every element at or over the threshold gives the subt
 
 Parts that their element or their class, id or role call something else than the article (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, reader comments) are taken out before. A page with a ``main`` or ``article``
-has that as its root, and inside it only blocks under the threshold that are mostly links go.
+has that as its root, and inside it only blocks of links (three or more, nearly all of the text) under the threshold go.
 
 Text: character references decoded, white space inside a block turned into one space, blocks trimmed and joined by one
 space in page order. Nothing is cut off by length or depth; the tree is built without recursion.
@@ -44,6 +44,8 @@ BLOCK = frozenset(
     "head header hr html li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 ENDS_P = BLOCK - frozenset("body head html li dd dt option td th tr tbody thead tfoot title".split())
+#: Elements that may turn out to be menus inside an article.
+LISTING = frozenset("ul ol dl div section table p".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
 #: Elements that are never part of an article.
 OTHER_ELEMENTS = RAW | frozenset("head nav footer aside form button select option menu dialog template svg math object embed applet canvas audio video label input datalist search".split())
@@ -214,12 +216,13 @@ class Page:
                 chosen[best[k]] = True
         kept = [False] * n
         for k in range(root, n):
-            if below[k]:
-                kept[k] = chosen[k] or k != root and kept[parent[k]] or semantic and (k == root or kept[parent[k]] or link_chars[k] * 2 <= chars[k])
-        if semantic:  # inside, only what is mostly links and under the threshold goes
-            for k in range(root + 1, n):
-                if below[k] and not kept[parent[k]]:
-                    kept[k] = kept[k] and chosen[k]
+            if not below[k]:
+                continue
+            if semantic:
+                menu = tag[k] in LISTING and link_tags[k] >= 3 and link_chars[k] >= 0.8 * chars[k] and density[k] < threshold
+                kept[k] = k == root or kept[parent[k]] and not menu
+            else:
+                kept[k] = chosen[k] or k != root and kept[parent[k]]
         return kept
 
     def _root(self, chars: list[int]) -> tuple[int, bool]:

@@ -214,6 +214,12 @@ def test_main_text_by_density_alone():
     assert html_text.main_text(page) == " ".join(f"{prose(k, 30)}." for k in range(4))
 
 
+def test_menus_without_a_name_go_and_linked_prose_stays():
+    menu = "".join(f"<li><a href=/{k}>item {k}</a></li>" for k in range(12))
+    page = f"<main><ul>{menu}</ul><p>{prose(1, 40)} <a href=x>see this</a>.</p><p><a href=y>{prose(2, 5)}</a></p><ul><li>{prose(3, 20)}</li></ul></main>"
+    assert html_text.main_text(page) == f"{prose(1, 40)} see this. {prose(2, 5)} {prose(3, 20)}"
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "plain", "<script>never closed", "<div>" * 3000 + "deep", "</p></b>x", "<a href='x>y", "<!-- open", "&#xZZ; &bogus; &#0;", "<p>" * 5000])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(html_text.main_text(page), str)
