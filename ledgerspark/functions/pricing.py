@@ -193,13 +193,11 @@ def tier(output_rate: Column, premium_min: Column, commodity_max: Column) -> Col
 
 def band_as_of(days: DataFrame, bands: DataFrame, day: str = "day") -> DataFrame:
     """Each day (``yyyy-mm-dd`` text) with the band in force; before the first entry the first, for no day the last."""
-    own = days.select(day).distinct()
-    every = bands.groupBy().agg(F.array_sort(F.collect_list(F.struct("from_day", "premium_min", "commodity_max"))).alias("bands"))  # a few dated entries
-    valid = F.col(day).rlike(r"^\d{4}-\d{2}-\d{2}$")
-    upto = F.filter("bands", lambda b: b["from_day"] <= F.col(day))
-    band = F.when(~F.coalesce(valid, F.lit(False)), F.element_at("bands", -1)).when(F.size(upto) > 0, F.try_element_at(upto, F.lit(-1))).otherwise(F.element_at("bands", 1))
-    picked = own.crossJoin(F.broadcast(every)).select(day, band.alias("band")).select(F.col(day).alias("_day"), "band.*")  # one row on the right
-    return days.join(picked, days[day].eqNullSafe(picked["_day"]), "left").drop("_day")
+    dated = bands.agg(F.array_sort(F.collect_list(F.struct("from_day", "premium_min", "commodity_max")))).scalar()  # a few dated entries
+    valid = F.coalesce(F.col(day).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False))
+    upto = F.filter("_bands", lambda b: b["from_day"] <= F.col(day))
+    band = F.when(~valid, F.element_at("_bands", -1)).when(F.size(upto) > 0, F.try_element_at(upto, F.lit(-1))).otherwise(F.element_at("_bands", 1))
+    return days.withColumn("_bands", dated).withColumn("_band", band).select(*days.columns, "_band.*")
 
 
 def interval_as_of(days: DataFrame, intervals: DataFrame) -> DataFrame:

@@ -209,8 +209,9 @@ def native_match(spark, d):
     from ..operators.joins import native_match
 
     ids = usage(spark, d).select("model").distinct()
-    offers = spark.createDataFrame([("anthropic", 1.5), ("openai", 1.5), ("router", 9.9), ("z-ai", 1.5), ("zhipuai", 2.5), ("google", None)], "provider string, input_rate double")
-    return native_match(ids, ids.crossJoin(F.broadcast(offers))).select("model", "provider", "input_rate")  # six made-up offers
+    made_up = [("anthropic", 1.5), ("openai", 1.5), ("router", 9.9), ("z-ai", 1.5), ("zhipuai", 2.5), ("google", None)]
+    offers = F.array(*(F.struct(F.lit(p).alias("provider"), F.lit(r).cast("double").alias("input_rate")) for p, r in made_up))
+    return native_match(ids, ids.select("model", F.explode(offers).alias("o")).select("model", "o.*")).select("model", "provider", "input_rate")
 
 
 @query(
