@@ -4,7 +4,8 @@ Words are lower-cased runs of letters and digits. Each common word is an anchor;
 (words that are not anchors) after it, with the anchor, is a signature. A fingerprint is the set of a text's signatures,
 kept as sorted 32-bit digests. Likeness is the Jaccard coefficient of two sets, which the ratio of their sizes bounds.
 
-A text whose anchors make no whole chain gets a chain at every word instead; one with fewer words than a chain, a single
+In a run of more than ``RUN`` content words without an anchor (lists, other languages) each further word is its own anchor.
+A text that makes no whole chain so gets a chain at every word instead; one with fewer words than a chain, a single
 signature of the whole text, so only equal short texts are alike.
 
 ``similar`` finds all pairs of near-duplicates; ``with_next`` brings documents and their successors together: ids are range-partitioned at quantiles, sorted in each range,
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from .common import cut, map_columns, small_batches, table
 
 CHAIN = 2
+RUN = 8
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset("the a an of and to in is was that der die das und ist zu den le la les de et un une est el los las y en es".split())
 _WORD = re.compile(r"[^\W_]+")
@@ -38,12 +40,15 @@ _WORD = re.compile(r"[^\W_]+")
 def signatures(text: str | None, anchors: frozenset[str] = ANCHORS, chain: int = CHAIN) -> np.ndarray:
     """The fingerprint: sorted distinct 32-bit digests."""
     words = _WORD.findall((text or "").lower())
-    content, spots = [], []
+    content, spots, since = [], [], 0
     for w in words:
         if w in anchors:
             spots.append((w, len(content)))
+            since = len(content)
         else:
             content.append(w)
+            if len(content) - since > RUN:
+                spots.append((w, len(content)))
     last = len(content) - chain
     found = {" ".join([w, *content[k : k + chain]]) for w, k in spots if k <= last}
     if not found:

@@ -36,6 +36,9 @@ def test_spotsigs_small_tables(spark, tmp_path, data):
 def test_signatures_follow_anchors():
     assert len(spotsigs.signatures("The red fox and the big dog ran")) == 3  # the-red-fox, and-big-dog, the-big-dog
     assert (spotsigs.signatures("The RED fox, jumped") == spotsigs.signatures("the red fox jumped")).all()
+    listed = " | ".join(f"w{k}" for k in range(40))
+    mixed = spotsigs.signatures(listed[: len(listed) // 2] + " the cat ran to the house and sat")
+    assert spotsigs.likeness(spotsigs.signatures(listed), mixed) > 0.1  # runs without anchors keep their signatures
     assert len(spotsigs.signatures("")) == 1 == len(spotsigs.signatures("word"))
     a, b = spotsigs.signatures("k m n o p"), spotsigs.signatures("k m n o q")
     assert 0 < spotsigs.likeness(a, b) < 1 and spotsigs.likeness(a, b, least=0.99) in (0.0, spotsigs.likeness(a, b))
