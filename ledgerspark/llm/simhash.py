@@ -12,7 +12,8 @@ covering radius plus the threshold, and per anchor fingerprints are compared who
 * ``Golay``, for 256 bits and the many differing ones of texts that share four fifths of their shingles. Each of ``BLOCKS`` sets of 23
   bits has the words of the perfect Golay code as anchors: covering radius 3, and threshold 0, so exactly one anchor.
   Texts at the border of the similarity meet in at least one set with probability over 0.97, closer ones almost surely. Links
-  so found are then checked on the whole texts, by the exact Jaccard coefficient of their shingles.
+  so found are then checked on the whole texts, by the exact Jaccard coefficient of their shingles. Where links that fail
+  leave apart what the candidates hold together, all texts of that component are compared so.
 
 Only distinct fingerprints are compared, so exact copies cost nothing. An anchor with more than ``CHUNK`` fingerprints
 is dealt over pairs of chunks of that size, each a group of its own. A group hands on a spanning forest of its links,
@@ -256,17 +257,90 @@ def shingle_sets(docs: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
     return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "node long, signs array<long>")
 
 
-def checked(found: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """The links whose texts have a Jaccard coefficient of at least ``least``; only texts that have links are looked at."""
+def linked_sets(found: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The ``shingle_sets`` of the texts that have links."""
     nodes = cut(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     own = docs.join(nodes.hint("shuffle_hash"), docs["doc_id"] == nodes["node"], "left_semi")
-    sets = cut(shingle_sets(own, words).groupBy("node").agg(F.any_value("signs").alias("signs")))
+    return cut(shingle_sets(own, words).groupBy("node").agg(F.any_value("signs").alias("signs")))
+
+
+def checked(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The links whose texts have a Jaccard coefficient of at least ``least``."""
     left, right = (sets.select(F.col("node").alias(c), F.col("signs").alias(f"{c}_signs")) for c in "ab")
     both = F.size(F.array_intersect("a_signs", "b_signs"))
     like = both / (F.size("a_signs") + F.size("b_signs") - both)
     return found.join(left, "a").join(right, "b").where(like >= least).select("a", "b")
 
 
+def alike(root: np.ndarray, side: np.ndarray, signs: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Index pairs with a Jaccard coefficient of ``least`` or more that join what ``root`` (an index of a row each) leaves apart.
+
+    Only pairs that links found alike already join are passed over. With two sides only pairs between them count.
+    """
+    sizes = np.array([len(s) for s in signs])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    code = np.unique(np.concatenate(signs), return_inverse=True)[1]
+    mark = np.zeros(int(code.max()) + 1, bool)
+    two = bool(side.any())
+    root, out = root.copy(), []
+    for i in range(len(signs) - 1):
+        later = np.arange(i + 1, len(signs))
+        fit = (root[later] != root[i]) & (np.minimum(sizes[later], sizes[i]) >= least * np.maximum(sizes[later], sizes[i]))
+        if two:
+            fit &= side[later] != side[i]
+        later = later[fit]
+        if not len(later):
+            continue
+        mine = code[starts[i] : starts[i] + sizes[i]]
+        mark[mine] = True
+        if len(later) < 64:
+            both = np.array([np.count_nonzero(mark[code[starts[j] : starts[j] + sizes[j]]]) for j in later.tolist()])
+        else:
+            both = np.add.reduceat(mark[code], starts, dtype=np.int64)[later]
+        mark[mine] = False
+        for j in later[both / (sizes[later] + sizes[i] - both) >= least].tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((i, j))
+    return out
+
+
+def completed(found: DataFrame, sure: DataFrame, sets: DataFrame, least: float, chunk: int = CHUNK // 2) -> DataFrame:
+    """Checked links ``a, b`` that the candidates ``found`` hide: they span components, so a link that
+    fails the check may have stood in for a good one. Components that the checked links ``sure`` do not hold
+    together are compared in full on their shingles, over pairs of chunks.
+    """
+    wide = components(found).withColumnRenamed("root", "wide")
+    parts = cut(wide.join(components(sure), "node", "left").select("node", "wide", F.coalesce("root", "node").alias("root")))
+    split = parts.groupBy("wide").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    split = cut(split.select("wide", F.ceil(F.col("n") / chunk).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("x"), F.greatest("part", q).alias("y")))
+    rows = (
+        parts.join(split, "wide")
+        .join(sets, "node")
+        .withColumn("part", part)
+        .select("wide", "node", "root", "signs", "part", F.explode(cells).alias("cell"))
+        .select("wide", "cell", F.when(F.col("part") == F.col("cell.x"), 0).otherwise(1).cast("long").alias("side"), "node", "root", "signs")
+    )
+
+    def compared(t: pa.Table) -> pa.Table:
+        t = t.sort_by("node").combine_chunks()
+        side, node, root = (t.column(c).to_numpy() for c in ("side", "node", "root"))
+        signs = [x.values.to_numpy() for x in t.column("signs")]
+        pairs = node[np.array(alike(np.unique(root, return_inverse=True)[1], side, signs, least), np.int64).reshape(-1, 2)]
+        return pa.table({"a": pairs.min(1), "b": pairs.max(1)})
+
+    return rows.groupBy("wide", "cell").applyInArrow(compared, "a long, b long").distinct()
+
+
+def verified(found: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """Links alike on the whole texts that span what the candidates ``found`` reach; only texts that have links are looked at."""
+    sets = linked_sets(found, docs, words)
+    sure = cut(checked(found, sets, least))
+    return sure.unionByName(completed(found, sure, sets, least))
+
+
 def groups(docs: DataFrame, words: int = WORDS, size: int = 1, distances: tuple[int, ...] = (DISTANCE,), least: float | None = None) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs``; with ``least``, links are checked on the texts.
 
@@ -276,7 +350,7 @@ def groups(docs: DataFrame, words: int = WORDS, size: int = 1, distances: tuple[
     own = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     node = F.coalesce("first", F.xxhash64("fp"))  # without an id: any name that holds still
     found = links(own.select(node.alias("node"), "fp"), size, distances)
-    roots = components(found if least is None else checked(cut(found), docs, words, least))
+    roots = components(found if least is None else verified(cut(found), docs, words, least))
     named = own.withColumn("node", node).join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     heads = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.join(named.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

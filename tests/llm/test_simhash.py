@@ -123,3 +123,27 @@ def test_keep_one(spark):
     ids = sorted(r["doc_id"] for r in kept.select("doc_id").collect())
     assert ids == sorted(set(ids)) and 17 not in ids and 18 not in ids and {0, 1, 3} <= set(ids)
     assert simhash.keep_one(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_a_large_family_of_edited_copies_is_one_group(spark):
+    import random
+
+    rnd = random.Random(5)
+    base = [f"w{k}" for k in range(250)]
+    data = [(0, " ".join(base))]
+    for k in range(1, 301):  # each has 0.82 in common with the base, about 0.67 with another copy
+        w, at = list(base), rnd.randrange(0, 20)
+        for j in range(5):
+            w[at + 45 * j + rnd.randrange(4)] = f"new{k}x{j}"
+        data.append((k, " ".join(w)))
+    assert all(len(shingles(data[0][1]) & shingles(t)) / len(shingles(data[0][1]) | shingles(t)) >= 0.8 for _, t in data)
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    assert [r["doc_id"] for r in simhash.keep_one(docs).collect()] == [0]
+
+
+def test_alike_joins_what_it_should():
+    base = np.arange(100)
+    copies = [np.sort(np.concatenate((base[base % 10 != k], 1000 * (k + 1) + np.arange(10)))) for k in range(8)]  # 0.818 to the base, 0.67 to each other
+    assert sorted(simhash.alike(np.arange(9), np.zeros(9, int), [*copies, base], 0.8)) == [(k, 8) for k in range(8)]
+    assert simhash.alike(np.arange(9), np.array([0] * 8 + [1]), [*copies, base], 0.8) == [(k, 8) for k in range(8)]
+    assert len(simhash.alike(np.array([0, 0, *range(2, 9)]), np.zeros(9, int), [*copies, base], 0.8)) == 7
