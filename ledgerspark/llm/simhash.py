@@ -15,7 +15,7 @@ covering radius plus the threshold, and per anchor fingerprints are compared who
   so found are then checked on the whole texts, by the exact Jaccard coefficient of their shingles. Where links that fail
   leave apart what the candidates hold together, all texts of that component are compared so.
 
-Only distinct fingerprints are compared, so exact copies cost nothing. An anchor with more than ``CHUNK`` fingerprints
+Only distinct fingerprints (with checked links: distinct texts, whose repeated shingles count once) are compared, so exact copies cost nothing. An anchor with more than ``CHUNK`` fingerprints
 is dealt over pairs of chunks of that size, each a group of its own. A group hands on a spanning forest of its links,
 not all of them: as many rows as fingerprints at most. Components are found by alternating large-star and small-star rounds of joins, cut at each round.
 
@@ -32,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, map_columns, small_batches, table
@@ -47,8 +47,8 @@ HAMMING_BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit and width
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, words: int = WORDS, size: int = 1) -> list[int]:
-    """The fingerprint as ``size`` unsigned numbers."""
+def fingerprint(text: str | None, words: int = WORDS, size: int = 1, distinct: bool = False) -> list[int]:
+    """The fingerprint as ``size`` unsigned numbers; with ``distinct``, repeated shingles count once."""
     flat = b" ".join((text or "").encode().translate(_LOWER).split())
     if not flat:
         return [0] * size
@@ -59,6 +59,8 @@ def fingerprint(text: str | None, words: int = WORDS, size: int = 1) -> list[int
     if len(starts) < words:
         starts, ends, words = [0], [len(flat)], 1
     h = np.array([digest(view[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])], "<u8")
+    if distinct:
+        h = np.unique(h)
     out = []
     for k in range(size):
         set_ = np.zeros(64, np.int64)
@@ -88,6 +90,21 @@ def fingerprints(docs: DataFrame, words: int = WORDS, size: int = 1) -> DataFram
     return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp array<long>")
 
 
+def text_node(text: str = "text") -> Column:
+    """What names a distinct text: 64 bits of digest."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def marks(docs: DataFrame, words: int, size: int) -> DataFrame:
+    """``doc_id, node, fp`` of every row: the name of its text, and the fingerprint of its distinct shingles."""
+    small_batches(docs.sparkSession)
+
+    def run(ids, nodes, texts):
+        return {"doc_id": ids, "node": nodes, "fp": [[f - (1 << 64) if f >> 63 else f for f in fingerprint(t, words, size, True)] for t in texts]}
+
+    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node().alias("node"), "text"), run, "doc_id long, node long, fp array<long>")
+
+
 def _syndrome(word: np.ndarray) -> np.ndarray:
     """Of the low fifteen bits: the exclusive or of the positions (1 to 15) of the set ones; 0 for code words."""
     out = np.zeros(word.shape, np.int64)
@@ -243,25 +260,27 @@ def links(fps: DataFrame, size: int = 1, distances: tuple[int, ...] = (DISTANCE,
     return dealt.select("cell", "side", "node", *words).mapInArrow(run, "a long, b long").distinct()
 
 
-def shingle_sets(docs: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
-    """``node, signs``: sorted digests of the word shingles of each whole text, by doc_id."""
+def shingle_sets(texts: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
+    """``node, signs``: sorted digests of the distinct word shingles of each whole text of ``node, text`` rows."""
 
-    def run(ids, texts):
+    def run(nodes, texts):
         out = []
         for t in texts:
             w = (t or "").encode().translate(_LOWER).split()
             found = {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))}
             out.append(sorted(xxhash.xxh64_intdigest(x) >> 1 for x in found))
-        return {"node": ids, "signs": out}
+        return {"node": nodes, "signs": out}
 
-    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "node long, signs array<long>")
+    return map_columns(texts.select("node", "text"), run, "node long, signs array<long>")
 
 
-def linked_sets(found: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The ``shingle_sets`` of the texts that have links."""
-    nodes = cut(found.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    own = docs.join(nodes.hint("shuffle_hash"), docs["doc_id"] == nodes["node"], "left_semi")
-    return cut(shingle_sets(own, words).groupBy("node").agg(F.any_value("signs").alias("signs")))
+def linked_sets(found: DataFrame, own: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The ``shingle_sets`` of the texts that have links, each read at the least doc_id (``first``) that has it."""
+    nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = cut(own.join(nodes, "node").select(F.col("node").alias("own"), "first"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node().alias("node"), "text")
+    read = texts.join(nodes.hint("shuffle_hash"), (texts["node"] == nodes["own"]) & texts["doc_id"].eqNullSafe(nodes["first"]), "left_semi")
+    return cut(shingle_sets(read, words).groupBy("node").agg(F.any_value("signs").alias("signs")))
 
 
 def checked(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -334,28 +353,40 @@ def completed(found: DataFrame, sure: DataFrame, sets: DataFrame, least: float,
     return rows.groupBy("wide", "cell").applyInArrow(compared, "a long, b long").distinct()
 
 
-def verified(found: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """Links alike on the whole texts that span what the candidates ``found`` reach; only texts that have links are looked at."""
-    sets = linked_sets(found, docs, words)
+def verified(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links alike on the whole texts that span what the candidates ``found`` reach."""
     sure = cut(checked(found, sets, least))
     return sure.unionByName(completed(found, sure, sets, least))
 
 
 def groups(docs: DataFrame, words: int = WORDS, size: int = 1, distances: tuple[int, ...] = (DISTANCE,), least: float | None = None) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row of ``docs``; with ``least``, links are checked on the texts.
+    """``doc_id, fp, component_id`` of every row of ``docs``; with ``least``, ``near_groups``.
 
-    A fingerprint's node is the least doc_id that has it. Fingerprints that only null ids have are never checked, so have no links then.
+    A fingerprint's node is the least doc_id that has it.
     """
+    if least is not None:
+        return near_groups(docs, words, size, distances, least)
     marked = cut(fingerprints(docs, words, size))
     own = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     node = F.coalesce("first", F.xxhash64("fp"))  # without an id: any name that holds still
-    found = links(own.select(node.alias("node"), "fp"), size, distances)
-    roots = components(found if least is None else verified(cut(found), docs, words, least))
+    roots = components(links(own.select(node.alias("node"), "fp"), size, distances))
     named = own.withColumn("node", node).join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     heads = named.groupBy("root").agg(F.min("first").alias("component_id"))
     return marked.join(named.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def near_groups(docs: DataFrame, words: int, size: int, distances: tuple[int, ...], least: float) -> DataFrame:
+    """``doc_id, fp, component_id`` of every row; a node is a distinct text, and every link is checked on the texts, also at equal fingerprints."""
+    marked = cut(marks(docs, words, size))
+    own = marked.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.min(F.col("fp")[k]).alias(f"w{k}") for k in range(size)))
+    own = cut(own.select("node", "first", F.array(*(f"w{k}" for k in range(size))).alias("fp")))
+    found = cut(links(own.select("node", "fp"), size, distances))
+    roots = components(verified(found, linked_sets(found, own, docs, words), least))
+    named = own.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    heads = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(named.join(heads, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+
+
 def keep_one(docs: DataFrame, words: int = NEAR_WORDS, least: float = LEAST) -> DataFrame:
     """One document of each group of near-duplicates: the one whose doc_id names the group (of null ids: its rows), once."""
     found = groups(docs, words, NEAR_SIZE, (NEAR * 5 // 8, NEAR), least)

@@ -147,3 +147,16 @@ def test_alike_joins_what_it_should():
     assert sorted(simhash.alike(np.arange(9), np.zeros(9, int), [*copies, base], 0.8)) == [(k, 8) for k in range(8)]
     assert simhash.alike(np.arange(9), np.array([0] * 8 + [1]), [*copies, base], 0.8) == [(k, 8) for k in range(8)]
     assert len(simhash.alike(np.array([0, 0, *range(2, 9)]), np.zeros(9, int), [*copies, base], 0.8)) == 7
+
+
+def test_repeated_lines_neither_hide_nor_make_near_copies(spark):
+    import random
+
+    rnd = random.Random(9)
+    fresh = lambda n: " ".join(f"x{rnd.randrange(10**9)}" for _ in range(n))
+    line, body = fresh(13), fresh(150)
+    data = [(0, f"{line} " * 100 + fresh(30)), (1, f"{line} " * 100 + fresh(30)), (2, f"{line} {body}"), (3, f"{line} " * 40 + body)]
+    sets = [shingles(t) for _, t in data]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.3 and len(sets[2] & sets[3]) / len(sets[2] | sets[3]) > 0.9
+    kept = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2]
