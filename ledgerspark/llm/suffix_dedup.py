@@ -126,7 +126,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _doc_keys(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """``doc`` and ``tag``: what tells a document apart, and how documents are ordered."""
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).bitwiseAND((1 << 24) - 1).alias("tag")]
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tag")]
 
 
 _SPANS = "doc long, tag long, start long, end long"

@@ -70,3 +70,23 @@ def test_merged_spans():
 
     s, e = suffix_dedup.merged(np.array([5, 0, 20, 3]), np.array([9, 4, 30, 5]))
     assert s.tolist() == [0, 20] and e.tolist() == [9, 30]
+
+
+def test_texts_without_id_are_told_apart_by_whole_digests(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(9)) for _ in range(400)]
+    shared = " ".join(words[:14])
+    made = [(k, (shared + " " if k % 2 else "") + " ".join(f"{w}{k}" for w in words[20:44])) for k in range(24_000)]
+    low, found = {}, None
+    for r in spark.createDataFrame(made, "k long, t string").select("k", "t", F.xxhash64("t").alias("h")).collect():
+        other = low.setdefault(r["h"] & 0xFFFFFF, r)
+        if (other["k"] - r["k"]) % 2:
+            found = [other["t"], r["t"]]
+            break
+    assert found  # two texts that agree in the low 24 bits of their digests
+    kind = T.StructType([T.StructField("gone", T.LongType())])
+    docs = spark.createDataFrame([(1, shared), *((None, t) for t in found)], "doc_id long, text string")
+    got = suffix_dedup.deduplicated(docs.withColumn("has", F.col("text").startswith(shared)), lambda raw, kept, runs: {"gone": len(raw) - len(kept)}, kind)
+    assert sorted((r["doc_id"] or 0, r["has"], r["gone"]) for r in got.collect()) == [(0, False, 0), (0, True, len(shared)), (1, True, 0)]
