@@ -375,26 +375,38 @@ def groups(docs: DataFrame, words: int = WORDS, size: int = 1, distances: tuple[
     return marked.join(named.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_groups(docs: DataFrame, words: int, size: int, distances: tuple[int, ...], least: float) -> DataFrame:
-    """``doc_id, fp, component_id`` of every row; a node is a distinct text, and every link is checked on the texts, also at equal fingerprints."""
+def near_nodes(docs: DataFrame, words: int, size: int, distances: tuple[int, ...], least: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, node, fp`` of every row, and ``node, root, component_id, head`` of every distinct text.
+
+    Every link is checked on the texts, also at equal fingerprints. ``component_id`` and ``head``: the least doc_id of the group, nulls last, and of its texts the least name.
+    """
     marked = cut(marks(docs, words, size))
     own = marked.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.min(F.col("fp")[k]).alias(f"w{k}") for k in range(size)))
     own = cut(own.select("node", "first", F.array(*(f"w{k}" for k in range(size))).alias("fp")))
     found = cut(links(own.select("node", "fp"), size, distances))
     roots = components(verified(found, linked_sets(found, own, docs, words), least))
     named = own.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    heads = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(heads, "root").select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+    heads = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("least"))
+    return marked, named.join(heads, "root").select("node", "root", F.col("least.first").alias("component_id"), F.col("least.node").alias("head"))
+
+
+def near_groups(docs: DataFrame, words: int, size: int, distances: tuple[int, ...], least: float) -> DataFrame:
+    """``doc_id, fp, component_id`` of every row, from ``near_nodes``."""
+    marked, nodes = near_nodes(docs, words, size, distances, least)
+    return marked.join(nodes.select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = NEAR_WORDS, least: float = LEAST) -> DataFrame:
-    """One document of each group of near-duplicates: the one whose doc_id names the group (of null ids: its rows), once."""
-    found = groups(docs, words, NEAR_SIZE, (NEAR * 5 // 8, NEAR), least)
-    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    heads = cut(heads.select(F.col("doc_id").alias("kept_id"), "count"))
-    kept = docs.join(heads.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(heads["kept_id"]), "left_semi")
-    repeated = heads.where("count > 1").limit(1).count()  # rows that share an id
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """One document of each group of near-duplicates, once: the text of its least doc_id, null ids last (of several texts of that id, the one with the least name)."""
+    marked, nodes = near_nodes(docs, words, NEAR_SIZE, (NEAR * 5 // 8, NEAR), least)
+    kept_node = cut(nodes.where("node = head").select(F.col("component_id").alias("kept_id"), F.col("node").alias("kept_node")))
+    of_head = lambda df, doc, node: df.join(kept_node.hint("shuffle_hash"), (node == kept_node["kept_node"]) & doc.eqNullSafe(kept_node["kept_id"]), "left_semi")
+    kept = of_head(docs, docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
+    repeated = of_head(marked, marked["doc_id"], marked["node"]).groupBy("doc_id", "node").count().where("count > 1").limit(1).count()  # equal rows
+    if not repeated:
+        return kept
+    once = kept.withColumn("_kept_text", F.coalesce("text", F.lit("")))  # null counts as empty
+    return once.dropDuplicates(["doc_id", "_kept_text"]).drop("_kept_text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,3 +160,17 @@ def test_repeated_lines_neither_hide_nor_make_near_copies(spark):
     assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.3 and len(sets[2] & sets[3]) / len(sets[2] | sets[3]) > 0.9
     kept = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2]
+
+
+def test_rows_without_or_with_shared_ids_are_judged_each_by_its_text(spark):
+    def edited(t, at):
+        w = t.split()
+        w[at] = "edited"
+        return " ".join(w)
+
+    a, b, c, d, e = (prose(1000 + 31 * k, 200) for k in range(5))
+    data = [(1, a), (2, b), (None, a), (None, edited(a, 50)), (None, c), (None, c), (None, edited(c, 90)), (7, d), (7, e), (7, edited(b, 20))]
+    got = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    first = {(r["doc_id"], r["text"]) for r in got}
+    assert len(got) == 5 and first >= {(1, a), (2, b), (7, d), (7, e)}
+    assert [t in (c, edited(c, 90)) for i, t in first if i is None] == [True]
