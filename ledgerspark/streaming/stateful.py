@@ -2,28 +2,61 @@
 
 from __future__ import annotations
 
+import heapq
+import tempfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 FIVE_HOURS_MS = 5 * 3600 * 1000
+#: Rows that ``by_time`` sorts in memory; more go to scratch files of the task.
+SORTED_ROWS = 1 << 20
+
+
+def by_time(frames: Iterator[pd.DataFrame], at_once: int = SORTED_ROWS) -> Iterator[tuple[int, int]]:
+    """``ts, total`` of all frames in order: a sort of runs of ``at_once`` rows, merged from scratch files if there are several.
+
+    Spark hands a key over in frames of bounded size, whose rows follow no order from one to the next.
+    """
+    with tempfile.TemporaryFile() as scratch:
+        spans, held, rows = [], [], 0
+
+        def run() -> np.ndarray:
+            found = np.concatenate(held) if held else np.empty((0, 2), np.int64)
+            held.clear()
+            return found[np.argsort(found[:, 0], kind="stable")]
+
+        def stored(first: int, count: int) -> Iterator[tuple[int, int]]:
+            for k in range(first, first + count, 1 << 12):
+                scratch.seek(16 * k)
+                yield from map(tuple, np.frombuffer(scratch.read(16 * min(1 << 12, first + count - k)), np.int64).reshape(-1, 2).tolist())
+
+        for frame in frames:
+            held.append(frame[["ts", "total"]].to_numpy(np.int64))
+            rows += len(frame)
+            if rows >= at_once:
+                spans.append((sum(n for _, n in spans), rows))
+                scratch.write(run().tobytes())
+                rows = 0
+        yield from heapq.merge(*(stored(*s) for s in spans), map(tuple, run().tolist()), key=lambda r: r[0])
 
 
 def block_stream(usage: DataFrame, key: str = "session", window_ms: int = FIVE_HOURS_MS) -> DataFrame:
-    """The current block per key after each batch (``ts`` in order within a key): anchor, last time, used.
+    """The current block per key after each batch: anchor, last time, used.
 
+    A batch's rows of a key are folded in order of ``ts``, however they come in; batches follow one another in time.
     State is three numbers per key.
     """
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         anchor, last, used = state.get if state.exists else (None, None, 0)
-        for rows in frames:
-            for ts, total in rows.sort_values("ts")[["ts", "total"]].itertuples(index=False):
-                if anchor is None or ts >= anchor + window_ms:
-                    anchor, used = int(ts), 0
-                last, used = int(ts) if last is None else max(last, int(ts)), used + int(total)
+        for ts, total in by_time(frames):
+            if anchor is None or ts >= anchor + window_ms:
+                anchor, used = ts, 0
+            last, used = ts if last is None else max(last, ts), used + total
         if anchor is None:
             return
         state.update((anchor, last, used))

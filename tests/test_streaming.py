@@ -143,3 +143,32 @@ def test_chunks_cover_every_row(spark, tmp_path):
     I.send_in_chunks(rows, post, 100)
     sizes = [p.read_text().split("\n") for p in tmp_path.iterdir()]
     assert max(map(len, sizes)) <= 100 and sorted(int(x) for c in sizes for x in c) == list(range(250))
+
+
+def test_block_stream_follows_time_across_frames(spark, tmp_path):
+    h = 3_600_000
+    times = [k * h // 4 for k in range(120)]
+    rows = [{"session": "a", "ts": t, "total": 1} for t in times[::-1]]
+    anchor, used = None, 0
+    for t in times:
+        if anchor is None or t >= anchor + 5 * h:
+            anchor, used = t, 0
+        used += 1
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        stream = batches(spark, tmp_path, "session string, ts long, total long", [rows])
+        S.block_stream(stream).writeStream.outputMode("update").format("memory").queryName("framed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+    assert [(r["block_start"], r["last_ts"], r["used"]) for r in spark.table("framed").collect()] == [(anchor, times[-1], used)]
+
+
+def test_by_time_merges_runs_from_scratch_files():
+    import numpy as np
+    import pandas as pd
+
+    ts = np.random.default_rng(2).permutation(20_000)
+    frames = [pd.DataFrame({"ts": ts[k : k + 700], "total": ts[k : k + 700] * 2}) for k in range(0, len(ts), 700)]
+    for at_once in (1 << 20, 5000, 1):
+        assert list(S.by_time(iter(frames), at_once)) == [(t, 2 * t) for t in range(20_000)]
