@@ -9,11 +9,11 @@ covering radius plus the threshold, and per anchor fingerprints are compared who
 * ``Hamming``, for 64 bits and 4 differing ones, loses no link. The bits fall into three blocks of 21, 21 and 22; with at most four
   differing bits, one block differs in one bit at most. An anchor of a block has a word of the perfect Hamming code in
   fifteen bits and anything in the others: covering radius 1, and threshold 1.
-* ``Golay``, for 256 bits and the many differing ones of texts that share four fifths of their shingles. Each of ``BLOCKS`` sets of 23
-  bits has the words of the perfect Golay code as anchors: covering radius 3, and threshold 0, so exactly one anchor.
-  Texts at the border of the similarity meet in at least one set with probability over 0.97, closer ones almost surely. Links
-  so found are then checked on the whole texts, by the exact Jaccard coefficient of their shingles. Where links that fail
-  leave apart what the candidates hold together, all texts of that component are compared so.
+* ``Golay``, for 256 bits and the many differing ones of texts whose shingle sets have a cosine of 0.8 (the likeness that SimHash
+  bits estimate). Each of ``BLOCKS`` sets of 23 bits has the words of the perfect Golay code as anchors: covering
+  radius 3, and threshold 0, so exactly one anchor. Texts at the border of the similarity meet in at least one set with
+  probability 0.95, at 0.85 with 0.99. Links so found are then checked on the whole texts, by the exact cosine of their sets of
+  shingles. Where links that fail leave apart what the candidates hold together, all texts of that component are compared so.
 
 Only distinct fingerprints (with checked links: distinct texts, whose repeated shingles count once) are compared, so exact copies cost nothing. An anchor with more than ``CHUNK`` fingerprints
 is dealt over pairs of chunks of that size, each a group of its own. A group hands on a spanning forest of its links,
@@ -21,7 +21,7 @@ not all of them: as many rows as fingerprints at most. Components are found by a
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and links like any other. Fewer words than a
 shingle: the whole sequence is the shingle. Repeated rows get equal values. A null doc_id counts last: its
-component is the smallest non-null doc_id of the group, or null if there is none. Empty table: empty result.
+component is the smallest non-null doc_id of the group, or null if there is none; ids are under 2^62. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -39,10 +39,12 @@ from .common import components, cut, map_columns, small_batches, table
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 CHUNK = 2048
-#: Five-word shingles, a Jaccard coefficient of 0.8 or more, 256 bits. That coefficient is a cosine of 8/9, at which 39 bits
-#: differ on average, with a standard deviation of 6; ``NEAR`` bits let nearly all such pairs through to the exact check.
-NEAR_WORDS, LEAST, NEAR_SIZE, NEAR = 5, 0.8, 4, 52
-BLOCKS = 32
+#: Five-word shingles, a cosine of their sets of 0.8 or more, 256 bits. At that cosine 52 bits differ on average, with
+#: a standard deviation of 6.5; ``NEAR`` bits let 98 of 100 such pairs through to the exact check.
+NEAR_WORDS, LEAST, NEAR_SIZE, NEAR = 5, 0.8, 4, 66
+BLOCKS = 48
+#: Fingerprints that only null ids have are named from here on, so that an id is always the lesser name.
+NO_ID = 1 << 62
 HAMMING_BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit and width
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -284,15 +286,15 @@ def linked_sets(found: DataFrame, own: DataFrame, docs: DataFrame, words: int) -
 
 
 def checked(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The links whose texts have a Jaccard coefficient of at least ``least``."""
+    """The links whose texts have sets of shingles with a cosine of at least ``least``."""
     left, right = (sets.select(F.col("node").alias(c), F.col("signs").alias(f"{c}_signs")) for c in "ab")
     both = F.size(F.array_intersect("a_signs", "b_signs"))
-    like = both / (F.size("a_signs") + F.size("b_signs") - both)
+    like = both / F.sqrt(F.size("a_signs").cast("double") * F.size("b_signs"))
     return found.join(left, "a").join(right, "b").where(like >= least).select("a", "b")
 
 
 def alike(root: np.ndarray, side: np.ndarray, signs: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Index pairs with a Jaccard coefficient of ``least`` or more that join what ``root`` (an index of a row each) leaves apart.
+    """Index pairs with a cosine of ``least`` or more that join what ``root`` (an index of a row each) leaves apart.
 
     Only pairs that links found alike already join are passed over. With two sides only pairs between them count.
     """
@@ -304,7 +306,7 @@ def alike(root: np.ndarray, side: np.ndarray, signs: list[np.ndarray], least: fl
     root, out = root.copy(), []
     for i in range(len(signs) - 1):
         later = np.arange(i + 1, len(signs))
-        fit = (root[later] != root[i]) & (np.minimum(sizes[later], sizes[i]) >= least * np.maximum(sizes[later], sizes[i]))
+        fit = (root[later] != root[i]) & (np.minimum(sizes[later], sizes[i]) >= least * least * np.maximum(sizes[later], sizes[i]))
         if two:
             fit &= side[later] != side[i]
         later = later[fit]
@@ -317,7 +319,7 @@ def alike(root: np.ndarray, side: np.ndarray, signs: list[np.ndarray], least: fl
         else:
             both = np.add.reduceat(mark[code], starts, dtype=np.int64)[later]
         mark[mine] = False
-        for j in later[both / (sizes[later] + sizes[i] - both) >= least].tolist():
+        for j in later[both >= least * np.sqrt(sizes[later] * float(sizes[i]))].tolist():
             if root[j] != root[i]:
                 root[root == root[j]] = root[i]
                 out.append((i, j))
@@ -362,23 +364,24 @@ def verified(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def groups(docs: DataFrame, words: int = WORDS, size: int = 1, distances: tuple[int, ...] = (DISTANCE,), least: float | None = None) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs``; with ``least``, ``near_groups``.
 
-    A fingerprint's node is the least doc_id that has it.
+    A fingerprint's node is the least doc_id that has it, or a name over all ids; so a component's root is its id.
     """
     if least is not None:
         return near_groups(docs, words, size, distances, least)
     marked = cut(fingerprints(docs, words, size))
     own = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    node = F.coalesce("first", F.xxhash64("fp"))  # without an id: any name that holds still
-    roots = components(links(own.select(node.alias("node"), "fp"), size, distances))
-    named = own.withColumn("node", node).join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
-    heads = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(named.join(heads, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    own = own.select("fp", F.coalesce("first", F.xxhash64("fp").bitwiseAND(NO_ID - 1) + NO_ID).alias("node"))
+    roots = components(links(own, size, distances))
+    root = F.coalesce("root", "node")
+    named = own.join(roots, "node", "left").select("fp", F.when(root < NO_ID, root).alias("component_id"))
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def near_nodes(docs: DataFrame, words: int, size: int, distances: tuple[int, ...], least: float) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, node, fp`` of every row, and ``node, root, component_id, head`` of every distinct text.
+def near_nodes(docs: DataFrame, words: int, size: int, distances: tuple[int, ...], least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``doc_id, node, fp`` of every row; ``node, root`` of every distinct text; and ``root, component_id, head`` of every group.
 
-    Every link is checked on the texts, also at equal fingerprints. ``component_id`` and ``head``: the least doc_id of the group, nulls last, and of its texts the least name.
+    Every link is checked on the texts, also at equal fingerprints. ``component_id`` and ``head``: the least doc_id of the group,
+    nulls last, and of its texts the least name. They are aggregates that combine before the shuffle.
     """
     marked = cut(marks(docs, words, size))
     own = marked.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.min(F.col("fp")[k]).alias(f"w{k}") for k in range(size)))
@@ -387,19 +390,20 @@ def near_nodes(docs: DataFrame, words: int, size: int, distances: tuple[int, ...
     roots = components(verified(found, linked_sets(found, own, docs, words), least))
     named = own.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     heads = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("least"))
-    return marked, named.join(heads, "root").select("node", "root", F.col("least.first").alias("component_id"), F.col("least.node").alias("head"))
+    return marked, named, heads.select("root", F.col("least.first").alias("component_id"), F.col("least.node").alias("head"))
 
 
 def near_groups(docs: DataFrame, words: int, size: int, distances: tuple[int, ...], least: float) -> DataFrame:
     """``doc_id, fp, component_id`` of every row, from ``near_nodes``."""
-    marked, nodes = near_nodes(docs, words, size, distances, least)
-    return marked.join(nodes.select("node", "component_id"), "node").select("doc_id", "fp", "component_id")
+    marked, named, heads = near_nodes(docs, words, size, distances, least)
+    nodes = named.join(heads, "root").select("node", "component_id")
+    return marked.join(nodes, "node").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = NEAR_WORDS, least: float = LEAST) -> DataFrame:
     """One document of each group of near-duplicates, once: the text of its least doc_id, null ids last (of several texts of that id, the one with the least name)."""
-    marked, nodes = near_nodes(docs, words, NEAR_SIZE, (NEAR * 5 // 8, NEAR), least)
-    kept_node = cut(nodes.where("node = head").select(F.col("component_id").alias("kept_id"), F.col("node").alias("kept_node")))
+    marked, _, heads = near_nodes(docs, words, NEAR_SIZE, (NEAR * 5 // 8, NEAR), least)
+    kept_node = cut(heads.select(F.col("component_id").alias("kept_id"), F.col("head").alias("kept_node")))
     of_head = lambda df, doc, node: df.join(kept_node.hint("shuffle_hash"), (node == kept_node["kept_node"]) & doc.eqNullSafe(kept_node["kept_id"]), "left_semi")
     kept = of_head(docs, docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
     repeated = of_head(marked, marked["doc_id"], marked["node"]).groupBy("doc_id", "node").count().where("count > 1").limit(1).count()  # equal rows
