@@ -1,16 +1,17 @@
-"""GIF media columns: byte payloads stored as palette images, and a decoder for timed frames.
+"""GIF media columns: byte payloads stored as animations, and a decoder for timed frames.
 
 ``decode`` reads GIF87a and GIF89a streams: LZW code streams with growing code width, global and local palettes,
 interlacing, transparency and the disposal methods none, keep, restore to background and restore to previous. Each frame
 carries its delay, its own samples and the canvas as a viewer shows it at that time.
 
-``encode`` stores a byte payload losslessly as 8-bit samples: frames of ``WIDTH`` samples a row over the identity
-grey palette. Its code streams hold literals with a clear code before the code width would grow, which any
-decoder reads. ``decode`` reads such streams by whole arrays and all others code by code.
+``encode`` stores a byte payload losslessly as 8-bit samples: frames of ``WIDTH`` samples a row and up to ``FRAME_ROWS`` rows, over
+a palette whose red level is the sample. Its code streams grow a table of up to 4096 words, cleared when it is full. A row that the
+canvas shows already is written in a transparent sample (a value that the payload lacks), and the frame before it is
+kept for that; any other frame makes way for the background. So the payload is what the canvases show, one after the other.
 
-Defined cases: a null text is an empty one; an empty text has a payload of one row of zeros; texts over
-``WIDTH * 65535`` bytes take several frames. Equal texts give equal values; rows are independent of each other.
-Corrupt streams raise ``ValueError``.
+Defined cases: a null text is an empty one; an empty text has a payload of one row of zeros; longer texts take as many frames as they
+need. A payload with all 256 values has no transparent sample. Equal texts give equal values; rows are independent
+of each other. Corrupt streams raise ``ValueError``.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 
 from .common import map_columns, small_batches, table
 
-WIDTH = 64
-MAX_ROWS = 65535
+WIDTH, FRAME_ROWS = 64, 256
 DELAY_CS = 10
-GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: The palette: red is the sample, green and blue are other orders of the levels.
+PALETTE = bytes(v for i in range(256) for v in (i, i * 167 % 256, 255 - i))
+_WORDS = 4096  # the most a table of codes holds
 
 
 @dataclass
@@ -55,93 +57,114 @@ def _blocks(data: bytes) -> bytes:
     return head.tobytes() + tail + b"\0"
 
 
-def _literal_codes(samples: np.ndarray) -> bytes:
-    """8-bit samples as 9-bit codes, cleared each 254 samples so that the width never grows."""
-    n = len(samples)
-    groups = -(-n // 254)
-    codes = np.full((groups, 255), 256, np.uint16)
-    body = np.zeros(groups * 254, np.uint16)
-    body[:n] = samples
-    codes[:, 1:] = body.reshape(groups, 254)
-    flat = codes.ravel()[: n + groups]
-    flat = np.append(flat, np.uint16(257))
-    bits = np.unpackbits(flat.astype("<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :9]
-    return np.packbits(bits, bitorder="little").tobytes()
+def _widths(min_size: int, first: int, n: int) -> np.ndarray:
+    """Bits of the codes ``first`` to ``first + n`` after a clear: as many as the table's next word needs, 12 at most."""
+    have = (1 << min_size) + 1 + np.arange(first, first + n)
+    return np.clip(np.frexp(have)[1], min_size + 1, 12).astype(np.int64)
 
 
-def encode(payload: bytes, width: int = WIDTH) -> bytes:
+_RUN = _WORDS - 257  # codes that an 8-bit table takes before it is cleared
+_RUN_WIDTHS = np.append(_widths(8, 0, _RUN), 12)
+
+
+def lzw_encode(samples: bytes) -> bytes:
+    """The code stream of 8-bit samples (one at least), with a table that grows until it is full."""
+    codes = [256]
+    emit = codes.append
+    table: dict[int, int] = {}
+    longer, free = table.get, 258
+    code = samples[0]
+    for c in samples[1:]:
+        key = code << 8 | c
+        found = longer(key)
+        if found is not None:
+            code = found
+            continue
+        emit(code)
+        if free < _WORDS:
+            table[key] = free
+            free += 1
+        else:
+            emit(256)
+            table.clear()
+            free = 258
+        code = c
+    codes += [code, 257]
+    value = np.array(codes, np.int64)
+    width = np.append(9, np.resize(_RUN_WIDTHS, len(value) - 1))
+    at = np.cumsum(width) - width
+    value <<= at & 7
+    size = int(at[-1] + width[-1] + 7) >> 3
+    out = np.zeros(size, np.int64)
+    for k in range(3):  # a code lies in three bytes at most, and shares no bit with another
+        out += np.bincount((at >> 3) + k, value >> 8 * k & 255, size + 2)[:size].astype(np.int64)
+    return out.astype(np.uint8).tobytes()
+
+
+def encode(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS) -> bytes:
     """A GIF89a holding ``payload``, whose length is a positive multiple of ``width``."""
     rows = len(payload) // width
     if not rows or len(payload) % width:
         raise ValueError("the payload must fill whole rows")
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, MAX_ROWS), 0xF7, 0, 0), GREY]
-    samples = np.frombuffer(payload, np.uint8)
-    for first in range(0, rows, MAX_ROWS):
-        part = samples[first * width : (first + MAX_ROWS) * width]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, DELAY_CS, 0) + b"\0")
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0) + b"\x08")
-        out.append(_blocks(_literal_codes(part)))
+    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), PALETTE]
+    samples = np.frombuffer(payload, np.uint8).reshape(rows, width)
+    lacking = np.flatnonzero(np.bincount(samples.ravel(), minlength=256) == 0)
+    shown = None  # what the canvas keeps of the frame before
+    for first in range(0, rows, frame_rows):
+        own, after = samples[first : first + frame_rows], samples[first + frame_rows : first + 2 * frame_rows]
+        body = own
+        if shown is not None:
+            body = own.copy()
+            body[(own == shown[: len(own)]).all(1)] = lacking[-1]
+        keep = len(lacking) > 0 and bool((own[: len(after)] == after).all(1).any())
+        flags = (1 if keep else 2) << 2 | (shown is not None)
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHB", flags, DELAY_CS, int(lacking[-1]) if shown is not None else 0) + b"\0")
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(own), 0) + b"\x08")
+        out.append(_blocks(lzw_encode(body.tobytes())))
+        shown = own if keep else None
     return b"".join(out) + b"\x3b"
 
 
-def _all_literals(data: bytes, pixels: int) -> np.ndarray | None:
-    """The samples of an 8-bit stream whose width never grows; None for any other."""
-    raw = np.frombuffer(data, np.uint8)
-    n = len(raw) * 8 // 9
-    bits = np.unpackbits(raw, bitorder="little")[: n * 9].reshape(n, 9)
-    packed = np.packbits(bits, axis=1, bitorder="little")
-    codes = packed[:, 0].astype(np.uint16) | (packed[:, 1].astype(np.uint16) << 8)
-    ends = np.flatnonzero(codes == 257)
-    if not len(ends):
-        return None
-    codes = codes[: ends[0]]
-    clears = np.flatnonzero(codes == 256)
-    if (codes > 257).any() or not len(clears) or clears[0] or np.diff(np.append(clears, len(codes))).max() > 255:
-        return None
-    samples = codes[codes < 256].astype(np.uint8)
-    return samples if len(samples) == pixels else None
-
-
 def lzw_decode(data: bytes, min_size: int, pixels: int) -> np.ndarray:
-    """Palette indices of a GIF code stream."""
-    if min_size == 8 and (fast := _all_literals(data, pixels)) is not None:
-        return fast
+    """Palette indices of a GIF code stream. Codes are cut out by whole arrays up to the next clear, words looked up one by one."""
     clear, end = 1 << min_size, (1 << min_size) + 1
-    size = min_size + 1
-    words = [bytes([i]) for i in range(clear)] + [b"", b""]
-    held = bits = made = 0
-    last = b""
-    out = []
-    for byte in data:
-        held |= byte << bits
-        bits += 8
-        while bits >= size:
-            code = held & ((1 << size) - 1)
-            held >>= size
-            bits -= size
-            if code == clear:
-                del words[end + 1 :]
-                size, last = min_size + 1, b""
-                continue
-            if code == end:
-                break
-            if code < len(words):
+    raw = np.ndarray((len(data) + 1,), "<u4", data + b"\0\0\0\0", strides=(1,))
+    single = [bytes([i]) for i in range(clear)] + [b"", b""]
+    words, have, last = single.copy(), end + 1, b""
+    out: list[bytes] = []
+    at = made = since = 0  # bits read, samples made, codes since the last clear
+    while made < pixels:
+        width = _widths(min_size, since, _WORDS)
+        ends = at + np.cumsum(width)
+        n = int(np.searchsorted(ends, len(data) * 8, "right"))
+        if not n:
+            raise ValueError("the code stream ends early")
+        width, ends = width[:n], ends[:n]
+        starts = ends - width
+        codes = (raw[starts >> 3] >> (starts & 7)) & ((1 << width) - 1)
+        marks = np.flatnonzero((codes == clear) | (codes == end))
+        stop = int(marks[0]) if len(marks) else n
+        for code in codes[:stop].tolist():
+            if code < have:
                 word = words[code]
-            elif last and code == len(words) < 4096:
+            elif code == have and last:
                 word = last + last[:1]
             else:
                 raise ValueError("corrupt code stream")
+            if last and have < _WORDS:
+                words.append(last + word[:1])
+                have += 1
             out.append(word)
             made += len(word)
-            if last and len(words) < 4096:
-                words.append(last + word[:1])
-                if len(words) == 1 << size and size < 12:
-                    size += 1
             last = word
+        since += stop
+        if stop == n:
+            at = int(ends[-1])
+        elif codes[stop] == end:
+            break
         else:
-            if made < pixels:
-                continue
-        break
+            at, since = int(ends[stop]), 0
+            words, have, last = single.copy(), end + 1, b""
     samples = np.frombuffer(b"".join(out), np.uint8)
     if len(samples) < pixels:
         raise ValueError("the code stream ends early")
@@ -228,18 +251,34 @@ def histogram(frame: Frame, bins: int = 16) -> list[int]:
     return [n for c in range(3) for n in np.bincount(solid[:, c] // (256 // bins), minlength=bins).tolist()]
 
 
+def payload_of(frame: Frame) -> bytes:
+    """The part of a payload that a frame of ``encode`` shows: red levels of its rows."""
+    return frame.canvas[: frame.height, :, 0].tobytes()
+
+
+_FRAMES = "array<struct<at_ms:long,delay_ms:long,disposal:int,width:int,height:int,histogram:array<long>>>"
+
+
+def stored(text: str | None) -> tuple[bytes, bytes, list[dict]]:
+    """A text as a stored GIF, the payload read back from it, and its timed frames with their colour histograms."""
+    media = encode(padded((text or "").encode()))
+    parts, frames, at = [], [], 0
+    for f in read_frames(media):
+        parts.append(payload_of(f))
+        frames.append({"at_ms": at, "delay_ms": f.delay_ms, "disposal": f.disposal, "width": f.width, "height": f.height, "histogram": histogram(f)})
+        at += f.delay_ms
+    return media, b"".join(parts), frames
+
+
 def store_frames(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: the stored GIF (``media``), and its frames with times and colour histograms."""
     small_batches(texts.sparkSession)
 
     def run(ids, bodies):
-        media = [encode(padded((b or "").encode())) for b in bodies]
-        shown = [decode(m) for m in media]
-        frames = [[{"at_ms": sum(x.delay_ms for x in fs[:k]), "delay_ms": f.delay_ms, "width": f.width, "height": f.height, "histogram": histogram(f)} for k, f in enumerate(fs)] for fs in shown]
-        return {"id": ids, "media": media, "frames": frames}
+        found = [stored(b) for b in bodies]
+        return {"id": ids, "media": [m for m, _, _ in found], "frames": [f for _, _, f in found]}
 
-    kind = "id long, media binary, frames array<struct<at_ms:long,delay_ms:long,width:int,height:int,histogram:array<long>>>"
-    return map_columns(texts.select(F.col(id_col).cast("long"), text_col), run, kind)
+    return map_columns(texts.select(F.col(id_col).cast("long"), text_col), run, f"id long, media binary, frames {_FRAMES}")
 
 
 def padded(raw: bytes, unit: int = WIDTH) -> bytes:
@@ -251,25 +290,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
 
     def run(ids, texts):
-        out = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
+        out = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames")}
         for i, text in zip(ids, texts):
-            raw = (text or "").encode()
-            media = encode(padded(raw))
-            parts, delays, levels = [], 0, np.zeros(16, np.int64)
-            for f in read_frames(media):
-                parts.append(f.samples.tobytes())
-                delays += f.delay_ms
-                levels += histogram(f)[:16]
-            back = b"".join(parts)
+            media, back, frames = stored(text)
+            levels = np.sum([f["histogram"] for f in frames], axis=0)
             out["doc_id"].append(i)
-            out["n_bytes"].append(len(raw))
+            out["n_bytes"].append(len((text or "").encode()))
             out["payload_bytes"].append(len(back))
             out["payload_sha256"].append(hashlib.sha256(back).hexdigest())
             out["tail_crc32"].append(zlib.crc32(back[-64:]))
             out["media_bytes"].append(len(media))
             out["media_sha256"].append(hashlib.sha256(media).hexdigest())
-            out["feature"].append(f"{len(parts)}x{delays}ms:" + ",".join(map(str, levels.tolist())))
+            out["feature"].append(f"{len(frames)}x{frames[-1]['at_ms'] + frames[-1]['delay_ms']}ms:" + ",".join(map(str, levels.tolist())))
+            out["frames"].append(frames)
         return out
 
-    kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    kind = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames {_FRAMES}"
     return map_columns(table(spark, sf_dir, "documents").select("doc_id", "text"), run, kind)

@@ -171,6 +171,29 @@ def test_lzw_decodes_growing_tables():
         gif.lzw_decode(lzw(bytes(10), 2), 2, 500)
 
 
+def test_encoder_equals_the_plain_one_and_both_read_back():
+    rng = np.random.default_rng(1)
+    for n, levels in ((1, 256), (64, 2), (5000, 4), (60_000, 30), (300_000, 256)):
+        raw = rng.integers(0, levels, n).astype(np.uint8).tobytes()
+        assert (gif.lzw_decode(gif.lzw_encode(raw), 8, n) == np.frombuffer(raw, np.uint8)).all()
+        if n <= 3000:  # before the table is full both write the same codes
+            assert gif.lzw_encode(raw) == lzw(raw, 8)
+
+
+def test_repeated_rows_are_transparent_and_payloads_come_from_the_canvas():
+    line = bytes(range(32, 96))
+    rows_ = [line, line[::-1], bytes(64)] * 200
+    rows_[300] = b"x" * 64
+    payload = b"".join(rows_)
+    media = gif.encode(payload, frame_rows=30)
+    frames = gif.decode(media)
+    assert len(frames) == 20 and b"".join(map(gif.payload_of, frames)) == payload
+    assert {f.disposal for f in frames} == {1, 2} and frames[1].transparent == 255 and (frames[1].samples == 255).all()
+    assert len(media) < len(payload) // 6
+    every = bytes(range(256)) * 2  # no value is left for transparency
+    assert b"".join(map(gif.payload_of, gif.decode(gif.encode(every, frame_rows=4)))) == every
+
+
 def test_disposal_and_transparency():
     palette = bytes([255, 0, 0, 0, 255, 0, 0, 0, 255, 9, 9, 9])
     head = b"GIF89a" + (2).to_bytes(2, "little") + (1).to_bytes(2, "little") + bytes([0x81, 0, 0]) + palette
@@ -194,6 +217,11 @@ def test_disposal_and_transparency():
 def test_store_frames(spark):
     row = gif.store_frames(spark.createDataFrame([(1, "x" * 200), (2, None)], "doc_id long, text string")).orderBy("id").first()
     assert row["frames"][0]["height"] == 4 and row["media"][:6] == b"GIF89a"
+    assert [sum(f["histogram"]) for f in row["frames"]] == [3 * 256] and row["frames"][0]["delay_ms"] == 100
+
+
+def test_gif_query_on_an_empty_table(spark, tmp_path):
+    assert gif.query(spark, folder(spark, tmp_path, table(spark, []))).count() == 0
 
 
 # ---- HTML
