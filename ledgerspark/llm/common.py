@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` excludes it.
 WORD = r"[^\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,21 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends and lost executors lose nothing."""
+    """Write ``df`` to the shared folder and read it back: the lineage ends and lost executors lose nothing.
+
+    The shuffle files of that write go with it, since what comes after reads the table.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the shuffle files of frames that nothing refers to any more go now, not at some later garbage collection."""
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.5)  # Python hands its dropped references on in the background
-        spark.sparkContext._jvm.System.gc()
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a text column (null: 0), as a long."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

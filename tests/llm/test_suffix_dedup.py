@@ -90,3 +90,35 @@ def test_texts_without_id_are_told_apart_by_whole_digests(spark):
     docs = spark.createDataFrame([(1, shared), *((None, t) for t in found)], "doc_id long, text string")
     got = suffix_dedup.deduplicated(docs.withColumn("has", F.col("text").startswith(shared)), lambda raw, kept, runs: {"gone": len(raw) - len(kept)}, kind)
     assert sorted((r["doc_id"] or 0, r["has"], r["gone"]) for r in got.collect()) == [(0, False, 0), (0, True, len(shared)), (1, True, 0)]
+
+
+def test_multikey_order():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n, levels in ((0, 2), (1, 2), (33, 2), (4000, 3), (60_000, 1 << 40), (60_000, 20)):
+        words = rng.integers(0, levels, (n, 4)).astype(np.uint64)
+        words[: n // 3] = 7  # a third of all rows is equal
+        order = suffix_dedup.multikey_order(words)
+        assert sorted(order.tolist()) == list(range(n)) and (words[order] == words[np.lexsort(words.T[::-1])]).all()
+    texts = [b"banana split", b"banana", b"bananas", b"", b"an apple a day keeps"]
+    words = np.stack([np.concatenate(c) for c in zip(*(suffix_dedup.lead_words(t, np.array([0])) for t in texts))], 1)
+    assert [texts[k] for k in suffix_dedup.multikey_order(words)] == sorted(texts)
+
+
+def test_a_lead_that_spans_buckets(spark, tmp_path, monkeypatch):
+    """One line in every text, between texts that differ and partly agree: its suffixes are more than a bucket."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    line = " ".join(word() for _ in range(9))
+    ends = [" ".join(word() for _ in range(8)) for _ in range(6)]
+    data = [(i, f"{word()} {rnd.choice(ends)} {line} {rnd.choice(ends)[: rnd.randint(20, 60)]} {word()}") for i in range(300)]
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", 40)
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in data], DOCS).repartition(5)
+    assert suffix_dedup.splitters(docs, 4, 100, 16)[1]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.query(spark, folder(spark, tmp_path, docs)).collect()}
+    assert got == plain(data)
+
+
+def test_empty_table(spark, tmp_path):
+    assert suffix_dedup.query(spark, folder(spark, tmp_path, table(spark, []))).count() == 0
