@@ -1,13 +1,15 @@
 """HTML main-text extraction by composite text density.
 
 A page becomes a tree of elements. Of every element the characters, tags, link characters and link tags below it
-are counted, and its density is characters per tag, adjusted by how much of its text and tags are links. The densities of
-an element's children are summed; the element with the greatest sum is the core, and the least density on its path to
-the root is the threshold. Every element at or over the threshold gives the subtree with the greatest sum below it.
+are counted, and its density is characters per tag, adjusted by how much of its text and tags are links. Inline markup is no element of
+its own here: it is part of the block around it. The densities of an element's children are summed; the element of the page's body with
+the greatest sum is the core, and the least density on its path to the body is the threshold. Every element at or over
+the threshold gives the subtree with the greatest sum below it; in what is so chosen, blocks of links (three or more,
+nearly all of the text) under the threshold go.
 
-Parts that their element or their class, id or role call something else than the article (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments) are taken out before. A page with a ``main`` or ``article``
-has that as its root, and inside it only blocks of links (three or more, nearly all of the text) under the threshold go.
+What the densities cannot tell is a feature of an element: parts that their element or their class, id or role call something else
+than the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) have no text, so no density.
+An element called ``article`` or ``main`` is found by its sums like any other.
 
 Text: character references decoded, white space inside a block turned into one space, blocks trimmed and joined by one
 space in page order. Nothing is cut off by length or depth; the tree is built without recursion.
@@ -44,6 +46,8 @@ BLOCK = frozenset(
     "head header hr html li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 ENDS_P = BLOCK - frozenset("body head html li dd dt option td th tr tbody thead tfoot title".split())
+#: Inline markup, which counts as part of the block around it.
+INLINE = frozenset("abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that may turn out to be menus inside an article.
 LISTING = frozenset("ul ol dl div section table p".split())
 IN_HEAD = frozenset("base link meta noscript script style template title".split())
@@ -182,63 +186,47 @@ class Page:
                 chars[node] += size
                 if link[node]:
                     link_chars[node] += size
+        inline = [t in INLINE for t in tag]
         tags, link_tags = [0] * n, [0] * n
         for k in range(n - 1, 0, -1):
             if not self.other[k]:
                 up = parent[k]
                 chars[up] += chars[k]
                 link_chars[up] += link_chars[k]
-                tags[up] += tags[k] + 1
+                tags[up] += tags[k] + (not inline[k])
                 link_tags[up] += link_tags[k] + (tag[k] == "a")
-        root, semantic = self._root(chars)
+        root = next((k for k, t in enumerate(tag) if t == "body" and not self.other[k]), 0)
         density = _densities(chars, link_chars, tags, link_tags, root)
         total = [0.0] * n
         for k in range(n - 1, 0, -1):
             if not self.other[k]:
-                total[parent[k]] += density[k]
-        below = [False] * n  # in the root's subtree
+                total[parent[k]] += total[k] if inline[k] else density[k]
+        below = [False] * n  # in the body
         below[root] = True
         for k in range(root + 1, n):
             below[k] = below[parent[k]] and not self.other[k]
-        core = max((k for k in range(root, n) if below[k]), key=lambda k: (total[k], -k))
+        core = max((k for k in range(root, n) if below[k] and not inline[k]), key=lambda k: (total[k], -k))
         threshold, k = density[core], core
         while k != root:
             k = parent[k]
-            threshold = min(threshold, density[k])
+            if not inline[k]:
+                threshold = min(threshold, density[k])
         best = list(range(n))  # the element of the greatest sum at or below each
         for k in range(n - 1, root, -1):
             up = parent[k]
-            if below[k] and total[best[k]] > total[best[up]]:
+            if below[k] and (inline[best[up]] or not inline[best[k]] and total[best[k]] > total[best[up]]):
                 best[up] = best[k]
         chosen = [False] * n
         for k in range(root, n):
-            if below[k] and density[k] >= threshold and chars[k]:
+            if below[k] and not inline[k] and density[k] >= threshold and chars[k]:
                 chosen[best[k]] = True
         kept = [False] * n
         for k in range(root, n):
-            if not below[k]:
-                continue
-            if semantic:
+            if below[k]:
                 menu = tag[k] in LISTING and link_tags[k] >= 3 and link_chars[k] >= 0.8 * chars[k] and density[k] < threshold
-                kept[k] = k == root or kept[parent[k]] and not menu
-            else:
-                kept[k] = chosen[k] or k != root and kept[parent[k]]
+                kept[k] = chosen[k] or k != root and kept[parent[k]] and not menu
         return kept
 
-    def _root(self, chars: list[int]) -> tuple[int, bool]:
-        for name in ("main", "article"):
-            own = [k for k, t in enumerate(self.tag) if t == name and not self.other[k] and chars[k]]
-            if own:
-                most = max(own, key=lambda k: (chars[k], -k))
-                inner = [k for k, t in enumerate(self.tag) if t == "article" and k > most and not self.other[k] and chars[k] * 2 > chars[most] and self._within(k, most)]
-                return (inner[-1] if name == "main" and len(inner) == 1 else most), True
-        return next((k for k, t in enumerate(self.tag) if t == "body" and not self.other[k]), 0), False
-
-    def _within(self, k: int, top: int) -> bool:
-        while k > top:
-            k = self.parent[k]
-        return k == top
-
 
 def _densities(chars, link_chars, tags, link_tags, root: int) -> list[float]:
     """Characters per tag, adjusted by links: their share here against their share in the whole."""

@@ -1,6 +1,9 @@
 """Fingerprints, classifiers, media, pages and urls on small tables."""
 
 import hashlib
+import math
+import random
+import xml.etree.ElementTree as ET
 import zlib
 
 import numpy as np
@@ -245,6 +248,89 @@ def test_main_text_by_density_alone():
     assert html_text.main_text(page) == " ".join(f"{prose(k, 30)}." for k in range(4))
 
 
+def plain_main_text(page):
+    """Composite text density by recursion over a well-formed page of div, p, ul, li, a and b, without anything to leave out."""
+    body = ET.fromstring(page)
+    flat = lambda t: len(" ".join((t or "").split()))
+
+    def counts(e, linked=False):
+        linked = linked or e.tag == "a"
+        c = flat(e.text)
+        lc, t, lt = c * linked, 0, 0
+        for child in e:
+            for k, v in enumerate(counts(child, linked)):
+                c, lc, t, lt = (x + v * (j == k) for j, x in enumerate((c, lc, t, lt)))
+            t += child.tag != "b"
+            lt += child.tag == "a"
+            c += flat(child.tail)
+            lc += flat(child.tail) * linked
+        return c, lc, t, lt
+
+    whole = counts(body)
+
+    def density(e):
+        c, lc, t, lt = counts(e)
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + whole[1] / whole[0] * c + math.e)
+        return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)) / math.log(max(base, 1 + 1e-9))
+
+    total = lambda e: sum(total(x) if x.tag == "b" else density(x) for x in e)
+    above = {x: e for e in body.iter() for x in e}
+    nodes = [e for e in body.iter() if e.tag != "b"]
+    core = max(nodes, key=lambda e: (total(e), -nodes.index(e)))
+    path = [core]
+    while path[-1] is not body:
+        path.append(above[path[-1]])
+    least = min(density(e) for e in path if e.tag != "b")
+    chosen = set()
+    for e in nodes:
+        if density(e) >= least and counts(e)[0]:
+            own = [x for x in e.iter() if x.tag != "b"]
+            chosen.add(max(own, key=lambda x: (total(x), -own.index(x))))
+    out = []
+
+    def walk(e, kept):
+        c, lc, _, lt = counts(e)
+        menu = e.tag in ("div", "p", "ul") and lt >= 3 and lc >= 0.8 * c and density(e) < least
+        kept = e in chosen or kept and not menu
+        edge = [" "] if e.tag not in ("a", "b") else []
+        out.extend(edge + ([e.text or ""] if kept else []))
+        for child in e:
+            walk(child, kept)
+            out.extend([child.tail or ""] if kept else [])
+        out.extend(edge)
+
+    walk(body, False)
+    return " ".join("".join(out).split())
+
+
+def test_core_by_density_equals_a_plain_version():
+    rnd = random.Random(2)
+
+    def block(depth):
+        kind = rnd.choice(["p", "p", "p", "links", "div", "div"] if depth < 4 else ["p"])
+        if kind == "links":
+            return "<ul>" + "".join(f"<li><a>{prose(rnd.randrange(99), rnd.randint(1, 4))}</a></li>" for _ in range(rnd.randint(2, 7))) + "</ul>"
+        if kind == "p":
+            return f"<p>{prose(rnd.randrange(99), rnd.randint(2, 60))} <b>{prose(rnd.randrange(99), 3)}</b> end</p>"
+        return "<div>" + "".join(block(depth + 1) for _ in range(rnd.randint(1, 5))) + "</div>"
+
+    seen = set()
+    for _ in range(60):
+        page = "<body>" + "".join(block(0) for _ in range(rnd.randint(1, 5))) + "</body>"
+        want = plain_main_text(page)
+        assert html_text.main_text(page) == want
+        seen.add(len(want) < len(" ".join(ET.fromstring(page).itertext())) - 40)
+    assert seen == {True, False}
+
+
+def test_article_tags_are_not_needed():
+    body = "".join(f"<p>{prose(k, 40)}.</p>" for k in range(5))
+    inside = lambda tag: f"<body><nav>menu</nav><{tag}><h1>{prose(77, 9)}</h1>{body}</{tag}><div class=ad>{prose(5, 90)}</div><footer>foot</footer></body>"
+    assert len({html_text.main_text(inside(t)) for t in ("article", "main", "div", "section")}) == 1
+
+
 def test_menus_without_a_name_go_and_linked_prose_stays():
     menu = "".join(f"<li><a href=/{k}>item {k}</a></li>" for k in range(12))
     page = f"<main><ul>{menu}</ul><p>{prose(1, 40)} <a href=x>see this</a>.</p><p><a href=y>{prose(2, 5)}</a></p><ul><li>{prose(3, 20)}</li></ul></main>"
