@@ -7,8 +7,10 @@ filters are bit-sliced: one slot array of language bit masks, so ANDing the ``HA
 all languages that contain it at once. A text's n-grams are looked up, per-language popcounts become shares,
 each is corrected for that language's false-positive rate, and the largest decides.
 
-The slot array has a fixed size (``SLOTS`` masks), whatever the corpus; only it goes through the driver. Counts and filter
-bits are gathered by shuffles after partial sums in each task.
+The slot array has at most 2^``SLOTS_LOG2`` slots and ``MODEL_WORDS`` words in all, whatever the corpus and however many languages; only it
+and the list of languages go through the driver. A filter is filled to ``FILL`` n-grams a slot at most: of a language with more, the
+most frequent ones are kept, and of those at the edge a share by digest. Counts and filter bits are gathered by shuffles
+after partial sums in each task.
 
 Defined cases: null text, or text without a letter: ``und`` and score 0. Nothing learned: ``und``, 0. No known
 n-gram: the language with most learned n-grams, score 0. Ties: the first language in code point order. Null
@@ -22,13 +24,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import cut, small_batches, table
 
-SLOTS_LOG2 = 20
+SLOTS_LOG2, MODEL_WORDS = 20, 1 << 23
+FILL = 1 / 8  # with three hashes three slots in ten are set, and three foreign n-grams in a hundred are taken for known
 SHARE = 0.3
-MAX_LANGS = 1024
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 HASHES = len(_MULTIPLIERS)
 _LETTER: list[np.ndarray] = []
@@ -57,9 +60,9 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(codes), np.concatenate(owners)
 
 
-def slots(codes: np.ndarray) -> list[np.ndarray]:
+def slots(codes: np.ndarray, log2: int) -> list[np.ndarray]:
     mixed = codes ^ (codes >> np.uint64(23))
-    return [((mixed * m) ^ (mixed >> np.uint64(7)) * m >> np.uint64(17)) * _MULTIPLIERS[0] >> np.uint64(64 - SLOTS_LOG2) for m in _MULTIPLIERS]
+    return [((mixed * m) ^ (mixed >> np.uint64(7)) * m >> np.uint64(17)) * _MULTIPLIERS[0] >> np.uint64(64 - log2) for m in _MULTIPLIERS]
 
 
 def ngram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
@@ -112,7 +115,7 @@ class Filters:
         if not self.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
         shares = np.zeros((len(texts), len(self.langs)))
-        at = slots(codes)
+        at = slots(codes, len(self.masks).bit_length() - 1)
         for w in range(self.masks.shape[1]):
             column = self.masks[:, w]
             hit = column[at[0]]
@@ -131,39 +134,48 @@ class Filters:
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Filters:
     """Count, select and set the n-grams of every language of ``docs``."""
-    counts = ngram_counts(docs, text_col, lang_col).persist()
-    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).limit(MAX_LANGS + 1).collect()}
-    if len(totals) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    spark = docs.sparkSession
+    counts = cut(ngram_counts(docs, text_col, lang_col))
+    totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}  # a row a language, as the model has
     langs = sorted(totals)
     width = max(1, -(-len(langs) // 64))
-    place = F.create_map(*[F.lit(x) for i, lang in enumerate(langs) for x in (lang, i)]) if langs else F.create_map().cast("map<string,int>")
-    inverse = F.create_map(*[F.lit(x) for lang in langs for x in (lang, 1.0 / totals[lang])]) if langs else F.create_map().cast("map<string,double>")
-    rated = counts.withColumn("rate", F.col("n") * inverse[F.col("lang")]).withColumn("place", place[F.col("lang")])
-    kept = (
+    log2 = max(10, min(SLOTS_LOG2, (MODEL_WORDS // width).bit_length() - 1))
+    known = spark.createDataFrame([(lang, i, 1.0 / totals[lang]) for i, lang in enumerate(langs)], "lang string, place int, weight double")
+    rated = counts.join(known, "lang").select("gram", F.struct("place", "n", (F.col("n") * F.col("weight")).alias("rate")).alias("own"))
+    typical = (
         rated.groupBy("gram")
-        .agg(F.collect_list(F.struct("place", "rate")).alias("own"), F.max("rate").alias("best"))  # at most one entry a language
-        .select("gram", F.expr(f"transform(filter(own, x -> x.rate >= best * {SHARE}), x -> x.place)").alias("places"))
+        .agg(F.collect_list("own").alias("own"), F.max("own.rate").alias("best"))  # at most one entry a language
+        .select("gram", F.explode(F.expr(f"filter(own, x -> x.rate >= best * {SHARE})")).alias("x"))
+        .select("gram", "x.place", "x.n")
     )
+    typical = cut(typical)
+    kept = typical.join(_edges(typical, int(FILL * (1 << log2))), "place", "left")
+    digest = F.pmod(F.xxhash64("gram"), F.lit(1 << 20)) / (1 << 20)
+    kept = kept.where(F.col("edge").isNull() | (F.col("n") > F.col("edge")) | (F.col("n") == F.col("edge")) & (digest < F.col("share"))).select("gram", "place")
 
     def set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            places = b.column(1)
-            sizes = np.diff(places.offsets.to_numpy())
-            codes = np.repeat(b.column(0).to_numpy().astype(np.uint64), sizes)
-            place = places.flatten().to_numpy().astype(np.int64)
+            codes, place = b.column(0).to_numpy().astype(np.uint64), b.column(1).to_numpy().astype(np.int64)
             masks = np.uint64(1) << (place & 63).astype(np.uint64)
-            for s in slots(codes):
+            for s in slots(codes, log2):
                 yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int64) * width + (place >> 6)), pa.array(masks.view(np.int64))], names=["slot", "mask"])
 
     set_ = kept.mapInArrow(set_bits, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # at most the slot array
-    sizes = {r["place"]: r["n"] for r in kept.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("n")).collect()}
-    counts.unpersist()
-    masks = np.zeros((1 << SLOTS_LOG2) * width, np.uint64)
+    sizes = {r["place"]: r["n"] for r in kept.groupBy("place").agg(F.count("*").alias("n")).collect()}
+    masks = np.zeros((1 << log2) * width, np.uint64)
     masks[set_.column("slot").to_numpy()] = set_.column("mask").to_numpy().view(np.uint64)
     return Filters(langs, masks.reshape(-1, width), [sizes.get(i, 0) for i in range(len(langs))])
 
 
+def _edges(typical: DataFrame, most: int) -> DataFrame:
+    """For languages with more than ``most`` n-grams: the count at which they are cut (``edge``), and which share of the n-grams of just that count stays."""
+    counts = typical.groupBy("place", "n").agg(F.count("*").alias("grams"))  # as many rows as different counts
+    down = W.partitionBy("place").orderBy(F.desc("n"))
+    upto = counts.withColumn("upto", F.sum("grams").over(down)).where(F.col("upto") > most)
+    edge = upto.groupBy("place").agg(F.max(F.struct("n", "upto", "grams")).alias("x"))
+    return edge.select("place", F.col("x.n").alias("edge"), ((most - (F.col("x.upto") - F.col("x.grams"))) / F.col("x.grams")).alias("share"))
+
+
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``lang_pred`` and ``score``."""
     small_batches(docs.sparkSession)

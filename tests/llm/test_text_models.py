@@ -115,11 +115,53 @@ def test_filters_return_every_language_of_a_gram(spark):
     f = language.learn(docs)
     assert f.langs == ["x", "y"]
     codes, _ = language.ngrams(["abab"])
-    at = language.slots(codes)
+    at = language.slots(codes, len(f.masks).bit_length() - 1)
     hit = f.masks[at[0], 0] & f.masks[at[1], 0] & f.masks[at[2], 0]
     assert (hit & np.uint64(1)).all() and (hit & np.uint64(2)).all()
 
 
+def test_language_against_plain_sets(spark):
+    from collections import Counter
+
+    rnd = random.Random(6)
+    letters = {"aa": "abcdefg ", "bb": "defghij ", "cc": "ghijklm ", "dd": "abcklm "}
+    made = [(lang, "".join(rnd.choice(own) for _ in range(rnd.choice([30, 90, 300])))) for lang, own in letters.items() for _ in range(40)]
+    made += [("aa", "abc " * 3000), ("aa", "abc " * 3000), (None, "abc def"), ("bb", None), ("bb", "")]
+    grams = lambda t: Counter(f" {t} "[k : k + 3] for k in range(len(t)) if t[k] != " ")
+    counts = {lang: sum((grams(t) for own, t in made if own == lang and t), Counter()) for lang in letters}
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    best = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    sets = {lang: {g for g, x in r.items() if x >= language.SHARE * best[g]} for lang, r in rate.items()}
+    model = language.learn(spark.createDataFrame(made, "lang string, text string").repartition(3))
+    assert model.langs == sorted(letters) and model.sizes == [len(sets[lang]) for lang in model.langs] and model.false_rate.max() < 1e-6
+    for own in letters.values():
+        for n in (1, 5, 40):
+            t = "".join(rnd.choice(own) for _ in range(n))
+            found = grams(t)
+            share = [sum(m for g, m in found.items() if g in sets[lang]) / max(sum(found.values()), 1) for lang in model.langs]
+            (lang,), (score,) = model.score([t])
+            if found and sum(share):
+                assert lang == model.langs[int(np.argmax(share))] and abs(score - max(share) / sum(share)) < 1e-5
+
+
+def test_filters_stay_sparse_whatever_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "MODEL_WORDS", 1 << 12)
+    rnd = random.Random(7)
+    signs = [chr(0x4E00 + k) for k in range(3000)]
+    english = "the cat sat on the mat and then it ran off to see what was there"
+    data = [("zh", "".join(rnd.choice(signs) for _ in range(3000))) for _ in range(10)] + [("zh", "".join(signs[:50]) * 10), ("en", english)]
+    model = language.learn(spark.createDataFrame(data, "lang string, text string"))
+    assert len(model.masks) == 1 << 12 and model.false_rate.max() < 0.05 and max(model.sizes) <= 600
+    assert model.score([english, "".join(signs[:50])])[0] == ["en", "zh"] and model.score([english])[1][0] > 0.9
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    data = [(f"l{k:04}", chr(0x4E00 + 3 * k) + chr(0x4E01 + 3 * k) * 2) for k in range(1100)] + [("l0000", "x" * 5000)]
+    model = language.learn(spark.createDataFrame(data, "lang string, text string"))
+    assert len(model.langs) == 1100 and model.masks.shape[1] == 18
+    assert model.score([data[k][1] for k in (0, 70, 1099)])[0] == ["l0000", "l0070", "l1099"]
+
+
 # ---- GIF
 
 
