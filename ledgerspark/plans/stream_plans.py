@@ -57,12 +57,18 @@ def block_stream(spark, d):
 
 @query("t2_sync_stream", sql("SELECT CAST(session AS VARCHAR) AS session, CAST(CAST(sum(input + output) AS BIGINT) AS VARCHAR) AS payload FROM usage GROUP BY session", "usage"))
 def sync_stream(spark, d):
+    """The events in four batches, with sessions across all of them; of what was sent the last of each session counts."""
     root = folder(spark)
+    rows = bindings.usage(spark, d).select(F.col("session").cast("string").alias("session"), (F.col("input") + F.col("output")).alias("n"), "ord")
+    rows.repartitionByRange(4, "ord").write.option("maxRecordsPerFile", 0).parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    atoms = incremental.StateTable(spark, f"{root}/state", "atoms", "session string, n long", history=True)
     digests = incremental.StateTable(spark, f"{root}/state", "digests", "session string, digest string")
-    fold = lambda b: b.groupBy(F.col("session").cast("string").alias("session")).agg(F.sum(F.col("input") + F.col("output")).cast("string").alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    fold = lambda b: b.groupBy("session").agg(F.sum("n").cast("string").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     send = lambda rows, n: rows.select("session", "payload").write.mode("overwrite").parquet(f"{root}/out/batch={n}")
-    incremental.sync_stream(event_stream(spark, d), digests, fold, send, f"{root}/checkpoint").awaitTermination()
-    return spark.read.schema("session string, payload string").parquet(f"{root}/out").drop("batch")
+    incremental.sync_stream(stream, atoms, digests, fold, send, f"{root}/checkpoint").awaitTermination()
+    sent = spark.read.schema("session string, payload string, batch long").parquet(f"{root}/out")
+    return sent.groupBy("session").agg(F.max_by("payload", "batch").alias("payload"))
 
 
 @query("t3_watermark", sql("SELECT harness AS store, max(ts) AS ts FROM usage GROUP BY harness", "usage"))

@@ -2,61 +2,100 @@
 
 A growing log is no new file to a file stream, and a later replay may change a session that went out before, so the honest form is a
 re-fold per batch: files whose size differs from the cursor are read again, their sessions folded, digests compared with the
-stored ones, and the changed rows handed to a sink. State is written only after the sink succeeded; a batch that fails is
+stored ones, and the changed rows handed to a sink. A stream of usage keeps its rows in a table by session, and each batch
+folds all stored rows of the sessions that it touches. State is written only after the sink succeeded; a batch that fails is
 done again with the same result.
 
-State tables are Parquet folders, a new version per batch beside a pointer file, under a root named by the parser epoch: a new
-epoch starts from nothing.
+State tables are Parquet folders under a root named by the parser epoch: a new epoch starts from nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.joins import changed
 
 
 class StateTable:
-    """The latest version of a small keyed table. ``replace`` writes a new version, then moves the pointer to it."""
+    """A keyed table of any size; the first column of its schema is the key, whose hash gives a row's bucket.
 
-    def __init__(self, spark: SparkSession, root: str, name: str, schema: str, epoch: int = 1):
-        self.spark, self.schema = spark, schema
+    A version is a folder with the buckets that it wrote. Versions count once they are whole. Of a bucket the latest version holds all
+    rows, so that a write costs what it touches; with ``history`` every version's rows count, and a version may be written again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, name: str, schema: str, epoch: int = 1, buckets: int = 16, history: bool = False):
+        self.spark, self.schema, self.buckets, self.history = spark, schema, buckets, history
         self.base = f"{root}/epoch={epoch}/{name}"
+        self.kind = StructType.fromDDL(schema)
+        self.key = self.kind.names[0]
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.base)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def versions(self) -> list[int]:
+    def _names(self, folder: str, start: str) -> list[int]:
         fs, path = self._fs()
-        if not fs.exists(path(self.base)):
+        if not fs.exists(path(folder)):
             return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.base))]
-        done = {n for n in names if n.startswith("v") and fs.exists(path(f"{self.base}/{n}/_SUCCESS"))}
-        return sorted(int(n[1:]) for n in done)
+        names = [s.getPath().getName() for s in fs.listStatus(path(folder))]
+        return sorted(int(n[len(start) :]) for n in names if n.startswith(start))
 
-    def read(self) -> DataFrame:
-        own = self.versions()
+    def versions(self) -> list[int]:
+        fs, path = self._fs()
+        return [v for v in self._names(self.base, "v") if fs.exists(path(f"{self.base}/v{v}/_SUCCESS"))]
+
+    def _parts(self) -> list[tuple[int, int]]:
+        """Buckets and versions to read."""
+        found = [(b, v) for v in self.versions() for b in self._names(f"{self.base}/v{v}", "bucket=")]
+        return found if self.history else list(dict(found).items())
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _load(self, parts: list[tuple[int, int]]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], self.kind)
+        return self.spark.read.schema(self.kind).parquet(*(f"{self.base}/v{v}/bucket={b}" for b, v in parts))
+
+    def touched(self, rows: DataFrame) -> set[int]:
+        """Buckets of the keys of ``rows``."""
+        return {r["bucket"] for r in rows.select(self.bucket().alias("bucket")).distinct().collect()}
+
+    def read(self, keys: DataFrame | None = None) -> DataFrame:
+        """All rows, or those of the keys of a frame, from their buckets alone."""
+        if keys is None:
+            return self._load(self._parts())
+        own = self.touched(keys)
+        return self._load([x for x in self._parts() if x[0] in own]).join(keys.select(self.key).distinct(), self.key, "left_semi")
+
+    def write(self, rows: DataFrame, version: int) -> None:
+        bucketed = rows.select(*self.kind.names).withColumn("bucket", self.bucket())
+        bucketed.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/v{version}")
+
+    def version(self, number: int) -> DataFrame:
+        return self._load([(b, number) for b in self._names(f"{self.base}/v{number}", "bucket=")])
+
+    def upsert(self, rows: DataFrame) -> None:
+        """Rows of ``rows`` replace those of the same key; buckets without any are left alone."""
+        own = self.touched(rows)
         if not own:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.base}/v{own[-1]}")
-
-    def replace(self, rows: DataFrame) -> None:
-        """Versions count once they are whole; the one before stays, since ``rows`` may still read it."""
-        own = self.versions()
-        rows.write.mode("overwrite").parquet(f"{self.base}/v{own[-1] + 1 if own else 1}")
+            return
+        held = self._load([x for x in self._parts() if x[0] in own])
+        last = max(self.versions(), default=0)
+        self.write(rows.select(*self.kind.names).unionByName(held.join(rows.select(self.key), self.key, "left_anti")), last + 1)
+        needed = {v for _, v in self._parts()} | {last}  # the version before stays, since ``rows`` may still read it
         fs, path = self._fs()
-        for old in own[:-1]:
+        for old in set(self.versions()) - needed - {last + 1}:
             fs.delete(path(f"{self.base}/v{old}"), True)
 
 
-def upsert(table: StateTable, rows: DataFrame, key: str) -> None:
-    """Rows of ``rows`` replace those of the same key."""
-    table.replace(rows.unionByName(table.read().join(rows.select(key), key, "left_anti")))
+def upsert(table: StateTable, rows: DataFrame) -> None:
+    table.upsert(rows)
 
 
 def grown_files(listing: DataFrame, cursors: DataFrame) -> DataFrame:
@@ -64,19 +103,34 @@ def grown_files(listing: DataFrame, cursors: DataFrame) -> DataFrame:
     return changed(listing, cursors, "path", "size")
 
 
-def sync_once(listing: DataFrame, cursors: StateTable, digests: StateTable, fold: Callable[[DataFrame], DataFrame], send: Callable[[DataFrame], None]) -> DataFrame:
-    """One pass: changed files, their sessions, those with a new digest to ``send``; then the state. Returns what was sent.
+def sync_once(
+    listing: DataFrame, cursors: StateTable, digests: StateTable, fold: Callable[[DataFrame], DataFrame], send: Callable[[DataFrame], None],
+    stamps: StateTable | None = None, attribution: str | None = None, whole: bool = False,
+) -> int:
+    """One pass: changed files, their sessions, those with a new digest to ``send``; then the state. Returns how many were sent.
 
-    ``fold`` turns the changed files into rows ``session, payload, digest``; ``send`` may see a row again after a failure and
-    must put it in the place of the one before.
+    ``fold`` turns files into rows ``session, payload, digest``; with ``whole`` it gets all files once any has changed, as sources
+    need whose messages are replayed across files. ``send`` may see a row again after a failure and must put it in the place of
+    the one before. A confirmed ``attribution`` (null: not confirmed) other than the one in ``stamps`` (``name, stamp``) folds
+    every file again, so that sessions go out anew with what it changes.
     """
-    grown = grown_files(listing, cursors.read()).persist()
+    flipped = False
+    if stamps is not None and attribution is not None:
+        held = {r["stamp"] for r in stamps.read().where("name = 'attribution'").collect()}
+        flipped = held != {attribution}
+    grown = (listing if flipped else grown_files(listing, cursors.read())).persist()
     try:
-        fresh = changed(fold(grown), digests.read()).persist()
-        send(fresh)
-        upsert(digests, fresh.select("session", "digest"), "session")
-        upsert(cursors, grown.select("path", "size"), "path")
-        return fresh
+        again = listing if whole and not grown.isEmpty() else grown
+        fresh = changed(fold(again), digests.read()).persist()
+        try:
+            send(fresh)
+            digests.upsert(fresh.select("session", "digest"))
+            cursors.upsert(grown.select("path", "size"))
+            if flipped:
+                stamps.upsert(stamps.spark.createDataFrame([("attribution", attribution)], stamps.schema))
+            return fresh.count()
+        finally:
+            fresh.unpersist()
     finally:
         grown.unpersist()
 
@@ -97,22 +151,40 @@ def send_in_chunks(rows: DataFrame, post: Callable[[list[str]], None], size: int
     rows.select("payload").foreachPartition(each)
 
 
-def sync_stream(batches: DataFrame, digests: StateTable, fold: Callable[[DataFrame], DataFrame], send: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
-    """A streaming query over usage batches: each is folded, compared with the digests and sent if it differs."""
+def sync_stream(
+    batches: DataFrame, atoms: StateTable, digests: StateTable, fold: Callable[[DataFrame], DataFrame], send: Callable[[DataFrame, int], None],
+    checkpoint: str, related: Callable[[DataFrame, StateTable], DataFrame] | None = None, **trigger,
+):
+    """A streaming query over usage batches: each is stored, its sessions folded over all their rows, and sent if their digest changed.
+
+    ``atoms`` holds the rows of every batch so far (a table with ``history``, whose key is the session); a batch that is done again
+    takes its own place there. ``related`` names further sessions that a batch changes (a frame with the key), where messages
+    are replayed across sessions. The tables belong to the checkpoint: a new one needs new tables.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        fresh = changed(fold(batch), digests.read()).persist()
-        send(fresh, number)
-        upsert(digests, fresh.select("session", "digest"), "session")
-        fresh.unpersist()
+        atoms.write(batch, number)
+        own = atoms.version(number)
+        keys = own.select(atoms.key)
+        if related is not None:
+            keys = keys.unionByName(related(own, atoms).select(atoms.key))
+        keys = keys.distinct().persist()
+        fresh = changed(fold(atoms.read(keys)), digests.read(keys.withColumnRenamed(atoms.key, digests.key))).persist()
+        try:
+            send(fresh, number)
+            digests.upsert(fresh.select(digests.key, "digest"))
+        finally:
+            fresh.unpersist()
+            keys.unpersist()
 
     return batches.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def advance_watermark(table: StateTable, seen: DataFrame, key: str = "store") -> None:
-    """The greatest time per store; it never goes back, and drops no late rows."""
-    both = table.read().unionByName(seen.select(key, "ts"))
-    table.replace(both.groupBy(key).agg(F.max("ts").alias("ts")))
+def advance_watermark(table: StateTable, seen: DataFrame) -> None:
+    """The greatest time (``ts``) per store, the key of the table; it never goes back, and drops no late rows."""
+    latest = seen.groupBy(table.key).agg(F.max("ts").alias("ts"))
+    both = table.read(latest).unionByName(latest)
+    table.upsert(both.groupBy(table.key).agg(F.max("ts").alias("ts")))
 
 
 def listing(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:

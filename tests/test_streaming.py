@@ -12,15 +12,45 @@ from ledgerspark.streaming import stateful as S
 
 
 def test_state_table_versions_and_epochs(spark, tmp_path):
-    t = I.StateTable(spark, str(tmp_path), "d", "session string, digest string")
+    t = I.StateTable(spark, str(tmp_path), "d", "session string, digest string", buckets=1)
     assert t.read().count() == 0
     for k in range(3):
-        I.upsert(t, spark.createDataFrame([("a", f"x{k}"), (f"b{k}", "y")], t.schema), "session")
+        t.upsert(spark.createDataFrame([("a", f"x{k}"), (f"b{k}", "y")], t.schema))
     assert sorted(map(tuple, t.read().collect())) == [("a", "x2"), ("b0", "y"), ("b1", "y"), ("b2", "y")]
     assert len(t.versions()) == 2
     assert I.StateTable(spark, str(tmp_path), "d", t.schema, epoch=2).read().count() == 0
 
 
+def test_state_table_rewrites_only_what_it_touches(spark, tmp_path):
+    t = I.StateTable(spark, str(tmp_path), "d", "session string, n long", buckets=8)
+    t.upsert(spark.createDataFrame([(f"s{k}", k) for k in range(100)], t.schema))
+    t.upsert(spark.createDataFrame([("s7", -7)], t.schema))
+    assert len(t._names(f"{t.base}/v2", "bucket=")) == 1
+    assert {r["session"]: r["n"] for r in t.read().collect()} == {f"s{k}": k if k != 7 else -7 for k in range(100)}
+    assert [tuple(r) for r in t.read(spark.createDataFrame([("s7",), ("none",)], "session string")).collect()] == [("s7", -7)]
+    t.upsert(t.read().where("n > 10"))  # rows that come from the table itself
+    assert t.read().count() == 100
+
+
+def test_an_attribution_flip_folds_every_file_again(spark, tmp_path):
+    files = spark.createDataFrame([("a", 1), ("b", 2)], "path string, size long")
+    table = lambda name, schema: I.StateTable(spark, str(tmp_path), name, schema)
+    cursors, digests, stamps = table("c", "path string, size long"), table("d", "session string, digest string"), table("s", "name string, stamp string")
+    sent = []
+
+    def run(attribution, whole=False, rows=files):
+        fold = lambda g: g.select(F.col("path").alias("session"), F.concat("path", F.lit(attribution or "none"), F.col("size")).alias("digest"))
+        sent.clear()
+        return I.sync_once(rows, cursors, digests, fold, lambda df: sent.extend(sorted(r["session"] for r in df.collect())), stamps, attribution, whole)
+
+    assert run("x") == 2 and run("x") == 0 and run(None) == 0 and sent == []
+    assert run("y") == 2 and sent == ["a", "b"] and run("y") == 0
+    grown = spark.createDataFrame([("a", 9), ("b", 2)], files.schema)
+    assert run("y", rows=grown) == 1 and sent == ["a"]
+    digests.upsert(spark.createDataFrame([("b", "stale")], digests.schema))
+    assert run("y", True, spark.createDataFrame([("a", 10), ("b", 2)], files.schema)) == 2 and sent == ["a", "b"]
+
+
 def test_sync_sends_only_changes_and_keeps_state_on_failure(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
@@ -97,14 +127,36 @@ def test_live_stream_starts_at_zero(spark, tmp_path):
     assert sorted(r["delta"] for r in spark.table("live").collect()) == [0, 30]
 
 
-def test_sync_stream_is_idempotent(spark, tmp_path):
-    stream = batches(spark, tmp_path, "session string, n long", [[{"session": "a", "n": 1}], [{"session": "a", "n": 1}], [{"session": "a", "n": 2}]])
+def test_sync_stream_sends_totals_over_all_batches(spark, tmp_path):
+    parts = [[("a", 10), ("b", 1), ("c", 4)], [("a", 5), ("b", 1)], [("a", 1), ("c", 0)], [("b", 2)]]  # b has equal sums twice
+    stream = batches(spark, tmp_path, "session string, n long", [[{"session": s, "n": n} for s, n in p] for p in parts])
     digests = I.StateTable(spark, str(tmp_path / "s"), "digests", "session string, digest string")
+    atoms = I.StateTable(spark, str(tmp_path / "s"), "atoms", "session string, n long", history=True)
     sent = []
     fold = lambda b: b.groupBy("session").agg(F.sum("n").cast("string").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    q = I.sync_stream(stream, digests, fold, lambda df, k: sent.append([r["payload"] for r in df.collect()]), str(tmp_path / "c"))
-    q.awaitTermination(120)
-    assert [s for s in sent if s] == [["1"], ["2"]]
+    send = lambda df, k: sent.append(sorted((r["session"], r["payload"]) for r in df.collect()))
+    I.sync_stream(stream, atoms, digests, fold, send, str(tmp_path / "c")).awaitTermination(120)
+    assert [s for s in sent if s] == [[("a", "10"), ("b", "1"), ("c", "4")], [("a", "15"), ("b", "2")], [("a", "16")], [("b", "4")]]
+    last = dict(x for part in sent for x in part)
+    whole = spark.createDataFrame([x for p in parts for x in p], "session string, n long")
+    assert last == {r["session"]: r["payload"] for r in fold(whole).collect()}
+
+
+def test_a_late_replay_changes_the_session_that_went_out(spark, tmp_path):
+    """A message replayed in another session with more tokens: its first session goes out again with the better record."""
+    row = lambda s, m, n, o: {"session": s, "message": m, "n": n, "ord": o}
+    stream = batches(spark, tmp_path, "session string, message string, n long, ord long", [[row("a", "m1", 5, 1), row("a", "m2", 1, 2)], [row("z", "m9", 3, 3)], [row("b", "m1", 50, 4), row("b", "m3", 2, 5)]])
+    digests = I.StateTable(spark, str(tmp_path / "s"), "digests", "session string, digest string")
+    atoms = I.StateTable(spark, str(tmp_path / "s"), "atoms", "session string, message string, n long, ord long", history=True)
+
+    def fold(rows):
+        kept = rows.groupBy("message").agg(F.max("n").alias("n"), F.min_by("session", "ord").alias("session"))
+        return kept.groupBy("session").agg(F.sum("n").cast("string").alias("payload")).withColumn("digest", F.sha2("payload", 256))
+
+    related = lambda own, atoms: atoms.read().join(own.select("message").distinct(), "message", "left_semi")
+    sent = []
+    I.sync_stream(stream, atoms, digests, fold, lambda df, k: sent.append(sorted((r["session"], r["payload"]) for r in df.collect())), str(tmp_path / "c"), related).awaitTermination(120)
+    assert [s for s in sent if s] == [[("a", "6")], [("z", "3")], [("a", "51"), ("b", "2")]]
 
 
 def test_gates():
