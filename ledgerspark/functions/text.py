@@ -64,6 +64,7 @@ def base_name(path: Column) -> Column:
 def entry_point(raw: Column, sidechain: Column) -> Column:
     """Where a session was started, from a client name."""
     flat = F.lower(trimmed(raw))
+    # The client names that logs use.
     known = (
         F.when(F.coalesce(sidechain, F.lit(False)), "subagent")
         .when(flat.isNull() | (flat == ""), "unknown")
@@ -75,6 +76,12 @@ def entry_point(raw: Column, sidechain: Column) -> Column:
     return known.when(flat.startswith("opencode") | flat.rlike(r"^[a-z0-9._:-]{1,64}$"), flat).otherwise("unknown")
 
 
+def hermes_entry_point(raw: Column) -> Column:
+    """Where a session was started, for stores that name platforms: well-formed names stand for themselves."""
+    flat = F.lower(trimmed(raw))
+    return F.when(flat.isin("cli", "terminal"), "cli").when(flat.rlike(r"^[a-z0-9._:-]{1,64}$"), flat).otherwise("unknown")
+
+
 def hmac_hex(key: bytes, message: Column, digits: int = 32) -> Column:
     """First hexadecimal digits of HMAC-SHA256; the key is padded here, the rest are built-in functions."""
     block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
@@ -89,18 +96,56 @@ def repo_hash(key: bytes, label: Column) -> Column:
 
 def semver(version: Column) -> Column:
     """A version as ``[major, minor, patch]``, comparable; null if it is none."""
-    parts = [F.regexp_extract(version, r"^v?(\d+)\.(\d+)\.(\d+)", k) for k in (1, 2, 3)]
+    parts = [F.regexp_extract(trimmed(version), r"^v?(\d+)\.(\d+)\.(\d+)", k) for k in (1, 2, 3)]
     return F.when(parts[0] != "", F.array(*(F.when(p != "", p).cast("int") for p in parts)))
 
 
+def newer(a: Column, b: Column) -> Column:
+    """-1, 0 or 1 as version ``a`` comes before, with or after ``b``; 0 if either is none."""
+    a, b = semver(a), semver(b)
+    return F.coalesce(F.when(a < b, -1).when(a > b, 1), F.lit(0))
+
+
+def one_digit(x: Column) -> Column:
+    """A double of 0 or more with one decimal, rounded by its exact binary value; exact halves go up."""
+    tenths = F.floor(x * 10).cast("long")
+    odd = (tenths * 2 + 1).cast("double")
+    up = (x * 16 - odd) + x * 4 >= 0  # 20 x against an odd number; near a half each step is exact
+    tenths = tenths + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def compact(n: Column) -> Column:
-    """1234567 as ``1.2M``."""
-    out = F.round(n).cast("long").cast("string")
-    for size, unit in ((1e3, "K"), (1e6, "M"), (1e9, "B")):
-        out = F.when(n >= size, F.concat(F.round(n / size, 1).cast("decimal(30,1)").cast("string"), F.lit(unit))).otherwise(out)
+    """1234567 as ``1.2M``, -1234567 as ``-1.2M``; numbers under a thousand as they are."""
+    n = n.cast("double")
+    size = F.abs(n)
+    sign = F.when(n < 0, "-").otherwise("")
+    out = F.when(n == F.floor(n), n.cast("long").cast("string")).otherwise(n.cast("string"))
+    for unit_size, unit in ((1e3, "K"), (1e6, "M"), (1e9, "B")):
+        out = F.when(size >= unit_size, F.concat(sign, one_digit(size / unit_size), F.lit(unit))).otherwise(out)
     return out
 
 
+def grouped(n: Column) -> Column:
+    """10412388 as ``10,412,388``, halves up."""
+    return F.regexp_replace(F.floor(n.cast("double") + 0.5).cast("string"), r"\B(?=(\d{3})+(?!\d))", ",")
+
+
+def money_tick(v: Column) -> Column:
+    """Dollars on an axis: ``$600``, ``$1.2k``, ``$2k``."""
+    v = v.cast("double")
+    thousands = F.regexp_replace(one_digit(v / 1000), r"\.0$", "")
+    return F.when(v >= 1000, F.concat(F.lit("$"), thousands, F.lit("k"))).otherwise(F.concat(F.lit("$"), F.floor(v + 0.5).cast("string")))
+
+
+def short_span(minutes: Column) -> Column:
+    """Minutes as a short span: ``45m``, ``3h 12m``, ``6d``."""
+    m = F.greatest(F.lit(0), F.floor(minutes.cast("double") + 0.5)).cast("long")
+    rest = F.when(m % 60 != 0, F.concat(F.lit(" "), (m % 60).cast("string"), F.lit("m"))).otherwise("")
+    days = F.floor(m.cast("double") / 1440 + 0.5).cast("string")
+    return F.when(m < 60, F.concat(m.cast("string"), F.lit("m"))).when(m < 2880, F.concat(F.floor(m / 60).cast("string"), F.lit("h"), rest)).otherwise(F.concat(days, F.lit("d")))
+
+
 def clock(ms: Column) -> Column:
     """Milliseconds as ``h:mm``."""
     minutes = F.floor(ms / 60_000)

@@ -77,9 +77,21 @@ def repo_hash(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.repo_hash(KEY, F.concat(F.lit("/home/u/"), "c_name")).alias("repo_hash"))
 
 
-@query("f12_compact_numbers", "SELECT o_orderkey, CASE WHEN n >= 1e6 THEN CAST(round(n / 1e6, 1) AS DECIMAL(30,1)) || 'M' WHEN n >= 1e3 THEN CAST(round(n / 1e3, 1) AS DECIMAL(30,1)) || 'K' ELSE CAST(CAST(round(n) AS BIGINT) AS VARCHAR) END AS short, (o_orderkey // 60) || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS clock FROM (SELECT *, o_totalprice * 10 AS n FROM orders)")
+# One decimal of the exact value: printf rounds it, and halves that doubles hold exactly go up.
+_TENTH = "CASE WHEN {x} * 4 = floor({x} * 4) AND CAST({x} * 4 AS BIGINT) % 2 = 1 THEN printf('%.1f', floor({x} * 10) / 10 + 0.1) ELSE printf('%.1f', {x}) END"
+_COMPACT = "CASE WHEN n < 0 THEN '-' ELSE '' END || CASE WHEN a >= 1e9 THEN " + _TENTH.format(x="(a / 1e9)") + " || 'B' WHEN a >= 1e6 THEN " + _TENTH.format(x="(a / 1e6)") + " || 'M' WHEN a >= 1e3 THEN " + _TENTH.format(x="(a / 1e3)") + " || 'K' ELSE CAST(CAST(a AS BIGINT) AS VARCHAR) END"
+
+
+@query("f12_compact_numbers", f"""
+SELECT o_orderkey, {_COMPACT} AS short, (o_orderkey // 60) || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS clock,
+       CASE WHEN m < 60 THEN m || 'm' WHEN m < 2880 THEN (m // 60) || 'h' || CASE WHEN m % 60 <> 0 THEN ' ' || (m % 60) || 'm' ELSE '' END ELSE CAST(floor(m / 1440.0 + 0.5) AS BIGINT) || 'd' END AS span,
+       CASE WHEN o_orderkey >= 1000 THEN '$' || regexp_replace({_TENTH.format(x="(o_orderkey / 1000.0::DOUBLE)")}, '\.0$', '') || 'k' ELSE '$' || o_orderkey END AS tick
+FROM (SELECT *, abs(n) AS a FROM (SELECT o_orderkey, CAST(o_orderkey % 5000 AS BIGINT) AS m,
+      CAST((CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE 1 END) * CASE o_orderkey % 3 WHEN 0 THEN o_orderkey * 50 WHEN 1 THEN o_orderkey * 50000 ELSE o_orderkey * 50000000 END AS DOUBLE) AS n FROM orders))""")
 def compact_numbers(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", T.compact(F.col("o_totalprice") * 10).alias("short"), T.clock(F.col("o_orderkey") * 60_000).alias("clock"))
+    k = F.col("o_orderkey")
+    n = F.when(k % 7 == 0, -1).otherwise(1) * F.when(k % 3 == 0, k * 50).when(k % 3 == 1, k * 50_000).otherwise(k * 50_000_000)  # halves of a tenth among them
+    return table(spark, d, "orders").select("o_orderkey", T.compact(n).alias("short"), T.clock(k * 60_000).alias("clock"), T.short_span(k % 5000).alias("span"), T.money_tick(k).alias("tick"))
 
 
 @query("f13_percent_clamp", "SELECT c_custkey, least(100.0, greatest(0.0, c_acctbal / 50)) AS percent FROM customer")

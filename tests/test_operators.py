@@ -258,3 +258,20 @@ def test_stored_state_is_read_defensively(spark):
     assert scalar(spark, state.org_context(F.lit('{"enrolled": "yes", "checkedAt": 5}'))) is None and scalar(spark, state.org_context(F.lit("{"))) is None
     rates = scalar(spark, state.user_rates(F.lit('{"a": {"input": 1, "output": 2.5, "cacheRead": 0}, "b": {"input": 0, "output": 1}, "c": {"input": "1", "output": 1}, "d": 4}')))
     assert list(rates) == ["a"] and rates["a"]["output"] == 2.5 and rates["a"]["cache_write"] is None
+
+
+def test_numbers_for_reading(spark):
+    from ledgerspark.functions import text as T
+
+    values = [(1150, "1.1K"), (1450, "1.4K"), (1250, "1.3K"), (1350, "1.4K"), (999, "999"), (0, "0"), (-5, "-5"), (-1234567, "-1.2M"), (999_950, "1000.0K"), (1_050_000, "1.1M"), (15_700_000_000, "15.7B"), (1000, "1.0K")]
+    df = spark.createDataFrame(values, "n long, want string")
+    assert all(r["got"] == r["want"] for r in df.select("want", T.compact(F.col("n")).alias("got")).collect())
+    spans = spark.createDataFrame([(0, "0m"), (59, "59m"), (60, "1h"), (192, "3h 12m"), (2879, "47h 59m"), (8640, "6d"), (-4, "0m")], "n long, want string")
+    assert all(r["got"] == r["want"] for r in spans.select("want", T.short_span(F.col("n")).alias("got")).collect())
+    money = spark.createDataFrame([(600.4, "$600"), (1200.0, "$1.2k"), (2000.0, "$2k"), (999.5, "$1000")], "n double, want string")
+    assert all(r["got"] == r["want"] for r in money.select("want", T.money_tick(F.col("n")).alias("got")).collect())
+    assert spark.range(1).select(T.grouped(F.lit(10412388.5))).first()[0] == "10,412,389"
+    pairs = spark.createDataFrame([("1.2.3", " v1.2.4 ", -1), ("2.0.0-rc1", "1.99.99", 1), ("1.2.3", "v1.2.3", 0), ("x", "1.0.0", 0), (None, "1.0.0", 0), ("1.10.0", "1.9.0", 1)], "a string, b string, want int")
+    assert all(r["got"] == r["want"] for r in pairs.select("want", T.newer(F.col("a"), F.col("b")).alias("got")).collect())
+    names = spark.createDataFrame([("Terminal", "cli"), (" telegram ", "telegram"), ("", "unknown"), (None, "unknown"), ("two words", "unknown"), ("vscode", "vscode")], "a string, want string")
+    assert all(r["got"] == r["want"] for r in names.select("want", T.hermes_entry_point(F.col("a")).alias("got")).collect())
