@@ -14,6 +14,8 @@ covering radius plus the threshold, and per anchor fingerprints are compared who
   radius 3, and threshold 0, so exactly one anchor. Texts at the border of the similarity meet in at least one set with
   probability 0.95, at 0.85 with 0.99. Links so found are then checked on the whole texts, by the exact cosine of their sets of
   shingles. Where links that fail leave apart what the candidates hold together, all texts of that component are compared so.
+  The first ``FIRST`` sets go ahead; the others then look only for links between texts that the checked ones leave apart, so that a
+  large group costs a few links a text, not one for every set.
 
 Only distinct fingerprints (with checked links: distinct texts, whose repeated shingles count once) are compared, so exact copies cost nothing. An anchor with more than ``CHUNK`` fingerprints
 is dealt over pairs of chunks of that size, each a group of its own. A group hands on a spanning forest of its links,
@@ -26,7 +28,7 @@ component is the smallest non-null doc_id of the group, or null if there is none
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -42,7 +44,7 @@ CHUNK = 2048
 #: Five-word shingles, a cosine of their sets of 0.8 or more, 256 bits. At that cosine 52 bits differ on average, with
 #: a standard deviation of 6.5; ``NEAR`` bits let 98 of 100 such pairs through to the exact check.
 NEAR_WORDS, LEAST, NEAR_SIZE, NEAR = 5, 0.8, 4, 66
-BLOCKS = 48
+BLOCKS, FIRST = 48, 12
 #: Fingerprints that only null ids have are named from here on, so that an id is always the lesser name.
 NO_ID = 1 << 62
 HAMMING_BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit and width
@@ -157,42 +159,49 @@ def golay_anchor(word: np.ndarray) -> np.ndarray:
     return word ^ _LEADERS[0][_remainder(word)]
 
 
-def golay_anchors(fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def golay_anchors(fp: np.ndarray, blocks: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The anchor of each fingerprint in each of the bit sets, which are fixed draws from all its bits."""
     draw = np.random.default_rng(23)
     rows = np.arange(len(fp))
-    for k in range(BLOCKS):
+    for k in range(blocks.stop):
+        bits = draw.choice(64 * fp.shape[1], 23, replace=False).tolist()
+        if k not in blocks:
+            continue
         value = np.zeros(len(fp), np.int64)
-        for bit in draw.choice(64 * fp.shape[1], 23, replace=False).tolist():
+        for bit in bits:
             value = value << 1 | (fp[:, bit >> 6] >> np.uint64(bit & 63) & np.uint64(1)).astype(np.int64)
         yield rows, golay_anchor(value) >> 11 << 8 | k  # the first twelve bits name a code word
 
 
-def covered(fps: DataFrame, size: int) -> DataFrame:
-    """``anchor, node`` and the words ``w0`` and on of each distinct fingerprint, at every anchor that covers it."""
+def covered(fps: DataFrame, size: int, blocks: range = range(BLOCKS)) -> DataFrame:
+    """``anchor, node, label`` and the words ``w0`` and on of each distinct fingerprint, at every anchor that covers it."""
     words = [f"w{k}" for k in range(size)]
-    search = hamming_anchors if size == 1 else golay_anchors
+    search = hamming_anchors if size == 1 else lambda fp: golay_anchors(fp, blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, *own = (c.to_numpy() for c in b.columns)
+            node, label, *own = (c.to_numpy() for c in b.columns)
             for rows, anchors in search(np.stack(own, 1).view(np.uint64)):
-                yield pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(node[rows]), *(pa.array(w[rows]) for w in own)], names=["anchor", "node", *words])
+                yield pa.RecordBatch.from_arrays([pa.array(anchors), *(pa.array(c[rows]) for c in (node, label, *own))], names=["anchor", "node", "label", *words])
 
-    rows = fps.select("node", *(F.col("fp")[k].alias(w) for k, w in enumerate(words)))
-    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("anchor", "node", *words)))
+    rows = fps.select("node", "label", *(F.col("fp")[k].alias(w) for k, w in enumerate(words)))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in ("anchor", "node", "label", *words)))
 
 
-def forest(group: np.ndarray, side: np.ndarray, fp: np.ndarray, *distances: int) -> np.ndarray:
+def forest(group: np.ndarray, side: np.ndarray, fp: np.ndarray, *distances: int, label: np.ndarray | None = None) -> np.ndarray:
     """Index pairs of linked fingerprints that span each group's components; ``fp`` has a row of words per fingerprint.
 
-    Links are taken up to the first distance, then up to the next, so that close ones span what they can.
+    Rows of one ``label`` are together already. Links are taken up to the first distance, then up to the next, so that close ones span what they can.
 
     Rows come sorted by group; in a group with two sides only links between them count. One pass per lag compares each row
     with the row so much later, for all groups at once.
     """
     n = len(fp)
     root = np.arange(n)
+    if label is not None and n:
+        order = np.lexsort((root, label, group))
+        new = np.concatenate(([True], (group[order][1:] != group[order][:-1]) | (label[order][1:] != label[order][:-1])))
+        root[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
     out = []
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     two = np.repeat(np.maximum.reduceat(side, starts) > 0, np.diff(np.append(starts, n))) if n else np.zeros(0, bool)
@@ -223,10 +232,13 @@ def forest(group: np.ndarray, side: np.ndarray, fp: np.ndarray, *distances: int)
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def links(fps: DataFrame, size: int = 1, distances: tuple[int, ...] = (DISTANCE,), chunk: int = CHUNK) -> DataFrame:
-    """Distinct links ``a, b`` of nodes (a < b) that span the components of the distinct fingerprints ``node, fp``."""
+def links(fps: DataFrame, size: int = 1, distances: tuple[int, ...] = (DISTANCE,), chunk: int = CHUNK, blocks: range = range(BLOCKS)) -> DataFrame:
+    """Distinct links ``a, b`` of nodes (a < b) that span the components of the distinct fingerprints ``node, fp``.
+
+    Fingerprints of one ``label`` (if there is such a column) are together already and get no links among themselves.
+    """
     words = [f"w{k}" for k in range(size)]
-    spread = cut(covered(fps, size))
+    spread = cut(covered(fps if "label" in fps.columns else fps.withColumn("label", F.col("node")), size, blocks))
     large = cut(spread.groupBy("anchor").count().where(F.col("count") > chunk).select("anchor", F.ceil(F.col("count") / chunk).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
@@ -234,13 +246,13 @@ def links(fps: DataFrame, size: int = 1, distances: tuple[int, ...] = (DISTANCE,
     rows = (
         spread.join(large, "anchor", "left")
         .withColumn("part", part)
-        .select("anchor", "node", *words, "part", F.explode(cells).alias("cell"))
-        .select(F.xxhash64("anchor", "cell").alias("cell"), F.when(F.col("part") == F.col("cell.x"), 0).otherwise(1).cast("long").alias("side"), "node", *words)
+        .select("anchor", "node", "label", *words, "part", F.explode(cells).alias("cell"))
+        .select(F.xxhash64("anchor", "cell").alias("cell"), F.when(F.col("part") == F.col("cell.x"), 0).otherwise(1).cast("long").alias("side"), "node", "label", *words)
     )
 
     def compared(held: list[pa.Table]) -> pa.RecordBatch:
-        cell, side, node, *own = (c.to_numpy() for c in pa.concat_tables(held).columns)
-        pairs = node[forest(cell, side, np.stack(own, 1).view(np.uint64), *distances)].reshape(-1, 2)
+        cell, side, node, label, *own = (c.to_numpy() for c in pa.concat_tables(held).columns)
+        pairs = node[forest(cell, side, np.stack(own, 1).view(np.uint64), *distances, label=label)].reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +271,7 @@ def links(fps: DataFrame, size: int = 1, distances: tuple[int, ...] = (DISTANCE,
             yield compared(held)
 
     dealt = rows.repartition("cell").sortWithinPartitions("cell", "node")
-    return dealt.select("cell", "side", "node", *words).mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("cell", "side", "node", "label", *words).mapInArrow(run, "a long, b long").distinct()
 
 
 def shingle_sets(texts: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
@@ -276,10 +288,9 @@ def shingle_sets(texts: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
     return map_columns(texts.select("node", "text"), run, "node long, signs array<long>")
 
 
-def linked_sets(found: DataFrame, own: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The ``shingle_sets`` of the texts that have links, each read at the least doc_id (``first``) that has it."""
-    nodes = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    nodes = cut(own.join(nodes, "node").select(F.col("node").alias("own"), "first"))
+def sets_of(nodes: DataFrame, own: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The ``shingle_sets`` of the texts ``node``, each read at the least doc_id (``first``) that has it."""
+    nodes = cut(own.join(nodes.select("node").distinct(), "node").select(F.col("node").alias("own"), "first"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_node().alias("node"), "text")
     read = texts.join(nodes.hint("shuffle_hash"), (texts["node"] == nodes["own"]) & texts["doc_id"].eqNullSafe(nodes["first"]), "left_semi")
     return cut(shingle_sets(read, words).groupBy("node").agg(F.any_value("signs").alias("signs")))
@@ -326,7 +337,7 @@ def alike(root: np.ndarray, side: np.ndarray, signs: list[np.ndarray], least: fl
     return out
 
 
-def completed(found: DataFrame, sure: DataFrame, sets: DataFrame, least: float, chunk: int = CHUNK // 2) -> DataFrame:
+def completed(found: DataFrame, sure: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float, chunk: int = CHUNK // 2) -> DataFrame:
     """Checked links ``a, b`` that the candidates ``found`` hide: they span components, so a link that
     fails the check may have stood in for a good one. Components that the checked links ``sure`` do not hold
     together are compared in full on their shingles, over pairs of chunks.
@@ -337,9 +348,9 @@ def completed(found: DataFrame, sure: DataFrame, sets: DataFrame, least: float,
     split = cut(split.select("wide", F.ceil(F.col("n") / chunk).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("node"), "parts").cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("x"), F.greatest("part", q).alias("y")))
+    apart = cut(parts.join(split, "wide"))
     rows = (
-        parts.join(split, "wide")
-        .join(sets, "node")
+        apart.join(sets(apart), "node")
         .withColumn("part", part)
         .select("wide", "node", "root", "signs", "part", F.explode(cells).alias("cell"))
         .select("wide", "cell", F.when(F.col("part") == F.col("cell.x"), 0).otherwise(1).cast("long").alias("side"), "node", "root", "signs")
@@ -355,10 +366,12 @@ def completed(found: DataFrame, sure: DataFrame, sets: DataFrame, least: float,
     return rows.groupBy("wide", "cell").applyInArrow(compared, "a long, b long").distinct()
 
 
-def verified(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links alike on the whole texts that span what the candidates ``found`` reach."""
-    sure = cut(checked(found, sets, least))
-    return sure.unionByName(completed(found, sure, sets, least))
+def verified(found: DataFrame, known: DataFrame | None, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """Links alike on the whole texts that span, with the ``known`` ones, what the candidates ``found`` and they reach."""
+    ends = found.select(F.explode(F.array("a", "b")).alias("node"))
+    sure = checked(found, sets(ends), least)
+    sure = cut(sure if known is None else sure.unionByName(known))
+    return sure.unionByName(completed(found if known is None else found.unionByName(known), sure, sets, least))
 
 
 def groups(docs: DataFrame, words: int = WORDS, size: int = 1, distances: tuple[int, ...] = (DISTANCE,), least: float | None = None) -> DataFrame:
@@ -386,8 +399,13 @@ def near_nodes(docs: DataFrame, words: int, size: int, distances: tuple[int, ...
     marked = cut(marks(docs, words, size))
     own = marked.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.min(F.col("fp")[k]).alias(f"w{k}") for k in range(size)))
     own = cut(own.select("node", "first", F.array(*(f"w{k}" for k in range(size))).alias("fp")))
-    found = cut(links(own.select("node", "fp"), size, distances))
-    roots = components(verified(found, linked_sets(found, own, docs, words), least))
+    sets = lambda nodes: sets_of(nodes, own, docs, words)
+    known, label = None, own.select("node", F.col("node").alias("label"), "fp")
+    for blocks in (range(FIRST), range(FIRST, BLOCKS)) if size > 1 else (range(BLOCKS),):
+        found = cut(links(label, size, distances, blocks=blocks))
+        roots = cut(components(verified(found, known, sets, least)))
+        known = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        label = own.select("node", "fp").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "fp")
     named = own.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     heads = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("least"))
     return marked, named, heads.select("root", F.col("least.first").alias("component_id"), F.col("least.node").alias("head"))
