@@ -29,8 +29,12 @@ def query(name: str, oracle: str | None = None):
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; elsewhere only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-streams-")
+    """A new folder in the one that driver and executors share; one of our own only in local mode, where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-streams-")
     return f"{root}/{uuid.uuid4().hex}"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -32,16 +33,24 @@ def home(harness: str, env: Mapping[str, str], override: str, vendor: str | None
     return os.path.join(env.get("HOME", "/"), REGISTRY[harness][0])
 
 
-def roots(env: Mapping[str, str], override: str = "LEDGER_CLAUDE_DIRS", vendor: str = "CLAUDE_CONFIG_DIR") -> list[str]:
-    """Transcript roots without repeats: the override alone, else the configured folders and the usual ones."""
+def roots(env: Mapping[str, str], override: str = "LEDGER_CLAUDE_DIR", vendor: str = "CLAUDE_CONFIG_DIR", exists=os.path.exists) -> list[str]:
+    """Transcript roots that exist, without repeats: the override alone, else the configured folders and the usual ones."""
     if env.get(override):
-        return list(dict.fromkeys(p for p in env[override].split(",") if p))
+        return [p for p in [env[override]] if exists(p)]
     given = [os.path.join(p.strip(), "projects") for p in env.get(vendor, "").split(",") if p.strip()]
     base = env.get("HOME", "/")
-    usual = [os.path.join(env.get("XDG_CONFIG_HOME", os.path.join(base, ".config")), "claude", "projects"), os.path.join(base, ".claude", "projects")]
+    usual = [os.path.join(env.get("XDG_CONFIG_HOME", os.path.join(base, ".config")), "claude", "projects")]
     if env.get("APPDATA"):
         usual.append(os.path.join(env["APPDATA"], "claude", "projects"))
-    return list(dict.fromkeys([*given, *usual]))
+    usual.append(os.path.join(base, ".claude", "projects"))
+    return [p for p in dict.fromkeys([*given, *usual]) if exists(p)]
+
+
+def opencode_stores(root: str) -> list[str]:
+    """The databases of a home: the main one, then those of channels by name."""
+    names = sorted(os.listdir(root)) if os.path.isdir(root) else []
+    main = [n for n in names if n == "opencode.db"]
+    return [os.path.join(root, n) for n in [*main, *(n for n in names if n not in main and re.fullmatch(r"opencode-[a-zA-Z0-9._-]+\.db", n))]]
 
 
 def unique_transcripts(found: DataFrame) -> DataFrame:
@@ -58,8 +67,9 @@ def has_mark(found: DataFrame, mark: str) -> bool:
 
 
 def legacy_counts(listing: DataFrame) -> DataFrame:
-    """Files of formats that are counted but never parsed."""
-    kind = F.when(F.col("path").rlike(r"/project/.*/storage/session/"), "opencode").when(F.col("path").rlike(r"/\.hermes/.*\.jsonl$"), "hermes")
+    """Files of formats that are counted but never parsed: JSON objects up to one folder deep, old transcripts."""
+    path = F.col("path")
+    kind = F.when(path.rlike(r"/opencode/(project|session)/([^/]+/)?[^/]+\.json$"), "opencode").when(path.rlike(r"/\.hermes/sessions/[^/]+\.jsonl$"), "hermes")
     return listing.select(kind.alias("harness")).where("harness is not null").groupBy("harness").agg(F.count("*").alias("files"))
 
 

@@ -1,33 +1,53 @@
 """Log files as rows, and typed access to their JSON.
 
-Files come in whole, so that lines keep their numbers; a file is one row before it is split, so it must fit a task.
+Files of lines are read in splits of any size: a line's number is its split's place in the file and its place in the split, which is
+their order in the file. Files that are one object come in whole; such a file must fit a task. Unreadable files give no rows.
 Paths may be anything that Spark reads. JSON is parsed to ``variant``: a field of another type than asked for is null,
 never converted.
 """
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _NUMBER = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
 
 
-def files(spark: SparkSession, paths: str | list[str], glob: str | None = None, since: str | None = None) -> DataFrame:
-    """``path, name, size, mtime_ms, value`` of the files under ``paths``; ``since`` leaves files unread that have not changed after it."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+def _reader(spark: SparkSession, glob: str | None, since: str | None):
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    if since:
-        reader = reader.option("modifiedAfter", since)
-    df = reader.text(paths, wholetext=True)
+    return reader.option("modifiedAfter", since) if since else reader
+
+
+def text_lines(spark: SparkSession, paths: str | list[str], glob: str | None = None, since: str | None = None) -> DataFrame:
+    """``path, name, size, mtime_ms, line_no, line`` of the lines of the files under ``paths``, blank ones included."""
+    df = _reader(spark, glob, since).text(paths, lineSep="\n")
+    m = F.col("_metadata")
+    inside = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # rises in a split
+    place = F.shiftleft(F.shiftright(m["file_block_start"], 20), 33).bitwiseOR(inside)  # splits are 4 MB apart at least
+    return df.select(m["file_path"].alias("path"), m["file_name"].alias("name"), m["file_size"].alias("size"), F.unix_millis(m["file_modification_time"]).alias("mtime_ms"), place.alias("line_no"), F.col("value").alias("line"))
+
+
+def files(spark: SparkSession, paths: str | list[str], glob: str | None = None, since: str | None = None) -> DataFrame:
+    """``path, name, size, mtime_ms, value`` of the files under ``paths``; ``since`` leaves files unread that have not changed after it."""
+    df = _reader(spark, glob, since).text(paths, wholetext=True)
     m = F.col("_metadata")
     return df.select(m["file_path"].alias("path"), m["file_name"].alias("name"), m["file_size"].alias("size"), F.unix_millis(m["file_modification_time"]).alias("mtime_ms"), "value")
 
 
 def lines(found: DataFrame, contains: str | None = None) -> DataFrame:
-    """``path, name, mtime_ms, line_no, line`` of the non-blank lines; ``contains`` drops lines before they are parsed."""
-    rows = found.select("path", "name", "mtime_ms", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
+    """``path, name, mtime_ms, line_no, line`` of the non-blank lines of ``files`` or ``text_lines``; ``contains`` drops lines before they are parsed."""
+    if "line" in found.columns:
+        rows = found.select("path", "name", "mtime_ms", "line_no", "line")
+    else:
+        rows = found.select("path", "name", "mtime_ms", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
     rows = rows.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''")
     return rows.where(F.contains("line", F.lit(contains))) if contains else rows
 
@@ -80,3 +100,24 @@ def millis(text: Column) -> Column:
 def stem(path: Column) -> Column:
     """File name without its extension."""
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def beside(folders: DataFrame, name: str) -> DataFrame:
+    """``folder, value``: the trimmed text of the small file ``name`` in each folder (``folder``), null without one.
+
+    Hidden files are none to Spark's readers; each task opens them itself, so folders must be where every executor sees them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for folder in b.column(0).to_pylist():
+                path = os.path.join(unquote(urlsplit(folder).path) if folder.startswith("file:") else folder, name)
+                try:
+                    with open(path, encoding="utf-8", errors="replace") as f:
+                        found.append(f.read().strip() or None)
+                except OSError:
+                    found.append(None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], names=["folder", "value"])
+
+    return folders.select("folder").mapInArrow(run, "folder string, value string")

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.dedup import valid
 from ..operators.joins import model_in_force
 from ..operators.ordered import carried, cumulative_deltas
-from .lines import array, boolean, count, files, filled, is_object, lines, millis, number, parsed, raw, stem, string
+from .lines import array, beside, boolean, count, files, filled, is_object, lines, millis, number, parsed, raw, stem, string, text_lines
 
 V = "v"
 
@@ -68,7 +69,23 @@ def claude(found: DataFrame) -> Atoms:
     echo = F.coalesce(F.exists(content, lambda b: F.try_variant_get(b, "$.type", "string") == "tool_result"), F.lit(False))
     prompt = (string(V, "type") == "user") & ~F.coalesce(boolean(V, "isMeta"), F.lit(False)) & ~echo
     events = rows.select(F.col("thread").alias("session"), millis(stamp).alias("ts"), F.coalesce(prompt, F.lit(False)).alias("is_prompt")).where("ts is not null")
-    return Atoms(usage, events, rows.select("path", F.isnull(V).alias("bad")), _claude_skills(rows, content))
+    return Atoms(usage, events, rows.select("path", F.isnull(V).alias("bad")), _claude_skills(rows, content), _claude_meta(rows, usage))
+
+
+def _claude_meta(rows: DataFrame, usage: DataFrame) -> DataFrame:
+    """Per thread, of its own file: the first folder, the first session id, the last model of a row that counts."""
+    own = rows.where("not is_sub")
+    first = lambda name, field: F.min_by(filled(V, field), F.when(filled(V, field).isNotNull(), F.col("line_no"))).alias(name)
+    heads = own.groupBy("thread").agg(first("cwd", "cwd"), first("tool_session_id", "sessionId"))
+    last = usage.where(valid() & ~F.col("is_sub") & (F.col("model") != "")).groupBy("thread").agg(F.max_by("model", "line_no").alias("last_model"))
+    return heads.join(last, "thread", "left").withColumnRenamed("thread", "session")
+
+
+def claude_order(usage: DataFrame) -> DataFrame:
+    """``usage`` with the ``ord`` that replays are settled in: threads by their first counted row, then the thread's own file, then its subagents'."""
+    starts = usage.where(valid()).groupBy("thread").agg(F.min("ts").alias("first_ts"))
+    joined = usage.join(starts, "thread", "left")
+    return joined.withColumn("ord", F.struct(F.col("first_ts").isNull().alias("late"), "first_ts", "thread", "is_sub", "path", "line_no")).drop("first_ts")
 
 
 def _claude_skills(rows: DataFrame, content: Column) -> DataFrame:
@@ -97,6 +114,7 @@ def codex(found: DataFrame) -> Atoms:
         "session", "path", F.col("line_no").cast("long").alias("line_no"), millis(string(V, "timestamp")).alias("ts"), kind.alias("kind"), payload.alias("event"),
         F.when(kind == "turn_context", filled(V, "payload.model")).alias("named"),
         is_object(V, "payload.info.total_token_usage").alias("counted"),
+        is_object(V, "payload.info").alias("informed"), number(V, "payload.info.last_token_usage.input_tokens").cast("long").alias("occupancy"), number(V, "payload.info.model_context_window").cast("long").alias("stated_window"),
         *(count(V, f"payload.info.total_token_usage.{n}").alias(n) for n in ("total_tokens", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")),
     )
     known = carried(seen, "session", "line_no", F.col("named"), "model", width=10_000)
@@ -109,6 +127,9 @@ def codex(found: DataFrame) -> Atoms:
     ).where("input + output + cache_read > 0")
     events = seen.where("ts is not null").select("session", "ts", ((F.col("kind") == "event_msg") & F.coalesce(F.col("event") == "user_message", F.lit(False))).alias("is_prompt"))
     meta = rows.where(kind == "session_meta").groupBy("session").agg(F.min_by(filled(V, "payload.id"), "line_no").alias("tool_session_id"), F.min_by(filled(V, "payload.cwd"), "line_no").alias("cwd"))
+    # of the last report alone: how full the context was, and the window that it states
+    final = known.where("kind = 'event_msg' and event = 'token_count' and informed").groupBy("session").agg(F.max_by(F.struct("occupancy", F.coalesce("model", F.lit("unknown")).alias("model"), "stated_window", F.col("ts").alias("at")), "line_no").alias("context"))
+    meta = meta.join(final.where("context.occupancy is not null"), "session", "full_outer")
     return Atoms(usage, events, rows.select("path", F.isnull(V).alias("bad")), meta=meta)
 
 
@@ -288,21 +309,32 @@ def vendor_limits(bodies: DataFrame, column: str = "value") -> DataFrame:
 
 
 def find(spark: SparkSession, root: str, harness: str) -> Atoms:
-    """The atoms of a harness under its root folder."""
+    """The atoms of a harness with JSON logs under its root folder."""
     read = lambda glob: files(spark, root, glob)
+    read_lines = lambda glob: text_lines(spark, root, glob)
     if harness == "claude_code":
-        return claude(read("*.jsonl"))
+        return claude(read_lines("*.jsonl"))
     if harness == "codex":
-        return codex(read("rollout-*.jsonl"))
+        return codex(read_lines("rollout-*.jsonl"))
     if harness == "grok":
-        return grok(read("unified.jsonl"), read("events.jsonl"), read("summary.json"))
+        return grok(read_lines("unified.jsonl"), read_lines("events.jsonl"), read("summary.json"))
     if harness == "pi":
-        return pi(read("*.jsonl"))
+        return pi(read_lines("*.jsonl"))
     if harness == "openclaw":
-        return openclaw(read("*.jsonl"))
+        return openclaw(read_lines("*.jsonl"))
     if harness == "gemini":
-        return gemini(read("*.json"))
+        found = read("*.json")
+        atoms = gemini(found.where(F.col("path").rlike(r"/chats/[^/]+$")))
+        return Atoms(atoms.usage, atoms.events, atoms.health, meta=gemini_folders(found))
     if harness == "opencode":
         all_ = read("*.json")
         return opencode_files(all_.where(F.contains("path", F.lit("/session/info/"))), all_.where(F.contains("path", F.lit("/session/message/"))))
-    raise ValueError(f"no log source for {harness}")
+    raise ValueError(f"no JSON logs of {harness}: see corpus.atoms_of")
+
+
+def gemini_folders(found: DataFrame) -> DataFrame:
+    """``session, cwd``: a chat's project folder holds a file that names the folder worked in."""
+    folder = F.regexp_extract("path", r"^(.*)/chats/[^/]+$", 1)
+    rows = parsed(found, "value").select(folder.alias("folder"), F.coalesce(filled(V, "sessionId"), stem(F.col("path"))).alias("session")).where("folder <> ''")
+    named = beside(rows.select("folder").distinct(), ".project_root")
+    return rows.join(named, "folder").groupBy("session").agg(F.min("value").alias("cwd"))

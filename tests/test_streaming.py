@@ -168,8 +168,11 @@ def test_gates():
 
 def test_discovery(spark):
     env = {"HOME": "/h", "CLAUDE_CONFIG_DIR": "/a, /b,/a"}
-    assert discovery.roots(env) == ["/a/projects", "/b/projects", "/h/.config/claude/projects", "/h/.claude/projects"]
-    assert discovery.roots({"LEDGER_CLAUDE_DIRS": "/x,/x,/y"}) == ["/x", "/y"]
+    there = lambda p: p != "/b/projects"
+    assert discovery.roots(env | {"APPDATA": "/d"}, exists=there) == ["/a/projects", "/h/.config/claude/projects", "/d/claude/projects", "/h/.claude/projects"]
+    assert discovery.roots({"LEDGER_CLAUDE_DIR": "/x,y"}, exists=there) == ["/x,y"] and discovery.roots({"LEDGER_CLAUDE_DIR": "/b/projects"}, exists=there) == []
+    listing = spark.createDataFrame([("/h/opencode/session/a/b.json",), ("/h/opencode/project/p.json",), ("/h/opencode/session/a/b/c.json",), ("/h/.hermes/sessions/s.jsonl",), ("/h/.hermes/sessions/sessions.json",)], "path string")
+    assert {r["harness"]: r["files"] for r in discovery.legacy_counts(listing).collect()} == {"opencode": 2, "hermes": 1}
     assert discovery.home("codex", env, "LEDGER_CODEX") == "/h/.codex/sessions"
     found = spark.createDataFrame([("/r1/a.jsonl", "a.jsonl", 5), ("/r2/a.jsonl", "a.jsonl", 9), ("/r1/a/subagents/a.jsonl", "a.jsonl", 1)], "path string, name string, size long")
     assert sorted(r["path"] for r in discovery.unique_transcripts(found).collect()) == ["/r1/a/subagents/a.jsonl", "/r2/a.jsonl"]
