@@ -21,15 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows that one Arrow batch brings into a Python worker, for tables with long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``rows``: Spark bounds what comes at once by bytes, this the Python objects made of it."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only in local mode, where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -40,6 +44,11 @@ def cut(df: DataFrame) -> DataFrame:
 
     The shuffle files of that write go with it, since what comes after reads the table.
     """
+    return cut_to(df)[0]
+
+
+def cut_to(df: DataFrame) -> tuple[DataFrame, str]:
+    """``cut``, and where the table is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
@@ -48,7 +57,13 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def word_count(text: Column) -> Column:
@@ -91,7 +106,7 @@ def map_columns(df: DataFrame, fn: Callable[..., dict], schema) -> DataFrame:
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = fn(*(c.to_pylist() for c in b.columns))
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
@@ -105,9 +120,12 @@ def components(links: DataFrame) -> DataFrame:
     until a round changes nothing; a hot centre is only ever aggregated in part first or split by a skew join.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    seen = None
+    seen = held = None
     while True:
-        edges = cut(edges)
+        edges, path = cut_to(edges)
+        if held:
+            discard(edges.sparkSession, held)  # the round before
+        held = path
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v")).distinct()

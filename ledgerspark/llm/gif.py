@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_columns, small_batches, table
+from .common import map_columns, table
 
 WIDTH, FRAME_ROWS = 64, 256
 DELAY_CS = 10
@@ -272,7 +272,6 @@ def stored(text: str | None) -> tuple[bytes, bytes, list[dict]]:
 
 def store_frames(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per text: the stored GIF (``media``), and its frames with times and colour histograms."""
-    small_batches(texts.sparkSession)
 
     def run(ids, bodies):
         found = [stored(b) for b in bodies]
@@ -287,7 +286,6 @@ def padded(raw: bytes, unit: int = WIDTH) -> bytes:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Store, read back and describe every whole text."""
-    small_batches(spark)
 
     def run(ids, texts):
         out = {k: [] for k in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames")}

@@ -29,7 +29,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_columns, small_batches, table
+from .common import map_columns, table
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"""
@@ -245,7 +245,6 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``."""
-    small_batches(pages.sparkSession, 500)
 
     def run(ids, urls, htmls):
         texts = [main_text(h) for h in htmls]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import cut, slices, table
 
 SLOTS_LOG2, MODEL_WORDS = 20, 1 << 23
 FILL = 1 / 8  # with three hashes three slots in ten are set, and three foreign n-grams in a hundred are taken for known
@@ -80,7 +80,7 @@ def ngram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
         size = 0
-        for b in batches:
+        for b in slices(batches):
             texts: dict[str, list] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 texts.setdefault(lang, []).append(text)
@@ -178,13 +178,12 @@ def _edges(typical: DataFrame, most: int) -> DataFrame:
 
 def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``lang_pred`` and ``score``."""
-    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(filters)
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(*others, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             pred, score = shipped.value.score(b.column(len(others)).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*others, "lang_pred", "score"])
 
@@ -196,7 +195,6 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learn from the rows that are not held out, predict every whole text."""
-    small_batches(spark)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held)
     filters = learn(docs.where(~F.col("held_out")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, table
+from .common import cut, slices, table
 
 POOLED, RIDGE = 0.2, 0.05
 #: Words at which a text's statistics count half against the average text's: short texts say little.
@@ -90,12 +90,11 @@ def statistics(text: str | None) -> list[float]:
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with the vector ``stats``."""
-    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != text_col]
     rows = docs.select(*others, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             stats = [statistics(t) for t in b.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(stats, pa.list_(pa.float64()))], names=[*others, "stats"])
 
@@ -168,7 +167,7 @@ def apply(stats: DataFrame, model: Model) -> DataFrame:
     rows = stats.select(*others, "stats")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = np.array(b.column(len(others)).to_pylist()).reshape(b.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shipped.value.score(x))], names=[*others, "score"])
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_columns, small_batches, table
+from .common import components, cut, map_columns, table
 
 WORDS, SEED, DISTANCE = 4, 42, 4
 CHUNK = 2048
@@ -86,7 +86,6 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, words: int = WORDS, size: int = 1) -> DataFrame:
     """``doc_id, fp`` of every row; ``fp`` holds the words of 64 bits as signed longs."""
-    small_batches(docs.sparkSession)
 
     def run(ids, texts):
         return {"doc_id": ids, "fp": [[f - (1 << 64) if f >> 63 else f for f in fingerprint(t, words, size)] for t in texts]}
@@ -101,7 +100,6 @@ def text_node(text: str = "text") -> Column:
 
 def marks(docs: DataFrame, words: int, size: int) -> DataFrame:
     """``doc_id, node, fp`` of every row: the name of its text, and the fingerprint of its distinct shingles."""
-    small_batches(docs.sparkSession)
 
     def run(ids, nodes, texts):
         return {"doc_id": ids, "node": nodes, "fp": [[f - (1 << 64) if f >> 63 else f for f in fingerprint(t, words, size, True)] for t in texts]}

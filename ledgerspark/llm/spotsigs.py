@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_columns, small_batches, table
+from .common import cut, map_columns, slices, table
 
 CHAIN = 2
 RUN = 8
@@ -88,7 +88,6 @@ def with_next(docs: DataFrame, run, schema: str, ranges: int) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id, signs`` of every row, the signatures as an array of longs."""
-    small_batches(docs.sparkSession, 200)
 
     def run(ids, texts):
         return {"doc_id": ids, "signs": [signatures(t).tolist() for t in texts]}
@@ -135,12 +134,11 @@ def edited(text: str, follower: str) -> str:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and its edited text, and how alike it is to that and to its successor."""
-    small_batches(spark, 200)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _SCHEMA.split(", ")]
         last = None
-        for b in batches:
+        for b in slices(batches, 200):
             out: list[tuple] = []
             for doc_id, text, edge, part in zip(*(c.to_pylist() for c in b.columns)):
                 text = text or ""

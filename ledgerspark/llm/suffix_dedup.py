@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches, table
+from .common import cut, slices, table
 
 LENGTH, LEAD = 100, 16
 #: Documents looked at for the splitters: a share that gives about this many, and of each so many suffixes, spread over its whole text.
@@ -286,7 +286,7 @@ def splitters(docs: DataFrame, partitions: int, length: int, lead: int) -> tuple
     names = ("w0", "w1", "d0", "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 raw = (text or "").encode()
                 at, first, last, _ = suffixes(raw, length, lead)
@@ -328,7 +328,7 @@ def suffix_records(docs: DataFrame, bounds: np.ndarray, length: int, lead: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _Places(_SUFFIX, length)
-        for b in batches:
+        for b in slices(batches):
             for doc, tag, text in zip(*(c.to_pylist() for c in b.columns)):
                 raw = (text or "").encode()
                 if len(raw) < length:
@@ -412,7 +412,7 @@ def string_records(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = _Places(_STRING, length)
-        for b in batches:
+        for b in slices(batches):
             for doc, tag, text, spans in zip(*(c.to_pylist() for c in b.columns)):
                 raw = (text or "").encode()
                 at = np.unique(np.concatenate([np.arange(s["start"], s["end"] - length + 1) for s in spans]))
@@ -431,7 +431,6 @@ def _gathered(spans: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, lead: int = LEAD) -> DataFrame:
     """``doc, tag, start, end``: byte spans whose union per document is what goes."""
-    small_batches(docs.sparkSession)
     rows = docs.select(*_doc_keys(), "text")
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds, crossing = splitters(docs, partitions, length, lead)
@@ -450,7 +449,7 @@ def deduplicated(docs: DataFrame, finish: Callable[[bytes, bytes, int], dict], k
     joined = rows.join(gone, ["doc", "tag"], "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = (text or "").encode()
