@@ -21,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -76,19 +77,17 @@ def lzw_encode(samples: bytes) -> bytes:
     code = samples[0]
     for c in samples[1:]:
         key = code << 8 | c
-        found = longer(key)
-        if found is not None:
-            code = found
-            continue
-        emit(code)
-        if free < _WORDS:
-            table[key] = free
-            free += 1
-        else:
-            emit(256)
-            table.clear()
-            free = 258
-        code = c
+        code = longer(key)
+        if code is None:
+            emit(key >> 8)
+            if free < _WORDS:
+                table[key] = free
+                free += 1
+            else:
+                emit(256)
+                table.clear()
+                free = 258
+            code = c
     codes += [code, 257]
     value = np.array(codes, np.int64)
     width = np.append(9, np.resize(_RUN_WIDTHS, len(value) - 1))
@@ -125,46 +124,80 @@ def encode(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS) ->
     return b"".join(out) + b"\x3b"
 
 
+@lru_cache
+def _places(min_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Widths and ends of the codes that come after a clear."""
+    width = _widths(min_size, 0, _WORDS)
+    return width, np.cumsum(width)
+
+
+@lru_cache
+def _single(clear: int) -> list[bytes]:
+    return [*(bytes([i]) for i in range(clear)), b"", b""]
+
+
+def _expanded(codes: list[int], words: list[bytes], prev: bytes) -> list[bytes]:
+    """The words of codes; the table ``words`` grows by one for each of them but the first, as long as it may."""
+    out = []
+    emit, learn = out.append, words.append
+    for k, code in enumerate(codes):
+        if prev:
+            break
+        if code >= len(words):
+            raise ValueError("corrupt code stream")
+        prev = words[code]
+        emit(prev)
+    else:
+        return out
+    grows = _WORDS - len(words)
+    for code in codes[k : k + grows]:
+        try:
+            word = words[code]
+        except IndexError:
+            if code != len(words):
+                raise ValueError("corrupt code stream") from None
+            word = prev + prev[:1]
+        learn(prev + word[:1])
+        emit(word)
+        prev = word
+    out += [words[c] for c in codes[k + grows :]]
+    return out
+
+
 def lzw_decode(data: bytes, min_size: int, pixels: int) -> np.ndarray:
     """Palette indices of a GIF code stream. Codes are cut out by whole arrays up to the next clear, words looked up one by one."""
     clear, end = 1 << min_size, (1 << min_size) + 1
     raw = np.ndarray((len(data) + 1,), "<u4", data + b"\0\0\0\0", strides=(1,))
-    single = [bytes([i]) for i in range(clear)] + [b"", b""]
-    words, have, last = single.copy(), end + 1, b""
+    words, prev = _single(clear).copy(), b""
     out: list[bytes] = []
     at = made = since = 0  # bits read, samples made, codes since the last clear
     while made < pixels:
-        width = _widths(min_size, since, _WORDS)
-        ends = at + np.cumsum(width)
-        n = int(np.searchsorted(ends, len(data) * 8, "right"))
+        left = len(data) * 8 - at
+        most = min(_WORDS, left // (min_size + 1) + 1)
+        if since:  # the table is full, or nearly so
+            width = _widths(min_size, since, most)
+            ends = np.cumsum(width)
+        else:
+            width, ends = (x[:most] for x in _places(min_size))
+        n = int(np.searchsorted(ends, left, "right"))
         if not n:
             raise ValueError("the code stream ends early")
-        width, ends = width[:n], ends[:n]
+        width, ends = width[:n], ends[:n] + at
         starts = ends - width
         codes = (raw[starts >> 3] >> (starts & 7)) & ((1 << width) - 1)
         marks = np.flatnonzero((codes == clear) | (codes == end))
         stop = int(marks[0]) if len(marks) else n
-        for code in codes[:stop].tolist():
-            if code < have:
-                word = words[code]
-            elif code == have and last:
-                word = last + last[:1]
-            else:
-                raise ValueError("corrupt code stream")
-            if last and have < _WORDS:
-                words.append(last + word[:1])
-                have += 1
-            out.append(word)
-            made += len(word)
-            last = word
+        found = _expanded(codes[:stop].tolist(), words, prev)
+        out += found
+        made += sum(map(len, found))
         since += stop
         if stop == n:
-            at = int(ends[-1])
+            at, prev = int(ends[-1]), found[-1] if found else prev
         elif codes[stop] == end:
             break
         else:
-            at, since = int(ends[stop]), 0
-            words, have, last = single.copy(), end + 1, b""
+            at, since, prev = int(ends[stop]), 0, b""
+            words = _single(clear).copy()
     samples = np.frombuffer(b"".join(out), np.uint8)
     if len(samples) < pixels:
         raise ValueError("the code stream ends early")
@@ -247,8 +280,9 @@ def read_frames(data: bytes) -> Iterator[Frame]:
 
 def histogram(frame: Frame, bins: int = 16) -> list[int]:
     """Pixels of the shown canvas by opaque red, green and blue level: ``3 * bins`` counts."""
-    solid = frame.canvas[frame.canvas[..., 3] == 255]
-    return [n for c in range(3) for n in np.bincount(solid[:, c] // (256 // bins), minlength=bins).tolist()]
+    solid = frame.canvas[..., 3] == 255
+    shown = frame.canvas.reshape(-1, 4) if solid.all() else frame.canvas[solid]
+    return [n for c in range(3) for n in np.bincount(shown[:, c], minlength=256).reshape(bins, -1).sum(1).tolist()]
 
 
 def payload_of(frame: Frame) -> bytes:
