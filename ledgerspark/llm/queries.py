@@ -14,4 +14,10 @@ QUERIES = {
     "op9_html_text": html_text.query,
     "op10_url_filter": url_filter.query,
 }
-ORACLE = {"op1_mixing": mixing.ORACLE, "op2_packing": packing.ORACLE, "op10_url_filter": url_filter.ORACLE}
+ORACLE = {
+    "op1_mixing": mixing.ORACLE,
+    "op2_packing": packing.ORACLE,
+    "op3_spotsigs": spotsigs.ORACLE,
+    "op5_suffix_dedup": suffix_dedup.ORACLE,
+    "op10_url_filter": url_filter.ORACLE,
+}

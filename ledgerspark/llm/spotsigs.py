@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +37,7 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def signatures(text: str | None, anchors: frozenset[str] = ANCHORS, chain: int = CHAIN) -> np.ndarray:
-    """The fingerprint: sorted distinct 32-bit digests."""
+    """The fingerprint: sorted distinct 32-bit digests (of MD5 the first)."""
     words = _WORD.findall((text or "").lower())
     content, spots, since = [], [], 0
     for w in words:
@@ -53,8 +52,8 @@ def signatures(text: str | None, anchors: frozenset[str] = ANCHORS, chain: int =
     found = {" ".join([w, *content[k : k + chain]]) for w, k in spots if k <= last}
     if not found:
         found = {" ".join(words[k : k + chain + 1]) for k in range(len(words) - chain)} or {text or ""}
-    digest = xxhash.xxh32_intdigest
-    return np.unique(np.array([digest(s) for s in found], np.uint32))
+    digest = hashlib.md5
+    return np.unique(np.frombuffer(b"".join([digest(s.encode(errors="replace")).digest()[:4] for s in found]), ">u4").astype(np.uint32))
 
 
 def as_text(signs: np.ndarray) -> str:
@@ -156,3 +155,30 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return with_next(docs, run, _SCHEMA, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Both texts of every document word by word: anchors, content words so far, chains, digests, and counts of shared ones.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), max(doc_id) OVER ()) AS next_id FROM documents),
+edits AS (SELECT d.doc_id, d.next_id, d.text, substr(d.text, 1, length(d.text) - length(d.text) // 2) || substr(f.text, 1, length(d.text) // 2) AS edited FROM d JOIN d f ON f.doc_id = d.next_id),
+texts AS (SELECT doc_id, 0 AS kind, text FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits),
+words AS (SELECT doc_id, kind, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, kind, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM texts)),
+flagged AS (SELECT *, list_contains([{anchors}], w) AS is_anchor FROM words),
+counted AS (SELECT *, sum((NOT is_anchor)::INT) OVER (PARTITION BY doc_id, kind ORDER BY i) AS c FROM flagged),
+spots AS (SELECT *, is_anchor OR c - coalesce(max(CASE WHEN is_anchor THEN c END) OVER (PARTITION BY doc_id, kind ORDER BY i), 0) > {run} AS is_spot FROM counted),
+content AS (SELECT doc_id, kind, c, w, lead(w) OVER (PARTITION BY doc_id, kind ORDER BY c) AS after FROM counted WHERE NOT is_anchor),
+chains AS (SELECT s.doc_id, s.kind, s.w || ' ' || x.w || ' ' || x.after AS sig FROM spots s JOIN content x ON x.doc_id = s.doc_id AND x.kind = s.kind AND x.c = s.c + 1 WHERE s.is_spot AND x.after IS NOT NULL),
+threes AS (SELECT doc_id, kind, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS sig FROM words WINDOW o AS (PARTITION BY doc_id, kind ORDER BY i)),
+sigs AS (
+  SELECT * FROM chains
+  UNION ALL SELECT * FROM threes t WHERE sig IS NOT NULL AND NOT EXISTS (SELECT 1 FROM chains c WHERE c.doc_id = t.doc_id AND c.kind = t.kind)
+  UNION ALL SELECT * FROM texts t WHERE NOT EXISTS (SELECT 1 FROM chains c WHERE c.doc_id = t.doc_id AND c.kind = t.kind) AND NOT EXISTS (SELECT 1 FROM threes c WHERE c.doc_id = t.doc_id AND c.kind = t.kind AND sig IS NOT NULL)),
+signs AS (SELECT DISTINCT doc_id, kind, substr(md5(sig), 1, 8) AS h FROM sigs),
+prints AS (SELECT doc_id, kind, string_agg(h, '' ORDER BY h) AS fingerprint, count(*) AS n FROM signs GROUP BY doc_id, kind),
+own AS (SELECT a.doc_id, count(*) AS both FROM signs a JOIN signs b ON a.doc_id = b.doc_id AND a.kind = 0 AND b.kind = 1 AND a.h = b.h GROUP BY a.doc_id),
+follow AS (SELECT d.doc_id, count(*) AS both FROM d JOIN signs a ON a.doc_id = d.doc_id AND a.kind = 0 JOIN signs b ON b.doc_id = d.next_id AND b.kind = 0 AND a.h = b.h GROUP BY d.doc_id)
+SELECT e.doc_id, CAST(length(e.text) AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, a.fingerprint, b.fingerprint AS edited_fingerprint,
+       coalesce(o.both, 0) / (a.n + b.n - coalesce(o.both, 0)) AS near_edited, coalesce(f.both, 0) / (a.n + x.n - coalesce(f.both, 0)) AS near_next
+FROM edits e JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 1 JOIN prints x ON x.doc_id = e.next_id AND x.kind = 0
+LEFT JOIN own o ON o.doc_id = e.doc_id LEFT JOIN follow f ON f.doc_id = e.doc_id
+""".replace("{anchors}", ", ".join(f"'{w}'" for w in sorted(ANCHORS))).replace("{run}", str(RUN))

@@ -484,3 +484,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kind = T.StructType([*(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
     return deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"), finish, kind)
+
+
+#: All 100-byte strings of all documents, by digest; the first of each stays, the union of the others goes.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM d)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY m ORDER BY doc_id, p) AS k FROM strings) WHERE k > 1),
+marked AS (SELECT doc_id, p, coalesce(p - lag(p) OVER w > 100, true)::INT AS new FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked) GROUP BY doc_id, k),
+pieces AS (SELECT r.doc_id, s, e, substr(h, 2 * lag(e, 1, 0) OVER (PARTITION BY r.doc_id ORDER BY s) + 1, 2 * (s - lag(e, 1, 0) OVER (PARTITION BY r.doc_id ORDER BY s))) AS before FROM runs r JOIN d USING (doc_id)),
+cut AS (SELECT doc_id, string_agg(before, '' ORDER BY s) AS kept, max(e) AS last, CAST(sum(e - s) AS BIGINT) AS n_removed, count(*) AS n_spans FROM pieces GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
