@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import carried, running
+from .ordered import carried, swept
 
 GAP_MS, FLOOR_MS, TAIL_MS = 300_000, 1000, 30_000
 DAY_MS = 86_400_000
@@ -39,7 +39,7 @@ def loops(events: DataFrame, session: str = "session", ts: str = "ts", prompt: s
     """
     times = events.where(F.col(ts).isNotNull()).groupBy(session, ts).agg(F.sum(F.col(prompt).cast("long")).alias("prompts"))
     border = F.when(F.col("prompts") > 0, F.col(ts))
-    marked = carried(carried(times, session, ts, F.col(ts), "prev", current=False), session, ts, border, "opened")
+    marked = swept(times, session, ts, lasts={"prev": (F.col(ts), False), "opened": (border, True)})
     step = F.when((F.col("prompts") == 0) & F.col("opened").isNotNull(), F.least(F.col(ts) - F.col("prev"), F.lit(gap_ms))).otherwise(0)
     stretches = marked.groupBy(session, "opened").agg(F.sum(step).alias("ms"), F.sum("prompts").alias("prompts"))
     return stretches.groupBy(session).agg(F.sum("prompts").alias("turns"), F.max("ms").alias("longest_loop_ms"))
@@ -100,8 +100,7 @@ def efficiency(usage: DataFrame, session: str = "session", ts: str = "ts", then:
     Main-thread rows only. Null-free rows come back only for sessions with ``min_points`` points that have both sums.
     """
     main = usage.where("not coalesce(is_sidechain, false)").withColumn("context", F.col("input") + F.col("cache_read") + F.col("cache_creation"))
-    summed = running(main, session, ts, {"cum_output": F.col("output"), "cum_context": F.col("context")}, then)
-    seen = carried(summed, session, ts, F.col("context"), "prev_context", then, current=False)
+    seen = swept(main, session, ts, {"cum_output": F.col("output"), "cum_context": F.col("context")}, {"prev_context": (F.col("context"), False)}, then)
     point = (F.col("cum_output") > 0) & (F.col("cum_context") > 0)
     x, y = F.when(point, F.ln("cum_output")), F.when(point, F.ln("cum_context"))
     found = seen.groupBy(session).agg(

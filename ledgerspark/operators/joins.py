@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ordered import carried
@@ -32,8 +33,11 @@ def commits_in_session(sessions: DataFrame, commits: DataFrame, most: int = 200)
     day = 86_400_000
     spread = sessions.select("session", "cwd", "started_at", "ended_at", F.explode(F.sequence(F.floor(F.col("started_at") / day), F.floor(F.col("ended_at") / day))).alias("d"))
     dated = commits.select("cwd", "sha", "at", F.floor(F.col("at") / day).alias("d"))
-    hits = spread.join(dated, ["cwd", "d"]).where("at between started_at and ended_at").select("session", "sha").distinct()
-    found = hits.groupBy("session").agg(F.slice(F.array_sort(F.collect_list("sha")), 1, most).alias("shas"))
+    hits = spread.join(dated, ["cwd", "d"]).where("at between started_at and ended_at").select("session", "d", "sha").distinct()
+    # the first of each day, then of those: no session's hits are ever gathered whole
+    first = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy("sha")) <= most
+    daily = hits.withColumn("kept", first("session", "d")).where("kept").select("session", "sha").distinct()
+    found = daily.withColumn("kept", first("session")).where("kept").groupBy("session").agg(F.array_sort(F.collect_list("sha")).alias("shas"))  # at most ``most``
     return sessions.select("session").join(found, "session", "left").select("session", F.coalesce("shas", F.array().cast("array<string>")).alias("shas"))
 
 

@@ -19,39 +19,38 @@ from pyspark.sql import types as T
 BUCKET_MS = 6 * 3600 * 1000
 
 
-def _with_bases(df: DataFrame, keys: list[str], bases: DataFrame, names: list[str]) -> DataFrame:
-    on = reduce(lambda a, b: a & b, (df[k].eqNullSafe(bases[k]) for k in keys))
-    return df.join(bases, on).select(df["*"], *(bases[n] for n in names))
+def swept(
+    df: DataFrame, key: str, order: str, sums: dict[str, Column] | None = None, lasts: dict[str, tuple[Column, bool]] | None = None,
+    then: tuple[str, ...] = (), width: int = BUCKET_MS,
+) -> DataFrame:
+    """``df`` with running ``sums`` and ``lasts`` in one pass, over the key's rows ordered by the long ``order``, ties by ``then``.
+
+    A sum runs up to and with each row. A last is the last non-null value up to each row (with it or, if false, before it).
+    ``width`` is the span of a bucket. Rows are dealt once, by key and bucket; the summaries, their join and the windows use that dealing.
+    """
+    sums, lasts = sums or {}, lasts or {}
+    bucket = F.floor(F.col(order) / width)
+    rows = df.select("*", F.struct(F.col(key).alias("k"), bucket.alias("b")).alias("_g"), *(v.alias(f"_v_{n}") for n, v in sums.items()), *(v.alias(f"_v_{n}") for n, (v, _) in lasts.items()))
+    rows = rows.repartition("_g")  # a struct of nulls equals another
+    newest = lambda n: F.max(F.when(F.col(f"_v_{n}").isNotNull(), F.struct(order, *then, f"_v_{n}")))[f"_v_{n}"]
+    ends = rows.groupBy("_g").agg(*(F.sum(f"_v_{n}").alias(f"_e_{n}") for n in sums), *(newest(n).alias(f"_e_{n}") for n in lasts))
+    before = W.partitionBy("_g.k").orderBy("_g.b").rowsBetween(W.unboundedPreceding, -1)
+    bases = ends.select("_g", *(F.coalesce(F.sum(f"_e_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums), *(F.last(f"_e_{n}", True).over(before).alias(f"_b_{n}") for n in lasts))
+    place = W.partitionBy("_g").orderBy(order, *then)
+    upto, ahead = place.rowsBetween(W.unboundedPreceding, W.currentRow), place.rowsBetween(W.unboundedPreceding, -1)
+    found = {n: F.sum(f"_v_{n}").over(upto) + F.col(f"_b_{n}") for n in sums}
+    found |= {n: F.coalesce(F.last(f"_v_{n}", True).over(upto if current else ahead), F.col(f"_b_{n}")) for n, (_, current) in lasts.items()}
+    return rows.join(bases, "_g").select(*(F.col(c) for c in df.columns if c not in found), *(c.alias(n) for n, c in found.items()))
 
 
 def carried(df: DataFrame, key: str, order: str, value: Column, name: str, then: tuple[str, ...] = (), width: int = BUCKET_MS, current: bool = True) -> DataFrame:
-    """``df`` with ``name``: the last non-null ``value`` of the key up to each row (before it, if not ``current``).
-
-    Rows are ordered by the long column ``order``, ties by ``then``; ``width`` is the span of a bucket.
-    """
-    rows = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(order) / width))
-    last = F.max(F.when(F.col("_v").isNotNull(), F.struct(order, *then, "_v")))["_v"].alias("_last")
-    ends = rows.groupBy(key, "_b").agg(last)
-    before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    bases = ends.select(key, "_b", F.last("_last", True).over(before).alias("_base"))
-    inside = W.partitionBy(key, "_b").orderBy(order, *then).rowsBetween(W.unboundedPreceding, W.currentRow if current else -1)
-    joined = _with_bases(rows, [key, "_b"], bases, ["_base"])
-    return joined.withColumn(name, F.coalesce(F.last("_v", True).over(inside), F.col("_base"))).drop("_v", "_b", "_base")
+    """``df`` with ``name``: the last non-null ``value`` of the key up to each row (before it, if not ``current``)."""
+    return swept(df, key, order, lasts={name: (value, current)}, then=then, width=width)
 
 
 def running(df: DataFrame, key: str, order: str, values: dict[str, Column], then: tuple[str, ...] = (), width: int = BUCKET_MS) -> DataFrame:
     """``df`` with the sum of each of ``values`` over the key's rows up to and with each row."""
-    rows = df.withColumn("_b", F.floor(F.col(order) / width))
-    for n, v in values.items():
-        rows = rows.withColumn(f"_v_{n}", v)
-    sums = rows.groupBy(key, "_b").agg(*(F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values))
-    before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    bases = sums.select(key, "_b", *(F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in values))
-    inside = W.partitionBy(key, "_b").orderBy(order, *then).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = _with_bases(rows, [key, "_b"], bases, [f"_base_{n}" for n in values])
-    for n in values:
-        out = out.withColumn(n, F.sum(f"_v_{n}").over(inside) + F.col(f"_base_{n}"))
-    return out.drop("_b", *(f"_{p}_{n}" for n in values for p in ("v", "base")))
+    return swept(df, key, order, values, then=then, width=width)
 
 
 def changes(df: DataFrame, key: str, order: str, fields: list[str], width: int) -> DataFrame:
