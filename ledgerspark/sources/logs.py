@@ -297,15 +297,15 @@ def opencode_files(infos: DataFrame, messages: DataFrame) -> Atoms:
 # ---- vendor limits
 
 
-def vendor_limits(bodies: DataFrame, column: str = "value") -> DataFrame:
-    """Lanes of a limits response: its well-formed entries; without any, the two headline windows."""
-    rows = parsed(bodies, column).withColumn("id", F.monotonically_increasing_id())
-    L = F.col("l")
-    lane = F.struct(string(L, "kind").alias("kind"), string(L, "group").alias("lane_group"), number(L, "percent").alias("percent"), string(L, "severity").alias("severity"), string(L, "resets_at").alias("resets_at"), string(L, "scope.model.display_name").alias("scope"))
-    stated = rows.select("id", F.explode(array(V, "limits")).alias("l")).select("id", lane.alias("x")).select("id", "x.*").where("kind is not null and lane_group is not null and percent is not null and severity is not null and resets_at is not null")
+def vendor_limits(bodies: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Lanes of each limits response: its well-formed entries; without any, the two headline windows. ``keep`` goes along."""
+    rows = parsed(bodies, column)
+    lane = lambda e: F.struct(string(e, "kind").alias("kind"), string(e, "group").alias("lane_group"), number(e, "percent").alias("percent"), string(e, "severity").alias("severity"), string(e, "resets_at").alias("resets_at"), string(e, "scope.model.display_name").alias("scope"))
+    stated = F.filter(F.transform(array(V, "limits"), lane), lambda x: x["kind"].isNotNull() & x["lane_group"].isNotNull() & x["percent"].isNotNull() & x["severity"].isNotNull() & x["resets_at"].isNotNull())
     head = lambda at, kind, group: F.struct(F.lit(kind).alias("kind"), F.lit(group).alias("lane_group"), number(V, f"{at}.utilization").alias("percent"), F.lit("normal").alias("severity"), string(V, f"{at}.resets_at").alias("resets_at"), F.lit(None).cast("string").alias("scope"))
-    coarse = rows.join(stated.select("id").distinct(), "id", "left_anti").select("id", F.explode(F.array(head("five_hour", "session", "session"), head("seven_day", "weekly_all", "weekly"))).alias("x")).select("id", "x.*").where("percent is not null and resets_at is not null")
-    return stated.unionByName(coarse).drop("id")
+    coarse = F.filter(F.array(head("five_hour", "session", "session"), head("seven_day", "weekly_all", "weekly")), lambda x: x["percent"].isNotNull() & x["resets_at"].isNotNull())
+    lanes = F.when(F.size(F.coalesce(stated, F.array().cast("array<struct<kind:string,lane_group:string,percent:double,severity:string,resets_at:string,scope:string>>"))) > 0, stated).otherwise(coarse)
+    return rows.select(*keep, F.explode(lanes).alias("x")).select(*keep, "x.*")
 
 
 def find(spark: SparkSession, root: str, harness: str) -> Atoms:

@@ -162,7 +162,8 @@ def copilot_traces(spark: SparkSession, paths: list[str]) -> Atoms:
     rows = parsed(read_table(spark, paths, "spans", ["session_id", "start_time_unix_nano", "attributes"]).withColumn("text", F.col("attributes.text")), "text")
     attr = lambda kind, name: _attr(kind, V, name)
     session = F.coalesce(words("session_id"), attr("text", "copilot.session.id"))
-    stamp = F.floor(F.when(F.col("start_time_unix_nano.kind") == "integer", F.col("start_time_unix_nano.text").cast("long")) / 1_000_000)
+    nanos = F.when(F.col("start_time_unix_nano.kind") == "integer", F.col("start_time_unix_nano.text").cast("long"))
+    stamp = F.call_function("div", nanos, F.lit(1_000_000).cast("long"))  # a quotient of doubles would be off by a millisecond
     given, made = attr("number", "gen_ai.usage.input_tokens"), attr("number", "gen_ai.usage.output_tokens")
     good = F.coalesce(session.isNotNull() & stamp.isNotNull() & given.isNotNull() & made.isNotNull(), F.lit(False))
     n = lambda c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)).cast("long")
