@@ -294,16 +294,17 @@ def sets_of(nodes: DataFrame, own: DataFrame, docs: DataFrame, words: int) -> Da
     return cut(shingle_sets(read, words).groupBy("node").agg(F.any_value("signs").alias("signs")))
 
 
-def checked(found: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The links whose texts have sets of shingles with a cosine of at least ``least``."""
+def checked(found: DataFrame, sets: DataFrame, least: float, jaccard: bool = False) -> DataFrame:
+    """The links whose texts have sets of shingles with a cosine (or a Jaccard coefficient) of at least ``least``."""
     left, right = (sets.select(F.col("node").alias(c), F.col("signs").alias(f"{c}_signs")) for c in "ab")
     both = F.size(F.array_intersect("a_signs", "b_signs"))
-    like = both / F.sqrt(F.size("a_signs").cast("double") * F.size("b_signs"))
+    n, m = F.size("a_signs").cast("double"), F.size("b_signs").cast("double")
+    like = both / (n + m - both) if jaccard else both / F.sqrt(n * m)
     return found.join(left, "a").join(right, "b").where(like >= least).select("a", "b")
 
 
-def alike(root: np.ndarray, side: np.ndarray, signs: list[np.ndarray], least: float) -> list[tuple[int, int]]:
-    """Index pairs with a cosine of ``least`` or more that join what ``root`` (an index of a row each) leaves apart.
+def alike(root: np.ndarray, side: np.ndarray, signs: list[np.ndarray], least: float, jaccard: bool = False) -> list[tuple[int, int]]:
+    """Index pairs with a cosine (or a Jaccard coefficient) of ``least`` or more that join what ``root`` (an index of a row each) leaves apart.
 
     Only pairs that links found alike already join are passed over. With two sides only pairs between them count.
     """
@@ -315,7 +316,7 @@ def alike(root: np.ndarray, side: np.ndarray, signs: list[np.ndarray], least: fl
     root, out = root.copy(), []
     for i in range(len(signs) - 1):
         later = np.arange(i + 1, len(signs))
-        fit = (root[later] != root[i]) & (np.minimum(sizes[later], sizes[i]) >= least * least * np.maximum(sizes[later], sizes[i]))
+        fit = (root[later] != root[i]) & (np.minimum(sizes[later], sizes[i]) >= (least if jaccard else least * least) * np.maximum(sizes[later], sizes[i]))
         if two:
             fit &= side[later] != side[i]
         later = later[fit]
@@ -328,14 +329,15 @@ def alike(root: np.ndarray, side: np.ndarray, signs: list[np.ndarray], least: fl
         else:
             both = np.add.reduceat(mark[code], starts, dtype=np.int64)[later]
         mark[mine] = False
-        for j in later[both >= least * np.sqrt(sizes[later] * float(sizes[i]))].tolist():
+        against = sizes[later] + sizes[i] - both if jaccard else np.sqrt(sizes[later] * float(sizes[i]))
+        for j in later[both >= least * against].tolist():
             if root[j] != root[i]:
                 root[root == root[j]] = root[i]
                 out.append((i, j))
     return out
 
 
-def completed(found: DataFrame, sure: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float, chunk: int = CHUNK // 2) -> DataFrame:
+def completed(found: DataFrame, sure: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float, chunk: int = CHUNK // 2, jaccard: bool = False) -> DataFrame:
     """Checked links ``a, b`` that the candidates ``found`` hide: they span components, so a link that
     fails the check may have stood in for a good one. Components that the checked links ``sure`` do not hold
     together are compared in full on their shingles, over pairs of chunks.
@@ -358,18 +360,18 @@ def completed(found: DataFrame, sure: DataFrame, sets: Callable[[DataFrame], Dat
         t = t.sort_by("node").combine_chunks()
         side, node, root = (t.column(c).to_numpy() for c in ("side", "node", "root"))
         signs = [x.values.to_numpy() for x in t.column("signs")]
-        pairs = node[np.array(alike(np.unique(root, return_inverse=True)[1], side, signs, least), np.int64).reshape(-1, 2)]
+        pairs = node[np.array(alike(np.unique(root, return_inverse=True)[1], side, signs, least, jaccard), np.int64).reshape(-1, 2)]
         return pa.table({"a": pairs.min(1), "b": pairs.max(1)})
 
     return rows.groupBy("wide", "cell").applyInArrow(compared, "a long, b long").distinct()
 
 
-def verified(found: DataFrame, known: DataFrame | None, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+def verified(found: DataFrame, known: DataFrame | None, sets: Callable[[DataFrame], DataFrame], least: float, jaccard: bool = False) -> DataFrame:
     """Links alike on the whole texts that span, with the ``known`` ones, what the candidates ``found`` and they reach."""
     ends = found.select(F.explode(F.array("a", "b")).alias("node"))
-    sure = checked(found, sets(ends), least)
+    sure = checked(found, sets(ends), least, jaccard)
     sure = cut(sure if known is None else sure.unionByName(known))
-    return sure.unionByName(completed(found if known is None else found.unionByName(known), sure, sets, least))
+    return sure.unionByName(completed(found if known is None else found.unionByName(known), sure, sets, least, jaccard=jaccard))
 
 
 def groups(docs: DataFrame, words: int = WORDS, size: int = 1, distances: tuple[int, ...] = (DISTANCE,), least: float | None = None) -> DataFrame:

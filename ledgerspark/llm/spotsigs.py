@@ -8,12 +8,15 @@ In a run of more than ``RUN`` content words without an anchor (lists, other lang
 A text that makes no whole chain so gets a chain at every word instead; one with fewer words than a chain, a single
 signature of the whole text, so only equal short texts are alike.
 
-``similar`` finds all pairs of near-duplicates; ``with_next`` brings documents and their successors together: ids are range-partitioned at quantiles, sorted in each range,
+``near_groups`` finds near-duplicates: sets are partitioned by length, and those that share one of the rarest signatures of both are
+candidates. A group is what links of a Jaccard coefficient of ``LEAST`` or more reach; every link is compared on the whole sets.
+
+``with_next`` brings documents and their successors together: ids are range-partitioned at quantiles, sorted in each range,
 and read in order; the row that tops a range is also sent to the range before it in order. No window spans the table.
 
 Defined cases: a null text counts as empty; two empty texts are alike (1.0). A table of one row is its own successor.
 Null doc_ids come last, among themselves by text, descending, as do rows of one doc_id. Repeated rows follow each other.
-Empty table: empty result.
+The class of a group is its least doc_id, null if only null ids are in it. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +27,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_columns, slices, table
+from .common import components, cut, map_columns, slices, table
+from .simhash import verified
 
 CHAIN = 2
 RUN = 8
+LEAST = 0.8
+#: Cells of the table of how often signatures occur, which ranks them; signatures that share a cell share a rank's count.
+CELLS_LOG2 = 16
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset("the a an of and to in is was that der die das und ist zu den le la les de et un une est el los las y en es".split())
 _WORD = re.compile(r"[^\W_]+")
@@ -68,8 +76,11 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def with_next(docs: DataFrame, run, schema: str, ranges: int) -> DataFrame:
-    """Feed ``run`` the ``doc_id, text, edge, range`` rows of each range in order: descending ids, then the row that follows."""
+def with_next(docs: DataFrame, notes: DataFrame, run, schema: str, ranges: int) -> DataFrame:
+    """Feed ``run`` the ``doc_id, text, edge, range, node, class_id`` rows of each range in order: descending ids, then the row that follows.
+
+    Before the rows of a doc_id come its ``notes`` (``doc_id, node, class_id``), whose text is null and whose node is not.
+    """
     at = [(k + 1) / ranges for k in range(ranges - 1)]
     known = docs.agg(F.percentile_approx("doc_id", at or [0.5], 10 * ranges).alias("at"), F.max("doc_id").alias("top"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     tops = sorted({s for s in known["at"] or [] if s != known["top"]}) if at else []
@@ -81,49 +92,87 @@ def with_next(docs: DataFrame, run, schema: str, ranges: int) -> DataFrame:
     follows = F.when(F.col("doc_id").isNull(), 0 if known["top"] is not None else -1).otherwise(follows)
     parts = F.array(F.struct(F.col("own").alias("range"), F.lit(0).alias("edge")), F.struct(follows.alias("range"), F.lit(1).alias("edge")))
     dealt = docs.withColumn("own", own).select("doc_id", "text", F.explode(F.filter(parts, lambda p: p["range"].isNotNull())).alias("part")).select("doc_id", "text", "part.*")
-    dealt = dealt.repartition(max(1, len(tops) + 2), "range").sortWithinPartitions("range", "edge", F.col("doc_id").desc_nulls_last(), F.col("text").desc_nulls_last())
-    return dealt.select("doc_id", "text", "edge", "range").mapInArrow(run, schema)
+    noted = notes.select("doc_id", F.lit(None).cast("string").alias("text"), own.alias("range"), F.lit(0).alias("edge"), "node", "class_id")
+    dealt = dealt.unionByName(noted, allowMissingColumns=True).repartition(max(1, len(tops) + 2), "range")
+    dealt = dealt.sortWithinPartitions("range", "edge", F.col("doc_id").desc_nulls_last(), F.col("node").isNull(), F.col("text").desc_nulls_last())
+    return dealt.select("doc_id", "text", "edge", "range", "node", "class_id").mapInArrow(run, schema)
+
+
+def node_of(signs: np.ndarray) -> int:
+    """What names a fingerprint: 64 bits of digest, as a signed number."""
+    h = xxhash.xxh64_intdigest(signs.tobytes())
+    return h - (1 << 64) if h >> 63 else h
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, signs`` of every row, the signatures as an array of longs."""
+    """``doc_id, node, signs`` of every row, the signatures as an array of longs."""
 
     def run(ids, texts):
-        return {"doc_id": ids, "signs": [signatures(t).tolist() for t in texts]}
+        found = [signatures(t) for t in texts]
+        return {"doc_id": ids, "node": [node_of(x) for x in found], "signs": [x.tolist() for x in found]}
 
-    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, signs array<long>")
+    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, node long, signs array<long>")
 
 
-def similar(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Near-duplicates by Jaccard: ``doc_id, class_id`` of every row, and all pairs ``a, b, likeness`` of classes at ``least`` or over.
+def cell_loads(classes: DataFrame) -> np.ndarray:
+    """How many sets have a signature in each cell, a cell being a signature's leading bits."""
 
-    A class is the rows of one fingerprint, named by its least doc_id. Classes are partitioned by set length, so that
-    only neighbouring partitions can hold a pair: each is compared in its own and, as the shorter one, in the next. Pairs
-    must share one of the rarest signatures of both, as many as a set may lack; only such pairs are compared whole.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << CELLS_LOG2, np.int64)
+        for b in batches:
+            held += np.bincount(b.column(0).flatten().to_numpy() >> (32 - CELLS_LOG2), minlength=len(held))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["cell", "n"])
+
+    found = classes.select("signs").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most the cells
+    loads = np.zeros(1 << CELLS_LOG2, np.int64)
+    loads[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return loads
+
+
+def prefix_keys(classes: DataFrame, least: float) -> DataFrame:
+    """``part, sign, node``: the rarest signatures of every set, as many as it may lack and one, in its partition by length and the next.
+
+    Two sets of that likeness share one of these in the partition of the longer one, however ties among counts are ranked.
     """
-    name = F.struct(F.xxhash64("signs"), F.xxhash64(F.lit(1), "signs")).alias("name")
-    prints = cut(fingerprints(docs).select("doc_id", name, "signs"))
-    classes = cut(prints.groupBy("name").agg(F.min("doc_id").alias("class_id"), F.any_value("signs").alias("signs")))
-    members = prints.select("doc_id", "name").join(classes.select("name", "class_id"), "name").select("doc_id", "class_id")
-    sets = classes.where("class_id is not null").select("class_id", "signs", F.size("signs").alias("n"))
-    each = sets.select("class_id", "n", F.explode("signs").alias("sign"))
-    rarity = each.groupBy("sign").agg(F.count("*").alias("df"))
-    ranked = each.join(rarity, "sign").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sign"))).alias("by_rarity"))  # one set
-    part = F.floor(F.log("n") / F.log(F.lit(1 / least)) + 1e-9)
-    prefix = F.slice("by_rarity", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int"))
-    keys = ranked.select("class_id", "n", part.alias("own"), F.explode(prefix).alias("p")).select("class_id", "n", "own", F.col("p.sign").alias("sign"))
-    longer = keys.select(F.col("class_id").alias("b"), F.col("n").alias("bn"), F.col("own").alias("part"), "sign")
-    shorter = keys.select(F.col("class_id").alias("a"), F.col("n").alias("an"), F.explode(F.array("own", F.col("own") + 1)).alias("part"), "sign")
-    fits = (F.col("an") <= F.col("bn")) & (F.col("an") >= F.col("bn") * least - 1e-9) & ((F.col("an") < F.col("bn")) | (F.col("a") < F.col("b")))
-    found = shorter.join(longer, ["part", "sign"]).where(fits).select("a", "b").distinct()
-    left, right = (sets.select(F.col("class_id").alias(c), F.col("signs").alias(f"{c}_signs"), F.col("n").alias(f"{c}_n")) for c in "ab")
-    both = F.size(F.array_intersect("a_signs", "b_signs"))
-    scored = found.join(left, "a").join(right, "b").select("a", "b", (both / (F.col("a_n") + F.col("b_n") - both)).alias("likeness"))
-    pairs = scored.where(F.col("likeness") >= least).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
-    return members, pairs
-
-
-_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    shipped = classes.sparkSession.sparkContext.broadcast(cell_loads(classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for node, signs in zip(b.column(0).to_pylist(), b.column(1)):
+                x = signs.values.to_numpy()
+                n = len(x)
+                took = x[np.lexsort((x, shipped.value[x >> (32 - CELLS_LOG2)]))[: n - int(np.ceil(n * least - 1e-9)) + 1]]
+                part = int(np.floor(np.log(n) / np.log(1 / least) + 1e-9))
+                for k in (part, part + 1):
+                    out.append((np.full(len(took), k), took, np.full(len(took), node)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=["part", "sign", "node"])
+
+    return classes.select("node", "signs").mapInArrow(run, "part long, sign long, node long")
+
+
+def near_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """``doc_id, node, class_id`` of every distinct document and fingerprint: the least doc_id of its group of near-duplicates.
+
+    Sets that share a key are linked to the least of them, a row each, not in pairs. Those links are compared on the whole sets, and
+    components that they do not hold together in full, over chunks.
+    """
+    prints = cut(fingerprints(docs))
+    classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("signs").alias("signs")))
+    keys = cut(prefix_keys(classes, least))
+    hubs = keys.groupBy("part", "sign").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = cut(keys.join(hubs, ["part", "sign"]).where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    sets = lambda nodes: classes.join(nodes.select("node").distinct(), "node").select("node", "signs")
+    roots = components(verified(found, None, sets, least, jaccard=True))
+    named = cut(classes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    heads = named.groupBy("root").agg(F.min("first").alias("class_id"))
+    grouped = named.join(heads, "root").select("node", "class_id")
+    return prints.select("doc_id", "node").distinct().join(grouped, "node").select("doc_id", "node", "class_id")
+
+
+_SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
 
 
 def edited(text: str, follower: str) -> str:
@@ -132,14 +181,19 @@ def edited(text: str, follower: str) -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every whole text and its edited text, and how alike it is to that and to its successor."""
+    """Fingerprints of every whole text and its edited text, how alike it is to that and to its successor, and its group of near-duplicates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _SCHEMA.split(", ")]
-        last = None
+        last, noted, notes = None, object(), {}
         for b in slices(batches, 200):
             out: list[tuple] = []
-            for doc_id, text, edge, part in zip(*(c.to_pylist() for c in b.columns)):
+            for doc_id, text, edge, part, node, group in zip(*(c.to_pylist() for c in b.columns)):
+                if node is not None:
+                    if doc_id != noted:
+                        noted, notes = doc_id, {}
+                    notes[node] = group
+                    continue
                 text = text or ""
                 if edge and (last is None or last[3] != part):
                     last = None  # the range has its follower already
@@ -148,18 +202,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 if last is not None and last[3] == part:
                     changed = edited(last[1], text)
                     own = signatures(changed)
-                    out.append((last[0], len(last[1]), hashlib.sha256(changed.encode()).hexdigest(), as_text(last[2]), as_text(own), likeness(last[2], own), likeness(last[2], signs)))
-                last = None if edge else (doc_id, text, signs, part)
+                    out.append((last[0], len(last[1]), hashlib.sha256(changed.encode()).hexdigest(), as_text(last[2]), as_text(own), likeness(last[2], own), likeness(last[2], signs), last[4]))
+                last = None if edge else (doc_id, text, signs, part, notes.get(node_of(signs), doc_id) if doc_id == noted else doc_id)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()))], names=names)
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_next(docs, run, _SCHEMA, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    notes = cut(near_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))))  # of documents that are no class of their own
+    return with_next(docs, notes, run, _SCHEMA, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 #: Both texts of every document word by word: anchors, content words so far, chains, digests, and counts of shared ones.
 ORACLE = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), max(doc_id) OVER ()) AS next_id FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(doc_id) OVER (ORDER BY doc_id DESC), max(doc_id) OVER ()) AS next_id FROM documents),
 edits AS (SELECT d.doc_id, d.next_id, d.text, substr(d.text, 1, length(d.text) - length(d.text) // 2) || substr(f.text, 1, length(d.text) // 2) AS edited FROM d JOIN d f ON f.doc_id = d.next_id),
 texts AS (SELECT doc_id, 0 AS kind, text FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits),
 words AS (SELECT doc_id, kind, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, kind, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM texts)),
@@ -176,9 +231,15 @@ sigs AS (
 signs AS (SELECT DISTINCT doc_id, kind, substr(md5(sig), 1, 8) AS h FROM sigs),
 prints AS (SELECT doc_id, kind, string_agg(h, '' ORDER BY h) AS fingerprint, count(*) AS n FROM signs GROUP BY doc_id, kind),
 own AS (SELECT a.doc_id, count(*) AS both FROM signs a JOIN signs b ON a.doc_id = b.doc_id AND a.kind = 0 AND b.kind = 1 AND a.h = b.h GROUP BY a.doc_id),
+likes AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM signs x JOIN signs y ON x.h = y.h AND x.kind = 0 AND y.kind = 0 AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id)
+  JOIN prints p ON p.doc_id = a AND p.kind = 0 JOIN prints q ON q.doc_id = b AND q.kind = 0 WHERE both >= {least} * (p.n + q.n - both)),
+reach AS (SELECT a, b FROM likes UNION SELECT r.a, l.b FROM reach r JOIN likes l ON l.a = r.b),
+classes AS (SELECT a AS doc_id, least(a, min(b)) AS class_id FROM reach GROUP BY a),
 follow AS (SELECT d.doc_id, count(*) AS both FROM d JOIN signs a ON a.doc_id = d.doc_id AND a.kind = 0 JOIN signs b ON b.doc_id = d.next_id AND b.kind = 0 AND a.h = b.h GROUP BY d.doc_id)
 SELECT e.doc_id, CAST(length(e.text) AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, a.fingerprint, b.fingerprint AS edited_fingerprint,
-       coalesce(o.both, 0) / (a.n + b.n - coalesce(o.both, 0)) AS near_edited, coalesce(f.both, 0) / (a.n + x.n - coalesce(f.both, 0)) AS near_next
-FROM edits e JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 1 JOIN prints x ON x.doc_id = e.next_id AND x.kind = 0
+       coalesce(o.both, 0) / (a.n + b.n - coalesce(o.both, 0)) AS near_edited, coalesce(f.both, 0) / (a.n + x.n - coalesce(f.both, 0)) AS near_next,
+       coalesce(g.class_id, e.doc_id) AS class_id
+FROM edits e LEFT JOIN classes g ON g.doc_id = e.doc_id JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 1 JOIN prints x ON x.doc_id = e.next_id AND x.kind = 0
 LEFT JOIN own o ON o.doc_id = e.doc_id LEFT JOIN follow f ON f.doc_id = e.doc_id
-""".replace("{anchors}", ", ".join(f"'{w}'" for w in sorted(ANCHORS))).replace("{run}", str(RUN))
+""".replace("{anchors}", ", ".join(f"'{w}'" for w in sorted(ANCHORS))).replace("{run}", str(RUN)).replace("{least}", str(LEAST))

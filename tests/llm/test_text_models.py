@@ -27,10 +27,22 @@ def test_spotsigs_query_against_plain_order(spark, tmp_path):
         n = len(t) // 2
         new = t[: len(t) - n] + after[:n]
         a, b, c = map(spotsigs.signatures, (t, new, after))
-        want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), spotsigs.as_text(a), spotsigs.as_text(b), spotsigs.likeness(a, b), spotsigs.likeness(a, c)))
+        want.append((i, len(t), hashlib.sha256(new.encode()).hexdigest(), spotsigs.as_text(a), spotsigs.as_text(b), spotsigs.likeness(a, b), spotsigs.likeness(a, c), plain_class(order, k)))
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+def plain_class(docs, k, least=spotsigs.LEAST):
+    """The least id among the documents that links of that likeness reach from one."""
+    signs = [spotsigs.signatures(t) for _, t in docs]
+    seen, todo = {k}, [k]
+    while todo:
+        at = todo.pop()
+        new = {j for j in range(len(docs)) if j not in seen and spotsigs.likeness(signs[at], signs[j]) >= least}
+        seen |= new
+        todo += new
+    return min((docs[j][0] for j in seen if docs[j][0] is not None), default=None)
+
+
 @pytest.mark.parametrize("data", [[], [(7, "the cat sat", None, None, None)], [(None, "a b", None, None, None), (None, "c", None, None, None)]])
 def test_spotsigs_small_tables(spark, tmp_path, data):
     assert spotsigs.query(spark, folder(spark, tmp_path, table(spark, data))).count() == len(data)
@@ -48,18 +60,25 @@ def test_signatures_follow_anchors():
     assert spotsigs.likeness(np.arange(2), np.arange(100), least=0.5) == 0.0
 
 
-def test_similar_loses_no_pair(spark):
+def test_near_groups_lose_no_link(spark):
+    rnd = random.Random(3)
     base = [prose(k, 120) for k in range(8)]
+    chain = [base[7]]
+    for _ in range(12):  # each near the one before, the ends far apart
+        w = chain[-1].split()
+        for at in rnd.sample(range(len(w)), 3):
+            w[at] = f"z{rnd.randrange(10**6)}"
+        chain.append(" ".join(w))
     near = [t.replace(" mat ", " rug ", 1) for t in base]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*base, *near, base[0], "", "", None])], "doc_id long, text string")
-    signs = {r["doc_id"]: spotsigs.signatures(r["text"]) for r in docs.collect()}
-    want = {(a, b) for a in signs for b in signs if a < b and spotsigs.likeness(signs[a], signs[b]) >= 0.6}
-    members, pairs = spotsigs.similar(docs, 0.6)
-    cls = {r["doc_id"]: r["class_id"] for r in members.collect()}
-    linked = {(r["a"], r["b"]): r["likeness"] for r in pairs.collect()}
-    full = {(a, b) for a in cls for b in cls if a < b and (cls[a] == cls[b] or (min(cls[a], cls[b]), max(cls[a], cls[b])) in linked)}
-    assert full == want
-    assert all(abs(v - spotsigs.likeness(signs[a], signs[b])) < 1e-12 for (a, b), v in linked.items())
+    texts = [*base, *near, *chain, base[0], "", "", None, "word", "word"]
+    data = [*enumerate(texts), (None, base[1]), (None, "only without an id"), (3, "another text of this id")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for least in (0.8, 0.5):
+        got = {(r["doc_id"], r["node"]): r["class_id"] for r in spotsigs.near_groups(docs, least).collect()}
+        plain = [(i, t or "") for i, t in data]
+        want = {(i, spotsigs.node_of(spotsigs.signatures(t))): plain_class(plain, k, least) for k, (i, t) in enumerate(data)}
+        assert got == want
+    assert spotsigs.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 # ---- quality and language
