@@ -230,15 +230,15 @@ sigs AS (
   UNION ALL SELECT * FROM texts t WHERE NOT EXISTS (SELECT 1 FROM chains c WHERE c.doc_id = t.doc_id AND c.kind = t.kind) AND NOT EXISTS (SELECT 1 FROM threes c WHERE c.doc_id = t.doc_id AND c.kind = t.kind AND sig IS NOT NULL)),
 signs AS (SELECT DISTINCT doc_id, kind, substr(md5(sig), 1, 8) AS h FROM sigs),
 prints AS (SELECT doc_id, kind, string_agg(h, '' ORDER BY h) AS fingerprint, count(*) AS n FROM signs GROUP BY doc_id, kind),
-own AS (SELECT a.doc_id, count(*) AS both FROM signs a JOIN signs b ON a.doc_id = b.doc_id AND a.kind = 0 AND b.kind = 1 AND a.h = b.h GROUP BY a.doc_id),
+own AS (SELECT a.doc_id, count(*) AS common FROM signs a JOIN signs b ON a.doc_id = b.doc_id AND a.kind = 0 AND b.kind = 1 AND a.h = b.h GROUP BY a.doc_id),
 likes AS (
-  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM signs x JOIN signs y ON x.h = y.h AND x.kind = 0 AND y.kind = 0 AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id)
-  JOIN prints p ON p.doc_id = a AND p.kind = 0 JOIN prints q ON q.doc_id = b AND q.kind = 0 WHERE both >= {least} * (p.n + q.n - both)),
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM signs x JOIN signs y ON x.h = y.h AND x.kind = 0 AND y.kind = 0 AND x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id)
+  JOIN prints p ON p.doc_id = a AND p.kind = 0 JOIN prints q ON q.doc_id = b AND q.kind = 0 WHERE common >= {least} * (p.n + q.n - common)),
 reach AS (SELECT a, b FROM likes UNION SELECT r.a, l.b FROM reach r JOIN likes l ON l.a = r.b),
 classes AS (SELECT a AS doc_id, least(a, min(b)) AS class_id FROM reach GROUP BY a),
-follow AS (SELECT d.doc_id, count(*) AS both FROM d JOIN signs a ON a.doc_id = d.doc_id AND a.kind = 0 JOIN signs b ON b.doc_id = d.next_id AND b.kind = 0 AND a.h = b.h GROUP BY d.doc_id)
+follow AS (SELECT d.doc_id, count(*) AS common FROM d JOIN signs a ON a.doc_id = d.doc_id AND a.kind = 0 JOIN signs b ON b.doc_id = d.next_id AND b.kind = 0 AND a.h = b.h GROUP BY d.doc_id)
 SELECT e.doc_id, CAST(length(e.text) AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256, a.fingerprint, b.fingerprint AS edited_fingerprint,
-       coalesce(o.both, 0) / (a.n + b.n - coalesce(o.both, 0)) AS near_edited, coalesce(f.both, 0) / (a.n + x.n - coalesce(f.both, 0)) AS near_next,
+       coalesce(o.common, 0) / (a.n + b.n - coalesce(o.common, 0)) AS near_edited, coalesce(f.common, 0) / (a.n + x.n - coalesce(f.common, 0)) AS near_next,
        coalesce(g.class_id, e.doc_id) AS class_id
 FROM edits e LEFT JOIN classes g ON g.doc_id = e.doc_id JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 1 JOIN prints x ON x.doc_id = e.next_id AND x.kind = 0
 LEFT JOIN own o ON o.doc_id = e.doc_id LEFT JOIN follow f ON f.doc_id = e.doc_id
