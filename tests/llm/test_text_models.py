@@ -104,6 +104,32 @@ def test_quality_learns_and_never_reads_held_out_labels(spark, tmp_path):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in one if r["score"] >= 0.5}
 
 
+def test_discriminant_against_plain_densities(spark):
+    """Scores from cached Cholesky factors equal the posterior of two normal densities with the shrunk covariances."""
+    rng = np.random.default_rng(4)
+    d = len(quality.NAMES)
+    label = rng.integers(0, 2, 400)
+    x = rng.normal(size=(400, d)) * (1 + label[:, None]) + label[:, None] * 0.4
+    x[:, 0] = np.abs(x[:, 0]) + 2  # the logarithm of one and the number of words
+    x[:7] = x[0]  # repeated rows
+    rows_ = [(row.tolist(), int(y)) for row, y in zip(x, label)] + [(x[9].tolist(), None)]
+    model = quality.learn(spark.createDataFrame(rows_, "stats array<double>, label int").repartition(3))
+    centre = x.mean(0)
+    words = np.expm1(x[:, :1])
+    z = centre + (x - centre) * words / (words + quality.HALF_WORDS)
+    covs = [np.cov(z[label == c].T, bias=True) for c in (0, 1)]
+    n = np.bincount(label)
+    pooled = (covs[0] * n[0] + covs[1] * n[1]) / n.sum()
+    ridge = np.diag(np.diag(pooled))
+    log = []
+    for c in (0, 1):
+        s = (1 - quality.RIDGE) * ((1 - quality.POOLED) * covs[c] + quality.POOLED * pooled) + quality.RIDGE * ridge
+        away = z - z[label == c].mean(0)
+        log.append(np.log(n[c]) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * (away * np.linalg.solve(s, away.T).T).sum(1))
+    want = 1 / (1 + np.exp(np.clip(log[0] - log[1], -60, 60)))
+    assert np.abs(model.score(x) - want).max() < 1e-6
+
+
 def test_quality_without_labels(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.query(spark, folder(spark, tmp_path, table(spark), labels=none)).collect()
