@@ -337,20 +337,29 @@ def alike(root: np.ndarray, side: np.ndarray, signs: list[np.ndarray], least: fl
     return out
 
 
-def completed(found: DataFrame, sure: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float, chunk: int = CHUNK // 2, jaccard: bool = False) -> DataFrame:
+def united(label: DataFrame, found: DataFrame) -> DataFrame:
+    """``node, label`` after the links ``a, b`` of ``found``: labels that a link joins become the least of them.
+
+    Only labels that links join are looked at, so that rounds of components run over few rows once groups are formed.
+    """
+    ends = found.select("a", "b").join(label.withColumnsRenamed({"node": "a", "label": "u"}), "a").join(label.withColumnsRenamed({"node": "b", "label": "v"}), "b")
+    roots = components(ends.select(F.col("u").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()).withColumnRenamed("node", "label")
+    return cut(label.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")))
+
+
+def compared_in_full(label: DataFrame, found: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float, chunk: int = CHUNK // 2, jaccard: bool = False) -> DataFrame:
     """Checked links ``a, b`` that the candidates ``found`` hide: they span components, so a link that
-    fails the check may have stood in for a good one. Components that the checked links ``sure`` do not hold
-    together are compared in full on their shingles, over pairs of chunks.
+    fails the check may have stood in for a good one. Labels that such links would join are compared in full, over pairs of chunks.
     """
-    wide = components(found).withColumnRenamed("root", "wide")
-    parts = cut(wide.join(components(sure), "node", "left").select("node", "wide", F.coalesce("root", "node").alias("root")))
-    split = parts.groupBy("wide").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    split = cut(split.select("wide", F.ceil(F.col("n") / chunk).cast("int").alias("parts")))
+    ends = found.join(label.withColumnsRenamed({"node": "a", "label": "u"}), "a").join(label.withColumnsRenamed({"node": "b", "label": "v"}), "b").where("u <> v")
+    wide = components(ends.select(F.col("u").alias("a"), F.col("v").alias("b")).distinct()).withColumnsRenamed({"node": "label", "root": "wide"})
+    apart = cut(label.join(wide, "label").select("node", "wide", F.col("label").alias("root")))
+    split = cut(apart.groupBy("wide").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("node"), "parts").cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda q: F.struct(F.least("part", q).alias("x"), F.greatest("part", q).alias("y")))
-    apart = cut(parts.join(split, "wide"))
     rows = (
-        apart.join(sets(apart), "node")
+        apart.join(split, "wide")
+        .join(sets(apart), "node")
         .withColumn("part", part)
         .select("wide", "node", "root", "signs", "part", F.explode(cells).alias("cell"))
         .select("wide", "cell", F.when(F.col("part") == F.col("cell.x"), 0).otherwise(1).cast("long").alias("side"), "node", "root", "signs")
@@ -363,15 +372,15 @@ def completed(found: DataFrame, sure: DataFrame, sets: Callable[[DataFrame], Dat
         pairs = node[np.array(alike(np.unique(root, return_inverse=True)[1], side, signs, least, jaccard), np.int64).reshape(-1, 2)]
         return pa.table({"a": pairs.min(1), "b": pairs.max(1)})
 
-    return rows.groupBy("wide", "cell").applyInArrow(compared, "a long, b long").distinct()
+    return cut(rows.groupBy("wide", "cell").applyInArrow(compared, "a long, b long").distinct())
 
 
-def verified(found: DataFrame, known: DataFrame | None, sets: Callable[[DataFrame], DataFrame], least: float, jaccard: bool = False) -> DataFrame:
-    """Links alike on the whole texts that span, with the ``known`` ones, what the candidates ``found`` and they reach."""
-    ends = found.select(F.explode(F.array("a", "b")).alias("node"))
-    sure = checked(found, sets(ends), least, jaccard)
-    sure = cut(sure if known is None else sure.unionByName(known))
-    return sure.unionByName(completed(found if known is None else found.unionByName(known), sure, sets, least, jaccard=jaccard))
+def settled(label: DataFrame, found: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float, jaccard: bool = False) -> DataFrame:
+    """``node, label`` after all links alike on the whole texts among what the candidates ``found`` reach."""
+    sure = cut(checked(found, sets(found.select(F.explode(F.array("a", "b")).alias("node"))), least, jaccard))
+    label = united(label, sure)
+    more = compared_in_full(label, found.join(sure, ["a", "b"], "left_anti"), sets, least, jaccard=jaccard)
+    return label if more.isEmpty() else united(label, more)
 
 
 def groups(docs: DataFrame, words: int = WORDS, size: int = 1, distances: tuple[int, ...] = (DISTANCE,), least: float | None = None) -> DataFrame:
@@ -400,13 +409,11 @@ def near_nodes(docs: DataFrame, words: int, size: int, distances: tuple[int, ...
     own = marked.groupBy("node").agg(F.min("doc_id").alias("first"), *(F.min(F.col("fp")[k]).alias(f"w{k}") for k in range(size)))
     own = cut(own.select("node", "first", F.array(*(f"w{k}" for k in range(size))).alias("fp")))
     sets = lambda nodes: sets_of(nodes, own, docs, words)
-    known, label = None, own.select("node", F.col("node").alias("label"), "fp")
+    label = own.select("node", F.col("node").alias("label"))
     for blocks in (range(FIRST), range(FIRST, BLOCKS)) if size > 1 else (range(BLOCKS),):
-        found = cut(links(label, size, distances, blocks=blocks))
-        roots = cut(components(verified(found, known, sets, least)))
-        known = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-        label = own.select("node", "fp").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "fp")
-    named = own.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+        found = cut(links(own.join(label, "node").select("node", "label", "fp"), size, distances, blocks=blocks))
+        label = settled(label, found, sets, least)
+    named = own.join(label, "node").select("node", "first", F.col("label").alias("root"))
     heads = named.groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("least"))
     return marked, named, heads.select("root", F.col("least.first").alias("component_id"), F.col("least.node").alias("head"))
 

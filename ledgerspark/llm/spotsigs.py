@@ -31,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, map_columns, slices, table
-from .simhash import verified
+from .common import cut, map_columns, slices, table
+from .simhash import settled
 
 CHAIN = 2
 RUN = 8
@@ -165,8 +165,8 @@ def near_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
     hubs = keys.groupBy("part", "sign").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
     found = cut(keys.join(hubs, ["part", "sign"]).where("node <> a").select("a", F.col("node").alias("b")).distinct())
     sets = lambda nodes: classes.join(nodes.select("node").distinct(), "node").select("node", "signs")
-    roots = components(verified(found, None, sets, least, jaccard=True))
-    named = cut(classes.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
+    label = settled(classes.select("node", F.col("node").alias("label")), found, sets, least, jaccard=True)
+    named = cut(classes.select("node", "first").join(label, "node").select("node", "first", F.col("label").alias("root")))
     heads = named.groupBy("root").agg(F.min("first").alias("class_id"))
     grouped = named.join(heads, "root").select("node", "class_id")
     return prints.select("doc_id", "node").distinct().join(grouped, "node").select("doc_id", "node", "class_id")
