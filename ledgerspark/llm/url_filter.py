@@ -6,8 +6,9 @@ into candidate keys (every suffix of the host at a label border, joined with the
 some rule path has), probed by one vectorised binary search, and each hit is confirmed against the stored
 string, so a hash collision never decides.
 
-The file is shipped to the executors only while it is at most ``max_index_bytes``. A larger rule list is
-joined instead: the same candidates, exploded, meet the rules on digest and string, both sides shuffled.
+The file is shipped to the executors only while it is at most ``max_index_bytes``. A larger rule list is dealt by digest over
+shards of ``SHARD_ROWS`` rules or candidates, each with a sorted array of its own, mapped and probed in the same way by the distinct
+candidates of all urls; what they hit goes back to the urls by its string.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and no rule. A rule fits its host and
 all its subdomains if the url's path starts with the rule's path. The longest rule string wins; of two equally
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import cut, table
 
 #: (verdict, host, path)
 RULES = [
@@ -41,6 +42,7 @@ RULES = [
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SEED = 0
+SHARD_ROWS = 1 << 20
 _MAPPED: dict[str, "RuleIndex"] = {}
 
 
@@ -70,22 +72,36 @@ class RuleIndex:
     def mapped(cls, name: str, packed: bytes) -> "RuleIndex":
         """The index over a file of this worker's own temporary folder, mapped once per process."""
         if name not in _MAPPED:
-            fd, path = tempfile.mkstemp(suffix=".rules")
-            with os.fdopen(fd, "wb") as f:
-                f.write(packed)
-            raw = np.memmap(path, np.uint8, "r")
-            os.unlink(path)  # the mapping keeps it until the process ends
-            n, m, size = raw[:24].view(np.int64).tolist()
-            at = 24
-            parts = []
-            for kind, count in ((np.uint64, n), (np.int64, n + 1), (np.int64, m), (np.uint8, n), (np.uint8, size)):
-                end = at + count * np.dtype(kind).itemsize
-                parts.append(raw[at:end].view(kind))
-                at = end
-            keys, starts, lengths, verdicts, text = parts
-            _MAPPED[name] = cls(keys, starts, verdicts, lengths.tolist(), text)
+            _MAPPED[name] = cls.opened(packed)
         return _MAPPED[name]
 
+    @classmethod
+    def opened(cls, packed: bytes) -> "RuleIndex":
+        fd, path = tempfile.mkstemp(suffix=".rules")
+        with os.fdopen(fd, "wb") as f:
+            f.write(packed)
+        raw = np.memmap(path, np.uint8, "r")
+        os.unlink(path)  # the mapping keeps it until it goes
+        n, m, size = raw[:24].view(np.int64).tolist()
+        at = 24
+        parts = []
+        for kind, count in ((np.uint64, n), (np.int64, n + 1), (np.int64, m), (np.uint8, n), (np.uint8, size)):
+            end = at + count * np.dtype(kind).itemsize
+            parts.append(raw[at:end].view(kind))
+            at = end
+        keys, starts, lengths, verdicts, text = parts
+        return cls(keys, starts, verdicts, lengths.tolist(), text)
+
+    def probe(self, names: list[str]) -> Iterator[tuple[int, int]]:
+        """Index pairs of names and the rules whose strings they are: one binary search for all, then strings confirm."""
+        digests = np.array([xxhash.xxh64_intdigest(s, seed=_SEED) for s in names], np.uint64)
+        low = np.searchsorted(self.keys, digests, "left")
+        high = np.searchsorted(self.keys, digests, "right")
+        for j in np.flatnonzero(high > low).tolist():
+            for k in range(low[j], high[j]):
+                if self.text[self.starts[k] : self.starts[k + 1]].tobytes() == names[j].encode():
+                    yield j, k
+
     def find(self, hosts: list[str], paths: list[str]) -> list[tuple[str, bool] | None]:
         """For each url the winning rule string and whether it blocks."""
         found: list[tuple[str, bool] | None] = [None] * len(hosts)
@@ -104,14 +120,10 @@ class RuleIndex:
                 at = host.find(".", at) + 1 or -1
         if not names or not len(self.keys):
             return found
-        digests = np.array([xxhash.xxh64_intdigest(s, seed=_SEED) for s in names], np.uint64)
-        low = np.searchsorted(self.keys, digests, "left")
-        high = np.searchsorted(self.keys, digests, "right")
-        for j in np.flatnonzero(high > low).tolist():
-            i, name, rank = rows[j], names[j], (len(names[j]), widths[j])
-            for k in range(low[j], high[j]):
-                if rank > best[i] and self.text[self.starts[k] : self.starts[k + 1]].tobytes() == name.encode():
-                    found[i], best[i] = (name, bool(self.verdicts[k])), rank
+        for j, k in self.probe(names):
+            i, rank = rows[j], (len(names[j]), widths[j])
+            if rank > best[i]:
+                found[i], best[i] = (names[j], bool(self.verdicts[k])), rank
         return found
 
 
@@ -121,30 +133,37 @@ def url_parts(url) -> tuple:
     return F.translate(F.regexp_extract(url, _PARTS, 1), _UPPER, _LOWER), F.regexp_extract(url, _PARTS, 2)
 
 
-def _joined(parts: DataFrame, rules, spark: SparkSession) -> DataFrame:
-    """The same verdicts by a shuffled join on digest and string, for rule lists of any size."""
+def _sharded(parts: DataFrame, rules, spark: SparkSession) -> DataFrame:
+    """The same verdicts by sorted digest arrays over shards of the rules, for rule lists of any size."""
     known = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "verdict string, host string, path string")
-    known = (
-        known.withColumn("rule", F.concat("host", "path"))
-        .groupBy("rule")
-        .agg(F.max(F.col("verdict") == "block").alias("blocks"), F.max(F.length("path")).alias("path_length"))
-        .withColumn("digest", F.xxhash64("rule"))
-    )
-    lengths = known.agg(F.collect_set("path_length").alias("lengths"))  # one row, at most as many values as a path has characters
+    known = cut(known.withColumn("rule", F.concat("host", "path")).groupBy("rule").agg(F.max(F.col("verdict") == "block").alias("blocks"), F.max(F.length("path")).alias("path_length")))
+    lengths = known.agg(F.collect_set("path_length")).scalar()  # at most as many values as a path has characters
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     tried = (
         parts.where("host <> ''")
         .select("host", "path")
         .distinct()
-        .join(F.broadcast(lengths))
+        .withColumn("lengths", lengths)
         .select("host", "path", F.explode(suffixes).alias("suffix"), "lengths")
         .select("host", "path", "suffix", F.explode(F.filter("lengths", lambda k: k <= F.length("path"))).alias("k"))
-        .withColumn("rule", F.concat("suffix", F.expr("left(path, k)")))
-        .withColumn("digest", F.xxhash64("rule"))
+        .select("host", "path", "suffix", F.concat("suffix", F.expr("left(path, k)")).alias("rule"))
     )
+    tried = cut(tried)
+    names = cut(tried.select("rule").distinct())
+    shards = max(known.count(), names.count()) // SHARD_ROWS + 1
+    shard = F.pmod(F.xxhash64("rule"), F.lit(shards)).alias("shard")
+
+    def probe(own: pa.Table, asked: pa.Table) -> pa.Table:
+        blocks = own.column("blocks").to_pylist()
+        index = RuleIndex.opened(RuleIndex.pack(("block" if x else "allow", r, "") for r, x in zip(own.column("rule").to_pylist(), blocks)))
+        wanted = asked.column("rule").to_pylist()
+        hits = list(index.probe(wanted)) if len(blocks) and wanted else []
+        return pa.table({"rule": pa.array([wanted[j] for j, _ in hits], pa.string()), "blocks": pa.array([bool(index.verdicts[k]) for _, k in hits], pa.bool_())})
+
+    found = known.select(shard, "rule", "blocks").groupBy("shard").cogroup(names.select(shard, "rule").groupBy("shard")).applyInArrow(probe, "rule string, blocks boolean")
     won = (
-        tried.join(known, ["digest", "rule"])
+        tried.join(found, "rule")
         .groupBy("host", "path")
         .agg(F.max_by(F.struct("rule", "blocks"), F.struct(F.length("rule"), F.length("suffix"))).alias("won"))
         .select("host", "path", F.col("won.rule").alias("rule"), F.col("won.blocks").alias("blocks"))
@@ -159,7 +178,7 @@ def filter_urls(urls: DataFrame, rules, id_col: str = "page_id", url_col: str =
     parts = urls.select(F.col(id_col), host.alias("host"), path.alias("path"))
     packed = None if isinstance(rules, DataFrame) else RuleIndex.pack(rules)
     if packed is None or len(packed) > max_index_bytes:
-        out = _joined(parts, rules, spark)
+        out = _sharded(parts, rules, spark)
     else:
         name = xxhash.xxh3_128_hexdigest(packed)
         shipped = spark.sparkContext.broadcast(packed)

@@ -464,6 +464,17 @@ def test_url_rules_both_ways(spark):
     assert sorted(map(tuple, url_filter.filter_urls(df, url_filter.RULES, max_index_bytes=0).collect()), key=key) == sorted(want, key=key)
 
 
+def test_url_rules_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "SHARD_ROWS", 3)
+    listed = [*url_filter.RULES, *(("block", f"h{k}.com", "/x" * (k % 4)) for k in range(30))]
+    urls = [*URLS, *(f"http://a.h{k}.com/x/x/x/{k}" for k in range(30))]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = [(k, *plain_rule(u, listed)) for k, u in enumerate(urls)]
+    as_table = spark.createDataFrame(listed, "verdict string, host string, path string")
+    assert sorted(map(tuple, url_filter.filter_urls(df, as_table).collect()), key=key) == sorted(want, key=key)
+    assert url_filter.filter_urls(df.limit(0), as_table).count() == 0
+
+
 def test_colliding_digests_do_not_decide():
     packed = url_filter.RuleIndex.pack([("block", "com", "/a")])
     index = url_filter.RuleIndex.mapped("t", packed)
