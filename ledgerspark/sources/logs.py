@@ -41,29 +41,31 @@ def claude(found: DataFrame) -> Atoms:
     rows = parsed(lines(found))
     thread = F.coalesce(F.nullif(F.regexp_extract("path", r"([^/]+)/subagents/[^/]+(?:/[^/]+)*\.jsonl$", 1), F.lit("")), stem(F.col("path")))
     rows = rows.withColumns({"thread": thread, "is_sub": F.contains("path", F.lit("/subagents/"))})
-    nested = is_object(V, "data.message.message.usage")
-    usage_at = lambda name: F.when(nested, count(V, f"data.message.message.usage.{name}")).when(is_object(V, "message.usage"), count(V, f"message.usage.{name}")).otherwise(count(V, f"usage.{name}"))
-    pick = lambda kind, inner, outer: F.when(nested, kind(V, f"data.message.{inner}")).otherwise(kind(V, outer))
-    side = pick(boolean, "isSidechain", "isSidechain")
-    clients = [pick(string, k, k) for k in ("entryPoint", "entrypoint", "client", "clientName")] + [string(V, "entryPoint"), string(V, "entrypoint")]
-    thinking = [pick(number, f"message.usage.{k}", f"message.usage.{k}") for k in ("reasoning_output_tokens", "thinking_tokens", "thinking_output_tokens")]
+    nested, direct = is_object(V, "data.message.message.usage"), is_object(V, "message.usage")
+    # the record that counts: the one inside agent progress, or the line itself; parsed once for all its fields
+    rows = rows.withColumns({"nested": nested, "direct": direct}).withColumn("m", F.when(F.col("nested"), raw(V, "data.message")).otherwise(F.col(V)))
+    rows = rows.withColumn("u", F.when(F.col("nested") | F.col("direct"), raw("m", "message.usage")).otherwise(raw(V, "usage")))
+    clients = [string("m", k) for k in ("entryPoint", "entrypoint", "client", "clientName")] + [string(V, "entryPoint"), string(V, "entrypoint")]
+    thinking = [F.when(F.col("nested") | F.col("direct"), number("u", k)) for k in ("reasoning_output_tokens", "thinking_tokens", "thinking_output_tokens")]
+    speed = F.when(F.col("nested") | F.col("direct"), raw("u", "speed"))
     stamp = F.coalesce(string(V, "timestamp"), string(V, "data.message.timestamp"))
-    usage = rows.where(nested | is_object(V, "message.usage") | is_object(V, "usage")).select(
+    told = rows.where(F.col("nested") | F.col("direct") | is_object(V, "usage")).withColumns({"client": F.coalesce(*clients), "side": boolean("m", "isSidechain")})
+    usage = told.select(
         "thread", "is_sub", "path", "line_no",
         F.struct("is_sub", "path", "line_no").alias("ord"),
-        millis(pick(string, "timestamp", "timestamp")).alias("ts"),
-        F.when(~nested, string(V, "sessionId")).alias("session_id"),
-        F.when(~nested, string(V, "version")).alias("version"),
-        pick(string, "message.id", "message.id").alias("message_id"),
-        pick(string, "requestId", "requestId").alias("request_id"),
-        F.coalesce(pick(string, "message.model", "message.model"), pick(string, "model", "model")).alias("model"),
-        side.alias("is_sidechain"),
-        F.coalesce(pick(number, "costUSD", "costUSD"), F.lit(0.0)).alias("cost"),
-        F.coalesce(pick(raw, "message.usage.speed", "message.usage.speed").isNotNull() & ~F.is_variant_null(pick(raw, "message.usage.speed", "message.usage.speed")), F.lit(False)).alias("has_speed"),
-        T.entry_point(F.coalesce(*clients), side).alias("entry_point"),
+        millis(string("m", "timestamp")).alias("ts"),
+        F.when(~F.col("nested"), string(V, "sessionId")).alias("session_id"),
+        F.when(~F.col("nested"), string(V, "version")).alias("version"),
+        string("m", "message.id").alias("message_id"),
+        string("m", "requestId").alias("request_id"),
+        F.coalesce(string("m", "message.model"), string("m", "model")).alias("model"),
+        F.col("side").alias("is_sidechain"),
+        F.coalesce(number("m", "costUSD"), F.lit(0.0)).alias("cost"),
+        F.coalesce(speed.isNotNull() & ~F.is_variant_null(speed), F.lit(False)).alias("has_speed"),
+        T.entry_point(F.col("client"), F.col("side")).alias("entry_point"),
         F.coalesce(*thinking, F.lit(0.0)).cast("long").alias("thinking"),
-        usage_at("input_tokens").alias("input"), usage_at("output_tokens").alias("output"),
-        usage_at("cache_read_input_tokens").alias("cache_read"), usage_at("cache_creation_input_tokens").alias("cache_creation"),
+        count("u", "input_tokens").alias("input"), count("u", "output_tokens").alias("output"),
+        count("u", "cache_read_input_tokens").alias("cache_read"), count("u", "cache_creation_input_tokens").alias("cache_creation"),
     )
     content = array(V, "message.content")
     echo = F.coalesce(F.exists(content, lambda b: F.try_variant_get(b, "$.type", "string") == "tool_result"), F.lit(False))
