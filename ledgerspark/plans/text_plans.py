@@ -82,7 +82,7 @@ _TENTH = "CASE WHEN {x} * 4 = floor({x} * 4) AND CAST({x} * 4 AS BIGINT) % 2 = 1
 _COMPACT = "CASE WHEN n < 0 THEN '-' ELSE '' END || CASE WHEN a >= 1e9 THEN " + _TENTH.format(x="(a / 1e9)") + " || 'B' WHEN a >= 1e6 THEN " + _TENTH.format(x="(a / 1e6)") + " || 'M' WHEN a >= 1e3 THEN " + _TENTH.format(x="(a / 1e3)") + " || 'K' ELSE CAST(CAST(a AS BIGINT) AS VARCHAR) END"
 
 
-@query("f12_compact_numbers", f"""
+@query("f12_compact_numbers", rf"""
 SELECT o_orderkey, {_COMPACT} AS short, (o_orderkey // 60) || ':' || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS clock,
        CASE WHEN m < 60 THEN m || 'm' WHEN m < 2880 THEN (m // 60) || 'h' || CASE WHEN m % 60 <> 0 THEN ' ' || (m % 60) || 'm' ELSE '' END ELSE CAST(floor(m / 1440.0 + 0.5) AS BIGINT) || 'd' END AS span,
        CASE WHEN o_orderkey >= 1000 THEN '$' || regexp_replace({_TENTH.format(x="(o_orderkey / 1000.0::DOUBLE)")}, '\.0$', '') || 'k' ELSE '$' || o_orderkey END AS tick
