@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -39,18 +40,33 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+_SCOPE: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside go at the end, but for those that are ``kept``."""
+    name = f"{uuid.uuid4().hex}/"
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        discard(spark, f"{shared_dir(spark)}/{''.join(_SCOPE)}")
+        _SCOPE.remove(name)
+
+
+def cut(df: DataFrame, kept: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends and lost executors lose nothing.
 
     The shuffle files of that write go with it, since what comes after reads the table.
     """
-    return cut_to(df)[0]
+    return cut_to(df, kept)[0]
 
 
-def cut_to(df: DataFrame) -> tuple[DataFrame, str]:
+def cut_to(df: DataFrame, kept: bool = False) -> tuple[DataFrame, str]:
     """``cut``, and where the table is."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{'' if kept else ''.join(_SCOPE)}{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_columns, slices, table
+from .common import cut, map_columns, scratch, slices, table
 from .simhash import settled
 
 CHAIN = 2
@@ -208,7 +208,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int64()))], names=names)
 
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    notes = cut(near_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))))  # of documents that are no class of their own
+    with scratch(spark):  # the sets and keys go before the texts are dealt
+        notes = cut(near_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))), kept=True)  # of documents that are no class of their own
     return with_next(docs, notes, run, _SCHEMA, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
