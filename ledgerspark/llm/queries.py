@@ -1,6 +1,6 @@
 """The registered queries of this package and their SQL."""
 
-from . import gif, html_text, language, mixing, packing, quality, simhash, spotsigs, suffix_dedup, url_filter
+from . import gif, html_text, language, mixing, packing, quality, secret_scan, simhash, spotsigs, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_language_id": language.query,
     "op9_html_text": html_text.query,
     "op10_url_filter": url_filter.query,
+    "op11_secret_scan": secret_scan.query,
 }
 ORACLE = {
     "op1_mixing": mixing.ORACLE,
@@ -20,4 +21,5 @@ ORACLE = {
     "op3_spotsigs": spotsigs.ORACLE,
     "op5_suffix_dedup": suffix_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op11_secret_scan": secret_scan.ORACLE,
 }
