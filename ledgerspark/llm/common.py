@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import reduce
 
 import pyarrow as pa
@@ -40,19 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-_SCOPE: list[str] = []
+#: The folder of tables that go together, of each thread its own.
+_SCOPE: ContextVar[str] = ContextVar("scope", default="")
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables cut inside go at the end, but for those that are ``kept``."""
-    name = f"{uuid.uuid4().hex}/"
-    _SCOPE.append(name)
+    """Tables cut inside by this thread go at the end, but for those that are ``kept``."""
+    before = _SCOPE.set(f"{_SCOPE.get()}{uuid.uuid4().hex}/")
     try:
         yield
     finally:
-        discard(spark, f"{shared_dir(spark)}/{''.join(_SCOPE)}")
-        _SCOPE.remove(name)
+        discard(spark, f"{shared_dir(spark)}/{_SCOPE.get()}")
+        _SCOPE.reset(before)
 
 
 def cut(df: DataFrame, kept: bool = False) -> DataFrame:
@@ -66,7 +67,7 @@ def cut(df: DataFrame, kept: bool = False) -> DataFrame:
 def cut_to(df: DataFrame, kept: bool = False) -> tuple[DataFrame, str]:
     """``cut``, and where the table is."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{'' if kept else ''.join(_SCOPE)}{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{'' if kept else _SCOPE.get()}{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEANUP)
     spark.conf.set(_CLEANUP, "true")
     try:

@@ -1,6 +1,6 @@
 """The registered queries of this package and their SQL."""
 
-from . import gif, html_text, language, mixing, packing, quality, secret_scan, simhash, spotsigs, suffix_dedup, url_filter
+from . import divergence, gif, html_text, language, mixing, packing, quality, secret_scan, simhash, spotsigs, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_html_text": html_text.query,
     "op10_url_filter": url_filter.query,
     "op11_secret_scan": secret_scan.query,
+    "op12_source_divergence": divergence.query,
 }
 ORACLE = {
     "op1_mixing": mixing.ORACLE,
@@ -22,4 +23,5 @@ ORACLE = {
     "op5_suffix_dedup": suffix_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
     "op11_secret_scan": secret_scan.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
 }
