@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, table
+from .common import cut, lowered, scratch, table
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"  # letters of ASCII, and whatever is not ASCII
 LEAST_DOCS = 3
@@ -32,12 +32,6 @@ UNIT = 1_000_000_000
 TOP = 200
 
 
-def lowered(text: Column) -> Column:
-    """A-Z in lower case, and nothing else."""
-    ascii_only = F.length(text) == F.octet_length(text)
-    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-
-
 def counted(terms: Column) -> Column:
     """``term, n`` of each distinct element of an array of strings."""
     let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)

@@ -1,6 +1,6 @@
 """The registered queries of this package and their SQL."""
 
-from . import divergence, gif, html_text, language, mixing, packing, quality, secret_scan, simhash, spotsigs, suffix_dedup, url_filter
+from . import divergence, gif, html_text, language, mixing, packing, quality, secret_scan, simhash, spelling, spotsigs, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_url_filter": url_filter.query,
     "op11_secret_scan": secret_scan.query,
     "op12_source_divergence": divergence.query,
+    "op13_spelling_variants": spelling.query,
 }
 ORACLE = {
     "op1_mixing": mixing.ORACLE,
@@ -24,4 +25,5 @@ ORACLE = {
     "op10_url_filter": url_filter.ORACLE,
     "op11_secret_scan": secret_scan.ORACLE,
     "op12_source_divergence": divergence.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
