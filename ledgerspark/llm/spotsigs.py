@@ -9,13 +9,15 @@ A text that makes no whole chain so gets a chain at every word instead; one with
 signature of the whole text, so only equal short texts are alike.
 
 ``near_groups`` finds near-duplicates: sets are partitioned by length, and those that share one of the rarest signatures of both are
-candidates. A group is what links of a Jaccard coefficient of ``LEAST`` or more reach; every link is compared on the whole sets.
+candidates, unless their sketches rule it out: for two sets of n and m signatures whose parity bits differ in d places, no more
+than (n + m - d) / 2 are common. A group is what links of a Jaccard coefficient of ``LEAST`` or more reach. Every link is compared on the whole sets, and only those
+that hold join anything. Two passes look for a few links a set, so that a large group is one soon; the last looks at every pair of candidates left apart.
 
 ``with_next`` brings documents and their successors together: ids are range-partitioned at quantiles, sorted in each range,
 and read in order; the row that tops a range is also sent to the range before it in order. No window spans the table.
 
 Defined cases: a null text counts as empty; two empty texts are alike (1.0). A table of one row is its own successor.
-Null doc_ids come last, among themselves by text, descending, as do rows of one doc_id. Repeated rows follow each other.
+Null doc_ids come last, among themselves by text, descending, as do rows of one doc_id: each row is followed by the next in that order, a repeated row by itself.
 The class of a group is its least doc_id, null if only null ids are in it. Empty table: empty result.
 """
 
@@ -32,13 +34,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, map_columns, scratch, slices, table
-from .simhash import settled
+from .near import CHUNK, pairs
+from .simhash import checked, united
 
 CHAIN = 2
 RUN = 8
 LEAST = 0.8
 #: Cells of the table of how often signatures occur, which ranks them; signatures that share a cell share a rank's count.
 CELLS_LOG2 = 16
+#: Words of 64 bits of a set's sketch.
+SKETCH = 8
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset("the a an of and to in is was that der die das und ist zu den le la les de et un une est el los las y en es".split())
 _WORD = re.compile(r"[^\W_]+")
@@ -105,13 +110,13 @@ def node_of(signs: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, signs`` of every row, the signatures as an array of longs."""
+    """``doc_id, node, signs`` of every row, the signatures as an array of ints."""
 
     def run(ids, texts):
         found = [signatures(t) for t in texts]
-        return {"doc_id": ids, "node": [node_of(x) for x in found], "signs": [x.tolist() for x in found]}
+        return {"doc_id": ids, "node": [node_of(x) for x in found], "signs": [x.view(np.int32) for x in found]}
 
-    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, node long, signs array<long>")
+    return map_columns(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, node long, signs array<int>")
 
 
 def cell_loads(classes: DataFrame) -> np.ndarray:
@@ -120,7 +125,7 @@ def cell_loads(classes: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << CELLS_LOG2, np.int64)
         for b in batches:
-            held += np.bincount(b.column(0).flatten().to_numpy() >> (32 - CELLS_LOG2), minlength=len(held))
+            held += np.bincount(b.column(0).flatten().to_numpy().view(np.uint32) >> (32 - CELLS_LOG2), minlength=len(held))
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["cell", "n"])
 
@@ -141,7 +146,7 @@ def prefix_keys(classes: DataFrame, least: float) -> DataFrame:
         for b in batches:
             out = []
             for node, signs in zip(b.column(0).to_pylist(), b.column(1)):
-                x = signs.values.to_numpy()
+                x = signs.values.to_numpy().view(np.uint32)
                 n = len(x)
                 took = x[np.lexsort((x, shipped.value[x >> (32 - CELLS_LOG2)]))[: n - int(np.ceil(n * least - 1e-9)) + 1]]
                 part = int(np.floor(np.log(n) / np.log(1 / least) + 1e-9))
@@ -153,19 +158,43 @@ def prefix_keys(classes: DataFrame, least: float) -> DataFrame:
     return classes.select("node", "signs").mapInArrow(run, "part long, sign long, node long")
 
 
-def near_groups(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """``doc_id, node, class_id`` of every distinct document and fingerprint: the least doc_id of its group of near-duplicates.
+def sketches(classes: DataFrame) -> DataFrame:
+    """``node, n, w0`` and on: the size of each set, and the parity of its signatures in each of 64 * ``SKETCH`` places."""
+    words = [f"w{k}" for k in range(SKETCH)]
 
-    Sets that share a key are linked to the least of them, a row each, not in pairs. Those links are compared on the whole sets, and
-    components that they do not hold together in full, over chunks.
-    """
+    def run(nodes, signs):
+        x = [np.asarray(s, np.int32).view(np.uint32) for s in signs]
+        bits = np.stack([np.packbits(np.bincount(s % (64 * SKETCH), minlength=64 * SKETCH) & 1).view(np.int64) for s in x]) if x else np.zeros((0, SKETCH), np.int64)
+        return {"node": nodes, "n": [len(s) for s in x]} | {w: bits[:, k] for k, w in enumerate(words)}
+
+    return map_columns(classes.select("node", "signs"), run, ", ".join(f"{c} long" for c in ("node", "n", *words)))
+
+
+def may_be_alike(least: float):
+    """A test of sketches that holds for all sets with a Jaccard coefficient of ``least`` or more."""
+
+    def fits(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        apart = np.bitwise_count((x[:, 1:] ^ y[:, 1:]).view(np.uint64)).sum(1, dtype=np.int64)
+        n, m = x[:, 0], y[:, 0]
+        return (np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & ((n + m - apart) * (1 + least) >= 2 * least * (n + m) - 1e-9)
+
+    return fits
+
+
+def near_groups(docs: DataFrame, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
+    """``doc_id, node, class_id`` of every distinct document and fingerprint: the least doc_id of its group of near-duplicates."""
     prints = cut(fingerprints(docs))
     classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("signs").alias("signs")))
     keys = cut(prefix_keys(classes, least))
-    hubs = keys.groupBy("part", "sign").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = cut(keys.join(hubs, ["part", "sign"]).where("node <> a").select("a", F.col("node").alias("b")).distinct())
-    sets = lambda nodes: classes.join(nodes.select("node").distinct(), "node").select("node", "signs")
-    label = settled(classes.select("node", F.col("node").alias("label")), found, sets, least, jaccard=True)
+    common = keys.groupBy("part", "sign").count().where("count > 1").drop("count")
+    keys = cut(keys.join(common, ["part", "sign"]).join(sketches(classes), "node"))  # most keys are one set's alone
+    words = ["n", *(f"w{k}" for k in range(SKETCH))]
+    label = classes.select("node", F.col("node").alias("label"))
+    for spanning, order in ((True, "node"), (True, "-node"), (False, "node")):
+        found = pairs(keys.join(label, "node"), ["part", "sign"], words, may_be_alike(least), spanning, chunk, order)
+        sure = cut(checked(found, classes.select("node", "signs"), least, jaccard=True))
+        if not sure.isEmpty():
+            label = united(label, sure)
     named = cut(classes.select("node", "first").join(label, "node").select("node", "first", F.col("label").alias("root")))
     heads = named.groupBy("root").agg(F.min("first").alias("class_id"))
     grouped = named.join(heads, "root").select("node", "class_id")

@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from ledgerspark.llm import gif, html_text, language, quality, spotsigs, url_filter
+from ledgerspark.llm import gif, html_text, language, near, quality, spotsigs, url_filter
 from tests.llm.helpers import DOCS, folder, prose, rows, table
 
 key = lambda r: tuple(map(str, r))
@@ -81,6 +81,55 @@ def test_near_groups_lose_no_link(spark):
     assert spotsigs.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_sketches_refuse_nothing_alike_and_most_else(spark):
+    rnd = np.random.default_rng(4)
+    sets = [np.unique(rnd.integers(0, 1 << 32, n, dtype=np.uint32)) for n in (1, 5, 40, 400, 3000)]
+    pairs = []
+    for s in sets:
+        for lost in range(0, len(s) // 3 + 1, max(1, len(s) // 40)):
+            kept = s[rnd.permutation(len(s))[: len(s) - lost]]
+            pairs.append((s, np.unique(np.concatenate([kept, rnd.integers(0, 1 << 32, lost // 2, dtype=np.uint32)]))))
+    pairs += [(np.unique(rnd.integers(0, 1 << 32, 60, dtype=np.uint32)), np.unique(rnd.integers(0, 1 << 32, 64, dtype=np.uint32))) for _ in range(200)]
+    rows_ = [(k, s.view(np.int32).tolist()) for k, s in enumerate(s for p in pairs for s in p)]
+    found = {r["node"]: list(r[1:]) for r in spotsigs.sketches(spark.createDataFrame(rows_, "node long, signs array<int>")).collect()}
+    x, y = (np.array([found[2 * k + side] for k in range(len(pairs))]) for side in (0, 1))
+    fits = spotsigs.may_be_alike(0.8)(x, y)
+    assert all(fit for fit, (a, b) in zip(fits, pairs) if spotsigs.likeness(a, b) >= 0.8) and not fits[-200:].any()
+
+
+def test_unrelated_texts_make_no_candidates(spark, monkeypatch):
+    """Links that fail join nothing: the texts of a growing vocabulary of rare words never come together."""
+    draw = np.random.default_rng(9)
+    common, words = sorted(spotsigs.ANCHORS), np.minimum(draw.zipf(1.2, (3000, 120)), 20_000)
+    docs = spark.createDataFrame([(k, " ".join(common[w] if w < len(common) else f"w{w}x" for w in row)) for k, row in enumerate(words.tolist())], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(spotsigs, "pairs", lambda *a, **k: seen.append(near.pairs(*a, **k)) or seen[-1])
+    assert spotsigs.near_groups(docs).where("doc_id <> class_id").count() == 0
+    assert [df.count() for df in seen] == [0, 0, 0]
+
+
+def test_candidate_pairs_at_any_chunk(spark):
+    """Keys of two labels, over chunks of two rows: every pair of labels that passes is found, and a spanning one joins as much."""
+    rnd = random.Random(6)
+    rows_ = [(k // 9, 100 + k, (100 + k) if k % 4 else 100 + k // 9 * 9, rnd.randrange(1 << 6)) for k in range(90)]
+    df = spark.createDataFrame(rows_, "key long, node long, label long, w0 long")
+    fits = lambda x, y: np.bitwise_count(x[:, 0] ^ y[:, 0]) <= 2
+    want = {(a[1], b[1]) for a in rows_ for b in rows_ if a[0] == b[0] and a[1] < b[1] and a[2] != b[2] and (a[3] ^ b[3]).bit_count() <= 2}
+    for chunk in (2, 1000):
+        assert {tuple(r) for r in near.pairs(df, ["key"], ["w0"], fits, False, chunk).collect()} == want
+        some = {tuple(r) for r in near.pairs(df, ["key"], ["w0"], fits, True, chunk, "-node").collect()}
+        assert some <= want and _joined(rows_, some) == _joined(rows_, want)
+
+
+def _joined(rows_, links) -> dict:
+    root = {n: label for _, n, label, _ in rows_}
+    for _ in rows_:
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root = {n: low if r == high else r for n, r in root.items()}
+    return root
+
+
 # ---- quality and language
 
 
