@@ -137,27 +137,32 @@ def attribution_flip(spark, d):
     return spark.read.schema("session string, pass int").parquet(f"{root}/out").groupBy("session").agg(F.count("*").alias("sent"))
 
 
-@query("t11_late_replay", sql("SELECT CAST(session AS VARCHAR) AS session, CAST(CAST(sum(n) AS BIGINT) AS VARCHAR) AS payload FROM (SELECT message_id, max(output) AS n, arg_min(session, ord) AS session FROM usage GROUP BY message_id) GROUP BY session", "usage"))
+_REPLAYED = "(SELECT session, message_id, output AS n, 2 * ord AS ord FROM usage UNION ALL SELECT session + 1, message_id, output + k % 2, 2 * ord - 1 + 2 * (k % 2) FROM usage WHERE k % 3 = 0)"
+
+
+@query("t11_late_replay", sql(f"SELECT CAST(s.session AS VARCHAR) AS session, CAST(CAST(coalesce(sum(n), 0) AS BIGINT) AS VARCHAR) AS payload FROM (SELECT DISTINCT session FROM {_REPLAYED}) s LEFT JOIN (SELECT message_id, max(n) AS n, arg_min(session, ord) AS session FROM {_REPLAYED} GROUP BY message_id) o ON o.session = s.session GROUP BY s.session", "usage"))
 def late_replay(spark, d):
-    """Messages replayed across sessions, in four batches: a later and better record changes the session that had it first."""
+    """Chains of sessions with replayed messages, in four batches in no order: records that come late change what other sessions own, and by whom."""
     root = folder(spark)
-    rows = usage(spark, d).select(F.col("session").cast("string").alias("session"), "message_id", F.col("output").alias("n"), "ord")
-    rows.repartitionByRange(4, "ord").write.parquet(f"{root}/in")
-    in_order = [r["path"] for r in spark.read.parquet(f"{root}/in").groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("ord").alias("o")).orderBy("o").collect()]  # four files
-    for k, path in enumerate(in_order):
-        spark.read.parquet(path).write.parquet(f"{root}/fed/{k}")
+    own = usage(spark, d).select("session", "message_id", F.col("output").alias("n"), (2 * F.col("ord")).alias("ord"), "k")
+    again = own.where("k % 3 = 0").select(F.col("session") + 1, "message_id", F.col("n") + F.col("k") % 2, F.col("ord") - 1 + 2 * (F.col("k") % 2), "k")
+    rows = own.union(again).drop("k").select(F.col("session").cast("string").alias("session"), "message_id", "n", F.col("ord").cast("long").alias("ord"))
+    for k in range(4):
+        rows.where(F.pmod(F.xxhash64("session", "ord"), F.lit(4)) == k).write.parquet(f"{root}/fed/{k}")
     atoms = I.StateTable(spark, f"{root}/state", "atoms", "session string, message_id string, n long, ord long", history=True)
+    copies = I.StateTable(spark, f"{root}/state", "copies", "message_id string, session string, n long, ord long", history=True)
     digests = I.StateTable(spark, f"{root}/state", "digests", "session string, digest string")
 
     def fold(held):
         kept = held.groupBy("message_id").agg(F.max("n").alias("n"), F.min_by("session", "ord").alias("session"))
-        return kept.groupBy("session").agg(F.sum("n").cast("string").alias("payload")).withColumn("digest", F.sha2("payload", 256))
+        payload = F.coalesce("n", F.lit(0)).cast("string").alias("payload")
+        totals = held.select("session").distinct().join(kept.groupBy("session").agg(F.sum("n").alias("n")), "session", "left")
+        return totals.select("session", payload).withColumn("digest", F.sha2("payload", 256))
 
-    related = lambda own, atoms: atoms.read().join(own.select("message_id").distinct(), "message_id", "left_semi")
-    for k in range(len(in_order)):  # a run of the stream for each batch, from the checkpoint of the one before
+    for k in range(4):  # a run of the stream for each batch, from the checkpoint of the one before
         stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(*[f"{root}/fed/{{{','.join(map(str, range(k + 1)))}}}"])
         send = lambda out, n: out.select("session", "payload").write.mode("overwrite").parquet(f"{root}/out/batch={n}")
-        I.sync_stream(stream, atoms, digests, fold, send, f"{root}/checkpoint", related).awaitTermination()
+        I.sync_stream(stream, atoms, digests, fold, send, f"{root}/checkpoint", copies).awaitTermination()
     sent = spark.read.schema("session string, payload string, batch long").parquet(f"{root}/out")
     return sent.groupBy("session").agg(F.max_by("payload", "batch").alias("payload"))
 

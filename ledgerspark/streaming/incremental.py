@@ -6,12 +6,14 @@ stored ones, and the changed rows handed to a sink. A stream of usage keeps its
 folds all stored rows of the sessions that it touches. State is written only after the sink succeeded; a batch that fails is
 done again with the same result.
 
-State tables are Parquet folders under a root named by the parser epoch: a new epoch starts from nothing.
+State tables are Parquet parts under a root named by the parser epoch: a new epoch starts from nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,75 +25,175 @@ from ..operators.joins import changed
 class StateTable:
     """A keyed table of any size; the first column of its schema is the key, whose hash gives a row's bucket.
 
-    A version is a folder with the buckets that it wrote. Versions count once they are whole. Of a bucket the latest version holds all
-    rows, so that a write costs what it touches; with ``history`` every version's rows count, and a version may be written again.
+    A write appends the batch's rows alone, to the buckets of their keys. A manifest, a small file that replaces the one before, names the
+    parts of every bucket and their rows; nothing is found by listing folders. Reading takes a key's newest row, or with ``history``
+    every row. A bucket of more than ``deltas`` parts is written together, and as rows come buckets split one after the other (linear
+    hashing), so that each keeps some ``bucket_rows`` rows however large the table becomes. Parts are sorted by hash in small pages:
+    reading a few keys reads the pages that hold them.
+
+    Rows keep the number of their version, so that one which is written again takes its own place, wherever its rows are by then.
     """
 
-    def __init__(self, spark: SparkSession, root: str, name: str, schema: str, epoch: int = 1, buckets: int = 16, history: bool = False):
-        self.spark, self.schema, self.buckets, self.history = spark, schema, buckets, history
+    #: Rows of a page, and the number of keys up to which a read asks for their hashes.
+    PAGE, ASKED = 100, 256
+
+    def __init__(self, spark: SparkSession, root: str, name: str, schema: str, epoch: int = 1, buckets: int = 1, history: bool = False, bucket_rows: int = 50_000, deltas: int = 4):
+        self.spark, self.schema, self.first, self.history = spark, schema, buckets, history
+        self.bucket_rows, self.deltas = bucket_rows, deltas
         self.base = f"{root}/epoch={epoch}/{name}"
         self.kind = StructType.fromDDL(schema)
         self.key = self.kind.names[0]
+        self.stored = StructType([*self.kind.fields, *StructType.fromDDL("_h long, _seq long").fields])
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.base)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _names(self, folder: str, start: str) -> list[int]:
+    def manifest(self) -> dict:
+        """``number``, ``last`` version, ``buckets`` (how many), ``parts`` (of each bucket: name, latest version in it, rows) and ``dead`` parts."""
         fs, path = self._fs()
-        if not fs.exists(path(folder)):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(path(folder))]
-        return sorted(int(n[len(start) :]) for n in names if n.startswith(start))
+        folder = path(f"{self.base}/manifest")
+        found = [int(n[:-5]) for n in (s.getPath().getName() for s in fs.listStatus(folder)) if n.endswith(".json")] if fs.exists(folder) else []
+        if not found:
+            return {"number": 0, "last": 0, "buckets": self.first, "parts": {}, "dead": []}
+        got = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils
+        stream = fs.open(path(f"{self.base}/manifest/{max(found)}.json"))
+        try:
+            return json.loads(got.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
-    def versions(self) -> list[int]:
+    def _commit(self, found: dict) -> None:
         fs, path = self._fs()
-        return [v for v in self._names(self.base, "v") if fs.exists(path(f"{self.base}/v{v}/_SUCCESS"))]
-
-    def _parts(self) -> list[tuple[int, int]]:
-        """Buckets and versions to read."""
-        found = [(b, v) for v in self.versions() for b in self._names(f"{self.base}/v{v}", "bucket=")]
-        return found if self.history else list(dict(found).items())
-
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        number = found["number"] = found["number"] + 1
+        draft = path(f"{self.base}/manifest/{number}.draft")
+        out = fs.create(draft, True)
+        out.write(json.dumps(found).encode())
+        out.close()
+        fs.rename(draft, path(f"{self.base}/manifest/{number}.json"))
+        fs.delete(path(f"{self.base}/manifest/{number - 2}.json"), False)
+
+    @staticmethod
+    def _bucket(h: Column, buckets: int) -> Column:
+        """Linear hashing by leading bits, the first counting least: buckets that have split take one bit more, and each is a range of hashes."""
+        bits = buckets.bit_length() - 1
+        lead = lambda n: reduce(lambda a, k: a + F.shiftleft(F.shiftrightunsigned(h, 63 - k).bitwiseAND(F.lit(1)), k), range(n), F.lit(0).cast("long"))
+        return F.when(lead(bits + 1) < buckets, lead(bits + 1)).otherwise(lead(bits)).cast("int")
+
+    def touched(self, rows: DataFrame, buckets: int | None = None) -> set[int]:
+        """Buckets of the keys of ``rows``."""
+        at = self._bucket(F.xxhash64(self.key), buckets or self.manifest()["buckets"])
+        return {r["bucket"] for r in rows.select(at.alias("bucket")).distinct().collect()}
 
-    def _load(self, parts: list[tuple[int, int]]) -> DataFrame:
+    def _load(self, parts: list[str]) -> DataFrame:
         if not parts:
-            return self.spark.createDataFrame([], self.kind)
-        return self.spark.read.schema(self.kind).parquet(*(f"{self.base}/v{v}/bucket={b}" for b, v in parts))
-
-    def touched(self, rows: DataFrame) -> set[int]:
-        """Buckets of the keys of ``rows``."""
-        return {r["bucket"] for r in rows.select(self.bucket().alias("bucket")).distinct().collect()}
+            return self.spark.createDataFrame([], self.stored)
+        return self.spark.read.schema(self.stored).parquet(*(f"{self.base}/{p}" for p in parts))
+
+    def _newest(self, rows: DataFrame) -> DataFrame:
+        rest = [c for c in self.kind.names if c != self.key]
+        if self.history or not rest:
+            return rows
+        return rows.groupBy(self.key).agg(F.max_by(F.struct(*rest, "_h", "_seq"), "_seq").alias("_x")).select(self.key, "_x.*")
+
+    def _merged(self, found: dict, buckets: Iterable[int]) -> DataFrame:
+        """The rows of some buckets; those that have one part need no look for newer ones."""
+        of = [found["parts"].get(str(b), []) for b in buckets]
+        alone = [parts[0][0] for parts in of if len(parts) == 1]
+        more = [p[0] for parts in of if len(parts) > 1 for p in parts]
+        return self._load(alone).unionByName(self._newest(self._load(more))) if more else self._load(alone)
 
     def read(self, keys: DataFrame | None = None) -> DataFrame:
-        """All rows, or those of the keys of a frame, from their buckets alone."""
+        """All rows, or those of the keys of a frame: from their buckets alone, and of few keys from their pages."""
+        found = self.manifest()
         if keys is None:
-            return self._load(self._parts())
-        own = self.touched(keys)
-        return self._load([x for x in self._parts() if x[0] in own]).join(keys.select(self.key).distinct(), self.key, "left_semi")
+            return self._merged(found, range(found["buckets"])).select(*self.kind.names)
+        few = [r["h"] for r in keys.select(F.xxhash64(self.key).alias("h")).distinct().limit(self.ASKED + 1).collect()]
+        asked = len(few) <= self.ASKED
+        own = {int(b) for b in (self._place(h, found["buckets"]) for h in few)} if asked else self.touched(keys, found["buckets"])
+        if not own:
+            return self._load([]).select(*self.kind.names)
+        rows = self._load([p[0] for b in own for p in found["parts"].get(str(b), [])])
+        if asked:
+            rows = rows.where(reduce(lambda a, b: a | b, (F.col("_h") == h for h in few)))
+        return self._newest(rows.join(keys.select(self.key).distinct(), self.key, "left_semi")).select(*self.kind.names)
+
+    @staticmethod
+    def _place(h: int, buckets: int) -> int:
+        """``_bucket`` of a number."""
+        bits = buckets.bit_length() - 1
+        lead = lambda n: sum((h >> (63 - k) & 1) << k for k in range(n))
+        return lead(bits + 1) if lead(bits + 1) < buckets else lead(bits)
+
+    def _store(self, rows: DataFrame, name: str, buckets: int) -> dict[str, int]:
+        """Write rows that have ``_h`` and ``_seq`` as a part of each bucket; returns how many rows each got."""
+        at = rows.withColumn("bucket", self._bucket(F.col("_h"), buckets)).hint("rebalance", "bucket")
+        pages = {f"parquet.page.{k}": self.PAGE for k in ("row.count.limit", "size.row.check.min", "size.row.check.max")}
+        at.sortWithinPartitions("bucket", "_h").write.mode("overwrite").options(**pages).partitionBy("bucket").parquet(f"{self.base}/{name}")
+        counts = self.spark.read.schema("_h long, bucket int").parquet(f"{self.base}/{name}").groupBy("bucket").count()
+        return {str(r["bucket"]): r["count"] for r in counts.collect()}
 
     def write(self, rows: DataFrame, version: int) -> None:
-        bucketed = rows.select(*self.kind.names).withColumn("bucket", self.bucket())
-        bucketed.repartition(self.buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.base}/v{version}")
+        """Append ``rows`` as a version, in the place of one of that number that was written before; then keep the table in shape."""
+        found = self.manifest()
+        dead, found["dead"] = found["dead"], []
+        if version <= found["last"]:
+            self._without(found, version)
+        counts = self._store(rows.select(*self.kind.names, F.xxhash64(self.key).alias("_h"), F.lit(version).cast("long").alias("_seq")), f"v{version}", found["buckets"])
+        for b, n in counts.items():
+            found["parts"].setdefault(b, []).append([f"v{version}/bucket={b}", version, n])
+        found["last"] = max(found["last"], version)
+        self._commit(found)
+        self._tidy(found)
+        self._clear(found, [d for d in dead if not d.startswith(f"v{version}/")])
+
+    def _without(self, found: dict, version: int) -> None:
+        """Take a version out of the parts that hold it."""
+        for b, parts in found["parts"].items():
+            found["parts"][b] = [p for p in parts if p[0].split("/")[0] != f"v{version}"]
+        mixed = {int(b) for b, parts in found["parts"].items() if any(p[0].startswith("c") and p[1] >= version for p in parts)}
+        if mixed:
+            self._rewrite(found, mixed, found["buckets"], F.col("_seq") != version)
+
+    def _tidy(self, found: dict) -> None:
+        """Split buckets as rows come, and put the parts of a bucket together where there are too many."""
+        before, rows = found["buckets"], sum(p[2] for parts in found["parts"].values() for p in parts)
+        after = max(before, -(-rows // self.bucket_rows))
+        source = lambda b: b if b < before else source(b - (1 << (b.bit_length() - 1)))
+        again = {source(b) for b in range(before, after)} | {int(b) for b, parts in found["parts"].items() if len(parts) > self.deltas}
+        if again:
+            self._rewrite(found, again, after)
+            self._commit(found)
+
+    def _rewrite(self, found: dict, again: set[int], buckets: int, kept: Column | None = None) -> None:
+        """Write the rows of some buckets anew, each as one part, over so many buckets."""
+        parts = [p for b in again for p in found["parts"].pop(str(b), [])]
+        rows = self._newest(self._load([p[0] for p in parts]))
+        found["dead"] += [p[0] for p in parts]
+        name, seq = f"c{found['number']}", max((p[1] for p in parts), default=0)
+        for b, n in self._store(rows if kept is None else rows.where(kept), name, buckets).items():
+            found["parts"][b] = [[f"{name}/bucket={b}", seq, n]]
+        found["buckets"] = buckets
+
+    def _clear(self, found: dict, dead: list[str]) -> None:
+        """Delete parts that were replaced a write ago; newer ones may still be read by what comes lazily."""
+        fs, path = self._fs()
+        used = {p[0].split("/")[0] for parts in found["parts"].values() for p in parts} | {d.split("/")[0] for d in found["dead"]}
+        for part in {d if d.split("/")[0] in used else d.split("/")[0] for d in dead}:
+            fs.delete(path(f"{self.base}/{part}"), True)
+
+    def files(self) -> int:
+        """How many parts the table has."""
+        return sum(map(len, self.manifest()["parts"].values()))
 
     def version(self, number: int) -> DataFrame:
-        return self._load([(b, number) for b in self._names(f"{self.base}/v{number}", "bucket=")])
+        """The rows of the version that was written last."""
+        return self.spark.read.schema(self.kind).parquet(f"{self.base}/v{number}").select(*self.kind.names)
 
     def upsert(self, rows: DataFrame) -> None:
-        """Rows of ``rows`` replace those of the same key; buckets without any are left alone."""
-        own = self.touched(rows)
-        if not own:
-            return
-        held = self._load([x for x in self._parts() if x[0] in own])
-        last = max(self.versions(), default=0)
-        self.write(rows.select(*self.kind.names).unionByName(held.join(rows.select(self.key), self.key, "left_anti")), last + 1)
-        needed = {v for _, v in self._parts()} | {last}  # the version before stays, since ``rows`` may still read it
-        fs, path = self._fs()
-        for old in set(self.versions()) - needed - {last + 1}:
-            fs.delete(path(f"{self.base}/v{old}"), True)
+        """Rows of ``rows``, one a key, replace those of the same key."""
+        self.write(rows, self.manifest()["last"] + 1)
 
 
 def upsert(table: StateTable, rows: DataFrame) -> None:
@@ -153,29 +255,41 @@ def send_in_chunks(rows: DataFrame, post: Callable[[list[str]], None], size: int
 
 def sync_stream(
     batches: DataFrame, atoms: StateTable, digests: StateTable, fold: Callable[[DataFrame], DataFrame], send: Callable[[DataFrame, int], None],
-    checkpoint: str, related: Callable[[DataFrame, StateTable], DataFrame] | None = None, **trigger,
+    checkpoint: str, copies: StateTable | None = None, **trigger,
 ):
     """A streaming query over usage batches: each is stored, its sessions folded over all their rows, and sent if their digest changed.
 
     ``atoms`` holds the rows of every batch so far (a table with ``history``, whose key is the session); a batch that is done again
-    takes its own place there. ``related`` names further sessions that a batch changes (a frame with the key), where messages
-    are replayed across sessions. The tables belong to the checkpoint: a new one needs new tables.
+    takes its own place there. The tables belong to the checkpoint: a new one needs new tables.
+
+    Where messages are replayed across sessions, ``copies`` holds the same rows by message. A batch then touches every session that has one
+    of its messages. What these sessions own depends on all their messages, older ones too, and on whoever else has those; so the fold
+    gets every row of every message of theirs, of whatever session. Sessions that are only context so are folded in part and not sent.
+    A fold that can leave a session with nothing should give a row that says so, since what went out before stands until then.
     """
 
     def each(batch: DataFrame, number: int) -> None:
         atoms.write(batch, number)
         own = atoms.version(number)
         keys = own.select(atoms.key)
-        if related is not None:
-            keys = keys.unionByName(related(own, atoms).select(atoms.key))
+        if copies is not None:
+            bound = own.where(F.col(copies.key).isNotNull())
+            copies.write(bound, number)
+            keys = keys.unionByName(copies.read(bound.select(copies.key)).select(atoms.key))
         keys = keys.distinct().persist()
-        fresh = changed(fold(atoms.read(keys)), digests.read(keys.withColumnRenamed(atoms.key, digests.key))).persist()
+        held = atoms.read(keys)
+        if copies is not None:
+            held = held.persist()
+            shared = copies.read(held.where(F.col(copies.key).isNotNull()).select(copies.key))
+            context = held.where(F.col(copies.key).isNull()).unionByName(shared.select(*held.columns))
+        folded = fold(held if copies is None else context).join(keys.withColumnRenamed(atoms.key, digests.key), digests.key, "left_semi")
+        fresh = changed(folded, digests.read(keys.withColumnRenamed(atoms.key, digests.key))).persist()
         try:
             send(fresh, number)
             digests.upsert(fresh.select(digests.key, "digest"))
         finally:
-            fresh.unpersist()
-            keys.unpersist()
+            for frame in (fresh, keys, held):
+                frame.unpersist()
 
     return batches.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ def test_state_table_versions_and_epochs(spark, tmp_path):
     for k in range(3):
         t.upsert(spark.createDataFrame([("a", f"x{k}"), (f"b{k}", "y")], t.schema))
     assert sorted(map(tuple, t.read().collect())) == [("a", "x2"), ("b0", "y"), ("b1", "y"), ("b2", "y")]
-    assert len(t.versions()) == 2
+    assert t.files() == 3
     assert I.StateTable(spark, str(tmp_path), "d", t.schema, epoch=2).read().count() == 0
 
 
@@ -25,13 +26,66 @@ def test_state_table_rewrites_only_what_it_touches(spark, tmp_path):
     t = I.StateTable(spark, str(tmp_path), "d", "session string, n long", buckets=8)
     t.upsert(spark.createDataFrame([(f"s{k}", k) for k in range(100)], t.schema))
     t.upsert(spark.createDataFrame([("s7", -7)], t.schema))
-    assert len(t._names(f"{t.base}/v2", "bucket=")) == 1
+    assert sorted(len(parts) for parts in t.manifest()["parts"].values()) == [1] * 7 + [2]  # one bucket has got one part more
     assert {r["session"]: r["n"] for r in t.read().collect()} == {f"s{k}": k if k != 7 else -7 for k in range(100)}
     assert [tuple(r) for r in t.read(spark.createDataFrame([("s7",), ("none",)], "session string")).collect()] == [("s7", -7)]
     t.upsert(t.read().where("n > 10"))  # rows that come from the table itself
     assert t.read().count() == 100
 
 
+def rows_read(df):
+    """Rows that the scans of a frame gave out."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves, total = plan.collectLeaves(), 0
+    todo = [leaves.apply(k) for k in range(leaves.size())]
+    while todo:
+        at = todo.pop()
+        name = at.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec" or name.endswith("QueryStageExec"):
+            inner = (at.executedPlan() if name == "AdaptiveSparkPlanExec" else at.plan()).collectLeaves()
+            todo += [inner.apply(k) for k in range(inner.size())]
+        elif name == "FileSourceScanExec":
+            total += at.metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_few_keys_of_a_large_table_cost_a_hundredth(spark, tmp_path):
+    t = I.StateTable(spark, str(tmp_path), "big", "session string, n long", bucket_rows=100_000)
+    t.upsert(spark.range(1_000_000).select(F.concat(F.lit("s"), "id").alias("session"), F.col("id").alias("n")))
+    assert t.manifest()["buckets"] == 10
+    keys = spark.createDataFrame([(f"s{k * 19_997 % 1_000_000}",) for k in range(50)], "session string")
+    found = t.read(keys)
+    assert rows_read(found) < 10_000 and {r["session"]: r["n"] for r in found.collect()} == {f"s{k * 19_997 % 1_000_000}": k * 19_997 % 1_000_000 for k in range(50)}
+    t.upsert(keys.withColumn("n", F.lit(-1).cast("long")))
+    assert t.read(keys).where("n = -1").count() == 50 and t.read().count() == 1_000_000
+    many = spark.range(0, 1_000_000, 1000).select(F.concat(F.lit("s"), "id").alias("session"))
+    assert t.read(many).count() == 1000
+
+
+def test_many_batches_keep_a_bounded_number_of_parts(spark, tmp_path):
+    t = I.StateTable(spark, str(tmp_path), "many", "session string, n long", bucket_rows=200, deltas=3)
+    want = {}
+    for k in range(30):
+        new = {f"s{(k * 37 + j * 11) % 500}": k * 1000 + j for j in range(40)}
+        want |= new
+        t.upsert(spark.createDataFrame(sorted(new.items()), t.schema))
+        assert t.files() <= 4 * t.manifest()["buckets"]
+    assert {r["session"]: r["n"] for r in t.read().collect()} == want
+    left = [d for d in os.listdir(t.base) if d != "manifest"]
+    assert len(left) <= t.files() + 8 and 2 <= t.manifest()["buckets"] <= 10 and len([f for f in os.listdir(f"{t.base}/manifest") if f.endswith(".json")]) <= 2
+
+
+def test_a_version_written_again_takes_its_own_place(spark, tmp_path):
+    t = I.StateTable(spark, str(tmp_path), "h", "session string, n long", history=True, bucket_rows=20, deltas=2)
+    part = lambda v, more=0: [(f"s{k % 7}", 100 * v + k + more) for k in range(12)]
+    for v in range(6):
+        t.write(spark.createDataFrame(part(v, 5), t.schema), v)
+        t.write(spark.createDataFrame(part(v), t.schema), v)  # done again, with other rows
+    assert sorted(map(tuple, t.read().collect())) == sorted(x for v in range(6) for x in part(v))
+    assert sorted(map(tuple, t.version(5).collect())) == sorted(part(5))
+
+
 def test_an_attribution_flip_folds_every_file_again(spark, tmp_path):
     files = spark.createDataFrame([("a", 1), ("b", 2)], "path string, size long")
     table = lambda name, schema: I.StateTable(spark, str(tmp_path), name, schema)
@@ -142,21 +196,45 @@ def test_sync_stream_sends_totals_over_all_batches(spark, tmp_path):
     assert last == {r["session"]: r["payload"] for r in fold(whole).collect()}
 
 
+def owned(rows):
+    """Each message's best record, for the session that has it first; a session that owns nothing has 0."""
+    kept = rows.groupBy("message").agg(F.max("n").alias("n"), F.min_by("session", "ord").alias("session"))
+    totals = rows.select("session").distinct().join(kept.groupBy("session").agg(F.sum("n").alias("n")), "session", "left")
+    return totals.select("session", F.coalesce("n", F.lit(0)).cast("string").alias("payload")).withColumn("digest", F.sha2("payload", 256))
+
+
+def replays(spark, tmp_path, parts):
+    """What each batch sends, and what all that was sent amounts to."""
+    schema = "session string, message string, n long, ord long"
+    stream = batches(spark, tmp_path, schema, [[dict(zip(("session", "message", "n", "ord"), r)) for r in p] for p in parts])
+    table = lambda name, schema, **more: I.StateTable(spark, str(tmp_path / "s"), name, schema, **more)
+    digests, atoms = table("digests", "session string, digest string"), table("atoms", schema, history=True)
+    copies = table("copies", "message string, session string, n long, ord long", history=True)
+    sent = []
+    I.sync_stream(stream, atoms, digests, owned, lambda df, k: sent.append(sorted((r["session"], r["payload"]) for r in df.collect())), str(tmp_path / "c"), copies).awaitTermination(300)
+    want = {r["session"]: r["payload"] for r in owned(spark.createDataFrame([r for p in parts for r in p], schema)).collect()}
+    return sent, dict(x for part in sent for x in part), want
+
+
 def test_a_late_replay_changes_the_session_that_went_out(spark, tmp_path):
     """A message replayed in another session with more tokens: its first session goes out again with the better record."""
-    row = lambda s, m, n, o: {"session": s, "message": m, "n": n, "ord": o}
-    stream = batches(spark, tmp_path, "session string, message string, n long, ord long", [[row("a", "m1", 5, 1), row("a", "m2", 1, 2)], [row("z", "m9", 3, 3)], [row("b", "m1", 50, 4), row("b", "m3", 2, 5)]])
-    digests = I.StateTable(spark, str(tmp_path / "s"), "digests", "session string, digest string")
-    atoms = I.StateTable(spark, str(tmp_path / "s"), "atoms", "session string, message string, n long, ord long", history=True)
+    sent, last, want = replays(spark, tmp_path, [[("a", "m1", 5, 1), ("a", "m2", 1, 2)], [("z", "m9", 3, 3)], [("b", "m1", 50, 4), ("b", "m3", 2, 5)]])
+    assert sent == [[("a", "6")], [("z", "3")], [("a", "51"), ("b", "2")]] and last == want
 
-    def fold(rows):
-        kept = rows.groupBy("message").agg(F.max("n").alias("n"), F.min_by("session", "ord").alias("session"))
-        return kept.groupBy("session").agg(F.sum("n").cast("string").alias("payload")).withColumn("digest", F.sha2("payload", 256))
 
-    related = lambda own, atoms: atoms.read().join(own.select("message").distinct(), "message", "left_semi")
-    sent = []
-    I.sync_stream(stream, atoms, digests, fold, lambda df, k: sent.append(sorted((r["session"], r["payload"]) for r in df.collect())), str(tmp_path / "c"), related).awaitTermination(120)
-    assert [s for s in sent if s] == [[("a", "6")], [("z", "3")], [("a", "51"), ("b", "2")]]
+def test_a_replay_leaves_older_messages_with_their_owner(spark, tmp_path):
+    """C has m2, B has it too and m1; A replays m1. B's m2 still is C's."""
+    sent, last, want = replays(spark, tmp_path, [[("C", "m2", 5, 1), ("B", "m2", 5, 2), ("B", "m1", 1, 3)], [("A", "m1", 1, 4)]])
+    assert sent == [[("B", "1"), ("C", "5")], [("A", "0")]] and last == want == {"A": "0", "B": "1", "C": "5"}
+
+
+def test_chains_of_replays_in_any_order_equal_one_fold(spark, tmp_path):
+    draw = random.Random(8)
+    rows = [(f"s{s}", f"m{m}", draw.randrange(9), 0) for s in range(10) for m in range(3 * s, 3 * s + 6)]  # each shares messages with the next
+    rows = [(s, m, n, k) for k, (s, m, n, _) in enumerate(draw.sample(rows, len(rows)))]
+    draw.shuffle(rows)
+    _, last, want = replays(spark, tmp_path, [rows[k::5] for k in range(5)])
+    assert last == want
 
 
 def test_gates():
