@@ -6,9 +6,6 @@ Usage rows (``atoms``) have ``ord`` (a sortable place), ``thread``, ``message_id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,59 +39,34 @@ def exact_tier(atoms: DataFrame) -> DataFrame:
     return found.select("message_id", "request_id", *(F.col("best")[c].alias(c) for c in rest), "owner").select(*atoms.columns, "owner")
 
 
-def _better(a: dict, b: dict) -> bool:
-    """Whether a newcomer replaces the record: strict wins only."""
-    if bool(a["is_sidechain"]) != bool(b["is_sidechain"]):
-        return bool(b["is_sidechain"])
-    for key in (lambda r: sum(r[c] or 0 for c in COUNTS), lambda r: r["cost"] or 0.0):
-        if key(a) != key(b):
-            return key(a) > key(b)
-    return bool(a["has_speed"]) and not b["has_speed"]
-
+def two_tiers(atoms: DataFrame) -> DataFrame:
+    """Both tiers for rows with a message id: the survivors that a reading in order would leave, with their ``owner``.
 
-def ordered_tier(atoms: DataFrame) -> DataFrame:
-    """Both tiers for messages with a sidechain, where the order of rows decides which records meet.
-
-    Rows are sorted by message and place and streamed; only the records of the message at hand are held.
+    Read in order, a message's records form a list. A row meets the record of its request; failing that, a sidechain row meets the first record and any row a
+    sidechain record; else it is added. It takes the record's place if it is main and the other is not, or is worth more, and the place
+    keeps its first thread. Hence a sidechain record can only stand first, until the first main row takes its place; sidechain rows after that change nothing.
+    So what is left can be told without an order of meetings. Of a message with main rows: per request the best of its main rows; the owner is the
+    thread of its earliest main row, but for the request of the message's first main row, where it is that of the message's first row. Of one without:
+    the best row of all. These are aggregates, which combine before the shuffle.
     """
-    names = atoms.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        message, held = object(), []
-        for b in batches:
-            out: list[dict] = []
-            for row in b.to_pylist():
-                if row["message_id"] != message:
-                    out += held
-                    message, held = row["message_id"], []
-                at = next((k for k, r in enumerate(held) if r["request_id"] == row["request_id"]), None)
-                if at is None:
-                    at = next((k for k, r in enumerate(held) if row["is_sidechain"] or r["is_sidechain"]), None)
-                if at is None:
-                    held.append(row | {"owner": row["thread"]})
-                elif _better(row, held[at]):
-                    held[at] = row | {"owner": held[at]["owner"]}
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
-        if held:
-            yield pa.RecordBatch.from_pylist(held, schema=schema)
-
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    kind = T.StructType([*atoms.schema.fields, T.StructField("owner", atoms.schema["thread"].dataType)])
-    schema = to_arrow_schema(kind)
-    return atoms.repartition("message_id").sortWithinPartitions("message_id", "ord").select(*names).mapInArrow(run, kind)
+    rest = [c for c in atoms.columns if c not in ("message_id", "request_id")]
+    main = ~F.coalesce("is_sidechain", F.lit(False))
+    best = F.min(F.struct(*_worth(), F.struct(*rest, "request_id").alias("row")))
+    groups = atoms.groupBy("message_id", "request_id").agg(best.alias("best"), F.min(F.struct("ord", "thread")).alias("first"), F.min(F.when(main, F.struct("ord", "thread"))).alias("main"), F.max(~main).alias("side"))
+    whole = groups.groupBy("message_id").agg(F.max("side").alias("any_side"), F.min("first").alias("earliest"), F.min(F.when(F.col("main").isNotNull(), F.struct("main.ord", F.struct("request_id").alias("r")))).alias("opening"), F.min("best").alias("top"))
+    whole = whole.where("any_side").select(F.col("message_id").alias("_message"), "earliest", "opening", "top")
+    met = groups.join(whole, F.col("message_id") == F.col("_message"), "left")
+    alone = F.col("earliest").isNotNull() & F.col("opening").isNull()  # sidechain rows only: one record, at the request of the best
+    stays = F.col("earliest").isNull() | F.col("main").isNotNull() | (alone & F.col("top.row.request_id").eqNullSafe(F.col("request_id")))
+    opens = F.col("earliest").isNotNull() & (alone | F.col("opening.r.request_id").eqNullSafe(F.col("request_id")))
+    owner = F.when(opens, F.col("earliest.thread")).otherwise(F.coalesce("main.thread", "first.thread"))
+    return met.where(stays).select("message_id", "request_id", *(F.col("best.row")[c].alias(c) for c in rest), owner.alias("owner")).select(*atoms.columns, "owner")
 
 
 def deduplicate(atoms: DataFrame) -> DataFrame:
     """All surviving rows with their ``owner``. Rows without a message id are kept as they are, and never shuffled."""
     free = atoms.where("message_id is null").withColumn("owner", F.col("thread"))
-    bound = atoms.where("message_id is not null")
-    mixed = bound.where("coalesce(is_sidechain, false)").select("message_id").distinct()
-    plain = exact_tier(bound.join(mixed, "message_id", "left_anti"))
-    ordered = ordered_tier(bound.join(mixed, "message_id", "left_semi"))
-    return free.unionByName(plain).unionByName(ordered)
+    return free.unionByName(two_tiers(atoms.where("message_id is not null")))
 
 
 def file_grain(atoms: DataFrame, file: str = "path") -> DataFrame:

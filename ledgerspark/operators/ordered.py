@@ -1,8 +1,9 @@
 """Ordered state within a key, for keys of any size.
 
 A key's rows are cut into buckets of its order column; windows run inside a bucket, and one summary row per bucket carries
-state across. So even a key with a third of all rows is spread over its buckets. State that depends on its whole path
-(``cumulative_deltas``, ``anchored_block``) is streamed in order instead, one key after the other, holding one state.
+state across. So even a key with a third of all rows is spread over its buckets. State that depends on its whole path is taken
+apart first: ``anchored_block`` follows pointers over ever longer stretches of time, and ``cumulative_deltas`` hands a sequential step only the
+ends of a key's rising stretches, which rows then meet again by stretch.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import cut, discard
+
 BUCKET_MS = 6 * 3600 * 1000
 
 
@@ -90,62 +93,89 @@ def _in_order(df: DataFrame, key: str, order: list[str], begin: Callable, step:
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def next_watermark(held: float, snapshot: float) -> float:
-    """The watermark after a cumulative snapshot: a dip that stays within 98 % of it is stale and leaves it."""
-    return held if held * 0.98 <= snapshot < held else snapshot
-
+class _Mark:
+    held = 0
 
-class _Counters:
-    def __init__(self, n: int):
-        self.mark, self.before = 0, [0] * n
 
+def cumulative_deltas(snapshots: DataFrame, key: str, order: list[str], total: str, fields: list[str], width: int = 10_000) -> DataFrame:
+    """Increments of cumulative counters per snapshot, under a watermark guard. ``order`` starts with a long; ``width`` is its span of a bucket.
 
-def cumulative_deltas(snapshots: DataFrame, key: str, order: list[str], total: str, fields: list[str]) -> DataFrame:
-    """Increments of cumulative counters per snapshot, under a watermark guard.
+    Stale snapshots give no row; after a reset the baseline starts anew without credit. Columns: key, order, the fields as increments,
+    ``accepted``.
 
-    The held watermark depends on the path, so each key's snapshots are read in order; a key is one log file. Stale snapshots give no
-    row; after a reset the baseline starts anew without credit. Columns: key, order, the fields as increments, ``accepted``.
+    Where totals rise, the watermark is the row itself once it has been passed; so of a rising stretch only its first and last total decide whether
+    the watermark from before is held, and which one leaves it. The stretches (one more than there are drops) are read in order, each key's by one
+    task; rows never are.
     """
-    at = len(order) + 1
-
-    def step(state: _Counters, row: tuple) -> tuple | None:
-        snapshot, values = row[at] or 0, [v or 0 for v in row[at + 1 :]]
-        mark = next_watermark(state.mark, snapshot)
-        stale = snapshot < state.mark and mark == state.mark
-        state.mark = mark
-        if stale:
-            return None
-        steps = [max(0, v - b) for v, b in zip(values, state.before)]
-        state.before = values
-        return (*row[:at], *steps, snapshot)
-
-    rows = snapshots.select(key, *order, F.col(total).alias("_total"), *fields)
-    kind = T.StructType([*(rows.schema[c] for c in (key, *order, *fields)), T.StructField("accepted", rows.schema["_total"].dataType)])
-    return _in_order(rows, key, order, lambda _: _Counters(len(fields)), step, kind)
-
-
-class _Block:
-    def __init__(self, key, window_ms: int):
-        self.key, self.window_ms = key, window_ms
-        self.start = self.end = None
-        self.used = 0
-
-    def last(self) -> tuple:
-        return self.key, self.start, self.end, self.used, self.start + self.window_ms
+    first, *then = order
+    named = snapshots.select(key, *order, F.coalesce(F.col(total), F.lit(0)).alias("_total"), *(F.coalesce(f, F.lit(0)).alias(f) for f in fields))
+    seen = carried(named, key, first, F.col("_total"), "_before", tuple(then), width, current=False)
+    rows = running(seen, key, first, {"_stretch": (F.col("_total") < F.col("_before")).cast("int")}, tuple(then), width).drop("_before")
+    rows = rows.withColumn("_stretch", F.coalesce("_stretch", F.lit(0)).cast("long"))
+    ends = rows.groupBy(key, "_stretch").agg(F.min("_total").alias("_low"), F.max("_total").alias("_high"))
+
+    def step(state: _Mark, row: tuple) -> tuple:
+        name, stretch, low, high = row
+        held = state.held
+        state.held = held if held * 0.98 <= low and high < held else high
+        return name, stretch, low, held
+
+    kind = T.StructType([ends.schema[key], ends.schema["_stretch"], ends.schema["_low"], T.StructField("_held", ends.schema["_low"].dataType)])
+    marks = _in_order(ends, key, ["_stretch"], lambda _: _Mark(), step, kind)
+    marks = marks.withColumnsRenamed({key: "_key", "_stretch": "_number"})
+    met = rows.join(marks, rows[key].eqNullSafe(marks["_key"]) & (rows["_stretch"] == marks["_number"]))
+    fresh = met.where(~((F.col("_held") * F.lit(0.98) <= F.col("_low")) & (F.col("_total") < F.col("_held")))).select(*rows.columns)
+    steps = carried(fresh, key, first, F.struct(*fields), "_last", tuple(then), width, current=False)
+    grown = lambda f: F.greatest(F.col(f) - F.coalesce(F.col("_last")[f], F.lit(0)), F.lit(0)).cast(snapshots.schema[f].dataType).alias(f)
+    return steps.select(key, *order, *(grown(f) for f in fields), F.col("_total").alias("accepted"))
+
+
+def _next_points(points: DataFrame, key: str, ts: str, window_ms: int) -> DataFrame:
+    """``points`` with ``_to``: the first time of the key that is ``window_ms`` or more later."""
+    at = points.select(key, F.col(ts).alias("_at"), F.col(ts).alias("_point"), *(c for c in points.columns if c not in (key, ts)), F.lit(0).alias("_probe"))
+    probes = points.select(key, (F.col(ts) + window_ms).alias("_at"), F.lit(None).cast("long").alias("_point"), *(c for c in points.columns if c not in (key, ts)), F.lit(1).alias("_probe"))
+    both = at.unionByName(probes).withColumn("_back", -F.col("_at"))  # from the latest on; a point before the probes of its time
+    found = carried(both, key, "_back", F.col("_point"), "_to", ("_probe",)).where("_probe = 1")
+    return found.select(key, (F.col("_at") - window_ms).alias(ts), *(c for c in points.columns if c not in (key, ts)), "_to")
 
 
 def anchored_block(events: DataFrame, key: str, ts: str, value: str, window_ms: int) -> DataFrame:
     """The current block per key: it opens at an event and, once ``window_ms`` are over, again at the next event.
 
-    Events of a key are first summed per distinct time, then read in order.
+    An event that follows the one before after ``window_ms`` or more opens a block whatever came before, so only what follows the last such
+    event counts. Where that is longer than a block, each event points to the one that would open the next block. Pointers out of a
+    stretch of time are joined to pointers out of the next one, which doubles the stretches; of these only those near a
+    stretch's start are needed, so that each round has half the rows of the one before.
     """
-
-    def step(state: _Block, row: tuple) -> None:
-        _, t, v = row
-        if state.start is None or t >= state.start + window_ms:
-            state.start, state.used = t, 0
-        state.end, state.used = t, state.used + (v or 0)
-
     points = events.where(F.col(ts).isNotNull()).groupBy(key, ts).agg(F.sum(value).alias("v"))
-    kind = T.StructType([points.schema[key], *(T.StructField(c, T.LongType()) for c in ("block_start", "last_ts", "used", "resets_at"))])
-    return _in_order(points, key, [ts], lambda k: _Block(k, window_ms), step, kind)
+    seen = carried(points, key, ts, F.col(ts), "_prev", current=False)
+    opens = F.col("_prev").isNull() | (F.col(ts) - F.col("_prev") >= window_ms)
+    ends = cut(seen.groupBy(key).agg(F.max(F.when(opens, F.col(ts))).alias("_from"), F.max(ts).alias("last_ts")).withColumnRenamed(key, "_key"))
+    longest = ends.agg(F.max(F.col("last_ts") - F.col("_from"))).first()[0] or 0
+    held: list[DataFrame] = []
+    starts = ends.select("_key", "last_ts", F.col("_from").alias("block_start"))
+    if longest >= window_ms:
+        tail = seen.join(ends.where(F.col("last_ts") - F.col("_from") >= window_ms), F.col(key).eqNullSafe(F.col("_key"))).where(F.col(ts) >= F.col("_from"))
+        nodes = cut(_next_points(tail.select(key, ts, "_from", "_prev"), key, ts, window_ms).withColumn("_last", F.col(ts)))
+        held.append(nodes)
+        size = window_ms
+        while size <= longest:
+            size *= 2
+            since = F.col(ts) - F.col("_from")
+            end = F.col("_from") + (F.floor(since / size) + 1) * size
+            passed = lambda t: F.floor((t - F.col("_from") - window_ms) / size)  # noqa: B023, E731
+            entry = (since % size < window_ms) | F.col("_prev").isNull() | (passed(F.col(ts)) != passed(F.col("_prev")))
+            inside = F.coalesce(F.col("_to") < end, F.lit(False))
+            left = nodes.where(entry).withColumn("_inside", inside)
+            right = nodes.select(F.col(key).alias("_rkey"), F.col(ts).alias("_rts"), F.col("_to").alias("_rto"), F.col("_last").alias("_rlast"))
+            met = left.join(right, F.col(key).eqNullSafe(F.col("_rkey")) & (F.when(F.col("_inside"), F.col("_to")) == F.col("_rts")), "left")
+            pick = lambda far, near, name: F.when(F.col("_inside"), F.col(far)).otherwise(F.col(near)).alias(name)
+            nodes = cut(met.select(key, ts, "_from", "_prev", pick("_rto", "_to", "_to"), pick("_rlast", "_last", "_last")))
+            held.append(nodes)
+        found = nodes.where(F.col(ts) == F.col("_from")).select(F.col(key).alias("_fkey"), "_last")
+        starts = starts.join(found, F.col("_key").eqNullSafe(F.col("_fkey")), "left").select("_key", "last_ts", F.coalesce("_last", "block_start").alias("block_start"))
+        starts = cut(starts)
+        discard(events.sparkSession, *held)
+    used = points.join(starts, F.col(key).eqNullSafe(F.col("_key"))).where(F.col(ts) >= F.col("block_start"))
+    used = used.groupBy(key, "block_start", "last_ts").agg(F.sum(F.coalesce("v", F.lit(0))).cast("long").alias("used"))
+    return used.select(key, "block_start", "last_ts", "used", (F.col("block_start") + window_ms).alias("resets_at"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import folder
 from ..streaming import incremental, stateful
 from . import bindings
 from .bindings import sql
@@ -28,16 +26,6 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share; one of our own only in local mode, where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="spark-streams-")
-    return f"{root}/{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     """The events table as a file stream, projected as usage."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema

@@ -73,6 +73,57 @@ def test_block_is_anchored(spark, hours, start):
     assert (r["block_start"], r["used"]) == (start * 3_600_000, sum(h >= start for h in hours))
 
 
+def test_blocks_of_long_activity_equal_a_plain_walk(spark):
+    """Keys without a pause over hundreds of windows, with pauses of every length, with one event, and without a name."""
+    rnd, w = random.Random(21), 1000
+    rows = []
+    for k in range(12):
+        t = rnd.randrange(10**6)
+        for _ in range(rnd.choice((1, 3, 400, 900))):
+            t += rnd.choice((0, 1, rnd.randrange(300), rnd.randrange(1100), 999, 1000, 1001 if k % 3 else 5, 2500 if k % 4 == 0 else 700))
+            rows.append((None if k == 5 else f"k{k}", t, rnd.randrange(9) or None))
+    want = set()
+    for key in {r[0] for r in rows}:
+        start = used = end = None
+        for _, t, v in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            if start is None or t >= start + w:
+                start, used = t, 0
+            end, used = t, used + (v or 0)
+        want.add((key, start, end, used, start + w))
+    df = spark.createDataFrame(rows, "k string, ts long, v long").repartition(5)
+    found = O.anchored_block(df, "k", "ts", "v", w)
+    assert {tuple(r) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+    assert O.anchored_block(df.where("false"), "k", "ts", "v", w).count() == 0
+
+
+def test_deltas_equal_a_plain_walk(spark):
+    """Rising totals with stale dips of one and of many rows, resets, dips at the border of the guard, and dips that end in a reset, over buckets of ten rows."""
+    rnd = random.Random(22)
+    rows = []
+    for k in range(8):
+        total = 0
+        for at in range(400):
+            kind = rnd.random()
+            total = max(0, total + rnd.randrange(50)) if kind < 0.7 else int(total * rnd.choice((0.98, 0.99, 0.985, 0.97, 0.1, 0.5))) if kind < 0.95 else rnd.choice((0, total, 7))
+            rows.append((f"k{k}" if k else None, at, total if rnd.random() < 0.98 else None, rnd.randrange(1000), rnd.choice((None, at * 3))))
+    want = []
+    for key in {r[0] for r in rows}:
+        held, before = 0, (0, 0)
+        for _, at, total, a, b in [r for r in rows if r[0] == key]:
+            total, values = total or 0, (a or 0, b or 0)
+            if held * 0.98 <= total < held:
+                continue
+            held = total
+            want.append((key, at, max(0, values[0] - before[0]), max(0, values[1] - before[1]), total))
+            before = values
+    df = spark.createDataFrame(rows, "k string, ord long, total long, a long, b long").repartition(5)
+    found = O.cumulative_deltas(df, "k", ["ord"], "total", ["a", "b"], width=10)
+    assert found.columns == ["k", "ord", "a", "b", "accepted"]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
 def usage(spark, rows):
     return spark.createDataFrame([("s", k, k, c, o, 0, 0, False, "m") for k, (c, o) in enumerate(rows)], "session string, ord long, ts long, input long, output long, cache_read long, cache_creation long, is_sidechain boolean, model string")
 
@@ -104,11 +155,12 @@ def better(a, b):
     return a["has_speed"] and not b["has_speed"]
 
 
-def test_dedup_against_a_linear_scan(spark):
-    rnd = random.Random(11)
+@pytest.mark.parametrize(("side", "messages", "seed"), [(0.15, 120, 11), (0.8, 60, 12), (0.5, 400, 13), (1.0, 30, 14)])
+def test_dedup_against_a_linear_scan(spark, side, messages, seed):
+    rnd = random.Random(seed)
     rows = []
     for k in range(1500):
-        rows.append({"ord": k, "thread": f"t{rnd.randint(0, 5)}", "message_id": rnd.choice([None, *(f"m{x}" for x in range(120))]), "request_id": rnd.choice([None, "r1", "r2", "r3"]), "is_sidechain": rnd.random() < 0.15, "cost": rnd.choice([0.0, 0.5]), "has_speed": rnd.random() < 0.5, "input": rnd.randint(0, 3), "output": rnd.randint(0, 2), "cache_read": 0, "cache_creation": 0})
+        rows.append({"ord": k, "thread": f"t{rnd.randint(0, 5)}", "message_id": rnd.choice([None, *(f"m{x}" for x in range(messages))]), "request_id": rnd.choice([None, "r1", "r2", "r3"]), "is_sidechain": rnd.random() < side, "cost": rnd.choice([0.0, 0.5]), "has_speed": rnd.random() < 0.5, "input": rnd.randint(0, 3), "output": rnd.randint(0, 2), "cache_read": 0, "cache_creation": 0})
     held = []
     for r in rows:
         at = None
@@ -123,6 +175,7 @@ def test_dedup_against_a_linear_scan(spark):
     df = spark.createDataFrame([tuple(r.values()) for r in rows], schema).repartition(7)
     got = sorted((r["ord"], r["owner"]) for r in D.deduplicate(df).collect())
     assert got == sorted((h["ord"], h["owner"]) for h in held)
+    assert not any(x in D.deduplicate(df)._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Arrow", "Pandas"))
 
 
 def test_session_and_bucket_ties(spark):
