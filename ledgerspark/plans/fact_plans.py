@@ -35,13 +35,13 @@ _CLAUDE = "(SELECT session, CAST(session AS VARCHAR) AS s, ord, model, project F
 
 @query("sc1_log_lines", sql(f"SELECT s AS session, count(*) AS n FROM {_CLAUDE} GROUP BY s", "usage"))
 def log_lines(spark, d):
-    rows = lines(text_lines(spark, homes_of(spark, d)["claude_code"], "*.jsonl"))
+    rows = lines(text_lines(spark, homes_of(spark, d, "claude_code")["claude_code"], "*.jsonl"))
     return rows.groupBy(stem(F.col("path")).alias("session")).agg(F.count("*").alias("n"))
 
 
 @query("w12_thread_facts", sql(f"SELECT s AS session, '/w/' || any_value(project) AS cwd, CAST(any_value(session) AS VARCHAR) AS tool_session_id, arg_max(model, ord) AS last_model FROM {_CLAUDE} GROUP BY s", "usage"))
 def thread_facts(spark, d):
-    return corpus.atoms_of(spark, "claude_code", [homes_of(spark, d)["claude_code"]]).meta.select("session", "cwd", "tool_session_id", "last_model")
+    return corpus.atoms_of(spark, "claude_code", [homes_of(spark, d, "claude_code")["claude_code"]]).meta.select("session", "cwd", "tool_session_id", "last_model")
 
 
 @query("sc12_grok_credits", sql("SELECT 'T' || arg_max(k, (session, ord)) AS tier, CAST(arg_max(k, (session, ord)) AS DOUBLE) AS percent, 'WEEKLY' AS period, arg_max(ts, (session, ord)) AS resets_at_ms FROM (SELECT *, 1000000 + session AS name FROM usage) WHERE NOT is_prompt", "usage"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import sqlite3
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -41,18 +42,21 @@ def written(rows: DataFrame, root: str) -> None:
     """Write ``path, ord, line`` rows as text files under a shared folder: each file's lines in order, streamed, none held whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, out = None, None
+        path = out = draft = full = None
         for b in batches:
             for p, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if p != path:
                     if out:
                         out.close()
+                        os.replace(draft, full)
                     full = os.path.join(root, p)
                     os.makedirs(os.path.dirname(full), exist_ok=True)
-                    path, out = p, open(full, "w", encoding="utf-8")
+                    draft = f"{full}.{uuid.uuid4().hex}"  # another try of this task has one of its own
+                    path, out = p, open(draft, "w", encoding="utf-8")
                 out.write(line + "\n")
         if out:
             out.close()
+            os.replace(draft, full)
         yield pa.RecordBatch.from_arrays([pa.array([0])], names=["done"])
 
     rows.repartition("path").sortWithinPartitions("path", "ord").select("path", "line").mapInArrow(run, "done long").collect()  # a row a partition
@@ -64,9 +68,8 @@ def stored(rows: DataFrame, root: str, tables: dict[str, str]) -> None:
     def run(name: tuple, group: pd.DataFrame) -> pd.DataFrame:
         full = os.path.join(root, name[0])
         os.makedirs(os.path.dirname(full), exist_ok=True)
-        if os.path.exists(full):
-            os.remove(full)  # a lost task's
-        db = sqlite3.connect(full)
+        draft = f"{full}.{uuid.uuid4().hex}"  # another try of this task has one of its own
+        db = sqlite3.connect(draft)
         for table, columns in tables.items():
             db.execute(f"CREATE TABLE {table} ({columns})")
         for table, part in group.groupby("into"):
@@ -74,6 +77,7 @@ def stored(rows: DataFrame, root: str, tables: dict[str, str]) -> None:
             db.executemany(f"INSERT INTO {table} VALUES ({marks})", ([x if kind == "t" else (None if x is None else int(x)) for kind, x in zip(row[0], row[1:])] for row in part["row"]))
         db.commit()
         db.close()
+        os.replace(draft, full)
         return pd.DataFrame({"done": [len(group)]})
 
     rows.groupBy("path").applyInPandas(run, "done long").collect()  # a row a database
@@ -84,27 +88,23 @@ def _row(kinds: str, *values: Column) -> Column:
     return F.array(F.lit(kinds), *(v.cast("string") for v in values))
 
 
-_WRITTEN: dict[tuple[str, str], dict] = {}
-
-
-def homes_of(spark, d: str) -> dict[str, str | list[str]]:
-    """``write_homes``, once an application and folder."""
-    name = (spark.sparkContext.applicationId, d)
-    if name not in _WRITTEN:
-        _WRITTEN[name] = write_homes(spark, d)
-    return _WRITTEN[name]
-
-
-def write_homes(spark, d: str) -> dict[str, str | list[str]]:
-    """The events as nine harnesses' files: a user's events are a session of one of them."""
+def homes_of(spark, d: str, *only: str) -> dict[str, str | list[str]]:
+    """The events as nine harnesses' files (or ``only`` some): a user's events are a session of one of them. Written anew each time."""
     root = folder(spark).removeprefix("file:")
+    wanted = only or tuple(bindings.HARNESSES)
     rows = bindings.usage(spark, d).withColumn("s", F.col("session").cast("string")).withColumn("cwd", F.concat(F.lit("/w/"), F.col("project")))
     of = lambda h: rows.where(F.col("harness") == h)
     js = lambda *c: F.to_json(F.struct(*c))
     stamp = iso(F.col("ts")).alias("timestamp")
     path = lambda before, after: F.concat(F.lit(before), F.col("s"), F.lit(after))
 
+    def keep(harness: str, values: DataFrame, tables: dict[str, str]) -> None:
+        if harness in wanted:
+            stored(values, f"{root}/{harness}", tables)
+
     def put(harness: str, lines: DataFrame) -> None:
+        if harness not in wanted:
+            return
         written(lines.select("path", "ord", "line"), f"{root}/{harness}")
 
     def with_head(body: DataFrame, head: Column, own: DataFrame) -> DataFrame:
@@ -155,21 +155,22 @@ def write_homes(spark, d: str) -> dict[str, str | list[str]]:
     per_model = lambda h: of(h).groupBy("s", "session", "cwd", "model").agg(*(F.sum(c).alias(c) for c in P.COUNTS), F.min("ts").alias("ts"))
     own = per_model("hermes")
     values = _row("tttiiiiiiit", name, F.lit("cli"), F.col("model"), F.floor(F.col("ts") / 1000), F.floor(F.col("ts") / 1000), *(F.col(c) for c in P.COUNTS), F.lit(0), F.col("cwd"))
-    stored(own.select(F.concat(bucket, F.lit("/state.db")).alias("path"), F.lit("sessions").alias("into"), values.alias("row")), f"{root}/hermes", {"sessions": "id, source, model, started_at, ended_at, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, reasoning_tokens, cwd", "messages": "session_id, role, timestamp"})
+    keep("hermes", own.select(F.concat(bucket, F.lit("/state.db")).alias("path"), F.lit("sessions").alias("into"), values.alias("row")), {"sessions": "id, source, model, started_at, ended_at, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, reasoning_tokens, cwd", "messages": "session_id, role, timestamp"})
 
     own = per_model("opencode")
     values = _row("tttiiiiiii", name, F.col("cwd"), js(F.col("model").alias("id")), F.col("input"), F.col("output"), F.lit(0), F.col("cache_read"), F.col("cache_creation"), F.col("ts"), F.col("ts"))
     at = F.when(F.col("session") % _STORES == 0, "opencode.db").otherwise(F.concat(F.lit("opencode-c"), bucket, F.lit(".db")))
-    stored(own.select(at.alias("path"), F.lit("session").alias("into"), values.alias("row")), f"{root}/opencode", {"session": "id, directory, model, tokens_input, tokens_output, tokens_reasoning, tokens_cache_read, tokens_cache_write, time_created, time_updated", "message": "session_id, time_created"})
+    keep("opencode", own.select(at.alias("path"), F.lit("session").alias("into"), values.alias("row")), {"session": "id, directory, model, tokens_input, tokens_output, tokens_reasoning, tokens_cache_read, tokens_cache_write, time_created, time_updated", "message": "session_id, time_created"})
 
     own = of("copilot")
     values = _row("titiiiiit", F.col("s"), F.col("ord"), F.col("model"), *(F.col(c) for c in P.COUNTS), F.lit(0), iso(F.col("ts")))
     events = own.select(F.concat(bucket, F.lit("/session-store.db")).alias("path"), F.lit("assistant_usage_events").alias("into"), values.alias("row"))
     heads = own.groupBy("s", "session", "cwd").agg(F.min("ord").alias("ord")).select(F.concat(bucket, F.lit("/session-store.db")).alias("path"), F.lit("sessions").alias("into"), _row("tt", F.col("s"), F.col("cwd")).alias("row"))
-    stored(events.unionByName(heads), f"{root}/copilot", {"assistant_usage_events": "session_id, turn_index, model, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, reasoning_tokens, created_at", "sessions": "id, cwd"})
+    keep("copilot", events.unionByName(heads), {"assistant_usage_events": "session_id, turn_index, model, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, reasoning_tokens, created_at", "sessions": "id, cwd"})
 
     homes = {h: f"{root}/{h}" for h in bindings.HARNESSES}
-    return homes | {h: [f"{root}/{h}/{k}" for k in range(_STORES)] for h in ("hermes", "copilot")}
+    homes |= {h: [f"{root}/{h}/{k}" for k in range(_STORES)] for h in ("hermes", "copilot")}
+    return {h: homes[h] for h in wanted}
 
 
 #: What the formats keep of the events: three have no cache writes, grok's sessions one model, two stores a start per session and model.
@@ -208,10 +209,19 @@ def homes_by_day(spark, d):
     return views.by_day(P.with_rates(usage, P.rates(spark)), F.lit(last), 30)
 
 
-@query("sc33_homes_state", sql("SELECT harness, 'read' AS state, 0::BIGINT AS unknown, false AS drift FROM (SELECT DISTINCT harness FROM usage)", "usage"))
+@query("sc33_homes_state", sql("SELECT harness, CASE harness WHEN 'grok' THEN 'absent' WHEN 'pi' THEN 'refused' WHEN 'hermes' THEN CASE WHEN count(DISTINCT session % 4) > 1 THEN 'partial' ELSE 'failed' END WHEN 'copilot' THEN 'failed' ELSE 'read' END AS state, CASE harness WHEN 'hermes' THEN 1 WHEN 'copilot' THEN count(DISTINCT session % 4) ELSE 0 END AS lost, CASE WHEN harness IN ('grok', 'pi', 'copilot') THEN 0 WHEN harness = 'hermes' THEN count(DISTINCT session) FILTER (session % 4 <> (SELECT min(session % 4) FROM usage WHERE harness = 'hermes')) ELSE count(DISTINCT session) END AS sessions FROM usage GROUP BY harness", "usage"))
 def homes_state(spark, d):
-    found = corpus.read(spark, homes_of(spark, d))
-    return found.state.join(found.health, "harness").select("harness", "state", "unknown", "drift")
+    """One home is absent, one holds another format, one has lost a store of several, one all of them. What is left counts in full."""
+    homes = homes_of(spark, d)
+    homes |= {"grok": f"{homes['grok']}/none", "pi": homes["gemini"]}
+    kept = {h: [p for p in corpus.stores(h, homes[h]) if os.path.isfile(p)] for h in ("hermes", "copilot")}
+    for path in [*kept["hermes"][:1], *kept["copilot"]]:
+        with open(path, "r+b") as out:
+            out.seek(4096)
+            out.write(b"\xff" * 4096)  # the first page of the first table
+    found = corpus.read(spark, homes)
+    own = found.usage.select("harness", F.regexp_extract("session", r"^\D*(\d+)", 1).cast("long").alias("s")).groupBy("harness").agg(F.count_distinct(F.col("s") % 1_000_000).alias("sessions"))
+    return found.state.join(own, "harness", "left").select("harness", "state", "lost", F.coalesce("sessions", F.lit(0)).cast("long").alias("sessions"))
 
 
 def _store(harness: str, session: str, order: str) -> str:
@@ -220,7 +230,7 @@ def _store(harness: str, session: str, order: str) -> str:
 
 
 def _one(spark, d: str, harness: str) -> DataFrame:
-    homes = homes_of(spark, d)[harness]
+    homes = homes_of(spark, d, harness)[harness]
     found = corpus.atoms_of(spark, harness, [homes] if isinstance(homes, str) else homes).usage
     return found.groupBy("session", "model").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in P.COUNTS), F.min("ts").alias("first_ts"))
 
@@ -242,5 +252,5 @@ def copilot_store(spark, d):
 
 @query("sc9_codex_context", sql("SELECT 'rollout-' || session AS session, CAST(arg_max(input + cache_read, ord) AS BIGINT) AS occupancy, arg_max(model, ord) AS model, 272000::BIGINT AS stated_window FROM usage WHERE harness = 'codex' GROUP BY session", "usage"))
 def codex_context(spark, d):
-    meta = corpus.atoms_of(spark, "codex", [homes_of(spark, d)["codex"]]).meta
+    meta = corpus.atoms_of(spark, "codex", [homes_of(spark, d, "codex")["codex"]]).meta
     return meta.select("session", "context.occupancy", "context.model", "context.stated_window")

@@ -2,7 +2,8 @@
 
 Each harness has a gate (a mark of its format that must be there before anything is read), a reader, and the names that the rest
 of the library uses. A harness whose home is missing, whose gate finds no mark, or that cannot be read gives no rows, and a
-row of ``state`` that says so.
+row of ``state`` that says so. A store that breaks off while it is read counts for nothing, and ``state`` and ``health`` count it as lost: that
+is found out when they are asked for, by reading the stores.
 """
 
 from __future__ import annotations
@@ -40,13 +41,15 @@ STORES = {
 @dataclass
 class Corpus:
     """``usage``: harness, session, ts, model, counts, thinking, project. ``events``: harness, session, ts, is_prompt.
-    ``sessions``: a row per session. ``health``: harness, unknown, total, drift. ``state``: harness, state (read, absent, refused, failed)."""
+    ``sessions``: a row per session. ``health``: harness, unknown, total, drift. ``state``: harness, state (read, partial, absent, refused,
+    failed), lost (stores that could not be read). ``lost``: harness, path, reason."""
 
     usage: DataFrame
     events: DataFrame
     sessions: DataFrame
     health: DataFrame
     state: DataFrame
+    lost: DataFrame
 
 
 def _any(rows: DataFrame, condition: Column) -> bool:
@@ -74,6 +77,11 @@ def stores(harness: str, roots: list[str]) -> list[str]:
     return [os.path.join(r, name) for r in roots]
 
 
+def _opencode_infos(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """The session objects of opencode's file store."""
+    return parsed(files(spark, roots, "*.json").where(F.contains("path", F.lit("/session/info/"))), "value")
+
+
 def gate(spark: SparkSession, harness: str, roots: list[str]) -> bool:
     """Whether there is a mark that the harness wrote what is under its homes."""
     first_line = lambda: parsed(text_lines(spark, roots, "*.jsonl"))
@@ -83,7 +91,7 @@ def gate(spark: SparkSession, harness: str, roots: list[str]) -> bool:
     if harness in STORES:
         table, columns = STORES[harness]
         found = stores(harness, roots)
-        return any(_has_columns(p, table, columns) for p in found[: 1 if harness == "opencode" and len(roots) == 1 else None])
+        return any(_has_columns(p, table, columns) for p in found) or (harness == "opencode" and _any(_opencode_infos(spark, roots), filled(V, "id").isNotNull()))
     if harness == "grok":
         logged = not text_lines(spark, roots, "unified.jsonl").limit(1).isEmpty()
         # The hosts and the marketplace that the official client names in its own files.
@@ -107,7 +115,7 @@ def atoms_of(spark: SparkSession, harness: str, roots: list[str]) -> logs.Atoms:
     if harness == "copilot":
         return sqlite.copilot(spark, [os.path.join(r, "traces.db") for r in roots], stores(harness, roots))
     if harness == "opencode":
-        return sqlite.opencode(spark, stores(harness, roots))
+        return sqlite.opencode_overlaid(logs.find(spark, roots, harness), sqlite.opencode(spark, stores(harness, roots)))
     return logs.find(spark, roots, harness)
 
 
@@ -132,7 +140,7 @@ def _empty(spark: SparkSession) -> logs.Atoms:
 def read(spark: SparkSession, homes: Mapping[str, str | list[str]], gap_ms: int = GAP_MS) -> Corpus:
     """The corpus of all harnesses of ``homes`` (harness: its folder, or several)."""
     parts: dict[str, logs.Atoms] = {}
-    state = []
+    state, files_of = [], {}
     for harness, given in homes.items():
         roots = [r for r in ([given] if isinstance(given, str) else given) if os.path.exists(r) or "://" in r]
         try:
@@ -146,6 +154,8 @@ def read(spark: SparkSession, homes: Mapping[str, str | list[str]], gap_ms: int
             _ = [f.schema for f in (atoms.usage, atoms.events, atoms.health)]
             parts[harness] = atoms
             state.append((harness, "read"))
+            if atoms.lost is not None:
+                files_of[harness] = _kept(spark, harness, roots, atoms)
         except (PySparkException, OSError, sqlite3.Error):  # one harness must never take a view from the others
             state.append((harness, "failed"))
     found = parts or {"none": _empty(spark)}
@@ -155,7 +165,25 @@ def read(spark: SparkSession, homes: Mapping[str, str | list[str]], gap_ms: int
     events = union(tag(a.events.select("session", "ts", "is_prompt"), h) for h, a in found.items())
     folded = union(fold(a.usage.select(*_USAGE), a.events, h, gap_ms) for h, a in found.items())
     health = views.health(union(tag(a.health.select("bad"), h) for h, a in found.items()), "harness", F.col("bad"))
-    return Corpus(usage, events, folded, health, spark.createDataFrame(state, "harness string, state string"))
+    broken = [tag(a.lost, h).select("harness", "path", "reason") for h, a in found.items() if a.lost is not None]
+    lost = union(broken) if broken else spark.createDataFrame([], "harness string, path string, reason string")
+    return Corpus(usage, events, folded, health, _states(spark, state, files_of, lost), lost)
+
+
+def _kept(spark: SparkSession, harness: str, roots: list[str], atoms: logs.Atoms) -> int:
+    """How many stores a harness has under its homes; its file store counts as one that is never lost as a whole."""
+    if harness == "copilot":
+        traces = [p for p in (os.path.join(r, "traces.db") for r in roots) if os.path.isfile(p)]
+        return len(traces) or sum(map(os.path.isfile, stores(harness, roots)))
+    own = sum(map(os.path.isfile, stores(harness, roots)))
+    return own + (harness == "opencode" and _any(_opencode_infos(spark, roots), filled(V, "id").isNotNull()))
+
+
+def _states(spark: SparkSession, state: list[tuple[str, str]], files_of: dict[str, int], lost: DataFrame) -> DataFrame:
+    base = spark.createDataFrame([(h, s, files_of.get(h)) for h, s in state], "harness string, state string, files long")
+    counted = base.join(lost.groupBy("harness").agg(F.count("*").alias("lost")), "harness", "left").withColumn("lost", F.coalesce("lost", F.lit(0)).cast("long"))
+    now = F.when(F.col("lost") == 0, F.col("state")).when(F.col("lost") >= F.col("files"), "failed").otherwise("partial")
+    return counted.select("harness", now.alias("state"), "lost")
 
 
 def _with_project(atoms: logs.Atoms) -> DataFrame:

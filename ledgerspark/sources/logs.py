@@ -27,6 +27,7 @@ class Atoms:
     health: DataFrame
     skills: DataFrame | None = None
     meta: DataFrame | None = None
+    lost: DataFrame | None = None  # path and reason of what was found but could not be read
 
 
 def _first_of(*options: Column) -> Column:

@@ -1,8 +1,9 @@
 """SQLite stores as DataFrames, and the harnesses that keep them.
 
-``SqliteSource`` is a Python data source: a partition per database file, opened read-only, with the columns named in the schema and no
-others. A missing file, or one without the asked columns, gives no rows rather than an error. Files must be on a path that
-every executor sees.
+``SqliteSource`` is a Python data source: a partition for every ``RANGE`` row numbers of a table, opened read-only, with the columns named in the
+schema and no others. A missing file, or one without the asked columns, gives no rows rather than an error. A range that cannot be read to its
+end gives a row of nulls with ``db_error``. A store counts whole or not at all: ``whole_stores`` leaves out what was
+read of one that has such a row in any of its tables, and says which ones those are. Files must be on a path that every executor sees.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from __future__ import annotations
 import os
 import sqlite3
 from collections.abc import Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -24,33 +26,59 @@ from .logs import Atoms
 V = "v"
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+#: Row numbers of a partition.
+RANGE = 200_000
+
+
+class _Range(InputPartition):
+    def __init__(self, path: str, first: int | None = None, end: int | None = None):
+        self.path, self.first, self.end = path, first, end
+
+
+def _opened(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.columns = schema.names
         self.table = options["table"]
+        self.range = int(options.get("range", RANGE))
         self.paths = [p for p in options["paths"].split("\n") if p]
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths] or [_File("")]
+        return [r for p in self.paths for r in self._ranges(p)] or [_Range("")]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def _ranges(self, path: str) -> list[_Range]:
+        """Ranges of row numbers; the whole table where it has none, or where they cannot be asked for."""
+        if not os.path.isfile(path):
+            return []
+        db = _opened(path)
+        try:
+            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+        except sqlite3.DatabaseError:
+            return [_Range(path)]
+        finally:
+            db.close()
+        if not isinstance(low, int) or not isinstance(high, int):
+            return [_Range(path)]
+        return [_Range(path, at, at + self.range) for at in range(low, high + 1, self.range)]
+
+    def read(self, partition: _Range) -> Iterator[tuple]:
         if not os.path.isfile(partition.path):
             return
-        db = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
+        db = _opened(partition.path)
+        asked = [c for c in self.columns if c not in ("db_path", "db_error")]
         try:
             have = {row[1] for row in db.execute(f'PRAGMA table_info("{self.table}")')}
-            if not set(self.columns) - {"db_path"} <= have:
+            if not set(asked) <= have:
                 return
-            chosen = ", ".join("NULL" if c == "db_path" else f'CAST("{c}" AS TEXT), typeof("{c}")' for c in self.columns)
-            for row in db.execute(f'SELECT {chosen} FROM "{self.table}"'):
+            chosen = ", ".join(f'CAST("{c}" AS TEXT), typeof("{c}")' for c in asked)
+            where, given = ("", ()) if partition.first is None else (" WHERE rowid >= ? AND rowid < ?", (partition.first, partition.end))
+            for row in db.execute(f'SELECT {chosen} FROM "{self.table}"{where}', given):
                 yield self._typed(row, partition.path)
-        except sqlite3.DatabaseError:
-            return
+        except sqlite3.DatabaseError as e:
+            yield tuple({"db_path": partition.path, "db_error": str(e)}.get(c) for c in self.columns)
         finally:
             db.close()
 
@@ -58,9 +86,8 @@ class _Reader(DataSourceReader):
         """Values with their storage class, so that a text is never taken for a number."""
         out, at = [], 0
         for c in self.columns:
-            if c == "db_path":
-                out.append(path)
-                at += 1
+            if c in ("db_path", "db_error"):
+                out.append(path if c == "db_path" else None)
             else:
                 out.append({"text": row[at], "kind": row[at + 1]})
                 at += 2
@@ -82,12 +109,25 @@ class SqliteSource(DataSource):
 
 
 def read_table(spark: SparkSession, paths: list[str], table: str, columns: list[str]) -> DataFrame:
-    """``db_path`` and the columns, each as a struct of its text and storage class."""
+    """``db_path``, ``db_error`` and the columns, each as a struct of its text and storage class."""
     spark.dataSource.register(SqliteSource)
-    schema = "db_path string, " + ", ".join(f"`{c}` struct<text:string,kind:string>" for c in columns)
+    schema = "db_path string, db_error string, " + ", ".join(f"`{c}` struct<text:string,kind:string>" for c in columns)
     return spark.read.format("sqlite_table").schema(schema).option("table", table).option("paths", "\n".join(paths)).load()
 
 
+def whole_stores(spark: SparkSession, paths: list[str], tables: dict[str, list[str]]) -> tuple[list[DataFrame], DataFrame]:
+    """The tables of those stores that can be read to their end, and the ``path`` and ``reason`` of the others. Every store is read once more for its errors."""
+    found = [read_table(spark, paths, t, c) for t, c in tables.items()]
+    errors = reduce(lambda a, b: a.unionByName(b), (f.where("db_error is not null").select("db_path", "db_error") for f in found))
+    lost = errors.groupBy(F.col("db_path").alias("path")).agg(F.min("db_error").alias("reason"))
+    return [f.join(lost, f["db_path"] == lost["path"], "left_anti") for f in found], lost
+
+
+def _health(rows: DataFrame, good: Column, lost: DataFrame) -> DataFrame:
+    """Rows that cannot be used, and a bad one for every store that cannot be read."""
+    return rows.select(F.col("db_path").alias("path"), (~good).alias("bad")).unionByName(lost.select("path", F.lit(True).alias("bad")))
+
+
 def real(c: str):
     """A stored number; null for texts and blobs."""
     return F.when(F.col(f"{c}.kind").isin("integer", "real"), F.col(f"{c}.text").cast("double"))
@@ -103,7 +143,8 @@ def words(c: str):
 
 def hermes(spark: SparkSession, paths: list[str]) -> Atoms:
     """Tokens per session; times in seconds; messages give activity, without them start and end do."""
-    rows = read_table(spark, paths, "sessions", ["id", "source", "model", "started_at", "ended_at", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "cwd"])
+    columns = ["id", "source", "model", "started_at", "ended_at", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "cwd"]
+    (rows, messages), lost = whole_stores(spark, paths, {"sessions": columns, "messages": ["session_id", "role", "timestamp"]})
     good = words("id").isNotNull() & real("started_at").isNotNull() & real("input_tokens").isNotNull() & real("output_tokens").isNotNull()
     start, end = (real("started_at") * 1000).cast("long"), (real("ended_at") * 1000).cast("long")
     usage = rows.where(good).select(
@@ -111,16 +152,15 @@ def hermes(spark: SparkSession, paths: list[str]) -> Atoms:
         whole("input_tokens").alias("input"), whole("output_tokens").alias("output"), whole("cache_read_tokens").alias("cache_read"), whole("cache_write_tokens").alias("cache_creation"), whole("reasoning_tokens").alias("thinking"),
     )
     meta = rows.where(good).select(words("id").alias("session"), words("cwd").alias("cwd"), words("source").alias("source"), start.alias("started_at"), end.alias("ended_at"))
-    messages = read_table(spark, paths, "messages", ["session_id", "role", "timestamp"])
     told = messages.select(words("session_id").alias("session"), (real("timestamp") * 1000).cast("long").alias("ts"), F.coalesce(words("role") == "user", F.lit(False)).alias("is_prompt")).where("session is not null and ts is not null")
     silent = meta.join(told.select("session").distinct(), "session", "left_anti").select("session", F.explode(F.array_distinct(F.array_compact(F.array("started_at", "ended_at")))).alias("ts"), F.lit(False).alias("is_prompt"))
-    return Atoms(usage, told.unionByName(silent), rows.select(F.col("db_path").alias("path"), (~good).alias("bad")), meta=meta)
+    return Atoms(usage, told.unionByName(silent), _health(rows, good, lost), meta=meta, lost=lost)
 
 
 def opencode(spark: SparkSession, paths: list[str]) -> Atoms:
     """Tokens per session over any number of databases; the model is a small JSON object; sessions without tokens go."""
     counts = ["tokens_input", "tokens_output", "tokens_reasoning", "tokens_cache_read", "tokens_cache_write"]
-    rows = read_table(spark, paths, "session", ["id", "directory", "model", *counts, "time_created", "time_updated"])
+    (rows, messages), lost = whole_stores(spark, paths, {"session": ["id", "directory", "model", *counts, "time_created", "time_updated"], "message": ["session_id", "time_created"]})
     good = words("id").isNotNull()
     for c in counts:
         good = good & real(c).isNotNull()
@@ -130,10 +170,9 @@ def opencode(spark: SparkSession, paths: list[str]) -> Atoms:
         whole("tokens_input").alias("input"), whole("tokens_output").alias("output"), whole("tokens_cache_read").alias("cache_read"), whole("tokens_cache_write").alias("cache_creation"), whole("tokens_reasoning").alias("thinking"),
     ).where("input + output + cache_read + cache_creation + thinking > 0")
     meta = rows.where(good).select(words("id").alias("session"), words("directory").alias("cwd"), real("time_created").cast("long").alias("created"))
-    messages = read_table(spark, paths, "message", ["session_id", "time_created"])
     told = messages.select(words("session_id").alias("session"), real("time_created").cast("long").alias("ts"), F.lit(False).alias("is_prompt")).where("session is not null and ts is not null")
     silent = meta.join(told.select("session").distinct(), "session", "left_anti").where("created is not null").select("session", F.col("created").alias("ts"), F.lit(False).alias("is_prompt"))
-    return Atoms(usage, told.unionByName(silent), rows.select(F.col("db_path").alias("path"), (~good).alias("bad")), meta=meta)
+    return Atoms(usage, told.unionByName(silent), _health(rows, good, lost), meta=meta, lost=lost)
 
 
 def opencode_overlaid(files: Atoms, stored: Atoms) -> Atoms:
@@ -141,25 +180,27 @@ def opencode_overlaid(files: Atoms, stored: Atoms) -> Atoms:
     own = files.usage.select("session").distinct()
     keep = lambda a, b: a.unionByName(b.join(own, "session", "left_anti"), allowMissingColumns=True)
     usage = keep(files.usage.withColumn("ord", F.to_json("ord")), stored.usage.withColumn("ord", F.to_json("ord")))
-    return Atoms(usage, keep(files.events, stored.events), files.health.unionByName(stored.health), meta=overlay(stored.meta.select("session", "cwd"), files.meta.select("session", "cwd").dropDuplicates(["session"]), "session"))
+    return Atoms(usage, keep(files.events, stored.events), files.health.unionByName(stored.health), meta=overlay(stored.meta.select("session", "cwd"), files.meta.select("session", "cwd").dropDuplicates(["session"]), "session"), lost=stored.lost)
 
 
 def copilot_store(spark: SparkSession, paths: list[str]) -> Atoms:
     """Usage events with ISO times."""
-    rows = read_table(spark, paths, "assistant_usage_events", ["session_id", "turn_index", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "created_at"])
+    columns = ["session_id", "turn_index", "model", "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "reasoning_tokens", "created_at"]
+    (rows, heads), lost = whole_stores(spark, paths, {"assistant_usage_events": columns, "sessions": ["id", "cwd"]})
     stamp = millis(words("created_at"))
     good = F.coalesce(words("session_id").isNotNull() & stamp.isNotNull() & real("input_tokens").isNotNull() & real("output_tokens").isNotNull(), F.lit(False))
     usage = rows.where(good).select(
         words("session_id").alias("session"), F.struct(F.col("db_path").alias("path"), real("turn_index").cast("long").alias("line_no")).alias("ord"), stamp.alias("ts"), F.coalesce(words("model"), F.lit("unknown")).alias("model"),
         whole("input_tokens").alias("input"), whole("output_tokens").alias("output"), whole("cache_read_tokens").alias("cache_read"), whole("cache_write_tokens").alias("cache_creation"), whole("reasoning_tokens").alias("thinking"),
     )
-    meta = read_table(spark, paths, "sessions", ["id", "cwd"]).select(words("id").alias("session"), words("cwd").alias("cwd")).where("session is not null and cwd is not null")
-    return Atoms(usage, usage.select("session", "ts", F.lit(False).alias("is_prompt")), rows.select(F.col("db_path").alias("path"), (~good).alias("bad")), meta=meta)
+    meta = heads.select(words("id").alias("session"), words("cwd").alias("cwd")).where("session is not null and cwd is not null")
+    return Atoms(usage, usage.select("session", "ts", F.lit(False).alias("is_prompt")), _health(rows, good, lost), meta=meta, lost=lost)
 
 
 def copilot_traces(spark: SparkSession, paths: list[str]) -> Atoms:
     """Spans with nanosecond times; counts are attributes; the session is a column, else an attribute."""
-    rows = parsed(read_table(spark, paths, "spans", ["session_id", "start_time_unix_nano", "attributes"]).withColumn("text", F.col("attributes.text")), "text")
+    (spans,), lost = whole_stores(spark, paths, {"spans": ["session_id", "start_time_unix_nano", "attributes"]})
+    rows = parsed(spans.withColumn("text", F.col("attributes.text")), "text")
     attr = lambda kind, name: _attr(kind, V, name)
     session = F.coalesce(words("session_id"), attr("text", "copilot.session.id"))
     nanos = F.when(F.col("start_time_unix_nano.kind") == "integer", F.col("start_time_unix_nano.text").cast("long"))
@@ -172,7 +213,7 @@ def copilot_traces(spark: SparkSession, paths: list[str]) -> Atoms:
         session.alias("session"), F.struct(F.col("db_path").alias("path"), stamp.alias("line_no")).alias("ord"), stamp.alias("ts"), model.alias("model"), n(given).alias("input"), n(made).alias("output"),
         n(attr("number", "gen_ai.usage.cache_read_tokens")).alias("cache_read"), n(attr("number", "gen_ai.usage.cache_write_tokens")).alias("cache_creation"), n(attr("number", "gen_ai.usage.reasoning_tokens")).alias("thinking"),
     )
-    return Atoms(usage, usage.select("session", "ts", F.lit(False).alias("is_prompt")), rows.select(F.col("db_path").alias("path"), (~good).alias("bad")))
+    return Atoms(usage, usage.select("session", "ts", F.lit(False).alias("is_prompt")), _health(rows, good, lost), lost=lost)
 
 
 def _attr(kind: str, v, name: str):

@@ -1,13 +1,14 @@
 """Each log format on small files with answers worked out by hand."""
 
 import json
+import os
 import sqlite3
 
 import pytest
 
 from ledgerspark.operators.dedup import deduplicate, file_grain, thread_totals, valid
 from ledgerspark.operators.sessions import fold
-from ledgerspark.sources import logs, sqlite
+from ledgerspark.sources import corpus, logs, sqlite
 from ledgerspark.sources.lines import files
 
 COUNTS = ("input", "output", "cache_read", "cache_creation")
@@ -170,6 +171,63 @@ def test_hermes(spark, store):
     assert sorted((r["session"], r["ts"], r["is_prompt"]) for r in atoms.events.collect()) == [("a", 101_000, True), ("a", 103_500, False), ("b", 100_000, False)]
 
 
+def broken(path):
+    """Overwrite some pages in the middle of a store."""
+    with open(path, "r+b") as out:
+        out.seek(4096 * (os.path.getsize(path) // 8192))
+        out.write(b"\xff" * 3 * 4096)
+
+
+def test_a_store_that_breaks_off_counts_for_nothing_and_is_reported(spark, store, tmp_path):
+    """20,000 sessions with three bad pages among them: none is counted, the other store's all are."""
+    make = """
+      CREATE TABLE sessions(id TEXT, source TEXT, model TEXT, started_at REAL, ended_at REAL, input_tokens INT, output_tokens INT, cache_read_tokens INT, cache_write_tokens INT, reasoning_tokens INT, cwd TEXT);
+      CREATE TABLE messages(session_id TEXT, role TEXT, timestamp REAL);
+      WITH RECURSIVE n(k) AS (SELECT 1 UNION ALL SELECT k + 1 FROM n WHERE k < 20000) INSERT INTO sessions SELECT 's' || k, 'cli', 'm', k, k + 1, 1, 1, 0, 0, 0, '/w' FROM n;
+      INSERT INTO messages VALUES ('s1', 'user', 1);"""
+    roots = [tmp_path / "one", tmp_path / "two"]
+    for r in roots:
+        r.mkdir()
+        os.rename(store("state.db", make), r / "state.db")
+    both = lambda: corpus.read(spark, {"hermes": [str(r) for r in roots], "codex": str(tmp_path / "none")})
+    found = both()
+    assert found.usage.count() == 40_000 and sorted(map(tuple, found.state.collect())) == [("codex", "absent", 0), ("hermes", "read", 0)]
+    broken(roots[0] / "state.db")
+    found = both()
+    assert found.usage.count() == 20_000 and sorted(map(tuple, found.state.collect())) == [("codex", "absent", 0), ("hermes", "partial", 1)]
+    assert [(r["harness"], r["path"]) for r in found.lost.collect()] == [("hermes", str(roots[0] / "state.db"))] and found.lost.first()["reason"]
+    assert [tuple(r)[:3] for r in found.health.select("harness", "unknown", "total").collect()] == [("hermes", 1, 20_001)]
+    broken(roots[1] / "state.db")
+    found = both()
+    assert found.usage.count() == 0 == found.events.count() and ("hermes", "failed", 2) in set(map(tuple, found.state.collect()))
+
+
+def test_stores_are_read_in_ranges_of_rows(spark, store):
+    path = store("r.db", "CREATE TABLE t(v INT); WITH RECURSIVE n(k) AS (SELECT 1 UNION ALL SELECT k + 1 FROM n WHERE k < 1000) INSERT INTO t SELECT k FROM n; DELETE FROM t WHERE v % 3 = 0; CREATE TABLE w(v INT PRIMARY KEY) WITHOUT ROWID; INSERT INTO w VALUES (1), (2); CREATE TABLE e(v INT);")
+    spark.dataSource.register(sqlite.SqliteSource)
+    read = lambda table: spark.read.format("sqlite_table").schema("db_path string, v struct<text:string,kind:string>").option("table", table).option("paths", path).option("range", "100").load()
+    assert read("t").rdd.getNumPartitions() == 10 and sorted(int(r["v"]["text"]) for r in read("t").collect()) == [k for k in range(1, 1001) if k % 3]
+    assert read("w").count() == 2 and read("e").count() == 0 == read("missing").count()
+
+
+def test_opencode_homes_with_files_and_databases(spark, store, tmp_path):
+    """Files alone are enough for the gate; beside a database a session kept as files counts once, as the files have it."""
+    root = tmp_path / "oc"
+    for s, tokens in (("a", 7), ("b", 9)):
+        (root / "storage/session/info").mkdir(parents=True, exist_ok=True)
+        (root / f"storage/session/message/{s}").mkdir(parents=True)
+        (root / f"storage/session/info/{s}.json").write_text(json.dumps({"id": s, "directory": "/w/files", "time": {"created": 5}}))
+        (root / f"storage/session/message/{s}/m.json").write_text(json.dumps({"role": "assistant", "providerID": "p", "modelID": "m", "time": {"created": 6}, "tokens": {"input": tokens, "output": 1, "cache": {"read": 0, "write": 0}, "reasoning": 0}}))
+    rows = lambda: sorted((r["session"], r["model"], r["input"], r["project"]) for r in corpus.read(spark, {"opencode": str(root)}).usage.collect())
+    files = [("a", "p/m", 7, "files"), ("b", "p/m", 9, "files")]
+    assert rows() == files
+    os.rename(store("x.db", """
+      CREATE TABLE session(id TEXT, directory TEXT, model TEXT, tokens_input INT, tokens_output INT, tokens_reasoning INT, tokens_cache_read INT, tokens_cache_write INT, time_created INT, time_updated INT);
+      CREATE TABLE message(session_id TEXT, time_created INT);
+      INSERT INTO session VALUES ('a', '/w/db', '{"id":"m"}', 100, 1, 0, 0, 0, 1, 2), ('c', '/w/db', '{"id":"m"}', 50, 1, 0, 0, 0, 1, 2);"""), root / "opencode-dev.db")
+    assert rows() == [*files, ("c", "m", 50, "db")]
+
+
 def test_opencode_files_replace_database(spark, store, tmp_path):
     path = store("opencode.db", """
       CREATE TABLE session(id TEXT, directory TEXT, model TEXT, tokens_input INT, tokens_output INT, tokens_reasoning INT, tokens_cache_read INT, tokens_cache_write INT, time_created INT, time_updated INT);
