@@ -29,40 +29,57 @@ def met(cell: np.ndarray, side: np.ndarray, label: np.ndarray, sketch: np.ndarra
     root[order] = np.minimum.reduceat(order, np.flatnonzero(new))[np.cumsum(new) - 1]
     starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
     two = np.repeat(np.maximum.reduceat(side, starts) > 0, np.diff(np.append(starts, n)))
-    left, lag = np.arange(n), 0
-    while len(left):
-        lag += 1
-        left = left[left + lag < n]
-        left = left[cell[left] == cell[left + lag]]
-        fit = left[(root[left] != root[left + lag]) & ((side[left] != side[left + lag]) | ~two[left])]
-        fit = fit[fits(sketch[fit], sketch[fit + lag])]
-        if not spanning:
+    if not spanning:
+        left, lag = np.arange(n), 0
+        while len(left):
+            lag += 1
+            left = left[left + lag < n]
+            left = left[cell[left] == cell[left + lag]]
+            fit = left[(root[left] != root[left + lag]) & ((side[left] != side[left + lag]) | ~two[left])]
+            fit = fit[fits(sketch[fit], sketch[fit + lag])]
             yield fit, fit + lag
-            continue
+        return
+
+    def joined(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        fit = (root[i] != root[j]) & ((side[i] != side[j]) | ~two[i])
+        i, j = i[fit], j[fit]
+        fit = fits(sketch[i], sketch[j])
         kept = []
-        for i in fit.tolist():
-            a, b = i, i + lag
+        for k, (a, b) in enumerate(zip(i[fit].tolist(), j[fit].tolist())):
             while root[a] != a:
                 a = root[a]
             while root[b] != b:
                 b = root[b]
             if a != b:
                 root[max(a, b)] = min(a, b)
-                kept.append(i)
+                kept.append(k)
         if kept:
             while (root[root] != root).any():
-                root = root[root]
-            yield np.array(kept), np.array(kept) + lag
+                root[:] = root[root]
+        return i[fit][kept], j[fit][kept]
+
+    # with the first row of each cell before all others: cells of one group so give the same pairs
+    yield joined(np.repeat(starts, np.diff(np.append(starts, n))), np.arange(n))
+    left, lag = np.arange(n), 0
+    while len(left):
+        lag += 1
+        left = left[left + lag < n]
+        left = left[cell[left] == cell[left + lag]]
+        yield joined(left, left + lag)
+
 
+def pairs(rows: DataFrame, sketches: DataFrame, fits: Callable, spanning: bool, chunk: int = CHUNK, order: str = "node") -> DataFrame:
+    """Distinct ``a, b`` (a < b) of the nodes of ``rows`` (``key, node, label``; read twice) of two labels that share a key and fit.
 
-def pairs(rows: DataFrame, key: list[str], words: list[str], fits: Callable, spanning: bool, chunk: int = CHUNK, order: str = "node") -> DataFrame:
-    """Distinct ``a, b`` (a < b) of the nodes of ``rows`` (``key, node, label, words``; read twice) of two labels that share a key and fit."""
-    counts = rows.groupBy(*key).agg(F.count("*").alias("_n"), (F.min("label") < F.max("label")).alias("_two")).where("_two")
-    parts = counts.select(*key, F.ceil(F.col("_n") / chunk).cast("int").alias("_parts"))
+    ``sketches`` has a row of ``node`` and words for each node; they join only what keys of two labels leave.
+    """
+    words = [c for c in sketches.columns if c != "node"]
+    counts = rows.groupBy("key").agg(F.count("*").alias("_n"), (F.min("label") < F.max("label")).alias("_two")).where("_two")
+    parts = counts.select("key", F.ceil(F.col("_n") / chunk).cast("int").alias("_parts"))
     part = F.pmod(F.xxhash64("node"), "_parts").cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda q: F.struct(F.least("_part", q).alias("x"), F.greatest("_part", q).alias("y")))
-    dealt = rows.join(parts, key).withColumn("_part", part).select("*", F.explode(cells).alias("_cell"))
-    dealt = dealt.select(F.xxhash64(*key, "_cell").alias("cell"), F.when(F.col("_part") == F.col("_cell.x"), 0).otherwise(1).cast("long").alias("side"), "node", "label", *words)
+    dealt = rows.join(parts, "key").join(sketches, "node").withColumn("_part", part).select("*", F.explode(cells).alias("_cell"))
+    dealt = dealt.select(F.xxhash64("key", "_cell").alias("cell"), F.when(F.col("_part") == F.col("_cell.x"), 0).otherwise(1).cast("long").alias("side"), "node", "label", *words)
 
     def compared(held: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         cell, side, node, label, *own = (c.to_numpy() for c in pa.concat_tables(held).columns)

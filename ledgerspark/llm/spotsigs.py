@@ -11,7 +11,7 @@ signature of the whole text, so only equal short texts are alike.
 ``near_groups`` finds near-duplicates: sets are partitioned by length, and those that share one of the rarest signatures of both are
 candidates, unless their sketches rule it out: for two sets of n and m signatures whose parity bits differ in d places, no more
 than (n + m - d) / 2 are common. A group is what links of a Jaccard coefficient of ``LEAST`` or more reach. Every link is compared on the whole sets, and only those
-that hold join anything. Two passes look for a few links a set, so that a large group is one soon; the last looks at every pair of candidates left apart.
+that hold join anything. Some turns look for a few links a set, so that a large group is one soon; the last looks at every pair of candidates left apart.
 
 ``with_next`` brings documents and their successors together: ids are range-partitioned at quantiles, sorted in each range,
 and read in order; the row that tops a range is also sent to the range before it in order. No window spans the table.
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_columns, scratch, slices, table
+from .common import cut, cut_to, discard, map_columns, scratch, slices, table
 from .near import CHUNK, pairs
 from .simhash import checked, united
 
@@ -42,8 +42,8 @@ RUN = 8
 LEAST = 0.8
 #: Cells of the table of how often signatures occur, which ranks them; signatures that share a cell share a rank's count.
 CELLS_LOG2 = 16
-#: Words of 64 bits of a set's sketch.
-SKETCH = 8
+#: Words of 64 bits of a set's sketch; turns that look for a few links a set; sets above which a cell's signatures count as shared.
+SKETCH, SPANNING, HEAVY = 8, 3, 20_000
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset("the a an of and to in is was that der die das und ist zu den le la les de et un une est el los las y en es".split())
 _WORD = re.compile(r"[^\W_]+")
@@ -135,10 +135,13 @@ def cell_loads(classes: DataFrame) -> np.ndarray:
     return loads
 
 
-def prefix_keys(classes: DataFrame, least: float) -> DataFrame:
-    """``part, sign, node``: the rarest signatures of every set, as many as it may lack and one, in its partition by length and the next.
+def prefix_keys(classes: DataFrame, least: float, heavy: int = HEAVY) -> DataFrame:
+    """``key, node``: the rarest signatures of every set in its partition by length and the next, where another set has them too.
 
-    Two sets of that likeness share one of these in the partition of the longer one, however ties among counts are ranked.
+    Of two sets of that likeness the longer shares one of its n - t n + 1 rarest, in its own partition, with the n - 2 t n / (1 + t) + 1
+    rarest of the shorter, which has these in the next partition too; however ties among counts are ranked. Keys are brought
+    together to see which are one set's alone, as most are. Signatures of cells that more than ``heavy`` sets have are
+    kept unseen, so that no frequent one gathers in a task.
     """
     shipped = classes.sparkSession.sparkContext.broadcast(cell_loads(classes))
 
@@ -148,14 +151,36 @@ def prefix_keys(classes: DataFrame, least: float) -> DataFrame:
             for node, signs in zip(b.column(0).to_pylist(), b.column(1)):
                 x = signs.values.to_numpy().view(np.uint32)
                 n = len(x)
-                took = x[np.lexsort((x, shipped.value[x >> (32 - CELLS_LOG2)]))[: n - int(np.ceil(n * least - 1e-9)) + 1]]
+                load = shipped.value[x >> (32 - CELLS_LOG2)]
+                own, next_ = (n - int(np.ceil(n * share - 1e-9)) + 1 for share in (least, 2 * least / (1 + least)))
+                took = np.lexsort((x, load))[:own]
                 part = int(np.floor(np.log(n) / np.log(1 / least) + 1e-9))
-                for k in (part, part + 1):
-                    out.append((np.full(len(took), k), took, np.full(len(took), node)))
+                took = np.concatenate((took, took[:next_]))
+                parts = np.repeat((part, part + 1), (own, len(took) - own))
+                out.append((parts << 32 | x[took].astype(np.int64), np.full(len(took), node), load[took] > heavy))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=["part", "sign", "node"])
+                key, node, known = map(np.concatenate, zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(known)], names=["key", "node", "known"])
 
-    return classes.select("node", "signs").mapInArrow(run, "part long, sign long, node long")
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row so far, which the next batch may share its key with, and whether it went out
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, node, kept = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            kept = kept.copy()
+            equal = key[1:] == key[:-1]
+            kept[1:] |= equal
+            kept[:-1] |= equal
+            if held is not None and held[0] == key[0]:
+                kept[0] = True
+                if not held[2]:
+                    yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["key", "node"])
+            held = int(key[-1]), int(node[-1]), bool(kept[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[kept]), pa.array(node[kept])], names=["key", "node"])
+
+    keys = classes.select("node", "signs").mapInArrow(run, "key long, node long, known boolean")
+    return keys.repartition("key", F.when(F.col("known"), F.col("node"))).sortWithinPartitions("key").mapInArrow(shared, "key long, node long")
 
 
 def sketches(classes: DataFrame) -> DataFrame:
@@ -183,22 +208,24 @@ def may_be_alike(least: float):
 
 def near_groups(docs: DataFrame, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
     """``doc_id, node, class_id`` of every distinct document and fingerprint: the least doc_id of its group of near-duplicates."""
-    prints = cut(fingerprints(docs))
+    prints, path = cut_to(fingerprints(docs))
     classes = cut(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("signs").alias("signs")))
+    names = cut(prints.select("doc_id", "node").distinct())
+    discard(docs.sparkSession, path)
     keys = cut(prefix_keys(classes, least))
-    common = keys.groupBy("part", "sign").count().where("count > 1").drop("count")
-    keys = cut(keys.join(common, ["part", "sign"]).join(sketches(classes), "node"))  # most keys are one set's alone
-    words = ["n", *(f"w{k}" for k in range(SKETCH))]
+    drawn = cut(sketches(classes))
     label = classes.select("node", F.col("node").alias("label"))
-    for spanning, order in ((True, "node"), (True, "-node"), (False, "node")):
-        found = pairs(keys.join(label, "node"), ["part", "sign"], words, may_be_alike(least), spanning, chunk, order)
+    for turn in range(SPANNING + 1):  # the last one looks at all pairs
+        found = pairs(keys.join(label, "node"), drawn, may_be_alike(least), turn < SPANNING, chunk, f"xxhash64(node, {turn})")
+        if found.isEmpty():
+            break
         sure = cut(checked(found, classes.select("node", "signs"), least, jaccard=True))
         if not sure.isEmpty():
             label = united(label, sure)
     named = cut(classes.select("node", "first").join(label, "node").select("node", "first", F.col("label").alias("root")))
     heads = named.groupBy("root").agg(F.min("first").alias("class_id"))
     grouped = named.join(heads, "root").select("node", "class_id")
-    return prints.select("doc_id", "node").distinct().join(grouped, "node").select("doc_id", "node", "class_id")
+    return names.join(grouped, "node").select("doc_id", "node", "class_id")
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
