@@ -2,17 +2,17 @@
 
 Each harness has a gate (a mark of its format that must be there before anything is read), a reader, and the names that the rest
 of the library uses. A harness whose home is missing, whose gate finds no mark, or that cannot be read gives no rows, and a
-row of ``state`` that says so. A store that breaks off while it is read counts for nothing, and ``state`` and ``health`` count it as lost: that
-is found out when they are asked for, by reading the stores.
+row of ``state`` that says so. A store that breaks off while it is read counts for nothing, and ``state`` and ``health`` count it as lost: the
+stores are read for that once, before anything else.
 """
 
 from __future__ import annotations
 
 import os
 import sqlite3
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,10 +46,14 @@ class Corpus:
 
     usage: DataFrame
     events: DataFrame
-    sessions: DataFrame
     health: DataFrame
     state: DataFrame
     lost: DataFrame
+    folded: Callable[[], DataFrame]
+
+    @cached_property
+    def sessions(self) -> DataFrame:
+        return self.folded()
 
 
 def _any(rows: DataFrame, condition: Column) -> bool:
@@ -163,11 +167,11 @@ def read(spark: SparkSession, homes: Mapping[str, str | list[str]], gap_ms: int
     union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
     usage = union(tag(_with_project(a).select(*_USAGE, "project"), h) for h, a in found.items())
     events = union(tag(a.events.select("session", "ts", "is_prompt"), h) for h, a in found.items())
-    folded = union(fold(a.usage.select(*_USAGE), a.events, h, gap_ms) for h, a in found.items())
+    folded = lambda: union(fold(a.usage.select(*_USAGE), a.events, h, gap_ms) for h, a in found.items())  # noqa: E731  a large plan, made where it is asked for
     health = views.health(union(tag(a.health.select("bad"), h) for h, a in found.items()), "harness", F.col("bad"))
     broken = [tag(a.lost, h).select("harness", "path", "reason") for h, a in found.items() if a.lost is not None]
     lost = union(broken) if broken else spark.createDataFrame([], "harness string, path string, reason string")
-    return Corpus(usage, events, folded, health, _states(spark, state, files_of, lost), lost)
+    return Corpus(usage, events, health, _states(spark, state, files_of, lost), lost, folded)
 
 
 def _kept(spark: SparkSession, harness: str, roots: list[str], atoms: logs.Atoms) -> int:

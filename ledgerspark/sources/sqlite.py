@@ -2,8 +2,8 @@
 
 ``SqliteSource`` is a Python data source: a partition for every ``RANGE`` row numbers of a table, opened read-only, with the columns named in the
 schema and no others. A missing file, or one without the asked columns, gives no rows rather than an error. A range that cannot be read to its
-end gives a row of nulls with ``db_error``. A store counts whole or not at all: ``whole_stores`` leaves out what was
-read of one that has such a row in any of its tables, and says which ones those are. Files must be on a path that every executor sees.
+end fails the query. A store counts whole or not at all: ``whole_stores`` reads all of them for their errors first, leaves out those that have any,
+and says which ones those are. Files must be on a path that every executor sees.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ class _Reader(DataSourceReader):
         self.columns = schema.names
         self.table = options["table"]
         self.range = int(options.get("range", RANGE))
+        self.errors = options.get("errors") == "only"  # rows for what cannot be read, and no others
         self.paths = [p for p in options["paths"].split("\n") if p]
 
     def partitions(self) -> list[InputPartition]:
@@ -76,8 +77,11 @@ class _Reader(DataSourceReader):
             chosen = ", ".join(f'CAST("{c}" AS TEXT), typeof("{c}")' for c in asked)
             where, given = ("", ()) if partition.first is None else (" WHERE rowid >= ? AND rowid < ?", (partition.first, partition.end))
             for row in db.execute(f'SELECT {chosen} FROM "{self.table}"{where}', given):
-                yield self._typed(row, partition.path)
+                if not self.errors:
+                    yield self._typed(row, partition.path)
         except sqlite3.DatabaseError as e:
+            if not self.errors:
+                raise
             yield tuple({"db_path": partition.path, "db_error": str(e)}.get(c) for c in self.columns)
         finally:
             db.close()
@@ -108,19 +112,20 @@ class SqliteSource(DataSource):
         return _Reader(schema, self.options)
 
 
-def read_table(spark: SparkSession, paths: list[str], table: str, columns: list[str]) -> DataFrame:
-    """``db_path``, ``db_error`` and the columns, each as a struct of its text and storage class."""
+def read_table(spark: SparkSession, paths: list[str], table: str, columns: list[str], errors: bool = False) -> DataFrame:
+    """``db_path`` and the columns, each as a struct of its text and storage class; with ``errors`` a row for what cannot be read, with ``db_error``."""
     spark.dataSource.register(SqliteSource)
     schema = "db_path string, db_error string, " + ", ".join(f"`{c}` struct<text:string,kind:string>" for c in columns)
-    return spark.read.format("sqlite_table").schema(schema).option("table", table).option("paths", "\n".join(paths)).load()
+    found = spark.read.format("sqlite_table").schema(schema).option("table", table).option("paths", "\n".join(paths))
+    return found.option("errors", "only").load() if errors else found.load().drop("db_error")
 
 
 def whole_stores(spark: SparkSession, paths: list[str], tables: dict[str, list[str]]) -> tuple[list[DataFrame], DataFrame]:
-    """The tables of those stores that can be read to their end, and the ``path`` and ``reason`` of the others. Every store is read once more for its errors."""
-    found = [read_table(spark, paths, t, c) for t, c in tables.items()]
-    errors = reduce(lambda a, b: a.unionByName(b), (f.where("db_error is not null").select("db_path", "db_error") for f in found))
-    lost = errors.groupBy(F.col("db_path").alias("path")).agg(F.min("db_error").alias("reason"))
-    return [f.join(lost, f["db_path"] == lost["path"], "left_anti") for f in found], lost
+    """The tables of those stores that can be read to their end, and the ``path`` and ``reason`` of the others, at most a row a store."""
+    errors = reduce(lambda a, b: a.unionByName(b), (read_table(spark, paths, t, c, True).select("db_path", "db_error") for t, c in tables.items()))
+    lost = {r["db_path"]: r["db_error"] for r in errors.collect()}
+    good = [p for p in paths if p not in lost]
+    return [read_table(spark, good, t, c) for t, c in tables.items()], spark.createDataFrame(sorted(lost.items()), "path string, reason string")
 
 
 def _health(rows: DataFrame, good: Column, lost: DataFrame) -> DataFrame:
