@@ -80,10 +80,11 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
         salted = groups.select("lang", "source", "total", "terms", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
         cells = kept.select("lang", "term", F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int").alias("salt")).join(salted, ["lang", "salt"])
         dense = cells.join(known.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
-        dense = cut(dense.select("lang", "source", "term", share(F.coalesce("n", F.lit(0)), F.col("total"), F.col("terms")).alias("p")))
+        dense = dense.select("lang", "source", "term", share(F.coalesce("n", F.lit(0)), F.col("total"), F.col("terms")).alias("p"))
 
-        other = dense.withColumnsRenamed({"source": "item", "p": "q"})
-        both = dense.join(other, ["lang", "term"]).where("source < item").select("lang", "source", "item", distance(F.col("p"), F.col("q")).alias("there"), distance(F.col("q"), F.col("p")).alias("back"))
+        # the same frame on both sides, so that its rows are made and dealt by language and term once
+        both = dense.alias("a").join(dense.alias("b"), F.expr("a.lang = b.lang AND a.term = b.term AND a.source < b.source"))
+        both = both.select("a.lang", "a.source", F.col("b.source").alias("item"), distance(F.col("a.p"), F.col("b.p")).alias("there"), distance(F.col("b.p"), F.col("a.p")).alias("back"))
         sums = both.groupBy("lang", "source", "item").agg(F.sum("there").alias("there"), F.sum("back").alias("back"))
         way = lambda a, b, v: F.struct(F.col(a).alias("source"), F.col(b).alias("item"), F.col(v).alias("value"))
         sums = sums.select("lang", F.explode(F.array(way("source", "item", "there"), way("item", "source", "back"))).alias("x")).select("lang", "x.*")
