@@ -53,10 +53,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
-    """1 and the smoothed share of a count, in whole parts of ``UNIT``; exact for any counts."""
+    """1 and the smoothed share of a count, in whole parts of ``UNIT``; exact for any counts: decimals where longs would not hold the product."""
     wide = lambda c: c.cast("decimal(20,0)")
     parts = (F.lit(UNIT).cast("decimal(10,0)") * (wide(n) + F.lit(1))).cast("decimal(38,0)")
-    return F.lit(1) + F.call_function("div", parts, wide(total) + wide(terms))
+    small = (n < 9 * UNIT) & (total < 1 << 62) & (terms < 1 << 62)
+    plain = F.call_function("div", F.lit(UNIT).cast("long") * (n.cast("long") + 1), total.cast("long") + terms.cast("long"))
+    return F.lit(1) + F.when(small, plain).otherwise(F.call_function("div", parts, wide(total) + wide(terms)))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -80,9 +82,8 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
         salted = groups.select("lang", "source", "total", "terms", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
         cells = kept.select("lang", "term", F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int").alias("salt")).join(salted, ["lang", "salt"])
         dense = cells.join(known.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
-        dense = dense.select("lang", "source", "term", share(F.coalesce("n", F.lit(0)), F.col("total"), F.col("terms")).alias("p"))
+        dense = cut(dense.select("lang", "source", "term", share(F.coalesce("n", F.lit(0)), F.col("total"), F.col("terms")).alias("p")))
 
-        # the same frame on both sides, so that its rows are made and dealt by language and term once
         both = dense.alias("a").join(dense.alias("b"), F.expr("a.lang = b.lang AND a.term = b.term AND a.source < b.source"))
         both = both.select("a.lang", "a.source", F.col("b.source").alias("item"), distance(F.col("a.p"), F.col("b.p")).alias("there"), distance(F.col("b.p"), F.col("a.p")).alias("back"))
         sums = both.groupBy("lang", "source", "item").agg(F.sum("there").alias("there"), F.sum("back").alias("back"))

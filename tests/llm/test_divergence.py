@@ -63,9 +63,11 @@ def test_empty_table(spark):
 
 
 def test_shares_of_huge_counts_are_exact(spark):
-    n, total, terms = 7 * 10**17 + 3, 9 * 10**18, 10**9 + 7
-    row = spark.range(1).select(divergence.share(F.lit(n), F.lit(total), F.lit(terms))).first()
-    assert row[0] == 1 + 10**9 * (n + 1) // (total + terms)
+    terms = 10**9 + 7
+    for n in (0, 9 * 10**9 - 1, 9 * 10**9, 7 * 10**17 + 3):
+        for total in (n + 1, 4 * 10**18, 9 * 10**18):
+            row = spark.range(1).select(divergence.share(F.lit(n), F.lit(total), F.lit(terms))).first()
+            assert row[0] == 1 + 10**9 * (n + 1) // (total + terms)
 
 
 def test_query_equals_duckdb(spark, tmp_path):
