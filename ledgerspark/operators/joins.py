@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import insort
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .ordered import carried
+from .ordered import carried, in_order
 
 SKEW_MS = 2000
 
@@ -25,19 +27,54 @@ def model_in_force(events: DataFrame, turns: DataFrame, key: str = "session", ts
     return seen.select(*names, F.coalesce("_found", own, F.lit("unknown")).alias("model_in_force"))
 
 
+class _Least:
+    """The least ``most`` distinct texts of a stretch of rows read so far."""
+
+    def __init__(self, most: int):
+        self.most, self.kept, self.held = most, [], set()
+
+    def add(self, text: str) -> None:
+        if text in self.held or (len(self.kept) == self.most and text > self.kept[-1]):
+            return
+        insort(self.kept, text)
+        self.held.add(text)
+        if len(self.kept) > self.most:
+            self.held.remove(self.kept.pop())
+
+
 def commits_in_session(sessions: DataFrame, commits: DataFrame, most: int = 200) -> DataFrame:
-    """``session, shas``: distinct commits of the session's folder and author between its start and end, at most ``most``.
+    """``session, shas``: distinct commits of the session's folder and author between its start and end, the first ``most`` by sha.
 
-    Sessions and commits meet per folder and day, so a folder with very many of both is spread over its days.
+    Time is cut into blocks of more than half a session's length and at most all of it (a power of two), so that a session is the end of one block,
+    the start of another, and at most one whole block between. A folder's block is read once in order of time from either side; where a session
+    starts or ends, the first ``most`` of what has been read are its share. Sessions and commits are never paired, and a session gets three shares at most.
     """
-    day = 86_400_000
-    spread = sessions.select("session", "cwd", "started_at", "ended_at", F.explode(F.sequence(F.floor(F.col("started_at") / day), F.floor(F.col("ended_at") / day))).alias("d"))
-    dated = commits.select("cwd", "sha", "at", F.floor(F.col("at") / day).alias("d"))
-    hits = spread.join(dated, ["cwd", "d"]).where("at between started_at and ended_at").select("session", "d", "sha").distinct()
-    # the first of each day, then of those: no session's hits are ever gathered whole
-    first = lambda *keys: F.row_number().over(W.partitionBy(*keys).orderBy("sha")) <= most
-    daily = hits.withColumn("kept", first("session", "d")).where("kept").select("session", "sha").distinct()
-    found = daily.withColumn("kept", first("session")).where("kept").groupBy("session").agg(F.array_sort(F.collect_list("sha")).alias("shas"))  # at most ``most``
+    asked = sessions.where((F.col("ended_at") >= F.col("started_at")) & F.col("cwd").isNotNull()).select("session", "cwd", "started_at", "ended_at", F.expr("shiftleft(1L, length(bin(greatest(ended_at - started_at, 1L))) - 1)").alias("width"))
+    block = lambda at: F.floor(F.col(at) / F.col("width"))
+    group = lambda side, number: F.concat_ws("\0", F.lit(side), "width", number, "cwd")
+    first, last = block("started_at"), block("ended_at")
+    probe = lambda side, number, place: F.struct(group(side, number).alias("group"), place.alias("place"))
+    shares = F.array(
+        probe("from", first, -F.col("started_at")),
+        F.when(last > first, probe("upto", last, F.col("ended_at"))),
+        F.when(last - first > 1, probe("upto", first + 1, (first + 2) * F.col("width"))),
+    )
+    probes = asked.select("session", F.explode(F.array_compact(shares)).alias("x")).select("session", "x.*")
+    dealt = commits.where("sha is not null and at is not null").select("cwd", "sha", F.col("at").cast("long").alias("at")).join(asked.select("cwd", "width").distinct(), "cwd")
+    sides = F.explode(F.array(probe("from", block("at"), -F.col("at")), probe("upto", block("at"), F.col("at"))))
+    dealt = dealt.select("sha", sides.alias("x")).select("sha", "x.*").join(probes.select("group").distinct(), "group", "left_semi")
+    of = sessions.schema["session"].dataType
+    rows = dealt.select("group", "place", F.lit(0).alias("asks"), "sha", F.lit(None).cast(of).alias("session")).unionByName(probes.select("group", "place", F.lit(1).alias("asks"), F.lit(None).cast("string").alias("sha"), "session"))
+
+    def step(state: _Least, row: tuple) -> tuple | None:
+        if row[2]:
+            return row[4], list(state.kept)
+        state.add(row[3])
+        return None
+
+    kind = T.StructType([T.StructField("session", of), T.StructField("shas", T.ArrayType(T.StringType()))])
+    found = in_order(rows, "group", ["place", "asks"], lambda _: _Least(most), step, kind)
+    found = found.groupBy("session").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shas")))), 1, most).alias("shas"))  # of three shares at most
     return sessions.select("session").join(found, "session", "left").select("session", F.coalesce("shas", F.array().cast("array<string>")).alias("shas"))
 
 

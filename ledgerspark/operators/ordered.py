@@ -63,7 +63,7 @@ def changes(df: DataFrame, key: str, order: str, fields: list[str], width: int)
     return seen.where(F.col("_prev").isNull() | ~same).drop("_prev")
 
 
-def _in_order(df: DataFrame, key: str, order: list[str], begin: Callable, step: Callable, schema: T.StructType) -> DataFrame:
+def in_order(df: DataFrame, key: str, order: list[str], begin: Callable, step: Callable, schema: T.StructType) -> DataFrame:
     """Stream each key's rows in order through ``step(state, row)``, which returns the new state and an output row or none.
 
     For state that depends on its whole path. Rows are sorted (spilling if need be), never gathered; what is held is one state.
@@ -121,7 +121,7 @@ def cumulative_deltas(snapshots: DataFrame, key: str, order: list[str], total: s
         return name, stretch, low, held
 
     kind = T.StructType([ends.schema[key], ends.schema["_stretch"], ends.schema["_low"], T.StructField("_held", ends.schema["_low"].dataType)])
-    marks = _in_order(ends, key, ["_stretch"], lambda _: _Mark(), step, kind)
+    marks = in_order(ends, key, ["_stretch"], lambda _: _Mark(), step, kind)
     marks = marks.withColumnsRenamed({key: "_key", "_stretch": "_number"})
     met = rows.join(marks, rows[key].eqNullSafe(marks["_key"]) & (rows["_stretch"] == marks["_number"]))
     fresh = met.where(~((F.col("_held") * F.lit(0.98) <= F.col("_low")) & (F.col("_total") < F.col("_held")))).select(*rows.columns)

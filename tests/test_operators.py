@@ -328,3 +328,16 @@ def test_numbers_for_reading(spark):
     assert all(r["got"] == r["want"] for r in pairs.select("want", T.newer(F.col("a"), F.col("b")).alias("got")).collect())
     names = spark.createDataFrame([("Terminal", "cli"), (" telegram ", "telegram"), ("", "unknown"), (None, "unknown"), ("two words", "unknown"), ("vscode", "vscode")], "a string, want string")
     assert all(r["got"] == r["want"] for r in names.select("want", T.hermes_entry_point(F.col("a")).alias("got")).collect())
+
+
+def test_commits_of_sessions_are_never_paired(spark):
+    """Sessions of all lengths at the borders of blocks, against a plain loop; no join compares times (it would pair a folder's sessions with its commits)."""
+    at = lambda k: (k * 7919) % 5000 - 1000
+    commits = [("a" if k % 3 else "b", f"{(k * 31) % 700:x}", at(k)) for k in range(1500)] + [("a", None, 5), (None, "x", 5)]
+    spans = [(s, s + n) for s in (-1000, -64, -1, 0, 1, 511, 512, 1000) for n in (0, 1, 2, 3, 63, 64, 127, 128, 1000, 4999)] + [(10, 9)]
+    sessions = [(k, "ab"[k % 2], *x) for k, x in enumerate(spans)] + [(900, "none", 0, 10), (901, None, 0, 10)]
+    found = J.commits_in_session(spark.createDataFrame(sessions, "session long, cwd string, started_at long, ended_at long"), spark.createDataFrame(commits, "cwd string, sha string, at long"), 7)
+    wanted = {s: sorted({sha for c, sha, t in commits if c == cwd and c and sha and begin <= t <= end})[:7] for s, cwd, begin, end in sessions}
+    assert {r["session"]: r["shas"] for r in found.collect()} == wanted
+    plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert all(line.endswith(": None") for line in plan.splitlines() if line.startswith("Join condition"))
