@@ -48,7 +48,7 @@ def lines(found: DataFrame, contains: str | None = None) -> DataFrame:
         rows = found.select("path", "name", "mtime_ms", "line_no", "line")
     else:
         rows = found.select("path", "name", "mtime_ms", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.regexp_replace("line", r"^\s+|\s+$", "")).where("line <> ''")
+    rows = rows.withColumn("line", F.btrim("line", F.lit(" \t\n\x0b\f\r"))).where("line <> ''")  # a pattern would look at every character of a line, three times
     return rows.where(F.contains("line", F.lit(contains))) if contains else rows
 
 
@@ -62,8 +62,13 @@ def raw(v: Column, path: str) -> Column:
 
 
 def number(v: Column, path: str) -> Column:
-    """A JSON number as double; null for anything else, numeric strings included."""
-    return F.when(F.schema_of_variant(raw(v, path)).rlike(_NUMBER), F.try_variant_get(v, f"$.{path}", "double"))
+    """A JSON number as double; null for anything else, numeric strings included.
+
+    As a function over an array of one: Spark then compiles a projection of many fields in parts. As one method it would be too large for the JVM, which
+    interprets such methods, at ten times the cost.
+    """
+    kept = lambda x: F.when(F.schema_of_variant(x).rlike(_NUMBER), F.try_variant_get(x, "$", "double"))
+    return F.get(F.transform(F.array(raw(v, path)), kept), F.lit(0))
 
 
 def count(v: Column, path: str) -> Column:

@@ -2,6 +2,8 @@
 
 ``usage``: session, ord (path, line), ts, model, four counts, thinking. ``events``: session, ts, is_prompt. ``health``: a row per
 record that the format should explain, ``bad`` where it did not. Input counts exclude cached tokens throughout.
+
+Logs are read and parsed once: what is needed of each record is written as a narrow table (``shared.cut``), which all that follows reads.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from ..functions import text as T
 from ..operators.dedup import valid
 from ..operators.joins import model_in_force
 from ..operators.ordered import carried, cumulative_deltas
+from ..shared import cut
 from .lines import array, beside, boolean, count, files, filled, is_object, lines, millis, number, parsed, raw, stem, string, text_lines
 
 V = "v"
@@ -50,10 +53,14 @@ def claude(found: DataFrame) -> Atoms:
     thinking = [F.when(F.col("nested") | F.col("direct"), number("u", k)) for k in ("reasoning_output_tokens", "thinking_tokens", "thinking_output_tokens")]
     speed = F.when(F.col("nested") | F.col("direct"), raw("u", "speed"))
     stamp = F.coalesce(string(V, "timestamp"), string(V, "data.message.timestamp"))
-    told = rows.where(F.col("nested") | F.col("direct") | is_object(V, "usage")).withColumns({"client": F.coalesce(*clients), "side": boolean("m", "isSidechain")})
-    usage = told.select(
+    content = array(V, "message.content")
+    echo = F.coalesce(F.exists(content, lambda b: F.try_variant_get(b, "$.type", "string") == "tool_result"), F.lit(False))
+    prompt = (string(V, "type") == "user") & ~F.coalesce(boolean(V, "isMeta"), F.lit(False)) & ~echo
+    told = rows.withColumns({"client": F.coalesce(*clients), "side": boolean("m", "isSidechain")})
+    seen = cut(told.select(
         "thread", "is_sub", "path", "line_no",
-        F.struct("is_sub", "path", "line_no").alias("ord"),
+        (F.col("nested") | F.col("direct") | is_object(V, "usage")).alias("told"), F.isnull(V).alias("bad"), millis(stamp).alias("at"), F.coalesce(prompt, F.lit(False)).alias("is_prompt"),
+        filled(V, "cwd").alias("cwd"), filled(V, "sessionId").alias("tool_session_id"),
         millis(string("m", "timestamp")).alias("ts"),
         F.when(~F.col("nested"), string(V, "sessionId")).alias("session_id"),
         F.when(~F.col("nested"), string(V, "version")).alias("version"),
@@ -67,19 +74,17 @@ def claude(found: DataFrame) -> Atoms:
         F.coalesce(*thinking, F.lit(0.0)).cast("long").alias("thinking"),
         count("u", "input_tokens").alias("input"), count("u", "output_tokens").alias("output"),
         count("u", "cache_read_input_tokens").alias("cache_read"), count("u", "cache_creation_input_tokens").alias("cache_creation"),
-    )
-    content = array(V, "message.content")
-    echo = F.coalesce(F.exists(content, lambda b: F.try_variant_get(b, "$.type", "string") == "tool_result"), F.lit(False))
-    prompt = (string(V, "type") == "user") & ~F.coalesce(boolean(V, "isMeta"), F.lit(False)) & ~echo
-    events = rows.select(F.col("thread").alias("session"), millis(stamp).alias("ts"), F.coalesce(prompt, F.lit(False)).alias("is_prompt")).where("ts is not null")
-    return Atoms(usage, events, rows.select("path", F.isnull(V).alias("bad")), _claude_skills(rows, content), _claude_meta(rows, usage))
+    ))
+    usage = seen.where("told").withColumn("ord", F.struct("is_sub", "path", "line_no")).drop("told", "bad", "at", "is_prompt", "cwd", "tool_session_id")
+    events = seen.where("at is not null").select(F.col("thread").alias("session"), F.col("at").alias("ts"), "is_prompt")
+    return Atoms(usage, events, seen.select("path", "bad"), _claude_skills(rows, content), _claude_meta(seen, usage))
 
 
-def _claude_meta(rows: DataFrame, usage: DataFrame) -> DataFrame:
+def _claude_meta(seen: DataFrame, usage: DataFrame) -> DataFrame:
     """Per thread, of its own file: the first folder, the first session id, the last model of a row that counts."""
-    own = rows.where("not is_sub")
-    first = lambda name, field: F.min_by(filled(V, field), F.when(filled(V, field).isNotNull(), F.col("line_no"))).alias(name)
-    heads = own.groupBy("thread").agg(first("cwd", "cwd"), first("tool_session_id", "sessionId"))
+    own = seen.where("not is_sub")
+    first = lambda name: F.min_by(name, F.when(F.col(name).isNotNull(), F.col("line_no"))).alias(name)
+    heads = own.groupBy("thread").agg(first("cwd"), first("tool_session_id"))
     last = usage.where(valid() & ~F.col("is_sub") & (F.col("model") != "")).groupBy("thread").agg(F.max_by("model", "line_no").alias("last_model"))
     return heads.join(last, "thread", "left").withColumnRenamed("thread", "session")
 
@@ -113,15 +118,17 @@ def codex(found: DataFrame) -> Atoms:
     """Rollouts with cumulative counters; increments go to the model last named before them. Input includes cached tokens."""
     rows = parsed(lines(found)).withColumn("session", stem(F.col("path")))
     kind, payload = string(V, "type"), string(V, "payload.type")
-    seen = rows.select(
+    seen = cut(rows.select(
+        F.isnull(V).alias("bad"), F.when(kind == "session_meta", F.struct(filled(V, "payload.id").alias("id"), filled(V, "payload.cwd").alias("cwd"))).alias("head"),
         "session", "path", F.col("line_no").cast("long").alias("line_no"), millis(string(V, "timestamp")).alias("ts"), kind.alias("kind"), payload.alias("event"),
         F.when(kind == "turn_context", filled(V, "payload.model")).alias("named"),
         is_object(V, "payload.info.total_token_usage").alias("counted"),
         is_object(V, "payload.info").alias("informed"), number(V, "payload.info.last_token_usage.input_tokens").cast("long").alias("occupancy"), number(V, "payload.info.model_context_window").cast("long").alias("stated_window"),
         *(count(V, f"payload.info.total_token_usage.{n}").alias(n) for n in ("total_tokens", "input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens")),
-    )
-    known = carried(seen, "session", "line_no", F.col("named"), "model", width=10_000)
-    snaps = known.where("kind = 'event_msg' and event = 'token_count' and counted").withColumn("cached_input_tokens", F.least("cached_input_tokens", "input_tokens"))
+    ))
+    known = carried(seen.drop("bad", "head"), "session", "line_no", F.col("named"), "model", width=10_000)
+    ticks = cut(known.where("kind = 'event_msg' and event = 'token_count' and (counted or informed)"))
+    snaps = ticks.where("counted").withColumn("cached_input_tokens", F.least("cached_input_tokens", "input_tokens"))
     steps = cumulative_deltas(snaps, "session", ["line_no"], "total_tokens", ["input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens"])
     usage = steps.join(snaps.select("session", "line_no", "path", "ts", "model"), ["session", "line_no"]).select(
         "session", F.struct("path", "line_no").alias("ord"), "ts", F.coalesce("model", F.lit("unknown")).alias("model"),
@@ -129,11 +136,11 @@ def codex(found: DataFrame) -> Atoms:
         F.col("cached_input_tokens").alias("cache_read"), F.lit(0).cast("long").alias("cache_creation"), F.col("reasoning_output_tokens").alias("thinking"),
     ).where("input + output + cache_read > 0")
     events = seen.where("ts is not null").select("session", "ts", ((F.col("kind") == "event_msg") & F.coalesce(F.col("event") == "user_message", F.lit(False))).alias("is_prompt"))
-    meta = rows.where(kind == "session_meta").groupBy("session").agg(F.min_by(filled(V, "payload.id"), "line_no").alias("tool_session_id"), F.min_by(filled(V, "payload.cwd"), "line_no").alias("cwd"))
+    meta = seen.where("head is not null").groupBy("session").agg(F.min_by("head.id", "line_no").alias("tool_session_id"), F.min_by("head.cwd", "line_no").alias("cwd"))
     # of the last report alone: how full the context was, and the window that it states
-    final = known.where("kind = 'event_msg' and event = 'token_count' and informed").groupBy("session").agg(F.max_by(F.struct("occupancy", F.coalesce("model", F.lit("unknown")).alias("model"), "stated_window", F.col("ts").alias("at")), "line_no").alias("context"))
+    final = ticks.where("informed").groupBy("session").agg(F.max_by(F.struct("occupancy", F.coalesce("model", F.lit("unknown")).alias("model"), "stated_window", F.col("ts").alias("at")), "line_no").alias("context"))
     meta = meta.join(final.where("context.occupancy is not null"), "session", "full_outer")
-    return Atoms(usage, events, rows.select("path", F.isnull(V).alias("bad")), meta=meta)
+    return Atoms(usage, events, seen.select("path", "bad"), meta=meta)
 
 
 def codex_limits(found: DataFrame) -> DataFrame:
@@ -155,20 +162,21 @@ def grok(unified: DataFrame, turns: DataFrame, summaries: DataFrame) -> Atoms:
     rows = parsed(lines(unified, contains='"shell.turn.inference_done"')).where((string(V, "msg") == "shell.turn.inference_done") | F.isnull(V))
     counts = [number(V, "ctx.prompt_tokens"), number(V, "ctx.completion_tokens")]
     bad = F.isnull(V) | string(V, "sid").isNull() | counts[0].isNull() | counts[1].isNull() | millis(string(V, "ts")).isNull()
-    good = rows.where(~F.coalesce(bad, F.lit(True))).select(
-        string(V, "sid").alias("session"), F.struct("path", "line_no").alias("ord"), millis(string(V, "ts")).alias("ts"),
+    seen = cut(rows.select(
+        "path", "line_no", F.coalesce(bad, F.lit(True)).alias("bad"), string(V, "sid").alias("session"), millis(string(V, "ts")).alias("ts"),
         F.greatest(count(V, "ctx.prompt_tokens") - count(V, "ctx.cached_prompt_tokens"), F.lit(0)).alias("input"), count(V, "ctx.completion_tokens").alias("output"),
         count(V, "ctx.cached_prompt_tokens").alias("cache_read"), F.lit(0).cast("long").alias("cache_creation"), count(V, "ctx.reasoning_tokens").alias("thinking"),
-    )
+    ))
+    good = seen.where("not bad").select("session", F.struct("path", "line_no").alias("ord"), "ts", "input", "output", "cache_read", "cache_creation", "thinking")
     sid = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)
-    starts = parsed(lines(turns)).where(string(V, "type") == "turn_started").select(sid.alias("session"), millis(string(V, "ts")).alias("ts"), filled(V, "model_id").alias("model"))
-    meta = parsed(summaries, "value").select(F.coalesce(filled(V, "info.id"), sid).alias("session"), filled(V, "info.cwd").alias("cwd"), filled(V, "current_model_id").alias("own"))
+    marks = cut(parsed(lines(turns)).select(sid.alias("session"), millis(string(V, "ts")).alias("ts"), string(V, "type").alias("type"), filled(V, "model_id").alias("model")))
+    starts = marks.where("type = 'turn_started'").select("session", "ts", "model")
+    meta = cut(parsed(summaries, "value").select(F.coalesce(filled(V, "info.id"), sid).alias("session"), filled(V, "info.cwd").alias("cwd"), filled(V, "current_model_id").alias("own")))
     usage = model_in_force(good.join(meta.select("session", "own").dropDuplicates(["session"]), "session", "left"), starts.where("ts is not null"), fallback=F.col("own"))
     usage = usage.withColumnRenamed("model_in_force", "model").drop("own")
-    both = parsed(lines(turns)).where(string(V, "type").isin("turn_started", "turn_ended"))
-    events = both.select(sid.alias("session"), millis(string(V, "ts")).alias("ts"), (string(V, "type") == "turn_started").alias("is_prompt"))
+    events = marks.where("type in ('turn_started', 'turn_ended')").select("session", "ts", (F.col("type") == "turn_started").alias("is_prompt"))
     events = events.unionByName(good.select("session", "ts", F.lit(False).alias("is_prompt"))).where("ts is not null")
-    return Atoms(usage, events, rows.select("path", F.coalesce(bad, F.lit(True)).alias("bad")), meta=meta)
+    return Atoms(usage, events, seen.select("path", "bad"), meta=meta)
 
 
 def grok_credits(unified: DataFrame) -> DataFrame:
@@ -185,31 +193,38 @@ PI_TYPES = ("session", "message", "model_change", "thinking_level_change", "labe
 OPENCLAW_TYPES = ("session", "message", "custom_message", "custom", "compaction", "branch_summary")
 
 
-def _header(rows: DataFrame, name: str) -> DataFrame:
+def _head() -> Column:
+    """Of a session line: its id and folder."""
+    return F.when(string(V, "type") == "session", F.struct(filled(V, "id").alias("id"), filled(V, "cwd").alias("cwd"))).alias("head")
+
+
+def _header(seen: DataFrame, name: str) -> DataFrame:
     """Per file: id and folder of its first session line; without an id, the file name."""
-    first = rows.where(string(V, "type") == "session").groupBy("path").agg(F.min_by(F.struct(filled(V, "id").alias("id"), filled(V, "cwd").alias("cwd")), "line_no").alias("h"))
-    return rows.select("path").distinct().join(first, "path", "left").select("path", F.coalesce("h.id", stem(F.col("path"))).alias(name), F.col("h.cwd").alias("cwd"))
+    first = seen.groupBy("path").agg(F.min_by("head", F.when(F.col("head").isNotNull(), F.col("line_no"))).alias("h"))
+    return first.select("path", F.coalesce("h.id", stem(F.col("path"))).alias(name), F.col("h.cwd").alias("cwd"))
 
 
 def pi(found: DataFrame) -> Atoms:
     """Session files with net counts; a message's model is the one changed to last (with a small clock skew), else its own."""
     rows = parsed(lines(found))
-    head = _header(rows, "session")
-    rows = rows.join(head, "path")
     kind, role = string(V, "type"), string(V, "message.role")
     stamp = millis(string(V, "timestamp"))
     known = F.coalesce(kind.isin(*PI_TYPES), F.lit(False))
-    answer = known & (kind == "message") & (role == "assistant")
     counted = number(V, "message.usage.input").isNotNull() & number(V, "message.usage.output").isNotNull()
-    good = rows.where(answer & counted).select(
-        "session", F.struct("path", "line_no").alias("ord"), F.coalesce(number(V, "message.timestamp").cast("long"), stamp).alias("ts"), filled(V, "message.model").alias("own"),
+    seen = cut(rows.select(
+        "path", "line_no", _head(), known.alias("known"), kind.alias("kind"), role.alias("role"), counted.alias("counted"), stamp.alias("stamp"), string(V, "modelId").alias("changed"),
+        F.coalesce(number(V, "message.timestamp").cast("long"), stamp).alias("ts"), filled(V, "message.model").alias("own"),
         count(V, "message.usage.input").alias("input"), count(V, "message.usage.output").alias("output"), count(V, "message.usage.cacheRead").alias("cache_read"),
         count(V, "message.usage.cacheWrite").alias("cache_creation"), count(V, "message.usage.reasoning").alias("thinking"),
-    ).where("ts is not null")
-    changes = rows.where(known & (kind == "model_change")).select("session", stamp.alias("ts"), string(V, "modelId").alias("model")).where("ts is not null")
+    ))
+    answer = F.expr("known and kind = 'message' and role = 'assistant'")
+    head = _header(seen, "session")
+    named = seen.join(head.select("path", "session"), "path")
+    good = named.where(answer & F.col("counted")).select("session", F.struct("path", "line_no").alias("ord"), "ts", "own", "input", "output", "cache_read", "cache_creation", "thinking").where("ts is not null")
+    changes = named.where("known and kind = 'model_change' and stamp is not null").select("session", F.col("stamp").alias("ts"), F.col("changed").alias("model"))
     usage = model_in_force(good, changes, fallback=F.col("own")).withColumnRenamed("model_in_force", "model").drop("own")
-    events = rows.where(known).select("session", stamp.alias("ts"), F.coalesce((kind == "message") & (role == "user"), F.lit(False)).alias("is_prompt")).where("ts is not null")
-    return Atoms(usage, events, rows.select("path", (~known | F.coalesce(answer & ~counted, F.lit(False))).alias("bad")), meta=head)
+    events = named.where("known and stamp is not null").select("session", F.col("stamp").alias("ts"), F.coalesce((F.col("kind") == "message") & (F.col("role") == "user"), F.lit(False)).alias("is_prompt"))
+    return Atoms(usage, events, seen.select("path", (~F.col("known") | F.coalesce(answer & ~F.col("counted"), F.lit(False))).alias("bad")), meta=head)
 
 
 def openclaw_usage(u: str) -> dict[str, Column]:
@@ -235,22 +250,25 @@ def openclaw_usage(u: str) -> dict[str, Column]:
 def openclaw(found: DataFrame) -> Atoms:
     """Session files of many providers; mirror deliveries are left out; a line without a time has its file's."""
     rows = parsed(lines(found.where(~F.col("path").endswith(".trajectory.jsonl"))))
-    head = _header(rows, "session")
-    rows = rows.join(head, "path")
     kind, role = string(V, "type"), string(V, "message.role")
     known = F.coalesce(kind.isin(*OPENCLAW_TYPES), F.lit(False))
     stamp = F.coalesce(millis(string(V, "timestamp")), number(V, "timestamp").cast("long"), F.col("mtime_ms"))
     provider = F.trim(F.coalesce(string(V, "message.provider"), string(V, "provider"), F.lit("")))
     model = F.trim(F.coalesce(string(V, "message.model"), string(V, "model"), F.lit("")))
     mirror = (provider == "openclaw") & (model == "delivery-mirror")
-    answers = rows.where(known & (kind == "message") & (role == "assistant") & ~mirror)
     inner, outer = openclaw_usage("message.usage"), openclaw_usage("usage")
     has_inner = is_object(V, "message.usage")
     counts = {n: F.when(has_inner, inner[n]).otherwise(outer[n]) for n in inner}
-    full = answers.select("session", "path", F.struct("path", "line_no").alias("ord"), stamp.alias("ts"), F.coalesce(F.nullif(model, F.lit("")), F.nullif(provider, F.lit("")), F.lit("unknown")).alias("model"), *(c.alias(n) for n, c in counts.items()))
-    usage = full.where("input is not null and output is not null").select("session", "ord", "ts", "model", "input", "output", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("cache_read", "cache_creation", "thinking")))
-    events = rows.where(known).select("session", stamp.alias("ts"), F.coalesce((kind == "message") & (role == "user"), F.lit(False)).alias("is_prompt"))
-    health = rows.select("path", (~known).alias("bad")).unionByName(full.where("input is null or output is null").select("path", F.lit(True).alias("bad")))
+    seen = cut(rows.select(
+        "path", "line_no", _head(), known.alias("known"), (known & (kind == "message") & (role == "assistant") & ~mirror).alias("answer"), F.coalesce((kind == "message") & (role == "user"), F.lit(False)).alias("is_prompt"),
+        stamp.alias("ts"), F.coalesce(F.nullif(model, F.lit("")), F.nullif(provider, F.lit("")), F.lit("unknown")).alias("model"), *(c.alias(n) for n, c in counts.items()),
+    ))
+    head = _header(seen, "session")
+    named = seen.join(head.select("path", "session"), "path")
+    full = named.where("answer and input is not null and output is not null")
+    usage = full.select("session", F.struct("path", "line_no").alias("ord"), "ts", "model", "input", "output", *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("cache_read", "cache_creation", "thinking")))
+    events = named.where("known").select("session", "ts", "is_prompt")
+    health = seen.select("path", (~F.col("known")).alias("bad")).unionByName(seen.where("answer and (input is null or output is null)").select("path", F.lit(True).alias("bad")))
     return Atoms(usage, events, health, meta=head)
 
 
@@ -260,20 +278,21 @@ def openclaw(found: DataFrame) -> Atoms:
 def gemini(found: DataFrame) -> Atoms:
     """One object per file; prompts include the cached part, which is cut to the prompt."""
     rows = parsed(found, "value").withColumn("session", F.coalesce(filled(V, "sessionId"), stem(F.col("path"))))
-    messages = rows.select("session", "path", F.posexplode(array(V, "messages")).alias("line_no", "m"))
+    messages = rows.select("session", "path", array(V, "messages").isNull().alias("whole"), F.posexplode_outer(array(V, "messages")).alias("line_no", "m"))
     M = F.col("m")
     kind, stamp = string(M, "type"), millis(string(M, "timestamp"))
     prompt, cached = count(M, "tokens.input"), count(M, "tokens.cached")
-    answers = messages.where(kind == "gemini")
     counted = number(M, "tokens.input").isNotNull() & number(M, "tokens.output").isNotNull()
-    usage = answers.where(counted).select(
-        "session", F.struct("path", "line_no").alias("ord"), stamp.alias("ts"), F.coalesce(filled(M, "model"), F.lit("unknown")).alias("model"),
+    seen = cut(messages.select(
+        "session", "path", "line_no", "whole", kind.alias("kind"), stamp.alias("ts"), counted.alias("counted"), F.coalesce(filled(M, "model"), F.lit("unknown")).alias("model"),
         F.greatest(prompt - cached, F.lit(0)).alias("input"), count(M, "tokens.output").alias("output"), F.least(cached, prompt).alias("cache_read"),
         F.lit(0).cast("long").alias("cache_creation"), count(M, "tokens.thoughts").alias("thinking"),
-    ).where("ts is not null")
-    events = messages.where(kind.isNotNull()).select("session", stamp.alias("ts"), (kind == "user").alias("is_prompt")).where("ts is not null")
-    whole = rows.where(array(V, "messages").isNull()).select("path", F.lit(True).alias("bad"))
-    return Atoms(usage, events, answers.select("path", (~counted).alias("bad")).unionByName(whole))
+    ))
+    answers = seen.where("kind = 'gemini'")
+    usage = answers.where("counted and ts is not null").select("session", F.struct("path", "line_no").alias("ord"), "ts", "model", "input", "output", "cache_read", "cache_creation", "thinking")
+    events = seen.where("kind is not null and ts is not null").select("session", "ts", (F.col("kind") == "user").alias("is_prompt"))
+    whole = seen.where("whole").select("path", F.lit(True).alias("bad"))
+    return Atoms(usage, events, answers.select("path", (~F.col("counted")).alias("bad")).unionByName(whole))
 
 
 # ---- opencode's files

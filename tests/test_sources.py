@@ -270,3 +270,17 @@ def test_vendor_limits(spark):
     bodies = [(json.dumps({"limits": [lane, lane | {"percent": "12"}]}),), (json.dumps({"limits": [], "five_hour": {"utilization": 3, "resets_at": "t"}}),), ("junk",)]
     rows = sorted((r["kind"], r["percent"], r["scope"]) for r in logs.vendor_limits(spark.createDataFrame(bodies, "value string")).collect() if r["scope"]) + [r["percent"] for r in logs.vendor_limits(spark.createDataFrame(bodies, "value string")).collect() if not r["scope"]]
     assert rows == [("session", 12.0, "Opus"), 3.0]
+
+
+def test_a_log_is_parsed_once(spark, tmp_path):
+    """What follows the reading of a log reads a narrow table: no plan of usage, events, health or sessions parses JSON again, and numbers stay strict."""
+    name = tmp_path / "rollout-a.jsonl"
+    name.write_text('{"type":"session_meta","payload":{"id":"s","cwd":"/w"}}\n \t\n{"type":"turn_context","payload":{"model":"m"}}\n{"type":"event_msg","timestamp":"2024-01-01T00:00:00Z","payload":{"type":"token_count","info":{"total_token_usage":{"total_tokens":9,"input_tokens":7,"output_tokens":2,"cached_input_tokens":"3"}}}}\n')
+    codex = logs.codex(files(spark, str(tmp_path), "rollout-*.jsonl"))
+    (tmp_path / "p.jsonl").write_text('{"type":"session","id":"p","cwd":"/w"}\n{"type":"message","timestamp":"2024-01-01T00:00:00Z","message":{"role":"assistant","model":"m","usage":{"input":7,"output":2,"cacheRead":"3"}}}\n')
+    found = files(spark, str(tmp_path), "p.jsonl")
+    for atoms in (codex, logs.pi(found), logs.openclaw(found)):
+        for frame in (atoms.usage, atoms.events, atoms.health, atoms.meta):
+            plan = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "extended")
+            assert "parseJson" not in plan and "parse_json" not in plan
+        assert [(r["model"], r["input"], r["output"], r["cache_read"]) for r in atoms.usage.collect()] == [("m", 7, 2, 0)]
