@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import pricing as P
 from ..operators import views
 from ..operators.ordered import running
+from ..shared import cut
 from ..sources import corpus
 from . import bindings
 from .bindings import sql
@@ -186,7 +187,8 @@ def _sql(body: str) -> str:
 
 
 def priced(spark, d: str) -> DataFrame:
-    return P.with_rates(corpus.read(spark, homes_of(spark, d)).usage, P.rates(spark))
+    usage = cut(corpus.read(spark, homes_of(spark, d)).usage)  # asked for its models, then for its sums
+    return P.with_rates(usage, P.rates(spark))
 
 
 @query("sc34_homes_by_model", _sql(f"SELECT coalesce(model, 'TOTAL') AS model, {_SUMS}, CAST(sum(input + output + cache_read + cache_creation) AS BIGINT) AS total, {_COST} AS cost_usd, {_PARTIAL} AS partial, CAST(grouping(model) AS INTEGER) AS is_total FROM {_GROUPED.format(keys='1 AS one')} GROUP BY ROLLUP (model)"))
@@ -204,7 +206,7 @@ _LAST = "(SELECT max(DATE '1970-01-01' + CAST(ts // 86400000 AS INTEGER)) FROM h
 
 @query("sc38_homes_by_day", _sql(f"SELECT day, CAST(sum(total) AS BIGINT) AS total, arg_max(model, (total, model)) AS top_model, {_COST} AS cost_usd, {_PARTIAL} AS partial FROM (SELECT *, input + output + cache_read + cache_creation AS total FROM {_GROUPED.format(keys=chr(68) + 'ATE ' + chr(39) + '1970-01-01' + chr(39) + ' + CAST(ts // 86400000 AS INTEGER) AS day')}) WHERE day > {_LAST} - 30 GROUP BY day"))
 def homes_by_day(spark, d):
-    usage = corpus.read(spark, homes_of(spark, d)).usage
+    usage = cut(corpus.read(spark, homes_of(spark, d)).usage.select("ts", "model", *P.COUNTS))  # asked for its last day, then for its sums
     last = usage.agg(F.max(views.local_day(F.col("ts"))).alias("d")).first()[0]
     return views.by_day(P.with_rates(usage, P.rates(spark)), F.lit(last), 30)
 

@@ -26,7 +26,7 @@ from ..operators.dedup import deduplicate, valid
 from ..operators.sessions import fold
 from . import logs, sqlite
 from .discovery import opencode_stores, unique_transcripts
-from .lines import array, files, filled, millis, number, parsed, string, text_lines
+from .lines import Home, array, filled, millis, number, parsed, string, text_lines
 
 V = "v"
 _USAGE = ("session", "ts", "model", *COUNTS, "thinking")
@@ -81,36 +81,38 @@ def stores(harness: str, roots: list[str]) -> list[str]:
     return [os.path.join(r, name) for r in roots]
 
 
-def _opencode_infos(spark: SparkSession, roots: list[str]) -> DataFrame:
+def _opencode_infos(home: Home) -> DataFrame:
     """The session objects of opencode's file store."""
-    return parsed(files(spark, roots, "*.json").where(F.contains("path", F.lit("/session/info/"))), "value")
+    return parsed(home.files("*.json").where(F.contains("path", F.lit("/session/info/"))), "value")
 
 
-def gate(spark: SparkSession, harness: str, roots: list[str]) -> bool:
+def gate(spark: SparkSession, harness: str, roots: list[str], home: Home | None = None) -> bool:
     """Whether there is a mark that the harness wrote what is under its homes."""
-    first_line = lambda: parsed(text_lines(spark, roots, "*.jsonl"))
+    home = home or Home(spark, roots)
+    first_line = lambda: parsed(home.lines("*.jsonl"))
     header = (string(V, "type") == "session") & filled(V, "id").isNotNull()
     if harness in ("claude_code", "codex"):
         return True
     if harness in STORES:
         table, columns = STORES[harness]
         found = stores(harness, roots)
-        return any(_has_columns(p, table, columns) for p in found) or (harness == "opencode" and _any(_opencode_infos(spark, roots), filled(V, "id").isNotNull()))
+        return any(_has_columns(p, table, columns) for p in found) or (harness == "opencode" and _any(_opencode_infos(home), filled(V, "id").isNotNull()))
     if harness == "grok":
-        logged = not text_lines(spark, roots, "unified.jsonl").limit(1).isEmpty()
+        logged = _any(home.lines(logs.GROK_LINES), F.col("name") == "unified.jsonl")
         # The hosts and the marketplace that the official client names in its own files.
         cached = F.col("value").rlike(r"cli-chat-proxy\.grok\.com|api\.x\.ai")
-        return logged and (_any(files(spark, roots, "models_cache.json"), cached) or _any(files(spark, roots, "config.toml"), F.col("value").contains("xai-org/plugin-marketplace")))
+        own = home.files(logs.GROK_FILES)
+        return logged and (_any(own, (F.col("name") == "models_cache.json") & cached) or _any(own, (F.col("name") == "config.toml") & F.col("value").contains("xai-org/plugin-marketplace")))
     if harness == "pi":
         return _any(first_line(), header & number(V, "version").isNotNull() & millis(string(V, "timestamp")).isNotNull())
     if harness == "openclaw":
         return _any(first_line(), header)
     if harness == "gemini":
-        return _any(parsed(files(spark, roots, "*.json"), "value"), string(V, "sessionId").isNotNull() & array(V, "messages").isNotNull() & F.col("path").rlike(r"/chats/[^/]+$"))
+        return _any(parsed(home.files("*.json"), "value"), string(V, "sessionId").isNotNull() & array(V, "messages").isNotNull() & F.col("path").rlike(r"/chats/[^/]+$"))
     raise ValueError(f"unknown harness {harness}")
 
 
-def atoms_of(spark: SparkSession, harness: str, roots: list[str]) -> logs.Atoms:
+def atoms_of(spark: SparkSession, harness: str, roots: list[str], home: Home | None = None) -> logs.Atoms:
     """The atoms of a harness under its homes, whatever it keeps them in; Claude-style transcripts with replays removed."""
     if harness == "claude_code":
         return _claude(spark, roots)
@@ -119,8 +121,8 @@ def atoms_of(spark: SparkSession, harness: str, roots: list[str]) -> logs.Atoms:
     if harness == "copilot":
         return sqlite.copilot(spark, [os.path.join(r, "traces.db") for r in roots], stores(harness, roots))
     if harness == "opencode":
-        return sqlite.opencode_overlaid(logs.find(spark, roots, harness), sqlite.opencode(spark, stores(harness, roots)))
-    return logs.find(spark, roots, harness)
+        return sqlite.opencode_overlaid(logs.find(spark, roots, harness, home), sqlite.opencode(spark, stores(harness, roots)))
+    return logs.find(spark, roots, harness, home)
 
 
 def _claude(spark: SparkSession, roots: list[str]) -> logs.Atoms:
@@ -151,15 +153,16 @@ def read(spark: SparkSession, homes: Mapping[str, str | list[str]], gap_ms: int
             if not roots:
                 state.append((harness, "absent"))
                 continue
-            if not gate(spark, harness, roots):
+            home = Home(spark, roots)
+            if not gate(spark, harness, roots, home):
                 state.append((harness, "refused"))
                 continue
-            atoms = atoms_of(spark, harness, roots)
+            atoms = atoms_of(spark, harness, roots, home)
             _ = [f.schema for f in (atoms.usage, atoms.events, atoms.health)]
             parts[harness] = atoms
             state.append((harness, "read"))
             if atoms.lost is not None:
-                files_of[harness] = _kept(spark, harness, roots, atoms)
+                files_of[harness] = _kept(harness, roots, atoms, home)
         except (PySparkException, OSError, sqlite3.Error):  # one harness must never take a view from the others
             state.append((harness, "failed"))
     found = parts or {"none": _empty(spark)}
@@ -174,13 +177,13 @@ def read(spark: SparkSession, homes: Mapping[str, str | list[str]], gap_ms: int
     return Corpus(usage, events, health, _states(spark, state, files_of, lost), lost, folded)
 
 
-def _kept(spark: SparkSession, harness: str, roots: list[str], atoms: logs.Atoms) -> int:
+def _kept(harness: str, roots: list[str], atoms: logs.Atoms, home: Home) -> int:
     """How many stores a harness has under its homes; its file store counts as one that is never lost as a whole."""
     if harness == "copilot":
         traces = [p for p in (os.path.join(r, "traces.db") for r in roots) if os.path.isfile(p)]
         return len(traces) or sum(map(os.path.isfile, stores(harness, roots)))
     own = sum(map(os.path.isfile, stores(harness, roots)))
-    return own + (harness == "opencode" and _any(_opencode_infos(spark, roots), filled(V, "id").isNotNull()))
+    return own + (harness == "opencode" and _any(_opencode_infos(home), filled(V, "id").isNotNull()))
 
 
 def _states(spark: SparkSession, state: list[tuple[str, str]], files_of: dict[str, int], lost: DataFrame) -> DataFrame:

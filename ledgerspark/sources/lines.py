@@ -9,7 +9,7 @@ never converted.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
@@ -42,6 +42,27 @@ def files(spark: SparkSession, paths: str | list[str], glob: str | None = None,
     return df.select(m["file_path"].alias("path"), m["file_name"].alias("name"), m["file_size"].alias("size"), F.unix_millis(m["file_modification_time"]).alias("mtime_ms"), "value")
 
 
+class Home:
+    """The files under a harness's homes: each set of names is listed once, for its gate and for all of its readers (a listing is a task a folder)."""
+
+    def __init__(self, spark: SparkSession, roots: str | list[str]):
+        self.spark, self.roots = spark, roots
+        self.held: dict[tuple, DataFrame] = {}
+
+    def _once(self, read: Callable, glob: str) -> DataFrame:
+        if (read, glob) not in self.held:
+            self.held[read, glob] = read(self.spark, self.roots, glob)
+        return self.held[read, glob]
+
+    def lines(self, glob: str) -> DataFrame:
+        """``text_lines`` of the files of such names."""
+        return self._once(text_lines, glob)
+
+    def files(self, glob: str) -> DataFrame:
+        """``files`` of such names."""
+        return self._once(files, glob)
+
+
 def lines(found: DataFrame, contains: str | None = None) -> DataFrame:
     """``path, name, mtime_ms, line_no, line`` of the non-blank lines of ``files`` or ``text_lines``; ``contains`` drops lines before they are parsed."""
     if "line" in found.columns:

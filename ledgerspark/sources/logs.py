@@ -18,7 +18,7 @@ from ..operators.dedup import valid
 from ..operators.joins import model_in_force
 from ..operators.ordered import carried, cumulative_deltas
 from ..shared import cut
-from .lines import array, beside, boolean, count, files, filled, is_object, lines, millis, number, parsed, raw, stem, string, text_lines
+from .lines import Home, array, beside, boolean, count, filled, is_object, lines, millis, number, parsed, raw, stem, string
 
 V = "v"
 
@@ -330,16 +330,21 @@ def vendor_limits(bodies: DataFrame, column: str = "value", keep: tuple[str, ...
     return rows.select(*keep, F.explode(lanes).alias("x")).select(*keep, "x.*")
 
 
-def find(spark: SparkSession, root: str, harness: str) -> Atoms:
+#: The files of grok, in lines and whole: names are listed together, and told apart by their column.
+GROK_LINES, GROK_FILES = "{unified,events}.jsonl", "{summary.json,models_cache.json,config.toml}"
+
+
+def find(spark: SparkSession, root: str | list[str], harness: str, home: Home | None = None) -> Atoms:
     """The atoms of a harness with JSON logs under its root folder."""
-    read = lambda glob: files(spark, root, glob)
-    read_lines = lambda glob: text_lines(spark, root, glob)
+    home = home or Home(spark, root)
+    read, read_lines = home.files, home.lines
     if harness == "claude_code":
         return claude(read_lines("*.jsonl"))
     if harness == "codex":
         return codex(read_lines("rollout-*.jsonl"))
     if harness == "grok":
-        return grok(read_lines("unified.jsonl"), read_lines("events.jsonl"), read("summary.json"))
+        logged = read_lines(GROK_LINES)
+        return grok(logged.where("name = 'unified.jsonl'"), logged.where("name = 'events.jsonl'"), read(GROK_FILES).where("name = 'summary.json'"))
     if harness == "pi":
         return pi(read_lines("*.jsonl"))
     if harness == "openclaw":

@@ -284,3 +284,24 @@ def test_a_log_is_parsed_once(spark, tmp_path):
             plan = frame._sc._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "extended")
             assert "parseJson" not in plan and "parse_json" not in plan
         assert [(r["model"], r["input"], r["output"], r["cache_read"]) for r in atoms.usage.collect()] == [("m", 7, 2, 0)]
+
+
+def test_a_home_is_listed_once_for_its_gate_and_its_readers(spark, tmp_path, monkeypatch):
+    """A listing is a task a folder: those of grok and gemini have a folder or more a session."""
+    from ledgerspark.sources import lines
+
+    made, reader = [], lines._reader
+    monkeypatch.setattr(lines, "_reader", lambda spark, glob, since: made.append(glob) or reader(spark, glob, since))
+    texts = {
+        "g/logs/unified.jsonl": '{"ts":"2024-01-01T00:00:00Z","sid":"s","msg":"shell.turn.inference_done","ctx":{"prompt_tokens":7,"completion_tokens":2}}\n',
+        "g/sessions/c/s/events.jsonl": '{"ts":"1970-01-01T00:00:00Z","type":"turn_started","model_id":"grok-4.5"}\n',
+        "g/sessions/c/s/summary.json": '{"info":{"id":"s",\n"cwd":"/w/p1"}}', "g/config.toml": 'source = "xai-org/plugin-marketplace"\n',
+        "m/tmp/a/chats/c.json": '{"sessionId":"a","messages":[{"type":"gemini","timestamp":"2024-01-01T00:00:00Z","model":"m","tokens":{"input":3,"output":1,"cached":1}}]}',
+    }
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    found = corpus.read(spark, {"grok": str(tmp_path / "g"), "gemini": str(tmp_path / "m")})
+    rows = {(r["harness"], r["session"], r["model"], r["input"], r["output"], r["cache_read"], r["project"]) for r in found.usage.collect()}
+    assert rows == {("grok", "s", "grok-4.5", 7, 2, 0, "p1"), ("gemini", "a", "m", 2, 1, 1, "(unknown)")}
+    assert len(made) == len(set(made)) == 3
