@@ -52,8 +52,9 @@ def sync_stream(spark, d):
     """The events in four batches, with sessions across all of them; of what was sent the last of each session counts."""
     root = folder(spark)
     rows = bindings.usage(spark, d).select(F.col("session").cast("string").alias("session"), (F.col("input") + F.col("output")).alias("n"), "ord")
-    rows.repartitionByRange(4, "ord").write.option("maxRecordsPerFile", 0).parquet(f"{root}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    each = spark.sparkContext.defaultParallelism  # files of a batch, so that no batch is one task's
+    rows.repartitionByRange(4 * each, "ord").write.option("maxRecordsPerFile", 0).parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", each).parquet(f"{root}/in")
     atoms = incremental.StateTable(spark, f"{root}/state", "atoms", "session string, n long", history=True)
     digests = incremental.StateTable(spark, f"{root}/state", "digests", "session string, digest string")
     fold = lambda b: b.groupBy("session").agg(F.sum("n").cast("string").alias("payload")).withColumn("digest", F.sha2("payload", 256))

@@ -27,8 +27,8 @@ class StateTable:
 
     A write appends the batch's rows alone, to the buckets of their keys. A manifest, a small file that replaces the one before, names the
     parts of every bucket and their rows; nothing is found by listing folders. Reading takes a key's newest row, or with ``history``
-    every row. A bucket of more than ``deltas`` parts is written together, and as rows come buckets split one after the other (linear
-    hashing), so that each keeps some ``bucket_rows`` rows however large the table becomes. Parts are sorted by hash in small pages:
+    every row. A bucket of more than ``deltas`` parts is written together, and before rows come in buckets split one after the other (linear
+    hashing; the rows are counted for it), so that each keeps some ``bucket_rows`` rows however large the table becomes. Parts are sorted by hash in small pages:
     reading a few keys reads the pages that hold them.
 
     Rows keep the number of their version, so that one which is written again takes its own place, wherever its rows are by then.
@@ -140,6 +140,7 @@ class StateTable:
         dead, found["dead"] = found["dead"], []
         if version <= found["last"]:
             self._without(found, version)
+        self._split(found, rows.count())
         counts = self._store(rows.select(*self.kind.names, F.xxhash64(self.key).alias("_h"), F.lit(version).cast("long").alias("_seq")), f"v{version}", found["buckets"])
         for b, n in counts.items():
             found["parts"].setdefault(b, []).append([f"v{version}/bucket={b}", version, n])
@@ -156,25 +157,31 @@ class StateTable:
         if mixed:
             self._rewrite(found, mixed, found["buckets"], F.col("_seq") != version)
 
-    def _tidy(self, found: dict) -> None:
-        """Split buckets as rows come, and put the parts of a bucket together where there are too many."""
-        before, rows = found["buckets"], sum(p[2] for parts in found["parts"].values() for p in parts)
+    def _split(self, found: dict, more: int) -> None:
+        """Split buckets for so many rows to come, which so are written once, where they stay."""
+        before, rows = found["buckets"], more + sum(p[2] for parts in found["parts"].values() for p in parts)
         after = max(before, -(-rows // self.bucket_rows))
         source = lambda b: b if b < before else source(b - (1 << (b.bit_length() - 1)))
-        again = {source(b) for b in range(before, after)} | {int(b) for b, parts in found["parts"].items() if len(parts) > self.deltas}
+        if after > before:
+            self._rewrite(found, {source(b) for b in range(before, after)}, after, kind="s")
+
+    def _tidy(self, found: dict) -> None:
+        """Put the parts of a bucket together where there are too many."""
+        again = {int(b) for b, parts in found["parts"].items() if len(parts) > self.deltas}
         if again:
-            self._rewrite(found, again, after)
+            self._rewrite(found, again, found["buckets"])
             self._commit(found)
 
-    def _rewrite(self, found: dict, again: set[int], buckets: int, kept: Column | None = None) -> None:
+    def _rewrite(self, found: dict, again: set[int], buckets: int, kept: Column | None = None, kind: str = "") -> None:
         """Write the rows of some buckets anew, each as one part, over so many buckets."""
-        parts = [p for b in again for p in found["parts"].pop(str(b), [])]
+        parts, found["buckets"] = [p for b in again for p in found["parts"].pop(str(b), [])], buckets
+        if not parts:
+            return
         rows = self._newest(self._load([p[0] for p in parts]))
         found["dead"] += [p[0] for p in parts]
-        name, seq = f"c{found['number']}", max((p[1] for p in parts), default=0)
+        name, seq = f"c{found['number']}{kind}", max(p[1] for p in parts)
         for b, n in self._store(rows if kept is None else rows.where(kept), name, buckets).items():
             found["parts"][b] = [[f"{name}/bucket={b}", seq, n]]
-        found["buckets"] = buckets
 
     def _clear(self, found: dict, dead: list[str]) -> None:
         """Delete parts that were replaced a write ago; newer ones may still be read by what comes lazily."""
@@ -270,17 +277,21 @@ def sync_stream(
 
     def each(batch: DataFrame, number: int) -> None:
         atoms.write(batch, number)
-        own = atoms.version(number)
+        own, cached = atoms.version(number), []
+
+        def distinct(rows: DataFrame) -> DataFrame:
+            cached.append(rows.distinct().persist())
+            return cached[-1]
+
         keys = own.select(atoms.key)
         if copies is not None:
             bound = own.where(F.col(copies.key).isNotNull())
             copies.write(bound, number)
-            keys = keys.unionByName(copies.read(bound.select(copies.key)).select(atoms.key))
-        keys = keys.distinct().persist()
+            keys = keys.unionByName(copies.read(distinct(bound.select(copies.key))).select(atoms.key))
+        keys = distinct(keys)
         held = atoms.read(keys)
-        if copies is not None:
-            held = held.persist()
-            shared = copies.read(held.where(F.col(copies.key).isNotNull()).select(copies.key))
+        if copies is not None:  # only the names of their messages are kept: rows come from the table by message
+            shared = copies.read(distinct(held.where(F.col(copies.key).isNotNull()).select(copies.key)))
             context = held.where(F.col(copies.key).isNull()).unionByName(shared.select(*held.columns))
         folded = fold(held if copies is None else context).join(keys.withColumnRenamed(atoms.key, digests.key), digests.key, "left_semi")
         fresh = changed(folded, digests.read(keys.withColumnRenamed(atoms.key, digests.key))).persist()
@@ -288,7 +299,7 @@ def sync_stream(
             send(fresh, number)
             digests.upsert(fresh.select(digests.key, "digest"))
         finally:
-            for frame in (fresh, keys, held):
+            for frame in (fresh, *cached):
                 frame.unpersist()
 
     return batches.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

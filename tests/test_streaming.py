@@ -305,3 +305,25 @@ def test_by_time_merges_runs_from_scratch_files():
     frames = [pd.DataFrame({"ts": ts[k : k + 700], "total": ts[k : k + 700] * 2}) for k in range(0, len(ts), 700)]
     for at_once in (1 << 20, 5000, 1):
         assert list(S.by_time(iter(frames), at_once)) == [(t, 2 * t) for t in range(20_000)]
+
+
+def test_rows_are_stored_once_where_they_stay(spark, tmp_path):
+    """Buckets split before a batch comes in, for all its rows; what is there already moves only where its bucket splits."""
+    t = I.StateTable(spark, str(tmp_path), "once", "session string, n long", bucket_rows=100)
+    rows = spark.range(1000).select(F.concat(F.lit("s"), "id").alias("session"), F.col("id").alias("n"))
+    t.upsert(rows)
+    assert t.manifest()["buckets"] == 10 == len(t.manifest()["parts"]) and {p[0].split("/")[0] for parts in t.manifest()["parts"].values() for p in parts} == {"v1"}
+    t.upsert(rows.withColumn("n", -F.col("n")))
+    parts = [p for parts in t.manifest()["parts"].values() for p in parts]
+    assert t.manifest()["buckets"] == 20 and sum(p[2] for p in parts if p[0].startswith("v2/")) == 1000
+    assert {r["session"]: r["n"] for r in t.read().collect()} == {f"s{k}": -k for k in range(1000)}
+
+
+def test_a_version_written_again_may_split_buckets(spark, tmp_path):
+    t = I.StateTable(spark, str(tmp_path), "again", "session string, n long", history=True, bucket_rows=20, deltas=1)
+    part = lambda v, n: spark.createDataFrame([(f"s{k % 9}", 1000 * v + k) for k in range(n)], t.schema)
+    for v in range(3):
+        t.write(part(v, 10), v)
+    for n in (300, 30):
+        t.write(part(2, n), 2)
+        assert sorted(r["n"] for r in t.read().collect()) == [1000 * v + k for v, m in enumerate((10, 10, n)) for k in range(m)]
