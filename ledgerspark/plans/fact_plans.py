@@ -140,6 +140,11 @@ def attribution_flip(spark, d):
 _REPLAYED = "(SELECT session, message_id, output AS n, 2 * ord AS ord FROM usage UNION ALL SELECT session + 1, message_id, output + k % 2, 2 * ord - 1 + 2 * (k % 2) FROM usage WHERE k % 3 = 0)"
 
 
+def fed(rows, number, path):
+    """Write the rows of each batch to a folder of its number, in one pass over them."""
+    rows.withColumn("batch", number).write.partitionBy("batch").parquet(path)
+
+
 @query("t11_late_replay", sql(f"SELECT CAST(s.session AS VARCHAR) AS session, CAST(CAST(coalesce(sum(n), 0) AS BIGINT) AS VARCHAR) AS payload FROM (SELECT DISTINCT session FROM {_REPLAYED}) s LEFT JOIN (SELECT message_id, max(n) AS n, arg_min(session, ord) AS session FROM {_REPLAYED} GROUP BY message_id) o ON o.session = s.session GROUP BY s.session", "usage"))
 def late_replay(spark, d):
     """Chains of sessions with replayed messages, in four batches in no order: records that come late change what other sessions own, and by whom."""
@@ -147,8 +152,7 @@ def late_replay(spark, d):
     own = usage(spark, d).select("session", "message_id", F.col("output").alias("n"), (2 * F.col("ord")).alias("ord"), "k")
     again = own.where("k % 3 = 0").select(F.col("session") + 1, "message_id", F.col("n") + F.col("k") % 2, F.col("ord") - 1 + 2 * (F.col("k") % 2), "k")
     rows = own.union(again).drop("k").select(F.col("session").cast("string").alias("session"), "message_id", "n", F.col("ord").cast("long").alias("ord"))
-    for k in range(4):
-        rows.where(F.pmod(F.xxhash64("session", "ord"), F.lit(4)) == k).write.parquet(f"{root}/fed/{k}")
+    fed(rows, F.pmod(F.xxhash64("session", "ord"), F.lit(4)), f"{root}/fed")
     atoms = I.StateTable(spark, f"{root}/state", "atoms", "session string, message_id string, n long, ord long", history=True)
     copies = I.StateTable(spark, f"{root}/state", "copies", "message_id string, session string, n long, ord long", history=True)
     digests = I.StateTable(spark, f"{root}/state", "digests", "session string, digest string")
@@ -160,7 +164,7 @@ def late_replay(spark, d):
         return totals.select("session", payload).withColumn("digest", F.sha2("payload", 256))
 
     for k in range(4):  # a run of the stream for each batch, from the checkpoint of the one before
-        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(*[f"{root}/fed/{{{','.join(map(str, range(k + 1)))}}}"])
+        stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(f"{root}/fed/batch={{{','.join(map(str, range(k + 1)))}}}")
         send = lambda out, n: out.select("session", "payload").write.mode("overwrite").parquet(f"{root}/out/batch={n}")
         I.sync_stream(stream, atoms, digests, fold, send, f"{root}/checkpoint", copies).awaitTermination()
     sent = spark.read.schema("session string, payload string, batch long").parquet(f"{root}/out")

@@ -327,3 +327,18 @@ def test_a_version_written_again_may_split_buckets(spark, tmp_path):
     for n in (300, 30):
         t.write(part(2, n), 2)
         assert sorted(r["n"] for r in t.read().collect()) == [1000 * v + k for v, m in enumerate((10, 10, n)) for k in range(m)]
+
+
+def test_batches_of_replays_are_written_in_one_pass(spark, tmp_path):
+    from ledgerspark.plans.fact_plans import fed
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(100).mapInArrow(look, "id long")
+    fed(rows, F.pmod("id", F.lit(4)), f"{tmp_path}/fed")
+    assert seen.value == 100 and sorted(r["id"] for r in spark.read.schema("id long").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/fed/batch={{0,3}}").collect()) == [k for k in range(100) if k % 4 in (0, 3)]
