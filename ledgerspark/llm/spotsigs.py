@@ -8,8 +8,8 @@ In a run of more than ``RUN`` content words without an anchor (lists, other lang
 A text that makes no whole chain so gets a chain at every word instead; one with fewer words than a chain, a single
 signature of the whole text, so only equal short texts are alike.
 
-``near_groups`` finds near-duplicates: sets are partitioned by length, and those that share one of the rarest signatures of both are
-candidates, unless their sketches rule it out: for two sets of n and m signatures whose parity bits differ in d places, no more
+``near_groups`` finds near-duplicates: sets are partitioned by length, and the signatures of a set dealt over more parts than two alike sets
+may differ in; those that have one of the rarest parts of both in common, all of its signatures, are candidates, unless their sketches rule it out: for two sets of n and m signatures whose parity bits differ in d places, no more
 than (n + m - d) / 2 are common. A group is what links of a Jaccard coefficient of ``LEAST`` or more reach. Every link is compared on the whole sets, and only those
 that hold join anything. Some turns look for a few links a set, so that a large group is one soon; the last looks at every pair of candidates left apart.
 
@@ -49,6 +49,8 @@ LEAST = 0.8
 CELLS_LOG2 = 16
 #: Words of 64 bits of a set's sketch; turns that look for a few links a set; sets above which a cell's signatures count as shared.
 SKETCH, SPANNING, HEAVY = 8, 3, 20_000
+#: Parts that a set's signatures are dealt over, besides two for each that may differ.
+SPARE = 6
 #: Common words of English, German, French and Spanish.
 ANCHORS = frozenset("the a an of and to in is was that der die das und ist zu den le la les de et un une est el los las y en es".split())
 _WORD = re.compile(r"[^\W_]+")
@@ -132,46 +134,80 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def cell_loads(classes: DataFrame) -> np.ndarray:
-    """How many sets have a signature in each cell, a cell being a signature's leading bits."""
+    """How many sets have a signature in each cell, a cell being a signature's leading bits; and last, how many sets there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << CELLS_LOG2, np.int64)
+        held = np.zeros((1 << CELLS_LOG2) + 1, np.int64)
         for b in batches:
             held += np.bincount(b.column(0).flatten().to_numpy().view(np.uint32) >> (32 - CELLS_LOG2), minlength=len(held))
+            held[-1] += b.num_rows
         at = np.flatnonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["cell", "n"])
 
     found = classes.select("signs").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most the cells
-    loads = np.zeros(1 << CELLS_LOG2, np.int64)
+    loads = np.zeros((1 << CELLS_LOG2) + 1, np.int64)
     loads[found.column("cell").to_numpy()] = found.column("n").to_numpy()
     return loads
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 bits that depend on all bits of each number (SplitMix64)."""
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def apart_at_most(least: float, length: np.ndarray) -> np.ndarray:
+    """In how many signatures two sets of that likeness differ at most, the longer of which is in a partition by length."""
+    longest = np.floor((1 / least) ** (length + 1) * (1 + 1e-8))
+    return np.floor(2 * longest * (1 - least) / (1 + least) + 1e-9).astype(np.int64)
+
+
+def part_keys(node: np.ndarray, signs: np.ndarray, sizes: np.ndarray, loads: np.ndarray, least: float, heavy: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``key, node, known`` of some sets, whose signatures follow one another: first those of their own partition, then of the next."""
+    load = loads[signs >> (32 - CELLS_LOG2)]
+    worth = np.maximum(1024 * np.log2((loads[-1] + 1) / load), 0).astype(np.int64) + 1  # whole numbers: equal parts have equal sums in any order
+    digest = mixed(signs.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    own = np.floor(np.log(sizes) / np.log(1 / least) + 1e-9).astype(np.int64)
+    for length in (own, own + 1):
+        apart = apart_at_most(least, length)
+        parts = np.where(apart > 0, 2 * apart + SPARE, 0)  # where nothing may differ there is nothing to find
+        first = np.cumsum(parts) - parts
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        some = apart[of] > 0
+        at = (first[of] + (digest >> np.uint64(32)).astype(np.int64) % np.maximum(parts[of], 1))[some]
+        total = int(parts.sum())
+        sums, value, rarest = np.zeros(total, np.uint64), np.zeros(total, np.int64), np.full(total, np.iinfo(np.int64).max)
+        np.add.at(sums, at, digest[some])
+        np.add.at(value, at, worth[some])
+        np.minimum.at(rarest, at, load[some])
+        whose = np.repeat(np.arange(len(sizes)), parts)
+        place = np.arange(total) - first[whose]
+        key = mixed(sums + mixed((length[whose] << 40 | place).astype(np.uint64))).view(np.int64)
+        order = np.lexsort((key, -value, whose))
+        took = order[place <= apart[whose]]  # rows are as many and by set before and after sorting
+        yield key[took], node[whose[took]], rarest[took] > heavy
+
+
 def prefix_keys(classes: DataFrame, least: float, heavy: int = HEAVY) -> DataFrame:
-    """``key, node``: the rarest signatures of every set in its partition by length and the next, where another set has them too.
+    """``key, node``: the rarest parts of every set in its partition by length and the next, where another set has them too.
+
+    Signatures are dealt over parts by a digest, and a key names a part with all its signatures. Two sets of that likeness
+    differ in d signatures at most, and so in d parts; of their parts, some 2 d, the rest are equal. Hence their d + 1 rarest parts, by one order
+    for all sets, have one in common. The longer set of a pair has it in its own partition, the shorter in its own or the next.
+    Parts of several signatures are hardly ever shared by chance, as single signatures are; the more sets there are, the
+    more of those. This holds for any likeness, but under 0.7 sets have fewer parts with signatures than they need.
 
-    Of two sets of that likeness the longer shares one of its n - t n + 1 rarest, in its own partition, with the n - 2 t n / (1 + t) + 1
-    rarest of the shorter, which has these in the next partition too; however ties among counts are ranked. Keys are brought
-    together to see which are one set's alone, as most are. Signatures of cells that more than ``heavy`` sets have are
-    kept unseen, so that no frequent one gathers in a task.
+    Keys are brought together to see which are one set's alone, as most are. Parts all of whose signatures are of cells that more than
+    ``heavy`` sets have, and parts without any, are kept unseen, so that no frequent one gathers in a task.
     """
     shipped = classes.sparkSession.sparkContext.broadcast(cell_loads(classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for node, signs in zip(b.column(0).to_pylist(), b.column(1)):
-                x = signs.values.to_numpy().view(np.uint32)
-                n = len(x)
-                load = shipped.value[x >> (32 - CELLS_LOG2)]
-                own, next_ = (n - int(np.ceil(n * share - 1e-9)) + 1 for share in (least, 2 * least / (1 + least)))
-                took = np.lexsort((x, load))[:own]
-                part = int(np.floor(np.log(n) / np.log(1 / least) + 1e-9))
-                took = np.concatenate((took, took[:next_]))
-                parts = np.repeat((part, part + 1), (own, len(took) - own))
-                out.append((parts << 32 | x[took].astype(np.int64), np.full(len(took), node), load[took] > heavy))
-            if out:
-                key, node, known = map(np.concatenate, zip(*out))
+        for b in slices(batches):
+            sizes = b.column(1).value_lengths().to_numpy()
+            signs = b.column(1).flatten().to_numpy().view(np.uint32)
+            for key, node, known in part_keys(b.column(0).to_numpy(), signs, sizes, shipped.value, least, heavy):
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.array(known)], names=["key", "node", "known"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

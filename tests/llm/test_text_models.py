@@ -106,6 +106,32 @@ def test_keys_of_one_set_go_and_frequent_ones_stay_unseen(spark):
     assert sorted(map(tuple, spotsigs.prefix_keys(classes, 0.8, 10**9).collect())) == sorted(r for r in every if n[r[0]] > 1) != sorted(every)
 
 
+def test_alike_sets_share_a_key_and_others_hardly_any(spark):
+    """Sets of few distinct signatures share those by chance, but no parts of them."""
+    draw = np.random.default_rng(6)
+    pick = lambda n: draw.choice(20_000, n, replace=False).astype(np.int64) * 214_748
+    sets = [pick(int(n)) for n in draw.integers(1, 300, 1500)]
+    for s in [s for s in sets[:300] if len(s) > 4]:
+        k = len(s) // 9  # of n signatures n / 9 replaced: a Jaccard coefficient of 0.8 or more; or a fifth left out
+        sets += [np.concatenate([s[k:], pick(k) + 1]), s[len(s) // 5 :]]
+    data = [(k, np.unique(s.astype(np.uint32)).view(np.int32).tolist()) for k, s in enumerate(sets)]
+    held = Counter(k for _, s in data[:1500] for k in s)
+    found = [tuple(r) for r in spotsigs.prefix_keys(spark.createDataFrame(data, "node long, signs array<int>").repartition(7), 0.8).collect()]
+    keys = {}
+    for key_, node in found:
+        keys.setdefault(node, set()).add(key_)
+    signs = [np.array(s, np.int32).view(np.uint32) for _, s in data]
+    at = 1500
+    for k in [k for k, s in enumerate(sets[:300]) if len(s) > 4]:
+        for other in (at, at + 1):
+            if 0.8 <= spotsigs.likeness(np.sort(signs[k]), np.sort(signs[other])) < 1:
+                assert keys[k] & keys[other]
+        at += 2
+    assert sum(n > 1 for n in held.values()) > 0.9 * len(held)
+    alone = [(key_, node) for key_, node in found if 300 <= node < 1500]
+    assert len(alone) < 0.02 * sum(len(s) for s in sets[300:1500])
+
+
 def test_unrelated_texts_make_no_candidates(spark, monkeypatch):
     """Links that fail join nothing: the texts of a growing vocabulary of rare words never come together."""
     draw = np.random.default_rng(9)
