@@ -2,14 +2,15 @@
 
 Plain relational. ``term_counts`` explodes each text's regular-expression matches and counts them by language, source and term. A language
 keeps the terms that at least ``LEAST_DOCS`` of its documents have. Groups (the sources of a language) are crossed with the kept vocabulary, so that
-terms which a group lacks count as zero; each then has a smoothed share, in whole numbers of 10^-9. A self-join of these rows on language and
+terms which a group lacks count as zero; each then has a smoothed share, in whole numbers of 10^-9. A self-join of these shares on language and
 term, summed by pair, gives each source's divergence from each other one, and a comparison with the language's own shares the terms that
 set a source apart: the (p - q)^2 / q of a chi-squared statistic in both. Windows rank them.
 
 At scale: a document hands on each of its terms once, with a count, and counts combine before every shuffle. Nothing is keyed by
-language alone: the vocabulary meets its language's groups on language and a salt, over which the few groups are repeated.
-Shares of both directions of a pair come from one row of the self-join. The dense rows are ``terms times sources`` of a language, and their
-self-join has a row for each unordered pair of sources, as the method asks. Ranks to a limit are cut in every task before their rows are shuffled.
+language alone: the vocabulary meets its language's groups on language and a salt, over which the groups are repeated.
+A kept term is one row with its counts by source, at most as many as its language has sources. The dense shares, ``terms times sources`` of a language, are made
+in that row and joined with each other there, so that neither they nor their pairs are shuffled, sorted or written; both directions of a pair come from
+one row of this self-join, which has a row for each term and unordered pair of sources, as the method asks. Ranks to a limit are cut in every task before their rows are shuffled.
 
 Defined cases: null text, language and source count as empty strings, so a null source is the source ''. A group without terms has
 pairs (with values by its zeros, or 0 if its language keeps no term) and no terms. Languages of one source have no pairs. Repeated rows are documents of their own, whatever their ids.
@@ -71,22 +72,25 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
     with scratch(spark):
-        counts = cut(term_counts(docs))
-        kept = cut(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs"))
+        each = F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("counts")
+        kept = cut(term_counts(docs).groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), each).where(F.col("docs") >= least_docs).drop("docs"))
         langs = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
-        known = cut(counts.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))
+        known = kept.select("lang", "term", "lang_n", F.explode("counts").alias("source", "n"))
         totals = known.groupBy("lang", "source").agg(F.sum("n").alias("total"))
         none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
         groups = cut(docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left").select("lang", "source", none("total"), none("terms"), none("lang_total")))
 
-        salted = groups.select("lang", "source", "total", "terms", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        cells = kept.select("lang", "term", F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int").alias("salt")).join(salted, ["lang", "salt"])
-        dense = cells.join(known.select("lang", "source", "term", "n"), ["lang", "source", "term"], "left")
-        dense = cut(dense.select("lang", "source", "term", share(F.coalesce("n", F.lit(0)), F.col("total"), F.col("terms")).alias("p")))
-
-        both = dense.alias("a").join(dense.alias("b"), F.expr("a.lang = b.lang AND a.term = b.term AND a.source < b.source"))
-        both = both.select("a.lang", "a.source", F.col("b.source").alias("item"), distance(F.col("a.p"), F.col("b.p")).alias("there"), distance(F.col("b.p"), F.col("a.p")).alias("back"))
-        sums = both.groupBy("lang", "source", "item").agg(F.sum("there").alias("there"), F.sum("back").alias("back"))
+        every = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", "total", "terms"))).alias("groups"))
+        salted = every.select("lang", "groups", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        cells = kept.select("lang", "counts", F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int").alias("salt")).join(salted, ["lang", "salt"])
+        shares = F.transform("groups", lambda g: share(F.coalesce(F.try_element_at("counts", g["source"]), F.lit(0).cast("long")), g["total"], g["terms"]).cast("long"))
+        dense = cells.select("lang", shares.alias("shares"))
+
+        both = dense.select("lang", "shares", F.posexplode("shares").alias("a", "p")).select("lang", "a", "p", F.posexplode("shares").alias("b", "q")).where("a < b")
+        both = both.select("lang", "a", "b", distance(F.col("p"), F.col("q")).alias("there"), distance(F.col("q"), F.col("p")).alias("back"))
+        names = lambda at, name: every.select("lang", F.posexplode("groups").alias(at, "g")).select("lang", at, F.col("g.source").alias(name))
+        sums = both.groupBy("lang", "a", "b").agg(F.sum("there").alias("there"), F.sum("back").alias("back"))
+        sums = sums.join(names("a", "source"), ["lang", "a"]).join(names("b", "item"), ["lang", "b"])
         way = lambda a, b, v: F.struct(F.col(a).alias("source"), F.col(b).alias("item"), F.col(v).alias("value"))
         sums = sums.select("lang", F.explode(F.array(way("source", "item", "there"), way("item", "source", "back"))).alias("x")).select("lang", "x.*")
         pairs = groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang").where("source <> item")

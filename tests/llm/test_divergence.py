@@ -58,6 +58,15 @@ def test_audit_equals_plain_counts(spark):
     assert sorted(map(tuple, divergence.audit(df, top=2).collect())) == plain(data, top=2)
 
 
+def test_dense_shares_are_never_written(spark, monkeypatch):
+    """Of 26 terms and 20 sources a row a term and a row a source go to tables, not a row for each of both."""
+    written, cut = [], divergence.cut
+    monkeypatch.setattr(divergence, "cut", lambda df, kept=False: written.append((kept, (found := cut(df, kept)).count())) or found)
+    data = [(k, " ".join(f"w{chr(97 + t)}q" for t in range(26) if (t + k) % 3), "en", f"s{k % 20}", 0) for k in range(60)]
+    assert sorted(map(tuple, divergence.audit(table(spark, data)).collect())) == plain(data)
+    assert max(n for kept, n in written if not kept) == 26
+
+
 def test_empty_table(spark):
     assert divergence.audit(table(spark).where("false")).count() == 0
 
