@@ -25,6 +25,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,25 +64,32 @@ _ASCII = {k: chr(k).lower() if chr(k).isalnum() else " " for k in range(128)}
 
 def _words(text: str) -> list[str]:
     """Lower-cased runs of letters and digits."""
-    return text.translate(_ASCII).split() if text.isascii() else _WORD.findall(text.lower())
+    if text.isascii():
+        return text.translate(_ASCII).split()
+    text = text.lower()
+    for c in string.punctuation:
+        text = text.replace(c, " ")
+    parts = text.split()
+    if all(map(str.isalnum, parts)):
+        return parts
+    return [w for p in parts for w in ((p,) if p.isalnum() else _WORD.findall(p))]
 
 
 def signatures(text: str | None, anchors: frozenset[str] = ANCHORS, chain: int = CHAIN) -> np.ndarray:
     """The fingerprint: sorted distinct 32-bit digests (of MD5 the first)."""
     words = _words(text or "")
     content = [w for w in words if w not in anchors]
-    last, edges, found = len(content) - chain, [0], set()
-    for k, i in enumerate([i for i, w in enumerate(words) if w in anchors]):
-        at = i - k  # content words before this anchor
-        edges.append(at)
-        if at <= last:
-            found.add(" ".join((words[i], *content[at : at + chain])))
-    for a, b in zip(edges, [*edges[1:], len(content)]):
+    spots = [i for i, w in enumerate(words) if w in anchors]
+    ends = [i - k for k, i in enumerate(spots)]  # content words before each anchor
+    whole = ends[: bisect_right(ends, len(content) - chain)]  # of the anchors that a whole chain follows
+    found = set(map(" ".join, zip([words[i] for i in spots[: len(whole)]], *([content[at + k] for at in whole] for k in range(chain)))))
+    for a, b in zip([0, *ends], [*ends, len(content)]):
         if b - a > RUN:  # further words of a run are anchors themselves
             found.update(map(" ".join, zip(*(content[a + RUN + k : b + k] for k in range(chain + 1)))))
     if not found:
-        found = {" ".join(words[k : k + chain + 1]) for k in range(len(words) - chain)} or {text or ""}
-    return np.unique(np.frombuffer(b"".join([md5(s.encode("utf-8", "replace")).digest()[:4] for s in found]), ">u4").astype(np.uint32))
+        found = {" ".join(words[k : k + chain + 1]) for k in range(len(words) - chain)}
+    parts = "\n".join(found).encode().split(b"\n") if found else [(text or "").encode("utf-8", "replace")]  # no word has a line end
+    return np.unique(np.frombuffer(b"".join([md5(s).digest() for s in parts]), ">u4")[::4].astype(np.uint32))
 
 
 def as_text(signs: np.ndarray) -> str:

@@ -6,6 +6,7 @@ import random
 import xml.etree.ElementTree as ET
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -61,6 +62,28 @@ def test_signatures_follow_anchors():
     assert spotsigs.likeness(np.arange(2), np.arange(100), least=0.5) == 0.0
 
 
+def test_only_odd_parts_of_a_text_are_matched(monkeypatch):
+    """Texts with letters beyond ASCII are split at spaces and ASCII marks; what else stands between words is matched, with equal words and signatures."""
+    seen, found = [], spotsigs._WORD.findall
+    monkeypatch.setattr(spotsigs, "_WORD", SimpleNamespace(findall=lambda t: seen.append(t) or found(t)))
+    draw, letters = random.Random(8), [*"aeéßΩİ  _-.,\n\x85²Ⅷ日·’“\u0301\u200b\ud800", " the ", " und ", " la "]
+    texts = ["".join(draw.choices(letters, k=draw.randrange(120))) for _ in range(500)]
+    for t in texts:
+        words = found(t.lower())
+        assert spotsigs._words(t) == words
+        want, gap = set(), 0
+        for i, w in enumerate(words):
+            gap = 0 if w in spotsigs.ANCHORS else gap + 1
+            after = [w for w in words[i + 1 :] if w not in spotsigs.ANCHORS][:2]
+            if len(after) == 2 and (not gap or gap > spotsigs.RUN):
+                want.add(" ".join([w, *after]))
+        want = want or {" ".join(words[k : k + 3]) for k in range(len(words) - 2)} or {t}
+        assert set(spotsigs.signatures(t).tolist()) == {int(hashlib.md5(s.encode("utf-8", "replace")).hexdigest()[:8], 16) for s in want}
+    assert seen and not any(c in p for p in seen for c in " .,-_")
+    seen.clear()
+    assert spotsigs._words("Été, la forêt; l'hiver (déjà) là-bas.") == ["été", "la", "forêt", "l", "hiver", "déjà", "là", "bas"] and not seen
+
+
 def test_near_groups_lose_no_link(spark):
     rnd = random.Random(3)
     base = [prose(k, 120) for k in range(8)]
