@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from bisect import insort
+from collections.abc import Callable, Iterator
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ordered import carried, in_order
+from .ordered import carried
 
 SKEW_MS = 2000
 
@@ -27,55 +32,94 @@ def model_in_force(events: DataFrame, turns: DataFrame, key: str = "session", ts
     return seen.select(*names, F.coalesce("_found", own, F.lit("unknown")).alias("model_in_force"))
 
 
-class _Least:
-    """The least ``most`` distinct texts of a stretch of rows read so far."""
-
-    def __init__(self, most: int):
-        self.most, self.kept, self.held = most, [], set()
-
-    def add(self, text: str) -> None:
-        if text in self.held or (len(self.kept) == self.most and text > self.kept[-1]):
-            return
-        insort(self.kept, text)
-        self.held.add(text)
-        if len(self.kept) > self.most:
-            self.held.remove(self.kept.pop())
-
-
-def commits_in_session(sessions: DataFrame, commits: DataFrame, most: int = 200) -> DataFrame:
-    """``session, shas``: distinct commits of the session's folder and author between its start and end, the first ``most`` by sha.
-
-    Time is cut into blocks of more than half a session's length and at most all of it (a power of two), so that a session is the end of one block,
-    the start of another, and at most one whole block between. A folder's block is read once in order of time from either side; where a session
-    starts or ends, the first ``most`` of what has been read are its share. Sessions and commits are never paired, and a session gets three shares at most.
+#: Shas that one batch of lists holds, or one session's if they are more; and the most sessions that are answered beside one copy of a folder's commits.
+_LISTED, _BESIDE = 1 << 18, 1000
+#: Parts of a folder's commits when they meet the lengths of its sessions.
+_SALTS = 16
+
+
+class _Held:
+    """A group's commits by sha, as columns."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        self.shas = pa.concat_arrays([p.column("sha").cast(pa.large_string()) for p in parts] or [pa.array([], pa.large_string())])
+        self.at = np.concatenate([p.column("at").to_numpy() for p in parts] or [np.empty(0, "int64")])
+        fresh = pc.not_equal(self.shas[1:], self.shas[:-1]).to_numpy(zero_copy_only=False)
+        self.number = None if fresh.all() else np.concatenate(([0], np.cumsum(fresh)))
+
+    def within(self, begin: int, end: int, most: int | None) -> pa.Array:
+        places = np.flatnonzero((self.at >= begin) & (self.at <= end))
+        if self.number is not None:
+            places = places[np.diff(self.number[places], prepend=-1) != 0]
+        return self.shas.take(pa.array(places[:most]))
+
+
+def _lists(kind: T.StructType, most: int | None, between: str | None) -> Callable:
+    """A step over rows by ``group``, its commits by sha before its sessions, that gives each session's distinct shas. It holds one group's commits."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(kind)
+
+    def batch(sessions: list[pa.Array], lists: list[pa.Array]) -> pa.RecordBatch:
+        counts = np.array([len(x) for x in lists])
+        shas = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.concat_arrays(lists).cast(pa.string()))
+        shas = shas if between is None else pc.binary_join(shas, between)
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip((pa.concat_arrays(sessions), pa.array(counts), shas), arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, parts, held = None, [], None
+        for b in batches:
+            turn = pc.or_(*(pc.not_equal(c[1:], c[:-1]) for c in (b.column("group"), b.column("asks"))))
+            edges = [0, *(np.flatnonzero(turn.to_numpy(zero_copy_only=False)) + 1), b.num_rows] if b.num_rows else []
+            sessions, lists, size = [], [], 0
+            for at, end in pairwise(edges):
+                rows, group = b.slice(at, end - at), b.column("group")[at].as_py()
+                if group != name:
+                    name, parts, held = group, [], None
+                if not b.column("asks")[at].as_py():
+                    parts.append(rows)
+                    continue
+                held = held or _Held(parts)
+                for k, span in enumerate(zip(rows.column("at").to_pylist(), rows.column("upto").to_pylist())):
+                    sessions.append(rows.column("session")[k : k + 1])
+                    lists.append(held.within(*span, most))
+                    size += len(lists[-1])
+                    if size >= _LISTED:
+                        yield batch(sessions, lists)
+                        sessions, lists, size = [], [], 0
+            if sessions:
+                yield batch(sessions, lists)
+
+    return run
+
+
+def commits_in_session(sessions: DataFrame, commits: DataFrame, most: int | None = None, between: str | None = None) -> DataFrame:
+    """``session, n, shas`` for each row of ``sessions`` (one a session): all distinct commits of its folder between its start and end, by sha; only the first ``most``, if given.
+
+    ``shas`` is an array of ``n``, or one text with ``between`` between them.
+
+    Time is cut into blocks of more than half a session's length and at most all of it (a power of two), so that a session lies in the block in which it
+    starts and the two after. Sessions of a folder and block are answered beside these three blocks' commits, a thousand sessions beside each copy of them.
+    A session is dealt once and its list is made whole where it goes out; pairs of sessions and commits are never rows and never shuffled.
     """
-    asked = sessions.where((F.col("ended_at") >= F.col("started_at")) & F.col("cwd").isNotNull()).select("session", "cwd", "started_at", "ended_at", F.expr("shiftleft(1L, length(bin(greatest(ended_at - started_at, 1L))) - 1)").alias("width"))
-    block = lambda at: F.floor(F.col(at) / F.col("width"))
-    group = lambda side, number: F.concat_ws("\0", F.lit(side), "width", number, "cwd")
-    first, last = block("started_at"), block("ended_at")
-    probe = lambda side, number, place: F.struct(group(side, number).alias("group"), place.alias("place"))
-    shares = F.array(
-        probe("from", first, -F.col("started_at")),
-        F.when(last > first, probe("upto", last, F.col("ended_at"))),
-        F.when(last - first > 1, probe("upto", first + 1, (first + 2) * F.col("width"))),
-    )
-    probes = asked.select("session", F.explode(F.array_compact(shares)).alias("x")).select("session", "x.*")
-    dealt = commits.where("sha is not null and at is not null").select("cwd", "sha", F.col("at").cast("long").alias("at")).join(asked.select("cwd", "width").distinct(), "cwd")
-    sides = F.explode(F.array(probe("from", block("at"), -F.col("at")), probe("upto", block("at"), F.col("at"))))
-    dealt = dealt.select("sha", sides.alias("x")).select("sha", "x.*").join(probes.select("group").distinct(), "group", "left_semi")
-    of = sessions.schema["session"].dataType
-    rows = dealt.select("group", "place", F.lit(0).alias("asks"), "sha", F.lit(None).cast(of).alias("session")).unionByName(probes.select("group", "place", F.lit(1).alias("asks"), F.lit(None).cast("string").alias("sha"), "session"))
-
-    def step(state: _Least, row: tuple) -> tuple | None:
-        if row[2]:
-            return row[4], list(state.kept)
-        state.add(row[3])
-        return None
-
-    kind = T.StructType([T.StructField("session", of), T.StructField("shas", T.ArrayType(T.StringType()))])
-    found = in_order(rows, "group", ["place", "asks"], lambda _: _Least(most), step, kind)
-    found = found.groupBy("session").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("shas")))), 1, most).alias("shas"))  # of three shares at most
-    return sessions.select("session").join(found, "session", "left").select("session", F.coalesce("shas", F.array().cast("array<string>")).alias("shas"))
+    sound = F.col("session").isNotNull() & F.col("cwd").isNotNull() & (F.col("ended_at") >= F.col("started_at"))
+    asked = sessions.where(sound).select("session", "cwd", F.col("started_at").cast("long").alias("at"), F.col("ended_at").cast("long").alias("upto"))
+    asked = asked.withColumn("bits", F.expr("length(bin(greatest(upto - at, 1L))) - 1")).withColumn("first", F.expr("shiftright(at, bits)"))
+    place = F.row_number().over(W.partitionBy("cwd", "bits", "first").orderBy("session")) - 1
+    asked = asked.withColumn("part", F.floor(place / _BESIDE))
+    wanted = asked.select("cwd", "bits", "first", "part").distinct()
+    lengths = wanted.select("cwd", "bits").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    dealt = commits.where("sha is not null and at is not null").select("cwd", "sha", F.col("at").cast("long").alias("at"), F.pmod(F.xxhash64("sha", "at"), F.lit(_SALTS)).cast("int").alias("salt"))
+    dealt = dealt.join(lengths, ["cwd", "salt"]).drop("salt")
+    dealt = dealt.select("*", F.explode(F.expr("sequence(shiftright(at, bits) - 2, shiftright(at, bits))")).alias("first")).join(wanted, ["cwd", "bits", "first"])
+    group = F.concat_ws("\0", "bits", "first", "part", "cwd").alias("group")
+    rows = dealt.select(group, F.lit(False).alias("asks"), "sha", "at").unionByName(asked.select(group, F.lit(True).alias("asks"), "at", "upto", "session"), allowMissingColumns=True)
+    rows = rows.repartition(int(sessions.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group")  # so many in any case: lists are far larger than what is dealt
+    texts, none = (T.ArrayType(T.StringType()), F.array()) if between is None else (T.StringType(), F.lit(""))
+    kind = T.StructType([T.StructField("session", sessions.schema["session"].dataType), T.StructField("n", T.LongType()), T.StructField("shas", texts)])
+    found = rows.sortWithinPartitions("group", "asks", "sha").mapInArrow(_lists(kind, most, between), kind)
+    rest = sessions.where(~F.coalesce(sound, F.lit(False)))
+    return found.unionByName(rest.select("session", F.lit(0).cast("long").alias("n"), none.cast(texts).alias("shas")))
 
 
 def attribute_grants(sessions: DataFrame, grants: DataFrame) -> DataFrame:

@@ -341,3 +341,33 @@ def test_commits_of_sessions_are_never_paired(spark):
     assert {r["session"]: r["shas"] for r in found.collect()} == wanted
     plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
     assert all(line.endswith(": None") for line in plan.splitlines() if line.startswith("Join condition"))
+
+
+def test_commits_of_sessions_are_all_listed(spark):
+    """A session has any number of commits, copies of a commit count once, and a block has more sessions than are answered beside one copy of its commits."""
+    rows = [("a", f"{k % 900:x}", (k * 7919) % 4096) for k in range(2500)]
+    spans = [(k, 100 + k % 50, 3000 + k % 7) for k in range(1200)] + [(5000, 0, 4096), (5001, 4000, 4096), (5002, 9000, 9001)]
+    own = spark.createDataFrame([(k, "a", *x) for k, *x in spans] + [(None, "a", 0, 9), (7000, None, 0, 9), (7001, "a", None, 9)], "session long, cwd string, started_at long, ended_at long")
+    commits = spark.createDataFrame(rows, "cwd string, sha string, at long")
+    wanted = {s: sorted({sha for _, sha, t in rows if begin <= t <= end}) for s, begin, end in spans} | {None: [], 7000: [], 7001: []}
+    assert max(map(len, wanted.values())) == 900
+    found = J.commits_in_session(own, commits).collect()
+    assert len(found) == len(wanted) and {r["session"]: r["shas"] for r in found} == wanted and all(r["n"] == len(r["shas"]) for r in found)
+    texts = J.commits_in_session(own, commits, between=",").collect()
+    assert {r["session"]: (r["n"], r["shas"]) for r in texts} == {s: (len(x), ",".join(x)) for s, x in wanted.items()}
+
+
+def test_commits_query_has_no_cap(spark, tmp_path):
+    import duckdb
+
+    from ledgerspark.plans.join_plans import ORACLE, QUERIES
+
+    con, name = duckdb.connect(), "j5_commits_in_session"
+    con.execute("create table orders as select i AS o_orderkey, (i % 2) * 15 AS o_custkey from range(24000) t(i)")
+    con.execute("create table events as select i AS event_id, TIMESTAMP '2024-01-01' + to_hours(i * 17) AS ts, i % 20 AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{\"k\": 1}' AS props from range(40) t(i)")
+    for t in ("orders", "events"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet'")
+    found = {r["session"]: (r["n"], r["shas"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert found == {s: (n, shas) for s, n, shas in con.sql(f"select session, n, shas from ({ORACLE[name]})").fetchall()}
+    own = sorted(f"c{k}" for k in range(24000) if k % 2 and 0 <= k * 7919 % 2592000 - 5 * 17 * 3600 <= 86400)  # of session 5, in folder p5
+    assert found[5] == (len(own), ",".join(own)) and len(own) > 200
